@@ -76,3 +76,20 @@ def bounded_sample(df: DataFrame, key: Column, n: int, by: str | None = None) ->
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, *, n: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Texts and labels (0 or 1) of about ``n`` rows of each label at most, chosen by a hash of the id, staged.
+
+    The labels' ids are thinned before they meet the documents, so the broadcast side has a bound whatever the size of
+    the corpus, and the documents are scanned without a shuffle. Rows without a label, an id or a document don't count.
+    """
+    known = labels.select(F.col("doc_id").alias("id"), F.col(label).cast("int").alias("label")).filter(F.col("id").isNotNull() & F.col("label").isin(0, 1))
+    known = known.groupBy("id").agg(F.max("label").alias("label"))
+    unit = (F.xxhash64("id", F.lit(label)).cast("double") / F.lit(2.0**64)) + F.lit(0.5)
+    counts = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
+    keep = F.lit(False)
+    for y, c in sorted(counts.items()):
+        keep = keep | ((F.col("label") == y) & (unit <= min(1.0, n / c)))
+    docs = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    return stage(docs.join(F.broadcast(known.filter(keep)), "id").select("text", "label"), "labelled")

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontaminate, near_dedup, packing, pii, quality_rules
+from . import decontaminate, language_id, near_dedup, packing, pii, quality, quality_rules, toxicity
 from .common import table
 
 
@@ -27,16 +28,35 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find(table(spark, sf_dir, "documents")))
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.train(docs.filter(~language_id.held_out()))
+    return language_id.predict(docs, model).select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score")
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels").filter(~toxicity.held_out()))
+    return toxicity.score(docs, model).select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted")
+
+
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, percent=85)
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    vectors = quality.unit_rows(quality.context_sums(docs))
+    net = quality.train(docs, table(spark, sf_dir, "labels").filter(~quality.held_out()), vectors)
+    return quality.score(docs, vectors, net).select("doc_id", quality.held_out().alias("held_out"), "score", "predicted")
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality_rules.apply_rules(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES = {"op1_pii": op1_pii, "op4_near_dedup": op4_near_dedup, "op10_quality_rules": op10_quality_rules, "op7_decontamination": op7_decontamination, "op8_packing": op8_packing}
+QUERIES = {"op1_pii": op1_pii, "op2_language_id": op2_language_id, "op3_toxicity": op3_toxicity, "op4_near_dedup": op4_near_dedup, "op9_quality": op9_quality, "op10_quality_rules": op10_quality_rules, "op7_decontamination": op7_decontamination, "op8_packing": op8_packing}
 
 SQL: dict[str, str] = {
     "op7_decontamination": r"""
