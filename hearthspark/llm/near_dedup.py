@@ -7,9 +7,10 @@ one key for each chunk and each symbol left out of it (32 keys a document) makes
 some key. Pairs that meet are verified on the full sets.
 
 Copies with equal sets are one class with one representative. Under each key, representatives are first compared with
-one pivot (three rounds, another pivot each time); what then still lies in different components under one key is
-compared pair by pair, unless the signatures differ in more than 16 symbols or the set sizes rule a link out. So a
-group of near copies costs about one comparison a member, and no link that joins two components is left out.
+one pivot, in as many rounds (another pivot each time) as pay off; what then still lies in different components under
+one key is compared pair by pair, unless the signatures differ in more than 16 symbols or a link is ruled out by set sizes or by
+the number of shingles that no other document has (two sets can't share those). So a group of near copies costs about
+one comparison a member, and no link that joins two components is left out.
 
 Defined results: null, empty and word-less texts have no shingles and stand alone; a text with fewer words than a
 shingle is one shingle; ids identify documents, so repeated rows of one id share its component; empty tables give no
@@ -142,73 +143,120 @@ def verify(pairs: DataFrame, texts: DataFrame, *, shingle: int, percent: int) ->
 
 
 def components(edges: DataFrame, *, max_rounds: int = 60) -> DataFrame:
-    """id and component (the smallest id reachable) of every end of an edge: neighbours' minima and pointer jumps, staged each round."""
-    edges = stage(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    state = stage(edges.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("component")), "components")
+    """id and component (the smallest id reachable) of every end of an edge.
+
+    Each round gives every node the smallest label around it, then the label of that label; rounds are staged.
+    """
+    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    near = stage(both.distinct(), "edges")
+    state = stage(near.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("component")), "components")
     for _ in range(max_rounds):
-        near = edges.join(state.select(F.col("id").alias("b"), F.col("component").alias("c")), "b").groupBy(F.col("a").alias("id")).agg(F.min("c").alias("m"))
-        hooked = state.join(near, "id").select("id", "component", F.least("component", "m").alias("m"))
-        jump = state.select(F.col("id").alias("m"), F.col("component").alias("up"))
-        after = stage(hooked.join(jump, "m", "left").select("id", F.least("m", F.coalesce("up", "m")).alias("component"), (F.least("m", F.coalesce("up", "m")) < F.col("component")).alias("moved")), "components")
+        hooked = near.join(state.select(F.col("id").alias("b"), F.col("component").alias("c")), "b").groupBy(F.col("a").alias("id")).agg(F.min("c").alias("m"))
+        up = state.select(F.col("id").alias("m"), F.col("component").alias("up"))
+        was = state.withColumnRenamed("component", "was")
+        after = stage(hooked.join(was, "id").join(up, "m").select("id", F.least("was", "m", "up").alias("component"), "was"), "components")
         state = after.select("id", "component")
-        if not after.filter("moved").head(1):
+        if not after.filter("component < was").head(1):
             return state
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 
-def near_duplicates(documents: DataFrame, *, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", pivot_rounds: int = 3, max_broadcast_ids: int = 1_000_000) -> DataFrame:
+def near_duplicates(documents: DataFrame, *, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", pairs_per_key: int = 20, max_pivot_rounds: int = 6, max_broadcast_ids: int = 1_000_000) -> DataFrame:
     """doc_id, n_shingles, component_id and kept, one row per document.
 
-    ``max_broadcast_ids`` bounds the ids (8 bytes each) that are broadcast to fetch candidate texts; with more
-    candidates than that, texts are fetched by a shuffled join.
+    Pivot rounds go on while they find links and more than ``pairs_per_key`` pairs a key are apart (and for
+    ``max_pivot_rounds`` at most); the pair-by-pair step then covers whatever is apart, so both bounds change the
+    amount of work and not the result. ``max_broadcast_ids`` bounds the ids (8 bytes each) that are broadcast to fetch
+    candidate texts; with more candidates than that, texts are fetched by a shuffled join.
     """
     found = stage(signatures(documents, shingle=shingle, id_col=id_col, text_col=text_col), "signatures")
     shingled = found.filter("n_shingles > 0")
     classes = stage(shingled.groupBy("set_a", "set_b", "n_shingles").agg(F.min(F.struct("id", "signature")).alias("x")).select("set_a", "set_b", "n_shingles", "x.*"), "classes")
-    keyed = classes.select("id", F.explode(keys()).alias("key"))
+    keyed = classes.select("id", F.col("n_shingles").alias("n"), "signature", F.explode(keys()).alias("key"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1").select("key")
     multi = stage(keyed.join(shared, "key"), "keys")
     nodes = stage(multi.select("id").distinct(), "nodes")
     docs = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     wanted = F.broadcast(nodes) if nodes.count() <= max_broadcast_ids else nodes
     texts = stage(docs.join(wanted, "id", "left_semi"), "texts")
-    facts = stage(classes.select("id", F.col("n_shingles").alias("n"), "signature").join(nodes, "id", "left_semi"), "facts")
-
-    def side(x: str) -> DataFrame:
-        return facts.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("signature").alias(f"s_{x}"))
-
-    edges = None
-    state = nodes.select("id", F.col("id").alias("component"))
-    for k in range(pivot_rounds):
-        held = multi.join(state, "id")
-        pivots = held.groupBy("key").agg(F.min(F.struct(F.xxhash64("id", F.lit(k)) if k else F.lit(0).cast("long"), "id", "component")).alias("x"), F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 <> c1").select("key", F.col("x.id").alias("b"), F.col("x.component").alias("c_b"))
-        pairs = held.join(pivots, "key").filter("component <> c_b").select(F.col("id").alias("a"), "b").distinct()
-        pairs = pairs.join(side("a"), "a").join(side("b"), "b").filter(_sizes_allow("n_a", "n_b", percent) & (_distance("s_a", "s_b") <= MAX_CHECKED)).select("a", "b")
-        links = stage(verify(pairs, texts, shingle=shingle, percent=percent), "links")
-        if not links.head(1):
-            continue
-        edges = links if edges is None else edges.unionByName(links)
-        linked = components(edges)
-        state = nodes.join(linked, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
-    held = multi.join(state, "id")
-    apart = held.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 <> c1").select("key")
-    open_keys = held.join(apart, "key", "left_semi").join(facts, "id")
-    x, y = (open_keys.select(F.col("key").alias(f"key_{z}"), F.col("id").alias(z), F.col("component").alias(f"c_{z}"), F.col("n").alias(f"n_{z}"), F.col("signature").alias(f"s_{z}")) for z in ("a", "b"))
-    pairs = x.join(y, (F.col("key_a") == F.col("key_b")) & (F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b")) & _sizes_allow("n_a", "n_b", percent) & (_distance("s_a", "s_b") <= MAX_CHECKED)).select("a", "b").distinct()
-    links = stage(verify(pairs, texts, shingle=shingle, percent=percent), "links")
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        near = pairs.filter(_may_link(percent) & (_distance("signature", "s_b") <= MAX_CHECKED))
+        return stage(verify(near.select(F.col("id").alias("a"), F.col("id_b").alias("b")).distinct(), texts, shingle=shingle, percent=percent), "links")
+
+    state, held, own_shingles = None, multi.select("*", F.col("n").alias("c"), F.col("id").alias("component")), None
+    for k in range(max_pivot_rounds):
+        # the pivot of a key: at first its smallest id, then the member with the smallest share of shingles of its own
+        rank = F.lit(0.0) if own_shingles is None else 1 - F.col("c") / F.col("n")
+        pivots = held.groupBy("key").agg(F.min(F.struct(rank.alias("rank"), "id", "n", "c", "signature", "component")).alias("x"))
+        pivots = pivots.select("key", F.col("x.id").alias("id_b"), F.col("x.n").alias("n_b"), F.col("x.c").alias("c_b"), F.col("x.signature").alias("s_b"), F.col("x.component").alias("p_b"))
+        links = linked(held.join(pivots, "key").filter(F.col("component") != F.col("p_b")))
+        found_any = bool(links.head(1))
+        if found_any:
+            state = _joined(state, links)
+            held = _relabelled(held, state)
+        elif k:
+            break
+        if own_shingles is None:
+            held = stage(_still_apart(held), "held")
+            own_shingles = stage(own_counts(texts.join(held.select("id").distinct(), "id", "left_semi"), shingle), "own")
+            # a link needs percent of a document's shingles in other documents, so the rest can have none
+            held = held.join(own_shingles, "id", "left").withColumn("c", F.col("n") - F.coalesce("alone", F.lit(0))).drop("alone").filter(100 * F.col("c") >= percent * F.col("n"))
+        held = stage(_still_apart(held), "held")
+        n_keys, n_pairs = held.groupBy("key").agg(F.count("*").alias("m")).agg(F.count("*"), F.coalesce(F.sum(F.col("m") * (F.col("m") - 1) / 2), F.lit(0.0))).first()
+        if n_pairs <= pairs_per_key * n_keys:
+            break
+    other = held.select("key", F.col("id").alias("id_b"), F.col("n").alias("n_b"), F.col("c").alias("c_b"), F.col("signature").alias("s_b"), F.col("component").alias("p_b"))
+    links = linked(held.join(other, "key").filter((F.col("id") < F.col("id_b")) & (F.col("component") != F.col("p_b"))))
     if links.head(1):
-        edges = links if edges is None else edges.unionByName(links)
+        state = _joined(state, links)
     by_class = classes.select("set_a", "set_b", "n_shingles", "id")
-    if edges is not None:
-        by_class = by_class.join(components(edges), "id", "left")
-    else:
-        by_class = by_class.withColumn("component", F.col("id"))
+    by_class = by_class.join(state, "id", "left") if state is not None else by_class.withColumn("component", F.col("id"))
     by_class = by_class.select("set_a", "set_b", "n_shingles", F.coalesce("component", "id").alias("component"))
     out = found.select("id", "n_shingles", "set_a", "set_b").join(by_class, ["set_a", "set_b", "n_shingles"], "left")
     component = F.coalesce("component", "id")
     return out.select(F.col("id").alias("doc_id"), "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("id")).alias("kept"))
 
 
+def own_counts(texts: DataFrame, shingle: int) -> DataFrame:
+    """id and alone: how many of a document's distinct shingles no other of these documents has (no row where there are none)."""
+    kind = texts.schema["id"].dataType.simpleString()
+
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for c in spans.chunks(batch.column(1), 1 << 19):
+                h, doc = shingle_hashes(c, shingle)
+                first = np.unique(spans.mix(h + doc.astype(np.uint64) * _DOC), return_index=True)[1]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(c.lo, c.n).take(pa.array(doc[first])), pa.array(h[first].view(np.int64))], ["id", "h"])
+
+    each = texts.select("id", "text").mapInArrow(explode, f"id {kind}, h long")
+    by_shingle = each.groupBy("h").agg(F.min("id").alias("id"), F.max("id").alias("other"))
+    return by_shingle.filter("id = other").groupBy("id").agg(F.count("*").alias("alone"))
+
+
+def _may_link(percent: int) -> Column:
+    """False where sizes, or shingles that no other document has, rule a link between (n, c) and (n_b, c_b) out."""
+    both = F.least("c", "c_b")
+    return _sizes_allow("n", "n_b", percent) & (100 * both >= percent * (F.col("n") + F.col("n_b") - both))
+
+
+def _relabelled(held: DataFrame, state: DataFrame) -> DataFrame:
+    return held.drop("component").join(state, "id", "left").withColumn("component", F.coalesce("component", "id"))
+
+
+def _still_apart(held: DataFrame) -> DataFrame:
+    """The rows of keys that have members in more than one component."""
+    apart = held.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 <> c1").select("key")
+    return held.join(apart, "key", "left_semi")
+
+
+def _joined(state: DataFrame | None, links: DataFrame) -> DataFrame:
+    """The components after more links: those links, and one edge from each member to its component so far."""
+    if state is None:
+        return components(links)
+    return components(links.unionByName(state.select(F.col("id").alias("a"), F.col("component").alias("b")).filter("a <> b")))
+
+
 def drop_near_duplicates(documents: DataFrame, *, id_col: str = "doc_id", max_broadcast_ids: int = 1_000_000, **how) -> DataFrame:
     """The documents, all columns as they are, without those that another document of their group stands for."""
     gone = stage(near_duplicates(documents, id_col=id_col, max_broadcast_ids=max_broadcast_ids, **how).filter(~F.col("kept")).select(F.col("doc_id").alias(id_col)).distinct(), "dropped")
