@@ -258,9 +258,17 @@ def _joined(state: DataFrame | None, links: DataFrame) -> DataFrame:
 
 
 def drop_near_duplicates(documents: DataFrame, *, id_col: str = "doc_id", max_broadcast_ids: int = 1_000_000, **how) -> DataFrame:
-    """The documents, all columns as they are, without those that another document of their group stands for."""
-    gone = stage(near_duplicates(documents, id_col=id_col, max_broadcast_ids=max_broadcast_ids, **how).filter(~F.col("kept")).select(F.col("doc_id").alias(id_col)).distinct(), "dropped")
-    return documents.join(F.broadcast(gone) if gone.count() <= max_broadcast_ids else gone, id_col, "left_anti")
+    """The documents, all columns as they are, without those that another document of their group stands for.
+
+    Of rows with one id, which is one document, one stays.
+    """
+    verdicts = stage(near_duplicates(documents, id_col=id_col, max_broadcast_ids=max_broadcast_ids, **how).select(F.col("doc_id").alias(id_col), "kept"), "verdicts")
+    gone = verdicts.filter(~F.col("kept")).select(id_col).distinct()
+    out = documents.join(F.broadcast(gone) if gone.count() <= max_broadcast_ids else gone, id_col, "left_anti").select(documents.columns)
+    repeated = verdicts.filter("kept").groupBy(id_col).agg(F.count("*").alias("rows")).filter("rows > 1").select(id_col)
+    if not repeated.head(1):
+        return out
+    return out.join(repeated, id_col, "left_anti").select(documents.columns).unionByName(out.join(repeated, id_col, "left_semi").dropDuplicates([id_col]).select(documents.columns))
 
 
 def brute_force(documents: list[tuple], shingle: int, percent: int) -> list[tuple]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language_id, near_dedup, packing, pii, quality, quality_rules, toxicity
+from . import decontaminate, language_id, license_scan, near_dedup, packing, pii, quality, quality_rules, toxicity, url_filter
 from .common import table
 
 
@@ -44,6 +44,15 @@ def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, percent=85)
 
 
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return license_scan.scan(docs, license_scan.train(docs))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     vectors = quality.unit_rows(quality.context_sums(docs))
@@ -56,7 +65,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES = {"op1_pii": op1_pii, "op2_language_id": op2_language_id, "op3_toxicity": op3_toxicity, "op4_near_dedup": op4_near_dedup, "op9_quality": op9_quality, "op10_quality_rules": op10_quality_rules, "op7_decontamination": op7_decontamination, "op8_packing": op8_packing}
+QUERIES = {"op1_pii": op1_pii, "op2_language_id": op2_language_id, "op3_toxicity": op3_toxicity, "op4_near_dedup": op4_near_dedup, "op5_url_filter": op5_url_filter, "op6_license_scan": op6_license_scan, "op9_quality": op9_quality, "op10_quality_rules": op10_quality_rules, "op7_decontamination": op7_decontamination, "op8_packing": op8_packing}
 
 SQL: dict[str, str] = {
     "op7_decontamination": r"""
