@@ -202,7 +202,10 @@ def _named(spans: Column) -> Column:
 
 
 def digest(found: DataFrame) -> DataFrame:
-    counts = [F.size(F.filter("spans", lambda s, k=k: s.getField("base") & (s.getField("kind") == k))).cast("long").alias(f"n_{k}") for k in BASE]
+    def count(kind: str) -> Column:
+        return F.size(F.filter("spans", lambda s: s.getField("base") & (s.getField("kind") == kind))).cast("long")
+
+    counts = [count(k).alias(f"n_{k}") for k in BASE]
     return found.select("doc_id", *counts, F.sha2(_named(F.filter("spans", lambda s: s.getField("base"))).cast("binary"), 256).alias("base_sha256"), _named(F.col("spans")).alias("spans"))
 
 
