@@ -8,9 +8,9 @@ some key. Pairs that meet are verified on the full sets.
 
 Copies with equal sets are one class with one representative. Under each key, representatives are first compared with
 one pivot, in as many rounds (another pivot each time) as pay off; what then still lies in different components under
-one key is compared pair by pair, unless the signatures differ in more than 16 symbols or a link is ruled out by set sizes or by
-the number of shingles that no other document has (two sets can't share those). So a group of near copies costs about
-one comparison a member, and no link that joins two components is left out.
+one key is compared pair by pair, unless the signatures differ in more than 16 symbols or a link is ruled out by set sizes, by the
+number of shingles that no other document has (two sets can't share those), or by what both share with their pivot. So
+a group of near copies costs about one comparison a member, and no link that joins two components is left out.
 
 Defined results: null, empty and word-less texts have no shingles and stand alone; a text with fewer words than a
 shingle is one shingle; ids identify documents, so repeated rows of one id share its component; empty tables give no
@@ -117,29 +117,51 @@ def _sizes_allow(a: str, b: str, percent: int) -> Column:
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
-def verify(pairs: DataFrame, texts: DataFrame, *, shingle: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
-    full = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
+def _sets(column: pa.Array, shingle: int) -> Iterator[np.ndarray]:
+    """Each text's distinct shingle hashes, sorted."""
+    for c in spans.chunks(column):
+        h, doc = shingle_hashes(c, shingle)
+        at = np.searchsorted(doc, np.arange(c.n + 1))
+        for i in range(c.n):
+            yield np.unique(h[at[i] : at[i + 1]])
+
+
+def _with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    a, b = (texts.select(F.col("id").alias(x), F.col("text").alias(f"text_{x}")) for x in ("a", "b"))
+    return pairs.select("a", "b").join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b")
 
-    def sets(column: pa.Array) -> Iterator[np.ndarray]:
-        for c in spans.chunks(column):
-            h, doc = shingle_hashes(c, shingle)
-            at = np.searchsorted(doc, np.arange(c.n + 1))
-            for i in range(c.n):
-                yield np.unique(h[at[i] : at[i + 1]])
+
+def verify(pairs: DataFrame, texts: DataFrame, *, shingle: int, percent: int) -> DataFrame:
+    """a, b, both (size of the intersection of their full sets) and linked (100 * intersection >= percent * union)."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 1024):
                 part = batch.slice(lo, 1024)
-                keep = []
-                for x, y in zip(sets(part.column(2)), sets(part.column(3))):
+                shared, keep = [], []
+                for x, y in zip(_sets(part.column(2), shingle), _sets(part.column(3), shingle)):
                     both = len(np.intersect1d(x, y, assume_unique=True))
+                    shared.append(both)
                     keep.append(both > 0 and 100 * both >= percent * (len(x) + len(y) - both))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(shared, pa.int64()), pa.array(keep, pa.bool_())], ["a", "b", "both", "linked"])
+
+    kind = pairs.schema["a"].dataType.simpleString()
+    return _with_texts(pairs, texts).mapInArrow(check, f"a {kind}, b {kind}, both long, linked boolean")
+
+
+def own_beside(pairs: DataFrame, texts: DataFrame, *, shingle: int) -> DataFrame:
+    """a, b and h: the shingles of a that b doesn't have."""
+
+    def left(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 256):
+                part = batch.slice(lo, 256)
+                found = [np.setdiff1d(x, y, assume_unique=True) for x, y in zip(_sets(part.column(2), shingle), _sets(part.column(3), shingle))]
+                row = pa.array(np.repeat(np.arange(len(found)), [len(x) for x in found]))
+                yield pa.RecordBatch.from_arrays([part.column(0).take(row), part.column(1).take(row), pa.array(np.concatenate(found).view(np.int64) if found else np.empty(0, np.int64))], ["a", "b", "h"])
 
     kind = pairs.schema["a"].dataType.simpleString()
-    return full.mapInArrow(check, f"a {kind}, b {kind}")
+    return _with_texts(pairs, texts).mapInArrow(left, f"a {kind}, b {kind}, h long")
 
 
 def components(edges: DataFrame, *, max_rounds: int = 60) -> DataFrame:
@@ -180,34 +202,51 @@ def near_duplicates(documents: DataFrame, *, shingle: int = 5, percent: int = 80
     wanted = F.broadcast(nodes) if nodes.count() <= max_broadcast_ids else nodes
     texts = stage(docs.join(wanted, "id", "left_semi"), "texts")
 
-    def linked(pairs: DataFrame) -> DataFrame:
-        near = pairs.filter(_may_link(percent) & (_distance("signature", "s_b") <= MAX_CHECKED))
-        return stage(verify(near.select(F.col("id").alias("a"), F.col("id_b").alias("b")).distinct(), texts, shingle=shingle, percent=percent), "links")
+    def checked(pairs: DataFrame) -> DataFrame:
+        near = pairs.select(F.col("id").alias("a"), F.col("id_b").alias("b")).distinct()
+        return stage(verify(near, texts, shingle=shingle, percent=percent), "links")
 
-    state, held, own_shingles = None, multi.select("*", F.col("n").alias("c"), F.col("id").alias("component")), None
+    near = _distance("signature", "s_b") <= MAX_CHECKED
+    kind = found.schema["id"].dataType
+    # c: shingles that another document has as well; hub: the pivot that a document shares most shingles with, h of them
+    held = multi.select("*", F.col("n").alias("c"), F.lit(None).cast(kind).alias("hub"), F.lit(None).cast("long").alias("h"), F.col("id").alias("component"))
+    state, open_ids, beside = None, None, None
     for k in range(max_pivot_rounds):
         # the pivot of a key: at first its smallest id, then the member with the smallest share of shingles of its own
-        rank = F.lit(0.0) if own_shingles is None else 1 - F.col("c") / F.col("n")
-        pivots = held.groupBy("key").agg(F.min(F.struct(rank.alias("rank"), "id", "n", "c", "signature", "component")).alias("x"))
-        pivots = pivots.select("key", F.col("x.id").alias("id_b"), F.col("x.n").alias("n_b"), F.col("x.c").alias("c_b"), F.col("x.signature").alias("s_b"), F.col("x.component").alias("p_b"))
-        links = linked(held.join(pivots, "key").filter(F.col("component") != F.col("p_b")))
-        found_any = bool(links.head(1))
-        if found_any:
+        rank = 1 - F.col("c") / F.col("n") if k else F.lit(0.0)
+        pivots = held.groupBy("key").agg(F.min(F.struct(rank.alias("rank"), "id", "n", "c", "hub", "h", "signature", "component")).alias("x"))
+        pivots = pivots.select("key", *(F.col(f"x.{a}").alias(b) for a, b in _OTHER.items()))
+        pairs = checked(held.join(pivots, "key").filter((F.col("component") != F.col("component_b")) & _may_link(percent) & near))
+        links = pairs.filter("linked").select("a", "b")
+        if links.head(1):
             state = _joined(state, links)
             held = _relabelled(held, state)
         elif k:
             break
-        if own_shingles is None:
-            held = stage(_still_apart(held), "held")
-            own_shingles = stage(own_counts(texts.join(held.select("id").distinct(), "id", "left_semi"), shingle), "own")
-            # a link needs percent of a document's shingles in other documents, so the rest can have none
-            held = held.join(own_shingles, "id", "left").withColumn("c", F.col("n") - F.coalesce("alone", F.lit(0))).drop("alone").filter(100 * F.col("c") >= percent * F.col("n"))
         held = stage(_still_apart(held), "held")
+        if not k:
+            open_ids = stage(held.select("id", "n").distinct(), "open")
+            hubs = pairs.groupBy(F.col("a").alias("id")).agg(F.max(F.struct("both", "b")).alias("x")).select("id", F.col("x.b").alias("hub"), F.col("x.both").alias("h"))
+            hubs = stage(open_ids.join(hubs, "id", "left").join(pairs.select(F.col("b").alias("id"), F.lit(True).alias("is_hub")).distinct(), "id", "left").select("id", F.when(F.col("is_hub"), F.col("id")).otherwise(F.col("hub")).alias("hub"), F.when(F.col("is_hub"), F.col("n")).otherwise(F.col("h")).alias("h")), "hubs")
+            alone = own_counts(texts.join(open_ids, "id", "left_semi"), shingle)
+            beside = own_beside(hubs.filter("hub <> id").select(F.col("id").alias("a"), F.col("hub").alias("b")), texts, shingle=shingle)
+            # a link needs percent of a document's shingles in other documents, so the rest can have none
+            held = held.drop("c", "hub", "h").join(alone, "id", "left").withColumn("c", F.col("n") - F.coalesce("alone", F.lit(0))).drop("alone").filter(100 * F.col("c") >= percent * F.col("n")).join(hubs, "id", "left")
+            held = stage(_still_apart(held), "held")
         n_keys, n_pairs = held.groupBy("key").agg(F.count("*").alias("m")).agg(F.count("*"), F.coalesce(F.sum(F.col("m") * (F.col("m") - 1) / 2), F.lit(0.0))).first()
         if n_pairs <= pairs_per_key * n_keys:
             break
-    other = held.select("key", F.col("id").alias("id_b"), F.col("n").alias("n_b"), F.col("c").alias("c_b"), F.col("signature").alias("s_b"), F.col("component").alias("p_b"))
-    links = linked(held.join(other, "key").filter((F.col("id") < F.col("id_b")) & (F.col("component") != F.col("p_b"))))
+
+    def apart(rows: DataFrame, allowed: Column) -> DataFrame:
+        other = rows.select("key", *(F.col(a).alias(b) for a, b in _OTHER.items()))
+        return rows.join(other, "key").filter((F.col("id") < F.col("id_b")) & (F.col("component") != F.col("component_b")) & allowed).select("id", "id_b")
+
+    pairs = apart(held, _may_link(percent) & near)
+    # what the bound by hubs leaves out: documents of one hub that share a shingle which the hub doesn't have
+    more = beside.select(F.col("a").alias("id"), F.xxhash64("b", "h").alias("key"))
+    more = more.join(more.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1").select("key"), "key", "left_semi")
+    more = more.join(held.drop("key").dropDuplicates(["id"]), "id")
+    links = checked(pairs.unionByName(apart(more, _may_link(percent, by_hub=False) & near))).filter("linked").select("a", "b")
     if links.head(1):
         state = _joined(state, links)
     by_class = classes.select("set_a", "set_b", "n_shingles", "id")
@@ -234,9 +273,18 @@ def own_counts(texts: DataFrame, shingle: int) -> DataFrame:
     return by_shingle.filter("id = other").groupBy("id").agg(F.count("*").alias("alone"))
 
 
-def _may_link(percent: int) -> Column:
-    """False where sizes, or shingles that no other document has, rule a link between (n, c) and (n_b, c_b) out."""
+_OTHER = {c: f"{c}_b" for c in ("id", "n", "c", "hub", "h", "component")} | {"signature": "s_b"}
+
+
+def _may_link(percent: int, by_hub: bool = True) -> Column:
+    """False where the most that two sets can share is too little for a link.
+
+    They share at most what each shares with other documents. If both were compared with one hub and share no shingle
+    beside it, they share at most what each has in common with that hub; pairs that do share one are found separately.
+    """
     both = F.least("c", "c_b")
+    if by_hub:
+        both = F.when(F.col("hub") == F.col("hub_b"), F.least("h", "h_b")).otherwise(both)
     return _sizes_allow("n", "n_b", percent) & (100 * both >= percent * (F.col("n") + F.col("n_b") - both))
 
 
