@@ -227,7 +227,7 @@ def near_duplicates(documents: DataFrame, *, shingle: int = 5, percent: int = 80
         if not k:
             open_ids = stage(held.select("id", "n").distinct(), "open")
             hubs = pairs.groupBy(F.col("a").alias("id")).agg(F.max(F.struct("both", "b")).alias("x")).select("id", F.col("x.b").alias("hub"), F.col("x.both").alias("h"))
-            hubs = stage(open_ids.join(hubs, "id", "left").join(pairs.select(F.col("b").alias("id"), F.lit(True).alias("is_hub")).distinct(), "id", "left").select("id", F.when(F.col("is_hub"), F.col("id")).otherwise(F.col("hub")).alias("hub"), F.when(F.col("is_hub"), F.col("n")).otherwise(F.col("h")).alias("h")), "hubs")
+            hubs = stage(open_ids.join(hubs, "id", "left").join(pairs.select(F.col("b").alias("id"), F.lit(True).alias("is_hub")).distinct(), "id", "left").select("id", F.coalesce("hub", F.when(F.col("is_hub"), F.col("id"))).alias("hub"), F.coalesce("h", F.when(F.col("is_hub"), F.col("n"))).alias("h")), "hubs")
             alone = own_counts(texts.join(open_ids, "id", "left_semi"), shingle)
             beside = own_beside(hubs.filter("hub <> id").select(F.col("id").alias("a"), F.col("hub").alias("b")), texts, shingle=shingle)
             # a link needs percent of a document's shingles in other documents, so the rest can have none
