@@ -30,3 +30,11 @@ def ship(spark: SparkSession) -> SparkSession:
         spark.sparkContext.addPyFile(target)
         _shipped.add(app)
     return spark
+
+
+def shared_checkpoints(spark: SparkSession) -> str:
+    """The folder of ``checkpoint()``: the one the cluster names, or a new local one where none is named."""
+    context = spark.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-shared-"))
+    return context.getCheckpointDir()
