@@ -92,17 +92,27 @@ def signatures(documents: DataFrame, *, shingle: int = 5, id_col: str = "doc_id"
     return docs.mapInArrow(scan, f"id {docs.schema['id'].dataType.simpleString()}, n_shingles long, set_a long, set_b long, signature binary")
 
 
-def keys(signature: str = "signature") -> Column:
-    """One key for each chunk of the signature and each symbol left out of it."""
+def _variants(signature: str) -> list[Column]:
+    """The parts of a signature that make its keys: each chunk without one of its symbols."""
     out, at = [], 0
-    for chunk, size in enumerate(CHUNKS):
+    for size in CHUNKS:
         for gone in range(size):
             start = 1 + SYMBOL_BYTES * at
             before = F.substring(signature, start, SYMBOL_BYTES * gone)
             after = F.substring(signature, start + SYMBOL_BYTES * (gone + 1), SYMBOL_BYTES * (size - gone - 1))
-            out.append(F.xxhash64(F.lit(chunk * 8 + gone), F.concat(before, after)))
+            out.append(F.concat(before, after))
         at += size
-    return F.array(*out)
+    return out
+
+
+def keys(signature: str = "signature") -> Column:
+    """One key for each chunk of the signature and each symbol left out of it."""
+    return F.array(*(F.xxhash64(F.lit(k), v) for k, v in enumerate(_variants(signature))))
+
+
+def _first_common(a: str, b: str) -> Column:
+    """The place of the first key that two signatures share; a pair that meets under many keys is taken there alone."""
+    return F.coalesce(*(F.when(x == y, k) for k, (x, y) in enumerate(zip(_variants(a), _variants(b)))))
 
 
 def _distance(a: str, b: str) -> Column:
@@ -194,7 +204,7 @@ def near_duplicates(documents: DataFrame, *, shingle: int = 5, percent: int = 80
     found = stage(signatures(documents, shingle=shingle, id_col=id_col, text_col=text_col), "signatures")
     shingled = found.filter("n_shingles > 0")
     classes = stage(shingled.groupBy("set_a", "set_b", "n_shingles").agg(F.min(F.struct("id", "signature")).alias("x")).select("set_a", "set_b", "n_shingles", "x.*"), "classes")
-    keyed = classes.select("id", F.col("n_shingles").alias("n"), "signature", F.explode(keys()).alias("key"))
+    keyed = classes.select("id", F.col("n_shingles").alias("n"), "signature", F.posexplode(keys()).alias("place", "key"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1").select("key")
     multi = stage(keyed.join(shared, "key"), "keys")
     nodes = stage(multi.select("id").distinct(), "nodes")
@@ -241,11 +251,11 @@ def near_duplicates(documents: DataFrame, *, shingle: int = 5, percent: int = 80
         other = rows.select("key", *(F.col(a).alias(b) for a, b in _OTHER.items()))
         return rows.join(other, "key").filter((F.col("id") < F.col("id_b")) & (F.col("component") != F.col("component_b")) & allowed).select("id", "id_b")
 
-    pairs = apart(held, _may_link(percent) & near)
+    pairs = apart(held, _may_link(percent) & near & (F.col("place") == _first_common("signature", "s_b")))
     # what the bound by hubs leaves out: documents of one hub that share a shingle which the hub doesn't have
     more = beside.select(F.col("a").alias("id"), F.xxhash64("b", "h").alias("key"))
     more = more.join(more.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1").select("key"), "key", "left_semi")
-    more = more.join(held.drop("key").dropDuplicates(["id"]), "id")
+    more = more.join(held.drop("key", "place").dropDuplicates(["id"]), "id")
     links = checked(pairs.unionByName(apart(more, _may_link(percent, by_hub=False) & near))).filter("linked").select("a", "b")
     if links.head(1):
         state = _joined(state, links)
