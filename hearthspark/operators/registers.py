@@ -20,13 +20,13 @@ def tenders(releases: DataFrame, *, column: str = "json", base_url: str = "") ->
     r = releases.withColumn("r", F.from_json(column, RELEASE))
     party = lambda i: F.get(F.filter("r.parties", lambda p: p.getField("id") == i), F.lit(0))
     awarded = F.get(F.filter("r.awards", lambda a: a.getField("value").getField("amount").isNotNull()), F.lit(0))
-    flat = F.flatten(F.transform("r.awards", lambda a: a.getField("suppliers")))
+    flat = F.flatten(F.filter(F.transform("r.awards", lambda a: a.getField("suppliers")), lambda x: x.isNotNull()))
     key = lambda s: F.coalesce(s.getField("id"), s.getField("name"))
     keys = F.array_distinct(F.transform(flat, key))
     suppliers = F.transform(keys, lambda k: F.get(F.filter(flat, lambda s: key(s) == k), F.lit(0)))
     main = F.when(F.col("r.tender.classification.id").isNotNull(), F.array("r.tender.classification")).otherwise(F.array().cast("array<struct<scheme:string,id:string>>"))
     codes = F.transform(F.concat(main, F.coalesce("r.tender.additionalClassifications", F.array().cast("array<struct<scheme:string,id:string>>"))), lambda c: F.struct(F.upper(F.coalesce(c.getField("scheme"), F.lit("CPV"))).alias("scheme"), c.getField("id").alias("id")))
-    places = F.flatten(F.transform("r.tender.items", lambda i: i.getField("deliveryAddresses")))
+    places = F.flatten(F.filter(F.transform("r.tender.items", lambda i: i.getField("deliveryAddresses")), lambda x: x.isNotNull()))
     region = F.get(F.filter(F.transform(places, lambda a: a.getField("region")), lambda x: x.isNotNull()), F.lit(0))
     url = lambda ok: F.get(F.filter("r.tender.documents", ok), F.lit(0)).getField("url")
     return r.select(
