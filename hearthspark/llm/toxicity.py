@@ -27,9 +27,9 @@ from pyspark.sql import functions as F
 from . import spans
 from .common import fold, labelled_sample
 
-WORD_BITS, STEM_BITS, STEM_BYTES = 17, 13, 4
+WORD_BITS, STEM_BITS, STEM_BYTES = 19, 15, 4
 _WORDS, _STEMS = 1 << WORD_BITS, 1 << STEM_BITS
-MARGIN = 1.0
+MARGIN = 1.8
 #: Segments with a smaller expected number of chance occurrences in their text are significant.
 E_VALUE = 0.05
 
@@ -105,7 +105,10 @@ class Model:
 
 
 def class_counts(sample: DataFrame) -> DataFrame:
-    """slot, clean, toxic: words of each class by word slot (from 0) and stem slot (from 2**WORD_BITS), summed over partitions."""
+    """slot, clean, toxic: texts of each class that have the word slot (from 0) or stem slot (from 2**WORD_BITS), summed over partitions.
+
+    Texts and not occurrences are counted, so that one text that repeats a word a hundred times doesn't mark it.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((2, _WORDS + _STEMS), np.int64)
@@ -113,9 +116,12 @@ def class_counts(sample: DataFrame) -> DataFrame:
             labels = np.array(batch.column(1).to_pylist(), int)
             for c in spans.chunks(batch.column(0)):
                 word, stem, _, _, at = slots(c)
-                y = np.repeat(labels[c.lo : c.lo + c.n], np.diff(at)) == 1
+                doc = np.repeat(np.arange(c.n), np.diff(at))
+                size = total.shape[1]
+                held = np.unique(np.concatenate([doc * size + word, doc * size + _WORDS + stem]))
+                y = labels[c.lo + held // size] == 1
                 for k, of in ((0, ~y), (1, y)):
-                    total[k] += np.bincount(np.concatenate([word[of], _WORDS + stem[of]]), minlength=total.shape[1])
+                    total[k] += np.bincount(held[of] % size, minlength=size)
         slot = np.flatnonzero(total.any(0))
         yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(total[0, slot]), pa.array(total[1, slot])], ["slot", "clean", "toxic"])
 
