@@ -129,7 +129,7 @@ def class_counts(sample: DataFrame) -> DataFrame:
     return part.groupBy("slot").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
 
 
-def log_odds(clean: np.ndarray, toxic: np.ndarray, stem_weight: float = 50.0, word_weight: float = 5.0) -> tuple[np.ndarray, np.ndarray]:
+def log_odds(clean: np.ndarray, toxic: np.ndarray, stem_weight: float = 50.0, word_weight: float = 2.0) -> tuple[np.ndarray, np.ndarray]:
     """Scores by word slot (NaN where the sample has no such word) and by stem slot, margin taken off.
 
     Words don't know their stem here: a word's prior is the class share, unless it is rare; then its stem decides.
@@ -139,7 +139,7 @@ def log_odds(clean: np.ndarray, toxic: np.ndarray, stem_weight: float = 50.0, wo
     p = (toxic + np.where(np.arange(len(toxic)) < _WORDS, word_weight, stem_weight) * share) / (toxic + clean + np.where(np.arange(len(toxic)) < _WORDS, word_weight, stem_weight))
     x = np.log(p / (1 - p)) - base - MARGIN
     words = x[:_WORDS].copy()
-    words[(toxic + clean)[:_WORDS] < 8] = np.nan
+    words[(toxic + clean)[:_WORDS] < 3] = np.nan
     return words, x[_WORDS:]
 
 
