@@ -122,3 +122,40 @@ SELECT f.doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT)
        CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed, NOT base_failed AND NOT b.rejected AS kept
 FROM f JOIN b ON f.source IS NOT DISTINCT FROM b.source""",
 }
+
+
+def _url_sql(depth: int = 4) -> str:
+    """The whole template tree in SQL, one group of common table expressions a level."""
+    order = sorted(url_filter.RULES, key=lambda r: (-len(r.name), r.name))
+    cases = {what: " ".join(f"WHEN (host = '{r.host}' OR ends_with(host, '.{r.host}')) AND starts_with(path, '{r.path}') THEN '{getattr(r, what)}'" for r in order) for what in ("name", "verdict")}
+    levels = "".join(
+        f"""
+a{k} AS (SELECT *, parts[{k + 1}] AS seg FROM t{k - 1}),
+n{k} AS (SELECT host, prefix, seg, sum(n) AS m FROM a{k} WHERE seg IS NOT NULL GROUP BY host, prefix, seg),
+w{k} AS (SELECT host, prefix, sum(m) AS total FROM n{k} GROUP BY host, prefix HAVING count(*) > 30),
+x{k} AS (SELECT host, prefix, seg FROM n{k} JOIN w{k} USING (host, prefix) WHERE m < 0.01 * total),
+t{k} AS (SELECT a.host, a.typed, a.parts, a.n, a.labels, a.blocked, CASE WHEN a.seg IS NULL THEN a.prefix ELSE a.prefix || '/' || CASE WHEN x.seg IS NOT NULL THEN '*' ELSE a.seg END END AS prefix
+  FROM a{k} a LEFT JOIN x{k} x ON a.host = x.host AND a.prefix = x.prefix AND a.seg = x.seg),"""
+        for k in range(1, depth + 1)
+    )
+    return rf"""
+WITH u AS (SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+r AS (SELECT *, CASE {cases["name"]} END AS rule, CASE {cases["verdict"]} END AS label,
+  array_to_string(list_transform(string_split(lower(path), '/'), lambda s: CASE WHEN regexp_matches(s, '^[0-9a-f]{{8,}}$') AND regexp_matches(s, '[0-9]') AND NOT regexp_matches(s, '^[0-9]+$') THEN '<hex>' WHEN length(s) > 40 THEN '<long>' ELSE regexp_replace(s, '[0-9]+', '<n>', 'g') END), '/') AS typed FROM u),
+t0 AS (SELECT host, typed, string_split(typed, '/') AS parts, count(*) AS n, count(label) AS labels, count(*) FILTER (WHERE label = 'block') AS blocked, '' AS prefix FROM r GROUP BY host, typed),{levels}
+f AS (SELECT *, CASE WHEN len(parts) > {depth + 1} THEN prefix || '/' || array_to_string(parts[{depth + 2}:], '/') ELSE prefix END AS template FROM t{depth}),
+g AS (SELECT host, typed, template, n, labels, blocked, coalesce(string_split(template, '/')[2], '') AS branch, coalesce(array_to_string(string_split(template, '/')[3:], '/'), '') AS below FROM f),
+b AS (SELECT host, branch, sum(n) AS n, CASE WHEN sum(labels) > 0 THEN sum(blocked) / sum(labels) END AS rate FROM g GROUP BY host, branch),
+s AS (SELECT g.host, g.branch, below, sum(g.n) / any_value(b.n) AS share FROM g JOIN b ON g.host = b.host AND g.branch = b.branch GROUP BY g.host, g.branch, below),
+c AS (SELECT x.host, x.branch, y.branch AS other FROM s x JOIN s y ON x.host = y.host AND x.below = y.below AND x.branch > y.branch GROUP BY x.host, x.branch, y.branch HAVING sum(least(x.share, y.share)) >= 0.8),
+m AS (SELECT c.host, c.branch, min(c.other) AS into_branch FROM c JOIN b p ON c.host = p.host AND c.branch = p.branch JOIN b q ON c.host = q.host AND c.other = q.branch
+  WHERE (p.rate IS NULL AND q.rate IS NULL) OR abs(p.rate - q.rate) <= 0.2 GROUP BY c.host, c.branch),
+h AS (SELECT g.host, typed, labels, blocked, coalesce(into_branch, g.branch) AS branch, CASE WHEN into_branch IS NULL THEN template ELSE concat_ws('/', '', into_branch, nullif(below, '')) END AS template FROM g LEFT JOIN m ON g.host = m.host AND g.branch = m.branch),
+z AS (SELECT CASE WHEN sum(labels) > 0 THEN (sum(blocked) + 0.5) / (sum(labels) + 1.0) ELSE 0 END AS base FROM h),
+k AS (SELECT host, branch, (sum(blocked) + 5.0 * any_value(base)) / (sum(labels) + 5.0) AS branch_share FROM h, z GROUP BY host, branch),
+l AS (SELECT h.host, h.branch, h.template FROM h JOIN k ON h.host = k.host AND h.branch = k.branch GROUP BY h.host, h.branch, h.template HAVING (sum(blocked) + 5.0 * any_value(branch_share)) / (sum(labels) + 5.0) >= 0.9),
+o AS (SELECT DISTINCT h.host, h.typed FROM h JOIN l ON h.host = l.host AND h.branch = l.branch AND h.template = l.template)
+SELECT page_id, r.host, path, rule, coalesce(label, CASE WHEN o.typed IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict FROM r LEFT JOIN o ON r.host = o.host AND r.typed = o.typed"""
+
+
+SQL["op5_url_filter"] = _url_sql()

@@ -86,6 +86,7 @@ def templates(labelled: DataFrame, *, depth: int = 4, max_branches: int = 30, mi
         tree = tree.join(rare, ["host", "prefix", "segment"], "left")
         token = F.when(F.col("rare"), F.lit("*")).otherwise(F.col("segment"))
         tree = tree.withColumn("prefix", F.when(F.col("segment").isNull(), F.col("prefix")).otherwise(F.concat("prefix", F.lit("/"), token))).drop("segment", "rare")
+        tree = stage(tree, "level")  # each level reads the one before twice, so an unstaged plan would grow as a power of the depth
     rest = F.array_join(F.slice("parts", depth + 2, 1_000_000), "/")
     tree = tree.withColumn("template", F.when(F.size("parts") > depth + 1, F.concat("prefix", F.lit("/"), rest)).otherwise(F.col("prefix")))
     tree = tree.withColumn("branch", F.coalesce(F.get(F.split("template", "/", -1), F.lit(1)), F.lit("")))
