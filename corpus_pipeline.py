@@ -29,8 +29,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Drops documents without letters or without a clear language."""
     ship(spark)
     model = language_id.train(docs.filter(~language_id.held_out()))
-    if not model.labels:  # nothing to learn from, so nothing to reject by
-        return docs
+    if not model.labels:  # nothing to learn from: only texts without letters go
+        return docs.filter(F.col("text").rlike(r"\p{L}"))
     return language_id.keep_identified(docs, model, least=LEAST_LANGUAGE_SCORE)
 
 
