@@ -23,17 +23,17 @@ FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey =
   CASE WHEN l_suppkey % 11 = 0 THEN '' ELSE CAST(CAST(l_shipdate AS DATE) AS STRING) END AS inspection_date,
   CAST(CAST(30 + 2 * l_quantity AS INT) AS STRING) || CASE WHEN l_linenumber % 2 = 0 THEN ' m2' ELSE '' END AS total_floor_area,
   l_returnflag AS current_energy_rating, CAST(CAST(round(100 * (1 - l_discount)) AS INT) AS STRING) AS current_energy_efficiency
-FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey WHERE l_partkey % 20 = 0""",
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey""",
     "targets": f"""SELECT c_custkey AS property_id, {_POSTCODE} AS postcode, CASE WHEN c_custkey % 7 <> 0 THEN substr('DSTFO', CAST(1 + c_custkey % 5 AS INT), 1) END AS property_type FROM customer""",
     "hpi": """SELECT r_name AS region, substr(CAST(CAST(o_orderdate AS DATE) AS STRING), 1, 7) AS month, round(avg(o_totalprice), 4) AS value
 FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
-WHERE o_orderkey % 3 = 0 GROUP BY r_name, substr(CAST(CAST(o_orderdate AS DATE) AS STRING), 1, 7)""",
+GROUP BY r_name, substr(CAST(CAST(o_orderdate AS DATE) AS STRING), 1, 7)""",
     "points": "SELECT c_custkey AS point_id, 50 + CAST((c_custkey * 37) % 8000 AS DOUBLE) / 1000 AS lat, -6 + CAST((c_custkey * 91) % 7500 AS DOUBLE) / 1000 AS lng FROM customer",
     "stops": "SELECT s_suppkey AS stop_id, s_name AS name, 50 + CAST((s_suppkey * 1373) % 8000 AS DOUBLE) / 1000 AS lat, -6 + CAST((s_suppkey * 719) % 7500 AS DOUBLE) / 1000 AS lng, s_nationkey % 7 AS stop_type FROM supplier",
     "zones": "SELECT n_nationkey AS zone_id, n_name AS name, 50 + (n_nationkey % 5) * 1.5 AS lat0, -6 + (n_nationkey / 5) * 1.4 AS lng0 FROM (SELECT CAST(n_nationkey AS INT) AS n_nationkey, n_name FROM nation) z".replace("(n_nationkey / 5)", "floor(n_nationkey / 5)"),
     "crime": "SELECT event_id, CASE event_type WHEN 'error' THEN 'burglary' WHEN 'click' THEN 'violent-crime' WHEN 'purchase' THEN 'robbery' ELSE 'other-' || event_type END AS category, substr(CAST(ts AS STRING), 1, 10) AS day, user_id AS place FROM events",
     "snapshots": "SELECT event_id, user_id AS source_id, ts AS captured_at, CAST(floor(value * 100) AS BIGINT) AS price_pence, event_type AS feature, CASE WHEN event_id % 11 = 0 THEN 'removed' WHEN event_id % 7 = 0 THEN 'under_offer' ELSE 'active' END AS status FROM events",
-    "appointments": "SELECT DISTINCT l_suppkey AS officer, l_partkey AS company, CASE WHEN l_returnflag = 'R' THEN 0 ELSE 1 END AS active FROM lineitem WHERE l_partkey % 5 = 0 AND l_suppkey % 3 = 0",
+    "appointments": "SELECT DISTINCT l_suppkey AS officer, l_partkey AS company, CASE WHEN l_returnflag = 'R' THEN 0 ELSE 1 END AS active FROM lineitem",
     "stock": "SELECT l_suppkey AS branch, CASE WHEN l_linenumber % 3 = 0 THEN 'rent' ELSE 'sale' END AS transaction, CASE l_linenumber % 4 WHEN 0 THEN 'per_week' WHEN 1 THEN 'per_month' WHEN 2 THEN 'per_year' ELSE 'per_day' END AS rent_period, CAST(floor(l_extendedprice * 100) AS BIGINT) AS price_pence FROM lineitem",
     "listing_text": """SELECT p_partkey, '£' || CAST(CAST(floor(p_retailprice) AS INT) AS STRING) || ',000' AS price_text,
   CASE p_partkey % 12 WHEN 0 THEN 'Guide Price' WHEN 1 THEN 'Offers in excess of' WHEN 2 THEN 'Offers in the region of' WHEN 3 THEN 'Offers over' WHEN 4 THEN 'OIEO' WHEN 5 THEN 'OIRO' WHEN 6 THEN 'From' WHEN 7 THEN 'Fixed price'

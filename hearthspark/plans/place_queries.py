@@ -155,7 +155,7 @@ def quantile_valuation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M7: 10, 50 and 90 per cent quantiles, never crossing."""
     frame, _ = models.training_frame(_modelled(spark, sf_dir))
     frame = frame.select("transaction_id", "price", "log_price", "log_floor", "eff", *models.CATEGORIES)
-    return models.predict_quantiles(frame, models.fit_quantiles(frame, rounds=6)).select("transaction_id", "price", "low_gbp", "estimate_gbp", "high_gbp")
+    return models.predict_quantiles(frame, models.fit_quantiles(frame)).select("transaction_id", "price", "low_gbp", "estimate_gbp", "high_gbp")
 
 
 @query()
@@ -250,12 +250,12 @@ def planning_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(with_sql("targets") + """
 , n AS (SELECT *, upper(replace(postcode, ' ', '')) AS pc FROM targets WHERE postcode <> 'N/A')
-SELECT a.property_id, chr(CAST(65 + b.property_id % 8 AS INT)) AS band, b.property_id AS band_property FROM n a JOIN n b ON a.pc = b.pc WHERE left(a.pc, 2) NOT IN ('AB','DD','DG','EH','FK','HS','IV','KA','KW','KY','ML','PA','PH','TD','ZE') AND left(a.pc, 1) <> 'G' AND a.property_id % 10 = 0""")
+SELECT a.property_id, chr(CAST(65 + b.property_id % 8 AS INT)) AS band, b.property_id AS band_property FROM n a JOIN n b ON a.pc = b.pc WHERE left(a.pc, 2) NOT IN ('AB','DD','DG','EH','FK','HS','IV','KA','KW','KY','ML','PA','PH','TD','ZE') AND left(a.pc, 1) <> 'G'""")
 def council_tax_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     """U4, W30."""
     x = view(spark, sf_dir, "targets")
     bands = x.select("property_id", "postcode", F.char((97 + F.col("property_id") % 8).cast("long")).alias("band"))
-    return registers.council_tax(x.filter("property_id % 10 = 0"), bands).select("property_id", "band", "band_property")
+    return registers.council_tax(x, bands).select("property_id", "band", "band_property")
 
 
 # ownership
@@ -263,13 +263,13 @@ def council_tax_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(with_sql("appointments").replace("WITH", "WITH RECURSIVE") + """
 , e AS (SELECT DISTINCT 'officer:' || CAST(officer AS VARCHAR) AS s, 'company:' || CAST(company AS VARCHAR) AS t FROM appointments), n AS (SELECT s AS a, t AS b FROM e UNION ALL SELECT t, s FROM e),
-r AS (SELECT DISTINCT s AS seed, s AS node, 0 AS depth FROM e WHERE s LIKE '%2' UNION SELECT r.seed, n.b, r.depth + 1 FROM r JOIN n ON r.node = n.a WHERE r.depth < 2)
+r AS (SELECT DISTINCT s AS seed, s AS node, 0 AS depth FROM e UNION SELECT r.seed, n.b, r.depth + 1 FROM r JOIN n ON r.node = n.a WHERE r.depth < 2)
 SELECT seed, node, CAST(min(depth) AS INT) AS depth FROM r GROUP BY seed, node""")
 def ownership_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """C2-C4, C7."""
     shared_checkpoints(spark)
     e = ownership.edges(view(spark, sf_dir, "appointments"))
-    return ownership.search(e, e.filter(F.col("source").endswith("2")).select(F.col("source").alias("seed")).distinct(), 2)
+    return ownership.search(e, e.select(F.col("source").alias("seed")).distinct(), 2)
 
 
 @query()
