@@ -13,8 +13,9 @@ number of shingles that no other document has (two sets can't share those), or b
 a group of near copies costs about one comparison a member, and no link that joins two components is left out.
 
 Defined results: null, empty and word-less texts have no shingles and stand alone; a text with fewer words than a
-shingle is one shingle; ids identify documents, so repeated rows of one id share its component; empty tables give no
-rows; other columns are never read.
+shingle is one shingle; ids identify documents, so repeated rows of one id share its component; rows without an id get
+the component of the documents with an equal set and aren't kept beside them, and without such documents they stand
+alone, kept, with a null component; empty tables give no rows; other columns are never read.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from . import spans
 from .common import stage
@@ -203,7 +205,8 @@ def near_duplicates(documents: DataFrame, *, shingle: int = 5, percent: int = 80
     """
     found = stage(signatures(documents, shingle=shingle, id_col=id_col, text_col=text_col), "signatures")
     shingled = found.filter("n_shingles > 0")
-    classes = stage(shingled.groupBy("set_a", "set_b", "n_shingles").agg(F.min(F.struct("id", "signature")).alias("x")).select("set_a", "set_b", "n_shingles", "x.*"), "classes")
+    # rows without an id are members that never represent, so that no key or candidate is lost in joins on ids
+    classes = stage(shingled.filter("id IS NOT NULL").groupBy("set_a", "set_b", "n_shingles").agg(F.min(F.struct("id", "signature")).alias("x")).select("set_a", "set_b", "n_shingles", "x.*"), "classes")
     keyed = classes.select("id", F.col("n_shingles").alias("n"), "signature", F.posexplode(keys()).alias("place", "key"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1").select("key")
     multi = stage(keyed.join(shared, "key"), "keys")
@@ -263,7 +266,7 @@ def near_duplicates(documents: DataFrame, *, shingle: int = 5, percent: int = 80
     by_class = by_class.join(state, "id", "left") if state is not None else by_class.withColumn("component", F.col("id"))
     by_class = by_class.select("set_a", "set_b", "n_shingles", F.coalesce("component", "id").alias("component"))
     out = found.select("id", "n_shingles", "set_a", "set_b").join(by_class, ["set_a", "set_b", "n_shingles"], "left")
-    component = F.coalesce("component", "id")
+    component = F.coalesce("component", "id")  # null where only rows without an id have the set
     return out.select(F.col("id").alias("doc_id"), "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("id")).alias("kept"))
 
 
@@ -318,8 +321,13 @@ def _joined(state: DataFrame | None, links: DataFrame) -> DataFrame:
 def drop_near_duplicates(documents: DataFrame, *, id_col: str = "doc_id", max_broadcast_ids: int = 1_000_000, **how) -> DataFrame:
     """The documents, all columns as they are, without those that another document of their group stands for.
 
-    Of rows with one id, which is one document, one stays.
+    Of rows with one id, which is one document, one stays. Rows without an id go where a document has an equal set, and
+    of those with equal sets one stays.
     """
+    if documents.filter(F.col(id_col).isNull()).head(1):
+        named, nameless = documents.filter(F.col(id_col).isNotNull()), documents.filter(F.col(id_col).isNull())
+        left = drop_near_duplicates(named, id_col=id_col, max_broadcast_ids=max_broadcast_ids, **how)
+        return left.unionByName(_nameless_left(named, nameless, id_col=id_col, **{k: v for k, v in how.items() if k in ("shingle", "text_col")}))
     verdicts = stage(near_duplicates(documents, id_col=id_col, max_broadcast_ids=max_broadcast_ids, **how).select(F.col("doc_id").alias(id_col), "kept"), "verdicts")
     gone = verdicts.filter(~F.col("kept")).select(id_col).distinct()
     out = documents.join(F.broadcast(gone) if gone.count() <= max_broadcast_ids else gone, id_col, "left_anti").select(documents.columns)
@@ -329,6 +337,23 @@ def drop_near_duplicates(documents: DataFrame, *, id_col: str = "doc_id", max_br
     return out.join(repeated, id_col, "left_anti").select(documents.columns).unionByName(out.join(repeated, id_col, "left_semi").dropDuplicates([id_col]).select(documents.columns))
 
 
+def _nameless_left(named: DataFrame, nameless: DataFrame, *, id_col: str, shingle: int = 5, text_col: str = "text") -> DataFrame:
+    """Of the rows without an id, one of each set that no document with an id has, and all that have no shingles."""
+    sets = ["__n", "__a", "__b"]
+    names, at = nameless.columns, nameless.columns.index(text_col)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for c in spans.chunks(batch.column(at)):
+                yield pa.RecordBatch.from_arrays([*batch.slice(c.lo, c.n).columns, *_signatures(c, shingle)[:3]], [*names, *sets])
+
+    schema = StructType([*nameless.schema.fields, *(StructField(x, LongType()) for x in sets)])
+    found = stage(nameless.mapInArrow(scan, schema), "nameless")
+    known = signatures(named, shingle=shingle, id_col=id_col, text_col=text_col).select(F.col("n_shingles").alias("__n"), F.col("set_a").alias("__a"), F.col("set_b").alias("__b"))
+    own = found.filter("__n > 0").dropDuplicates(sets).join(known, sets, "left_anti")
+    return found.filter("__n = 0").select(names).unionByName(own.select(names))
+
+
 def brute_force(documents: list[tuple], shingle: int, percent: int) -> list[tuple]:
     """All pairs in plain Python, for small tests."""
     sets = []
