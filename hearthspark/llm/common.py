@@ -47,31 +47,33 @@ def fold(id_col: str | Column, folds: int) -> Column:
 
 
 def bounded_sample(df: DataFrame, key: Column, n: int, by: str | None = None) -> list:
-    """At most ``n`` rows (of each value of ``by``), chosen by the hash ``key`` and collected.
+    """At most ``n`` rows (of each value of ``by``), chosen by the hash ``key`` and collected; each hash once a group.
 
-    Group sizes come from a pre-aggregated count; a hash threshold then keeps a little over ``n`` expected rows a
-    group, so that neither the shuffle nor the driver sees a whole group.
+    Copies count once: groups are sized by their distinct hashes, from a pre-aggregated count. A hash threshold then
+    keeps a little over ``n`` expected hashes a group, so that neither the shuffle nor the driver sees a whole group;
+    groups of which fewer than there could be come back are drawn again with a larger share.
     """
     df = df.withColumn("__h", F.xxhash64(key))
     unit = (F.col("__h").cast("double") / F.lit(2.0**64)) + F.lit(0.5)
     group = F.col(by) if by else F.lit(0)
-    counts = {r[0]: r[1] for r in df.groupBy(group.alias("g")).count().collect()}
-    if not counts:
-        return []
+    counts = {r[0]: r[1] for r in df.groupBy("__h", group.alias("g")).agg(F.lit(1)).groupBy("g").count().collect()}
     share = {g: min(1.0, (1.2 * n + 50) / c) for g, c in counts.items()}
-    keep = F.lit(False)
-    for g, s in sorted(share.items(), key=lambda x: str(x[0])):
-        keep = keep | (group.eqNullSafe(F.lit(g)) & (unit <= F.lit(s)))
-    rows = df.filter(keep).dropDuplicates(["__h"]).collect()
-    rows.sort(key=lambda r: r["__h"])
-    taken: dict = {}
     out = []
-    for r in rows:
-        g = r[by] if by else 0
-        taken[g] = taken.get(g, 0) + 1
-        if taken[g] <= n:
-            out.append(r)
-    return out
+    while share:
+        keep = F.lit(False)
+        for g, s in sorted(share.items(), key=lambda x: str(x[0])):
+            keep = keep | (group.eqNullSafe(F.lit(g)) & (unit <= F.lit(s)))
+        rows = df.filter(keep).dropDuplicates(["__h", by] if by else ["__h"]).collect()
+        rows.sort(key=lambda r: r["__h"])
+        taken: dict = {}
+        for r in rows:
+            taken.setdefault(r[by] if by else 0, []).append(r)
+        short = {g: min(1.0, 2 * s) for g, s in share.items() if s < 1.0 and len(taken.get(g, ())) < min(n, counts[g])}
+        for g, found in taken.items():
+            if g not in short:
+                out += found[:n]
+        share = short
+    return sorted(out, key=lambda r: r["__h"])
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -30,3 +30,11 @@ def test_near_duplicates_with_a_null_id_in_a_copy_group(spark):
     assert sorted((r["component_id"] or 0, r["kept"]) for r in got if r["doc_id"] is None) == [(0, True), (0, True), (1, False)]
     left = near_dedup.drop_near_duplicates(df, shingle=3, percent=85)
     assert sorted((r["doc_id"] or 0, r["text"][:7]) for r in left.collect()) == [(0, "nothing"), (1, " ".join(words)[:7]), (50, "on its ")]
+
+
+def test_samples_are_full_among_copies(spark):
+    df = spark.range(200_000).select(F.concat(F.lit("text "), (F.col("id") % 400).cast("string")).alias("text"), F.lit("en").alias("lang"))
+    few = spark.range(30).select(F.concat(F.lit("other "), F.col("id").cast("string")).alias("text"), F.lit("fr").alias("lang"))
+    got = bounded_sample(df.union(few), F.col("text"), 250, "lang")
+    assert sum(r["lang"] == "en" for r in got) == 250 and sum(r["lang"] == "fr" for r in got) == 30
+    assert len({r["text"] for r in got}) == 280
