@@ -7,7 +7,7 @@ ascent on the conditional likelihood of label sequences spliced from monolingual
 seen switches. Forward-backward gives each word its posterior; a text's language is the one with the largest mean
 posterior, and that mean is its score.
 
-The training sample is bounded: ``sample`` texts a language at most. Prediction reads whole texts and only the texts.
+The training sample is bounded: ``sample`` distinct texts a language at most, ``max_chars`` characters of each. Prediction reads whole texts and only the texts.
 
 Defined results: ``und`` and score 0 for null texts, texts without letters, and when nothing was learned; repeated
 rows give repeated results; empty tables give no rows; other columns are never read.
@@ -30,6 +30,10 @@ SEGMENT = 64
 _AFFIX = [np.uint64(0xA0761D6478BD642F + 2 * k) for k in range(6)]
 
 
+#: ASCII letters alone: a text with one has a letter whatever its other bytes are.
+_ASCII_LETTER = spans.byte_set(bytes(range(65, 91)) + bytes(range(97, 123)))
+
+
 def normalised(c: spans.Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Bytes with letters lower-cased (A-Z and the Latin-1 capitals) and all else blank, and each word's start and end; offsets by text."""
     data = spans.LOWER[c.data]
@@ -267,31 +271,30 @@ def train(labelled: DataFrame, *, text_col: str = "text", label_col: str = "lang
     return fit(texts, **how)
 
 
-def _mean_posteriors(column: pa.Array, model: Model) -> tuple[np.ndarray, np.ndarray]:
-    """Number of words and mean posterior of each label, for each text."""
-    count, mean = [], []
+def _mean_posteriors(column: pa.Array, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Number of words, mean posterior of each label and whether there is an ASCII letter, for each text."""
+    count, mean, plain = [], [], []
     for c in spans.chunks(column):
         f, p = model.word_posteriors(c)
         total = np.concatenate([np.zeros((1, p.shape[1])), np.cumsum(p, 0)])
         n = np.diff(f.offsets)
         count.append(n)
+        plain.append(c.sums(_ASCII_LETTER[c.data]) > 0)
         mean.append((total[f.offsets[1:]] - total[f.offsets[:-1]]) / np.maximum(n, 1)[:, None])
-    return (np.concatenate(count), np.concatenate(mean)) if count else (np.empty(0, int), np.empty((0, len(model.labels))))
+    return (np.concatenate(count), np.concatenate(mean), np.concatenate(plain)) if count else (np.empty(0, int), np.empty((0, len(model.labels))), np.empty(0, bool))
 
 
 def verdicts(column: pa.Array, model: Model) -> tuple[list[str], list[float]]:
     lang, score = ["und"] * len(column), [0.0] * len(column)
     if model.labels:
-        count, mean = _mean_posteriors(column, model)
+        count, mean, plain = _mean_posteriors(column, model)
         best = mean.argmax(1)
         for i in np.flatnonzero(count).tolist():
             lang[i], score[i] = model.labels[best[i]], float(min(1.0, mean[i, best[i]]))
         # bytes beyond ASCII count as letters above: texts without any letter at all are und
-        for i in np.flatnonzero(count).tolist():
-            if count[i] < 50:
-                text = column[i].as_py()
-                if not any(ch.isalpha() for ch in text):
-                    lang[i], score[i] = "und", 0.0
+        for i in np.flatnonzero((count > 0) & ~plain).tolist():
+            if not any(ch.isalpha() for ch in column[i].as_py()):
+                lang[i], score[i] = "und", 0.0
     return lang, score
 
 

@@ -38,3 +38,11 @@ def test_samples_are_full_among_copies(spark):
     got = bounded_sample(df.union(few), F.col("text"), 250, "lang")
     assert sum(r["lang"] == "en" for r in got) == 250 and sum(r["lang"] == "fr" for r in got) == 30
     assert len({r["text"] for r in got}) == 280
+
+
+def test_texts_without_letters_have_no_language_at_any_length(spark):
+    texts = {y: [" ".join(some(random.Random(f"{y}{i}{k}"), 5, a) for k in range(40)) for i in range(20)] for y, a in (("xx", "abcdef"), ("yy", "uvwxyz"))}
+    model = language_id.fit(texts, rounds=5)
+    column = pa.array([f"{ch} " * n for n in (49, 50, 500) for ch in ("—", "•", "😀", "٣")] + ["漢字 " * 60, "— " * 60 + "é", "ab " * 60])
+    lang, score = language_id.verdicts(column, model)
+    assert lang[:12] == ["und"] * 12 and not any(score[:12]) and "und" not in lang[12:]
