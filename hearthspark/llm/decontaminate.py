@@ -9,7 +9,8 @@ items all count, each under its own id; repeated documents give repeated rows; e
 results. Other columns of the documents are never read, whatever their names.
 
 The broadcast set is bounded: ``max_broadcast_windows`` windows at most are sent at once. A larger benchmark is split
-by window hash into as many blocks as it takes, and every block scans the documents; occurrences are then united.
+by items into as many blocks as it takes. Every block scans the texts as they came, and each row carries what earlier
+blocks found in it, so results don't depend on the number of blocks.
 """
 
 from __future__ import annotations
@@ -21,8 +22,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from . import spans
+from .common import stage
 
 _TO_WORDS = bytes((b + 32 if 65 <= b <= 90 else b) if spans.ALNUM[b] else 32 for b in range(256))
 _BITS = 22
@@ -92,122 +95,135 @@ def find(texts: pa.Array, known: WindowSet) -> Iterator[tuple[np.ndarray, np.nda
         yield np.diff(at), covered[at[1:]] - covered[at[:-1]], items, cut
 
 
-def _blocks(items: list[tuple[str, list[bytes]]], n: int, limit: int) -> list[list[tuple[str, list[bytes]]]]:
-    """Items in blocks of at most ``limit`` windows (an item by itself may exceed it)."""
-    out: list[list] = [[]]
-    size = 0
-    for item, w in items:
+def _blocks(benchmark: DataFrame, item_col: str, text_col: str, n: int, limit: int) -> Iterator[list[tuple[str, list[bytes]]]]:
+    """The items with an id in blocks of at most ``limit`` windows (an item by itself may exceed it), read as they are used; at least one block."""
+    rows = benchmark.filter(F.col(item_col).isNotNull()).select(F.col(item_col).cast("string"), F.col(text_col)).toLocalIterator()
+    block: list[tuple[str, list[bytes]]] = []
+    size, any_yet = 0, False
+    for item, text in rows:
+        w = words(text)
         k = max(1, len(w) - n + 1)
         if size and size + k > limit:
-            out.append([])
-            size = 0
-        out[-1].append((item, w))
+            yield block
+            block, size, any_yet = [], 0, True
+        block.append((item, w))
         size += k
+    if block or not any_yet:
+        yield block
+
+
+_FOUND = "__found struct<n_words:long,n_hit:long,items:array<string>,spans:array<struct<start:long,end:long>>>"
+_SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+
+
+def _union(text: str, old: list[tuple[int, int]], new: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The spans that cover what either covers, sorted; spans without a word between them are one."""
+    data = text.encode().translate(_TO_WORDS)
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(old + new):
+        if out and not data[out[-1][1] : a].strip():
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
     return out
 
 
-def occurrences(documents: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", n: int = 10, max_broadcast_windows: int = 2_000_000) -> DataFrame:
-    """One row per document: its id, n_words, n_hit, items (sorted array of item ids), spans (byte spans of hit words).
+def _count_words(text: str, cut: list[tuple[int, int]]) -> int:
+    """Words inside of the spans, which begin and end with whole words."""
+    data = text.encode().translate(_TO_WORDS)
+    return sum(len(data[a:b].split()) for a, b in cut)
 
-    ``benchmark`` is read through the driver in blocks: test sets are small, and the windows of one block are all
-    that is held or sent at a time. With more than one block, the documents are scanned once for each block and the
-    results united by a join on ids, for which ids must then be unique.
-    """
-    docs = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    rows = benchmark.filter(F.col(item_col).isNotNull()).select(F.col(item_col).cast("string"), F.col(item_text_col)).toLocalIterator()
-    items = ((r[0], words(r[1])) for r in rows)
-    parts = []
-    for block in _blocks(list(items), n, max_broadcast_windows):
-        known = docs.sparkSession.sparkContext.broadcast(WindowSet(block, n))
 
-        def scan(batches: Iterator[pa.RecordBatch], known=known) -> Iterator[pa.RecordBatch]:
+def _scanned(docs: DataFrame, benchmark: DataFrame, *, text_col: str, item_col: str, item_text_col: str, n: int, limit: int) -> DataFrame:
+    """The documents, all columns as they are, with n_words, n_hit, items and spans as the struct ``__found``.
+
+    Every block scans the whole texts; what a row has from earlier blocks goes along with it and is united with the
+    new block's, so neither ids nor the order of blocks matter. Tables between two blocks are staged.
+    """
+    spark = docs.sparkSession
+    names, at = docs.columns, docs.columns.index(text_col)
+    out, wide = docs, StructType([*docs.schema.fields, *StructType.fromDDL(_FOUND).fields])
+    blocks = _blocks(benchmark, item_col, item_text_col, n, limit)
+    block = next(blocks)
+    first = True
+    while block is not None:
+        known = spark.sparkContext.broadcast(WindowSet(block, n))
+
+        def scan(batches: Iterator[pa.RecordBatch], known=known, first=first) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for lo in range(0, batch.num_rows, 2048):
                     part = batch.slice(lo, 2048)
+                    column = part.column(at)
                     total, hits, found, cuts = [], [], [], []
-                    for w, k, i, x in find(part.column(1), known.value):
-                        total.append(w)
-                        hits.append(k)
+                    for w, k, i, x in find(column, known.value):
+                        total += w.tolist()
+                        hits += k.tolist()
                         found += [sorted(y) for y in i]
-                        cuts += [[{"start": a, "end": b} for a, b in y] for y in x]
-                    yield pa.RecordBatch.from_arrays(
-                        [part.column(0), pa.array(np.concatenate(total)), pa.array(np.concatenate(hits)), pa.array(found, pa.list_(pa.string())), pa.array(cuts, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))],
-                        ["id", "n_words", "n_hit", "items", "spans"],
-                    )
-
-        kind = docs.schema["id"].dataType.simpleString()
-        parts.append(docs.mapInArrow(scan, f"id {kind}, n_words long, n_hit long, items array<string>, spans array<struct<start:long,end:long>>"))
-    out = parts[0]
-    for more in parts[1:]:
-        more = more.select("id", F.col("items").alias("items2"), F.col("spans").alias("spans2"))
-        out = out.join(more, "id").select("id", "n_words", "n_hit", F.array_sort(F.array_union("items", "items2")).alias("items"), F.concat("spans", "spans2").alias("spans"))
-    if len(parts) > 1:
-        out = _recount(docs, out)
+                        cuts += x
+                    if not first:
+                        for r, was in enumerate(part.column(len(names)).to_pylist()):
+                            if not was["items"]:
+                                continue
+                            before = [(y["start"], y["end"]) for y in was["spans"]]
+                            if not found[r]:
+                                hits[r], found[r], cuts[r] = was["n_hit"], was["items"], before
+                                continue
+                            found[r] = sorted({*was["items"], *found[r]})
+                            text = column[r].as_py()
+                            cuts[r] = _union(text, before, cuts[r])
+                            hits[r] = _count_words(text, cuts[r])
+                    cut = pa.array([[{"start": a, "end": b} for a, b in x] for x in cuts], _SPANS)
+                    both = pa.StructArray.from_arrays([pa.array(total, pa.int64()), pa.array(hits, pa.int64()), pa.array(found, pa.list_(pa.string())), cut], ["n_words", "n_hit", "items", "spans"])
+                    yield pa.RecordBatch.from_arrays([*part.columns[: len(names)], both], [*names, "__found"])
+
+        out = out.mapInArrow(scan, wide)
+        block = next(blocks, None)
+        if block is not None:
+            out, first = stage(out, "decontaminated"), False
     return out
 
 
-def _recount(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """n_hit of several blocks: the words that lie in the union of all blocks' spans."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            hits = []
-            for text, sp in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist()):
-                data = (text or "").encode()
-                mask = np.zeros(len(data) + 1, bool)
-                for x in sp:
-                    mask[x["start"] : x["end"]] = True
-                raw = np.frombuffer(data, np.uint8)
-                inside = np.concatenate([[False], spans.ALNUM[raw]])
-                starts = np.flatnonzero(inside[1:] & ~inside[:-1])
-                hits.append(int(mask[starts].sum()))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("n_words"), pa.array(hits, pa.int64()), batch.column("items"), batch.column("spans")], ["id", "n_words", "n_hit", "items", "spans"])
+def occurrences(documents: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", n: int = 10, max_broadcast_windows: int = 2_000_000) -> DataFrame:
+    """One row per document: its id, n_words, n_hit, items (sorted array of item ids), spans (byte spans of hit words).
 
-    return found.join(docs, "id").select("id", "n_words", "items", "spans", "text").mapInArrow(count, found.schema)
+    ``benchmark`` is read through the driver in blocks: the windows of one block are all that is held or sent at a
+    time. With more than one block, the documents are scanned once for each block.
+    """
+    docs = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    found = _scanned(docs, benchmark, text_col="text", item_col=item_col, item_text_col=item_text_col, n=n, limit=max_broadcast_windows)
+    return found.select("id", "__found.*")
 
 
 def decontaminate(documents: DataFrame, benchmark: DataFrame, *, action: str = "spans", id_col: str = "doc_id", text_col: str = "text", max_hit_share: float = 0.5, n: int = 10, max_broadcast_windows: int = 2_000_000) -> DataFrame:
     """The documents with benchmark text taken out, all their columns as they are.
 
     ``action="documents"`` drops every document with a hit. ``action="spans"`` cuts the hit spans out of the text
-    and drops a document only if more than ``max_hit_share`` of its words are hit, or nothing is left.
+    and drops a document only if more than ``max_hit_share`` of its words are hit, or nothing is left. Both judge a
+    document once, by the hits of the whole benchmark in the text as it came.
     """
-    known_rows = benchmark.filter(F.col("item_id").isNotNull()).select(F.col("item_id").cast("string"), F.col("text")).toLocalIterator()
-    blocks = _blocks([(r[0], words(r[1])) for r in known_rows], n, max_broadcast_windows)
-    out = documents
-    for block in blocks:
-        known = documents.sparkSession.sparkContext.broadcast(WindowSet(block, n))
-        names, at = out.columns, out.columns.index(text_col)
-
-        def clean(batches: Iterator[pa.RecordBatch], known=known, names=names, at=at) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for lo in range(0, batch.num_rows, 2048):
-                    part = batch.slice(lo, 2048)
-                    keep, texts = [], []
-                    column = part.column(at)
-                    k = 0
-                    for total, hits, _items, cuts in find(column, known.value):
-                        for w, h, x in zip(total.tolist(), hits.tolist(), cuts):
-                            text = column[k].as_py()
-                            k += 1
-                            if not h:
-                                keep.append(True)
-                                texts.append(text)
-                                continue
-                            data, left, last = text.encode(), [], 0
-                            for a, b in x:
-                                left.append(data[last:a])
-                                last = b
-                            rest = b"".join([*left, data[last:]]).decode()
-                            good = action == "spans" and h <= max_hit_share * w and bool(rest.strip())
-                            keep.append(good)
-                            texts.append(rest)
-                    columns = list(part.columns)
-                    columns[at] = pa.array(texts, column.type)
-                    yield pa.RecordBatch.from_arrays(columns, names).filter(pa.array(keep, pa.bool_()))
-
-        out = out.mapInArrow(clean, out.schema)
-    return out
+    found = _scanned(documents, benchmark, text_col=text_col, item_col="item_id", item_text_col="text", n=n, limit=max_broadcast_windows)
+    names, at = documents.columns, documents.columns.index(text_col)
+
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep, texts = [], []
+            for text, x in zip(batch.column(at), batch.column(len(names)).to_pylist()):
+                text = text.as_py()
+                if x["n_hit"]:
+                    data, left, last = text.encode(), [], 0
+                    for y in x["spans"]:
+                        left.append(data[last : y["start"]])
+                        last = y["end"]
+                    text = b"".join([*left, data[last:]]).decode()
+                    keep.append(action == "spans" and x["n_hit"] <= max_hit_share * x["n_words"] and bool(text.strip()))
+                else:
+                    keep.append(True)
+                texts.append(text)
+            columns = list(batch.columns[: len(names)])
+            columns[at] = pa.array(texts, columns[at].type)
+            yield pa.RecordBatch.from_arrays(columns, names).filter(pa.array(keep, pa.bool_()))
+
+    return found.mapInArrow(clean, documents.schema)
 
 
 def digest(found: DataFrame) -> DataFrame:

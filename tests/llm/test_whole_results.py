@@ -46,3 +46,21 @@ def test_texts_without_letters_have_no_language_at_any_length(spark):
     column = pa.array([f"{ch} " * n for n in (49, 50, 500) for ch in ("—", "•", "😀", "٣")] + ["漢字 " * 60, "— " * 60 + "é", "ab " * 60])
     lang, score = language_id.verdicts(column, model)
     assert lang[:12] == ["und"] * 12 and not any(score[:12]) and "und" not in lang[12:]
+
+
+def test_decontamination_does_not_depend_on_blocks(spark):
+    rng = np.random.default_rng(4)
+    w = [f"w{k}" for k in rng.permutation(400)]
+    items = [("a", " ".join(w[0:24])), ("b", " ".join(w[16:40])), ("c", " ".join(w[40:60])), ("d", None), ("e", " ".join(w[5:9] + w[60:75]))]
+    texts = [" ".join(w[0:40]) + " " + " ".join(w[100:200]), " ".join(w[0:24] + w[200:210] + w[40:60] + w[210:216]), " ".join(w[5:9] + w[16:40] + w[60:75] + w[300:400]), " ".join(w[150:200]), None]
+    rows = [(k % 3 if k != 1 else None, t, k) for k, t in enumerate([*texts, texts[0]])]
+    df = spark.createDataFrame(rows, "doc_id long, text string, k int")
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    truth = sorted(decontaminate.brute_force([(k, t) for _, t, k in rows], items))
+    one = {r["k"]: r["text"] for r in decontaminate.decontaminate(df, bench).collect()}
+    assert 1 not in one and one[0] == one[5] == " " + " ".join(w[100:200])
+    for most in (1, 20, 30, 2_000_000):
+        assert {r["k"]: r["text"] for r in decontaminate.decontaminate(df, bench, max_broadcast_windows=most).collect()} == one
+        got = decontaminate.digest(decontaminate.occurrences(df, bench, id_col="k", max_broadcast_windows=most)).collect()
+        assert sorted(tuple(r) for r in got) == truth
+        assert decontaminate.occurrences(df, bench, max_broadcast_windows=most).count() == len(rows)
