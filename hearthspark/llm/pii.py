@@ -1,7 +1,7 @@
 """Personal data by weak supervision: labelers vote, EM rates the labelers, and a classifier trained on that decides.
 
 Everything on the executors is DataFrame expressions. One pass finds candidate spans: the matches of the four base
-patterns, and shapes beyond them (long secrets, local phone numbers, grouped identity numbers). Six labelers (strict
+patterns, and shapes beyond them (long secrets and keys with known prefixes, local phone numbers, grouped identity numbers). Six labelers (strict
 form, gazetteer, words before, digit variety, marks around, length) vote -1, 0 or 1 on each. Votes are discrete, so
 the corpus is summed up in at most 3**6 rows a kind; expectation-maximisation over those rows estimates how reliable
 each labeler is, and a logistic span classifier is fitted to the resulting probabilities. Base spans always stay;
@@ -27,13 +27,15 @@ BASE = ("email", "ip", "card", "phone")
 EXTRA = ("secret", "national_id", "local_phone")
 LABELERS = ("strict", "gazetteer", "context", "variety", "marks", "length")
 
+#: How keys of known services begin.
+_PREFIX = r"(?:gh[pousr]_|AKIA|sk-|xox[abp]-|eyJ)"
 #: Same matches as the published base patterns, written so that Java's matcher neither recurses nor rescans a run.
 PATTERNS = {
     "email": r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?:(?<![0-9])|\G)[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"[0-9](?:[\x20-]?[0-9]){12,}+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "secret": r"(?<![A-Za-z0-9_/+-])[A-Za-z0-9_/+-]{24,}+",
+    "secret": rf"(?<![A-Za-z0-9_/+-])(?:[A-Za-z0-9_/+-]{{24,}}+|{_PREFIX}[A-Za-z0-9_/+-]++)",
     "national_id": r"(?<![0-9A-Za-z.-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])",
     "local_phone": r"(?<![0-9A-Za-z+.)-])(?:\([0-9]{3}\)\x20?|[0-9]{3}[.-])[0-9]{3}[.-][0-9]{4}(?![0-9A-Za-z-])",
 }
@@ -43,7 +45,7 @@ _NEEDS: dict[str, Callable[[Column], Column]] = {
     "ip": lambda t: t.rlike(r"[0-9]\.[0-9]"),
     "card": lambda t: t.rlike(r"[0-9][\x20-]?[0-9]"),
     "phone": lambda t: t.contains("+"),
-    "secret": lambda t: t.rlike(r"[A-Za-z0-9_/+-]{24}"),
+    "secret": lambda t: t.rlike(rf"[A-Za-z0-9_/+-]{{24}}|{_PREFIX}[A-Za-z0-9_/+-]"),
     "national_id": lambda t: t.rlike(r"[0-9]{3}-[0-9]{2}-"),
     "local_phone": lambda t: t.rlike(r"[0-9]{3}\)?[\x20.-]?[0-9]{3}[.-][0-9]{4}"),
 }
@@ -57,7 +59,7 @@ _AGAINST = r"(?i)\b(version|release|isbn|issn|order|invoice|page|section|figure|
 #: Endings, prefixes and leading digits that known values have.
 _KNOWN = {
     "email": r"(?i)\.(com|org|net|edu|gov|io|co|uk|de|fr|es|info)$", "ip": r"^(?!0+\.|127\.|255\.)", "card": r"^(3[47]|4|5[1-5]|2[2-7]|6)",
-    "phone": r"^\+(1|7|2[0-9]|3[0-9]|4[0-9]|5[1-8]|6[0-6]|8[1246]|9[0-58])", "secret": r"^(gh[pousr]_|AKIA|sk-|xox[abp]-|eyJ|[0-9a-fA-F]{32,}$)",
+    "phone": r"^\+(1|7|2[0-9]|3[0-9]|4[0-9]|5[1-8]|6[0-6]|8[1246]|9[0-58])", "secret": rf"^({_PREFIX}|[0-9a-fA-F]{{32,}}$)",
     "national_id": r"^(?!000|666|9)", "local_phone": r"^\(?[2-9]",
 }
 
@@ -87,7 +89,7 @@ def _valid(kind: str, v: Column) -> Column:
     if kind == "phone":
         return F.length(_digits(v)).between(9, 15)
     if kind == "secret":
-        return v.rlike("[0-9]") & v.rlike("[A-Za-z]") & ~v.rlike(r"(?i)[aeiouy]?[g-z]{5}")
+        return (v.rlike("[0-9]") & v.rlike("[A-Za-z]")) | (v.rlike(f"^{_PREFIX}") & (F.length(v) >= 20))
     return F.lit(True)
 
 
@@ -97,13 +99,17 @@ def _votes(kind: str, v: Column, before: Column, after: Column) -> list[Column]:
 
     variety = F.size(F.array_distinct(F.split(_digits(v), ""))) if kind != "email" else F.length(F.regexp_replace(v, r"@.*", ""))
     longest = {"email": 80, "ip": 15, "card": 23, "phone": 22, "secret": 128, "national_id": 11, "local_phone": 14}[kind]
+    strict, length = vote(_valid(kind, v)), F.length(v) <= longest
+    if kind == "secret":  # letters beyond hexadecimal in a row look like words; this is one vote, and not against known prefixes
+        wordy = v.rlike(r"(?i)[g-z]{5}") & ~v.rlike(f"^{_PREFIX}")
+        strict, length = vote(_valid(kind, v) & ~wordy), F.length(v).between(16, longest)
     return [
-        vote(_valid(kind, v)),
+        strict,
         vote(v.rlike(_KNOWN[kind])),
         vote(before.rlike(_FOR[kind]), before.rlike(_AGAINST)),
         vote(variety > 3, variety <= 2),
         vote(before.rlike(r"[=:\x22'(<]\x20?$"), before.rlike(r"[A-Za-z0-9_/.-]$") | after.rlike(r"^[A-Za-z0-9_/@-]")),
-        vote(F.length(v) <= longest),
+        vote(length),
     ]
 
 

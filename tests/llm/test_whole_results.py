@@ -17,6 +17,22 @@ def some(rng, n, alphabet=BASE62):
     return "".join(rng.choice(alphabet) for _ in range(n))
 
 
+def test_pii_finds_random_keys(spark):
+    rng = random.Random(3)
+    make = {"ghp": lambda: "ghp_" + some(rng, 36), "sk": lambda: "sk-" + some(rng, 48), "cloud": lambda: some(rng, 40), "akia": lambda: "AKIA" + some(rng, 16, string.ascii_uppercase + "234567")}
+    keys = {(k, i): f() for k, f in make.items() for i in range(25)}
+    rows = [(n, f'token = "{v}" end') for n, v in enumerate(keys.values())]
+    plain = ["src/main/java/com/example/Application", "a-rather-long-hyphenated-word-group", "we use sk-learn and eyJ here", "-" * 40]
+    rows += [(1000 + n, f"see {v} for more") for n, v in enumerate(plain)]
+    rows += [(2000 + n, f"see {1990 + n}/short/history/of/a/country/{n} for more") for n in range(100)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r["doc_id"]: r["spans"] for r in pii.digest(pii.find(df)).collect()}
+    masked = {r["doc_id"]: r["text"] for r in pii.mask(df).collect()}
+    missed = [k for n, (k, v) in enumerate(keys.items()) if "secret:" not in found[n] or v in masked[n]]
+    assert not missed
+    assert all(masked[i] == t for i, t in rows if i >= 1000)
+
+
 def test_near_duplicates_with_a_null_id_in_a_copy_group(spark):
     rng = random.Random(5)
     words = [some(rng, 6) for _ in range(80)]
