@@ -1,14 +1,18 @@
 """Licence scans by a trained paragraph classifier, confirmed by comparison with templates.
 
-Paragraphs are lines. A sparse logistic regression over word uni- and bigrams gives each licence family a score; it is
+Paragraphs are lines, and notices may run over consecutive lines. A sparse logistic regression over word uni- and bigrams gives each licence family a score; it is
 fitted on the driver to the templates below, to variants of them, and to a bounded sample of the corpus's own lines,
 which stand for text without a licence. Scores are turned into probabilities by one temperature, and a paragraph whose
 best family stays under ``known`` is ``unknown`` if it speaks of a licence at all. A family is confirmed if the
 paragraph has most of the distinctive words of one of the family's templates.
 
+A line that isn't confirmed by itself is scored again with the words that follow it, as many as the templates are long
+and up to the next line without words. Of the lines from which a notice is found so, the last one has its row; other
+lines of it count by themselves. Lines that neither speak of a licence nor are confirmed have no row.
+
 Only DataFrame expressions run on the executors. The weights are those of a bounded vocabulary (that of the templates),
-held in one literal map; a line without any anchor word (a vocabulary word that speaks of licences by itself) can't be
-confirmed for any family, so such lines are skipped before anything is computed on them, which changes no result.
+held in one literal map. Texts without any of ``implied_words`` and without an anchor word are skipped before anything
+is computed on them: too few grams of every template are left without those words for it to be confirmed.
 
 Defined results: null and empty texts have no paragraphs; repeated paragraphs each count; repeated rows give repeated
 results; empty tables give no rows; other columns are never read.
@@ -43,6 +47,8 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
 #: Words that speak of a licence by themselves (fixed values); every template has one.
 ANCHORS = ("license", "licensed", "licence", "licensing", "licenses", "spdx", "copyright", "rights", "redistribution", "permission", "redistribute", "unencumbered", "domain")
 FAMILIES = tuple(TEMPLATES)
+#: Templates of so many words or fewer are looked for among as few following words.
+SHORT = 14
 _WORD = r"[a-z0-9]+(?:[-.][a-z0-9]+)*"
 _NONE = len(FAMILIES)
 
@@ -127,17 +133,34 @@ def fit(background: list[str], *, rounds: int = 400, rate: float = 0.3, l2: floa
     return Model({g: np.round(w[i], 6).tolist() for g, i in index.items()}, np.round(w[-1], 6).tolist(), temperature)
 
 
-def train(documents: DataFrame, *, text_col: str = "text", sample: int = 200) -> Model:
-    """``sample`` documents at most give background lines."""
-    rows = bounded_sample(documents.filter(F.col(text_col).isNotNull()).select(F.left(F.col(text_col), F.lit(2000)).alias("text")), F.col("text"), sample)
-    lines = sorted({x.strip() for r in rows for x in r["text"].split("\n") if x.strip()})
-    return fit(lines[:2000])
+def train(documents: DataFrame, *, text_col: str = "text", sample: int = 200, lines_each: int = 10, max_chars: int = 1000) -> Model:
+    """``sample`` documents at most give background lines: ``lines_each`` of each whole text, chosen by a hash, ``max_chars`` of each."""
+    lines = F.array_distinct(F.filter(F.transform(F.split(F.col(text_col), "\n", -1), lambda x: F.trim(x)), lambda x: x != ""))
+    some = F.slice(F.array_sort(F.transform(lines, lambda x: F.struct(F.xxhash64(x).alias("h"), F.left(x, F.lit(max_chars)).alias("line")))), 1, lines_each)
+    rows = bounded_sample(documents.filter(F.col(text_col).isNotNull()).select(F.xxhash64(text_col).alias("key"), some.getField("line").alias("lines")), F.col("key"), sample)
+    return fit(sorted({x.strip() for r in rows for x in r["lines"] if x.strip()}))
+
+
+def implied_words(model: Model, share: float = 0.6) -> list[str]:
+    """Words of which a text has at least one if ``share`` of any template's distinctive grams are in it.
 
+    From each template, the words in most of its grams are taken until the grams without them are too few.
+    """
+    out: set[str] = set()
+    for s in (s for sets in model.distinctive.values() for s in sets if s):
+        left = [set(g.split()) for g in s if not out & set(g.split())]
+        while len(left) >= share * len(s):
+            # anchors and long words first: they are rare elsewhere
+            word = max({w for g in left for w in g}, key=lambda w: (w in ANCHORS, len(w) > 5, sum(w in g for g in left), len(w), w))
+            out.add(word)
+            left = [g for g in left if word not in g]
+    return sorted(out)
 
-def _anchor(text: Column) -> Column:
+
+def _has_any(text: Column, parts: list[str]) -> Column:
     low = F.lower(text)
     found = F.lit(False)
-    for a in ("licen", "spdx", "copyright", "rights", "redistribut", "permission", "unencumbered", "domain"):
+    for a in parts:
         found = found | low.contains(a)
     return found
 
@@ -148,28 +171,65 @@ def _sum(weights: str, k: int) -> Column:
 
 def paragraphs(documents: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", known: float = 0.6, share: float = 0.6) -> DataFrame:
     """One row for each paragraph that speaks of a licence: doc_id, line (from 0), family (or unknown), probability, confirmed."""
-    docs = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).filter(_anchor(F.col("text")))
-    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line", "text")).filter(_anchor(F.col("text")))
-    words = F.regexp_extract_all(F.lower("text"), F.lit(_WORD), F.lit(0))
-    lines = lines.withColumn("words", words)
-    pairs = F.zip_with(F.slice("words", 1, F.greatest(F.size("words") - 1, F.lit(0))), F.slice("words", 2, F.greatest(F.size("words") - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
-    lines = lines.withColumn("grams", F.when(F.size("words") > 0, F.array_distinct(F.concat("words", pairs))).otherwise(F.array().cast("array<string>")))
-    lines = lines.filter(F.arrays_overlap("words", F.array(*map(F.lit, ANCHORS))))
+    implied = implied_words(model, share)
+    docs = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).filter(_has_any(F.col("text"), sorted({*ANCHORS, *implied})))
+    longest = [max((n for t in TEMPLATES.values() for x in t if ((n := len(re.findall(_WORD, x.lower()))) <= SHORT) == short), default=0) for short in (True, False)]
+    words = F.transform(F.split("text", "\n", -1), lambda x: F.regexp_extract_all(F.lower(x), F.lit(_WORD), F.lit(0)))
+
+    def following(all_words: Column, i: Column) -> Column:
+        """The words of the next lines up to one without words."""
+        tail = F.slice(all_words, i + 2, max(longest))
+        stop = F.array_position(F.transform(tail, F.size), F.lit(0))
+        return F.slice(F.flatten(F.when(stop > 0, F.slice(tail, F.lit(1), (stop - 1).cast("int"))).otherwise(tail)), 1, max(longest))
+
+    docs = docs.select("doc_id", words.alias("all"))
+    lines = docs.select("doc_id", F.posexplode(F.transform("all", lambda w, i: F.struct(w.alias("words"), following(F.col("all"), i).alias("more")))).alias("line", "x")).select("doc_id", "line", "x.words", "x.more")
+    some = F.array(*map(F.lit, sorted({*ANCHORS, *implied})))
+    lines = lines.filter((F.size("words") > 0) & (F.arrays_overlap("words", some) | F.arrays_overlap("more", some)))
     grams_of = list(model.weights)
     table = F.map_from_arrays(F.array(*map(F.lit, grams_of)), F.array(*(F.array(*map(F.lit, model.weights[g])) for g in grams_of)))
-    lines = lines.withColumn("found", F.filter(F.transform("grams", lambda g: F.try_element_at(table, g)), lambda x: x.isNotNull()))
-    scores = [F.exp((F.lit(b) + _sum("found", k)) / model.temperature) for k, b in enumerate(model.bias)]
-    lines = lines.withColumn("e", F.array(*scores)).withColumn("total", F.aggregate("e", F.lit(0.0), lambda acc, x: acc + x))
-    best = F.array_max(F.transform(F.slice("e", 1, len(FAMILIES)), lambda x, i: F.struct(x.alias("e"), (-i).alias("i"))))
-    lines = lines.withColumn("best", best).withColumn("probability", F.col("best.e") / F.col("total"))
-    family = F.element_at(F.array(*map(F.lit, FAMILIES)), (1 - F.col("best.i")).cast("int"))
-    confirmed = F.lit(False)
-    for f, sets in model.distinctive.items():
-        for s in sets:
-            if s:
-                confirmed = confirmed | ((family == f) & (F.size(F.array_intersect("grams", F.array(*map(F.lit, s)))) >= share * len(s)))
-    sure = F.col("probability") >= known
-    return lines.select("doc_id", F.col("line").cast("int").alias("line"), F.when(sure, family).otherwise(F.lit("unknown")).alias("family"), F.round("probability", 6).alias("probability"), (sure & confirmed).alias("confirmed"))
+
+    def scored(rows: DataFrame, name: str, words: Column) -> DataFrame:
+        """Adds the distinct grams of ``words``, the best family and its probability."""
+        rows = rows.withColumn("w", words)
+        pairs = F.zip_with(F.slice("w", 1, F.greatest(F.size("w") - 1, F.lit(0))), F.slice("w", 2, F.greatest(F.size("w") - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
+        rows = rows.withColumn(f"grams{name}", F.array_distinct(F.concat("w", pairs)))
+        rows = rows.withColumn("found", F.filter(F.transform(f"grams{name}", lambda g: F.try_element_at(table, g)), lambda x: x.isNotNull()))
+        scores = [F.exp((F.lit(b) + _sum("found", k)) / model.temperature) for k, b in enumerate(model.bias)]
+        rows = rows.withColumn("e", F.array(*scores)).withColumn("total", F.aggregate("e", F.lit(0.0), lambda acc, x: acc + x))
+        best = F.array_max(F.transform(F.slice("e", 1, len(FAMILIES)), lambda x, i: F.struct(x.alias("e"), (-i).alias("i"))))
+        rows = rows.withColumn("best", best).withColumn(f"probability{name}", F.col("best.e") / F.col("total"))
+        return rows.withColumn(f"family{name}", F.element_at(F.array(*map(F.lit, FAMILIES)), (1 - F.col("best.i")).cast("int"))).drop("w", "found", "e", "total", "best")
+
+    def has(grams: Column, family: Column, lengths: tuple[bool, ...]) -> Column:
+        """Whether the grams confirm the family by a template that is short, or one that isn't."""
+        out = F.lit(False)
+        for f, sets in model.distinctive.items():
+            for s, t in zip(sets, TEMPLATES[f]):
+                if s and (len(re.findall(_WORD, t.lower())) <= SHORT) in lengths:
+                    out = out | ((family == f) & (F.size(F.array_intersect(grams, F.array(*map(F.lit, s)))) >= share * len(s)))
+        return out
+
+    lines = scored(lines, "", F.col("words"))
+    lines = lines.withColumn("confirmed", (F.col("probability") >= known) & has(F.col("grams"), F.col("family"), (True, False)))
+    out = [F.struct("family", "probability", "confirmed")]
+    for name, short, n in (("_short", True, longest[0]), ("_long", False, longest[1])):
+        more = F.when(~F.col("confirmed"), F.slice("more", 1, n))
+        lines = scored(lines, name, F.concat("words", more))
+        lines = lines.withColumn("rest", more)
+        pairs = F.zip_with(F.slice("rest", 1, F.greatest(F.size("rest") - 1, F.lit(0))), F.slice("rest", 2, F.greatest(F.size("rest") - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
+        lines = lines.withColumn("rest", F.concat("rest", pairs))
+        family = F.col(f"family{name}")
+        # a notice that the following lines have without this one isn't this line's
+        wrapped = ~F.col("confirmed") & (F.col(f"probability{name}") >= known) & has(F.col(f"grams{name}"), family, (short,)) & ~has(F.col("rest"), family, (True, False))
+        lines = lines.withColumn(f"wrapped{name}", F.coalesce(wrapped, F.lit(False))).drop("rest")
+        out.append(F.struct(family.alias("family"), F.col(f"probability{name}").alias("probability"), F.lit(True).alias("confirmed")))
+    speaks = F.arrays_overlap("words", F.array(*map(F.lit, ANCHORS)))
+    x = F.when(F.col("wrapped_long"), out[2]).when(F.col("wrapped_short"), out[1]).otherwise(out[0])
+    # not a filter on these columns: pushed below them, it would repeat all their expressions
+    shown = F.when(speaks | F.col("confirmed") | F.col("wrapped_short") | F.col("wrapped_long"), F.array(x))
+    lines = lines.select("doc_id", F.col("line").cast("int").alias("line"), F.explode_outer(shown).alias("x")).filter("x IS NOT NULL")
+    return lines.select("doc_id", "line", F.when(F.col("x.probability") >= known, F.col("x.family")).otherwise(F.lit("unknown")).alias("family"), F.round("x.probability", 6).alias("probability"), F.col("x.confirmed").alias("confirmed"))
 
 
 def scan(documents: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
