@@ -6,11 +6,13 @@ differing symbols. Seven chunks of the signature allow 13 differing symbols only
 one key for each chunk and each symbol left out of it (32 keys a document) makes every pair of distance 13 or less meet under
 some key. Pairs that meet are verified on the full sets.
 
-Copies with equal sets are one class with one representative. Under each key, representatives are first compared with
-one pivot, in as many rounds (another pivot each time) as pay off; what then still lies in different components under
-one key is compared pair by pair, unless the signatures differ in more than 16 symbols or a link is ruled out by set sizes, by the
-number of shingles that no other document has (two sets can't share those), or by what both share with their pivot. So
-a group of near copies costs about one comparison a member, and no link that joins two components is left out.
+Copies with equal sets are one class with one representative. A representative can link only if other candidates have
+``percent`` of its shingles; those that can't are done. Under each key the rest are compared with one pivot, the one
+with the smallest share of shingles of its own. Two that met the same pivot and aren't known to be connected are
+compared with each other only if that can give a link: either what each has in common with the pivot is enough, or they
+share a shingle that the pivot doesn't have, by which they are then joined. So a group of near copies costs about one
+comparison a member, and no link that joins two components is left out. Sets are compared as 64-bit hashes of their
+shingles; two different shingles of a pair have equal hashes with a chance of about one in 10^13 for texts of 1,000 words.
 
 Defined results: null, empty and word-less texts have no shingles and stand alone; a text with fewer words than a
 shingle is one shingle; ids identify documents, so repeated rows of one id share its component; rows without an id get
@@ -35,7 +37,6 @@ SYMBOLS, SYMBOL_BYTES = 32, 2
 #: Symbols of each chunk; with MAX_DISTANCE differing symbols, one of the chunks has at most one of them.
 CHUNKS = (5, 5, 5, 5, 4, 4, 4)
 MAX_DISTANCE = 13
-MAX_CHECKED = 16
 _FACTORS = np.random.default_rng(7).integers(0, 1 << 63, SYMBOLS, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 _DOC = np.uint64(0x9E3779B97F4A7C15)
 
@@ -112,210 +113,166 @@ def keys(signature: str = "signature") -> Column:
     return F.array(*(F.xxhash64(F.lit(k), v) for k, v in enumerate(_variants(signature))))
 
 
-def _first_common(a: str, b: str) -> Column:
-    """The place of the first key that two signatures share; a pair that meets under many keys is taken there alone."""
-    return F.coalesce(*(F.when(x == y, k) for k, (x, y) in enumerate(zip(_variants(a), _variants(b)))))
-
-
-def _distance(a: str, b: str) -> Column:
-    """Differing symbols of two signatures."""
-    same = F.lit(0)
-    for k in range(SYMBOLS):
-        same = same + F.when(F.substring(a, 1 + 2 * k, 2) != F.substring(b, 1 + 2 * k, 2), 1).otherwise(0)
-    return same
-
-
-def _sizes_allow(a: str, b: str, percent: int) -> Column:
-    return 100 * F.least(a, b) >= percent * F.greatest(a, b)
+def set_table(documents: DataFrame, *, shingle: int) -> DataFrame:
+    """id, n and hashes (sorted 64-bit hashes of the distinct shingles, 8 bytes each) of ``documents`` (id, text)."""
+    kind = documents.schema["id"].dataType.simpleString()
 
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for c in spans.chunks(batch.column(1), 1 << 20):
+                h, doc = shingle_hashes(c, shingle)
+                at = np.searchsorted(doc, np.arange(c.n + 1))
+                found = [np.unique(h[at[i] : at[i + 1]]) for i in range(c.n)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(c.lo, c.n), pa.array([len(x) for x in found], pa.int64()), pa.array([x.tobytes() for x in found], pa.binary())], ["id", "n", "hashes"])
 
-def _sets(column: pa.Array, shingle: int) -> Iterator[np.ndarray]:
-    """Each text's distinct shingle hashes, sorted."""
-    for c in spans.chunks(column):
-        h, doc = shingle_hashes(c, shingle)
-        at = np.searchsorted(doc, np.arange(c.n + 1))
-        for i in range(c.n):
-            yield np.unique(h[at[i] : at[i + 1]])
+    return documents.select("id", "text").mapInArrow(scan, f"id {kind}, n long, hashes binary")
 
 
-def _with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    a, b = (texts.select(F.col("id").alias(x), F.col("text").alias(f"text_{x}")) for x in ("a", "b"))
-    return pairs.select("a", "b").join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b")
+def _set(x: pa.Scalar) -> np.ndarray:
+    return np.frombuffer(x.as_buffer(), np.uint64)
 
 
-def verify(pairs: DataFrame, texts: DataFrame, *, shingle: int, percent: int) -> DataFrame:
-    """a, b, both (size of the intersection of their full sets) and linked (100 * intersection >= percent * union)."""
+def verify(pairs: DataFrame, sets: DataFrame, *, percent: int) -> DataFrame:
+    """a, b, n_a, n_b, both (size of the intersection of their full sets), linked (100 * intersection >= percent * union)
+    and beside (hashes of the shingles of a that b doesn't have)."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, 1024):
-                part = batch.slice(lo, 1024)
-                shared, keep = [], []
-                for x, y in zip(_sets(part.column(2), shingle), _sets(part.column(3), shingle)):
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                    shared.append(both)
-                    keep.append(both > 0 and 100 * both >= percent * (len(x) + len(y) - both))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(shared, pa.int64()), pa.array(keep, pa.bool_())], ["a", "b", "both", "linked"])
+            n_a, n_b, left = [], [], []
+            for x, y in zip(map(_set, batch.column(2)), map(_set, batch.column(3))):
+                n_a.append(len(x))
+                n_b.append(len(y))
+                left.append(np.setdiff1d(x, y, assume_unique=True).tobytes())
+            n_a, n_b, rest = (np.array(v, np.int64) for v in (n_a, n_b, [len(v) // 8 for v in left]))
+            both = n_a - rest
+            linked = (both > 0) & (100 * both >= percent * (n_a + n_b - both))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *map(pa.array, (n_a, n_b, both, linked)), pa.array(left, pa.binary())], ["a", "b", "n_a", "n_b", "both", "linked", "beside"])
 
     kind = pairs.schema["a"].dataType.simpleString()
-    return _with_texts(pairs, texts).mapInArrow(check, f"a {kind}, b {kind}, both long, linked boolean")
+    a, b = (sets.select(F.col("id").alias(x), F.col("hashes").alias(f"set_{x}")) for x in ("a", "b"))
+    return pairs.join(a, "a").join(b, "b").select("a", "b", "set_a", "set_b").mapInArrow(check, f"a {kind}, b {kind}, n_a long, n_b long, both long, linked boolean, beside binary")
 
 
-def own_beside(pairs: DataFrame, texts: DataFrame, *, shingle: int) -> DataFrame:
-    """a, b and h: the shingles of a that b doesn't have."""
+def exploded(rows: DataFrame, column: str) -> DataFrame:
+    """A row for each hash of the binary ``column``, which gets that hash instead."""
+    names = [c for c in rows.columns if c != column]
 
-    def left(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
-                found = [np.setdiff1d(x, y, assume_unique=True) for x, y in zip(_sets(part.column(2), shingle), _sets(part.column(3), shingle))]
-                row = pa.array(np.repeat(np.arange(len(found)), [len(x) for x in found]))
-                yield pa.RecordBatch.from_arrays([part.column(0).take(row), part.column(1).take(row), pa.array(np.concatenate(found).view(np.int64) if found else np.empty(0, np.int64))], ["a", "b", "h"])
+                found = [_set(x) for x in part.column(len(names))]
+                row = pa.array(np.repeat(np.arange(len(found)), [len(x) for x in found]), pa.int64())
+                yield pa.RecordBatch.from_arrays([*(c.take(row) for c in part.columns[:-1]), pa.array(np.concatenate(found).view(np.int64) if found else np.empty(0, np.int64))], [*names, column])
+
+    ordered = rows.select(*names, column)
+    return ordered.mapInArrow(explode, StructType([*ordered.schema.fields[:-1], StructField(column, LongType())]))
+
+
+def shared_sizes(sets: DataFrame) -> DataFrame:
+    """id, n and c: how many of a document's distinct shingles another of these documents has as well."""
+    each = exploded(sets.select("id", F.col("hashes").alias("h")), "h")
+    alone = each.groupBy("h").agg(F.min("id").alias("id"), F.max("id").alias("other")).filter("id = other").groupBy("id").agg(F.count("*").alias("alone"))
+    return sets.select("id", "n").join(alone, "id", "left").select("id", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("c"))
 
-    kind = pairs.schema["a"].dataType.simpleString()
-    return _with_texts(pairs, texts).mapInArrow(left, f"a {kind}, b {kind}, h long")
 
+def _bounded(df: DataFrame, most: int) -> DataFrame:
+    """A staged table of ids, broadcast where a count shows that it is small, and joined by a shuffle beyond that."""
+    return F.broadcast(df) if df.count() <= most else df
 
-def components(edges: DataFrame, *, max_rounds: int = 60) -> DataFrame:
+
+def components(edges: DataFrame, *, max_rounds: int = 60, max_broadcast_ids: int = 1_000_000) -> DataFrame:
     """id and component (the smallest id reachable) of every end of an edge.
 
     Each round gives every node the smallest label around it, then the label of that label; rounds are staged.
     """
-    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    near = stage(both.distinct(), "edges")
+    near = stage(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     state = stage(near.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("component")), "components")
     for _ in range(max_rounds):
-        hooked = near.join(state.select(F.col("id").alias("b"), F.col("component").alias("c")), "b").groupBy(F.col("a").alias("id")).agg(F.min("c").alias("m"))
-        up = state.select(F.col("id").alias("m"), F.col("component").alias("up"))
-        was = state.withColumnRenamed("component", "was")
-        after = stage(hooked.join(was, "id").join(up, "m").select("id", F.least("was", "m", "up").alias("component"), "was"), "components")
+        known = _bounded(state, max_broadcast_ids)
+        hooked = near.join(known.select(F.col("id").alias("b"), F.col("component").alias("c")), "b").groupBy(F.col("a").alias("id")).agg(F.min("c").alias("m"))
+        hooked = hooked.join(known.withColumnRenamed("component", "was"), "id").withColumn("m", F.least("m", "was"))
+        up = known.select(F.col("id").alias("m"), F.col("component").alias("up"))
+        after = stage(hooked.join(up, "m").select("id", F.least("m", "up").alias("component"), "was"), "components")
         state = after.select("id", "component")
         if not after.filter("component < was").head(1):
             return state
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 
-def near_duplicates(documents: DataFrame, *, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", pairs_per_key: int = 20, max_pivot_rounds: int = 6, max_broadcast_ids: int = 1_000_000) -> DataFrame:
+def near_duplicates(documents: DataFrame, *, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", max_broadcast_ids: int = 1_000_000) -> DataFrame:
     """doc_id, n_shingles, component_id and kept, one row per document.
 
-    Pivot rounds go on while they find links and more than ``pairs_per_key`` pairs a key are apart (and for
-    ``max_pivot_rounds`` at most); the pair-by-pair step then covers whatever is apart, so both bounds change the
-    amount of work and not the result. ``max_broadcast_ids`` bounds the ids (8 bytes each) that are broadcast to fetch
-    candidate texts; with more candidates than that, texts are fetched by a shuffled join.
+    ``max_broadcast_ids`` bounds the ids that are broadcast to fetch sets and labels; larger tables are joined by a
+    shuffle, with the same result.
     """
     found = stage(signatures(documents, shingle=shingle, id_col=id_col, text_col=text_col), "signatures")
-    shingled = found.filter("n_shingles > 0")
     # rows without an id are members that never represent, so that no key or candidate is lost in joins on ids
-    classes = stage(shingled.filter("id IS NOT NULL").groupBy("set_a", "set_b", "n_shingles").agg(F.min(F.struct("id", "signature")).alias("x")).select("set_a", "set_b", "n_shingles", "x.*"), "classes")
-    keyed = classes.select("id", F.col("n_shingles").alias("n"), "signature", F.posexplode(keys()).alias("place", "key"))
-    shared = keyed.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1").select("key")
-    multi = stage(keyed.join(shared, "key"), "keys")
-    nodes = stage(multi.select("id").distinct(), "nodes")
-    docs = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    wanted = F.broadcast(nodes) if nodes.count() <= max_broadcast_ids else nodes
-    texts = stage(docs.join(wanted, "id", "left_semi"), "texts")
-
-    def checked(pairs: DataFrame) -> DataFrame:
-        near = pairs.select(F.col("id").alias("a"), F.col("id_b").alias("b")).distinct()
-        return stage(verify(near, texts, shingle=shingle, percent=percent), "links")
-
-    near = _distance("signature", "s_b") <= MAX_CHECKED
-    kind = found.schema["id"].dataType
-    # c: shingles that another document has as well; hub: the pivot that a document shares most shingles with, h of them
-    held = multi.select("*", F.col("n").alias("c"), F.lit(None).cast(kind).alias("hub"), F.lit(None).cast("long").alias("h"), F.col("id").alias("component"))
-    state, open_ids, beside = None, None, None
-    for k in range(max_pivot_rounds):
-        # the pivot of a key: at first its smallest id, then the member with the smallest share of shingles of its own
-        rank = 1 - F.col("c") / F.col("n") if k else F.lit(0.0)
-        pivots = held.groupBy("key").agg(F.min(F.struct(rank.alias("rank"), "id", "n", "c", "hub", "h", "signature", "component")).alias("x"))
-        pivots = pivots.select("key", *(F.col(f"x.{a}").alias(b) for a, b in _OTHER.items()))
-        pairs = checked(held.join(pivots, "key").filter((F.col("component") != F.col("component_b")) & _may_link(percent) & near))
-        links = pairs.filter("linked").select("a", "b")
-        if links.head(1):
-            state = _joined(state, links)
-            held = _relabelled(held, state)
-        elif k:
-            break
-        held = stage(_still_apart(held), "held")
-        if not k:
-            open_ids = stage(held.select("id", "n").distinct(), "open")
-            hubs = pairs.groupBy(F.col("a").alias("id")).agg(F.max(F.struct("both", "b")).alias("x")).select("id", F.col("x.b").alias("hub"), F.col("x.both").alias("h"))
-            hubs = stage(open_ids.join(hubs, "id", "left").join(pairs.select(F.col("b").alias("id"), F.lit(True).alias("is_hub")).distinct(), "id", "left").select("id", F.coalesce("hub", F.when(F.col("is_hub"), F.col("id"))).alias("hub"), F.coalesce("h", F.when(F.col("is_hub"), F.col("n"))).alias("h")), "hubs")
-            alone = own_counts(texts.join(open_ids, "id", "left_semi"), shingle)
-            beside = own_beside(hubs.filter("hub <> id").select(F.col("id").alias("a"), F.col("hub").alias("b")), texts, shingle=shingle)
-            # a link needs percent of a document's shingles in other documents, so the rest can have none
-            held = held.drop("c", "hub", "h").join(alone, "id", "left").withColumn("c", F.col("n") - F.coalesce("alone", F.lit(0))).drop("alone").filter(100 * F.col("c") >= percent * F.col("n")).join(hubs, "id", "left")
-            held = stage(_still_apart(held), "held")
-        n_keys, n_pairs = held.groupBy("key").agg(F.count("*").alias("m")).agg(F.count("*"), F.coalesce(F.sum(F.col("m") * (F.col("m") - 1) / 2), F.lit(0.0))).first()
-        if n_pairs <= pairs_per_key * n_keys:
-            break
-
-    def apart(rows: DataFrame, allowed: Column) -> DataFrame:
-        other = rows.select("key", *(F.col(a).alias(b) for a, b in _OTHER.items()))
-        return rows.join(other, "key").filter((F.col("id") < F.col("id_b")) & (F.col("component") != F.col("component_b")) & allowed).select("id", "id_b")
-
-    pairs = apart(held, _may_link(percent) & near & (F.col("place") == _first_common("signature", "s_b")))
-    # what the bound by hubs leaves out: documents of one hub that share a shingle which the hub doesn't have
-    more = beside.select(F.col("a").alias("id"), F.xxhash64("b", "h").alias("key"))
-    more = more.join(more.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1").select("key"), "key", "left_semi")
-    more = more.join(held.drop("key", "place").dropDuplicates(["id"]), "id")
-    links = checked(pairs.unionByName(apart(more, _may_link(percent, by_hub=False) & near))).filter("linked").select("a", "b")
-    if links.head(1):
-        state = _joined(state, links)
+    shingled = found.filter("n_shingles > 0 AND id IS NOT NULL")
+    classes = stage(shingled.groupBy("set_a", "set_b", "n_shingles").agg(F.min(F.struct("id", "signature")).alias("x")).select("set_a", "set_b", "n_shingles", "x.*"), "classes")
     by_class = classes.select("set_a", "set_b", "n_shingles", "id")
-    by_class = by_class.join(state, "id", "left") if state is not None else by_class.withColumn("component", F.col("id"))
-    by_class = by_class.select("set_a", "set_b", "n_shingles", F.coalesce("component", "id").alias("component"))
+    links = _class_links(classes, documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), shingle, percent, max_broadcast_ids)
+    state = _bounded(components(links, max_broadcast_ids=max_broadcast_ids), max_broadcast_ids)
+    by_class = by_class.join(state, "id", "left").select("set_a", "set_b", "n_shingles", F.coalesce("component", "id").alias("component"))
     out = found.select("id", "n_shingles", "set_a", "set_b").join(by_class, ["set_a", "set_b", "n_shingles"], "left")
     component = F.coalesce("component", "id")  # null where only rows without an id have the set
     return out.select(F.col("id").alias("doc_id"), "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("id")).alias("kept"))
 
 
-def own_counts(texts: DataFrame, shingle: int) -> DataFrame:
-    """id and alone: how many of a document's distinct shingles no other of these documents has (no row where there are none)."""
-    kind = texts.schema["id"].dataType.simpleString()
-
-    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for c in spans.chunks(batch.column(1), 1 << 19):
-                h, doc = shingle_hashes(c, shingle)
-                first = np.unique(spans.mix(h + doc.astype(np.uint64) * _DOC), return_index=True)[1]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(c.lo, c.n).take(pa.array(doc[first])), pa.array(h[first].view(np.int64))], ["id", "h"])
-
-    each = texts.select("id", "text").mapInArrow(explode, f"id {kind}, h long")
-    by_shingle = each.groupBy("h").agg(F.min("id").alias("id"), F.max("id").alias("other"))
-    return by_shingle.filter("id = other").groupBy("id").agg(F.count("*").alias("alone"))
-
-
-_OTHER = {c: f"{c}_b" for c in ("id", "n", "c", "hub", "h", "component")} | {"signature": "s_b"}
-
-
-def _may_link(percent: int, by_hub: bool = True) -> Column:
-    """False where the most that two sets can share is too little for a link.
-
-    They share at most what each shares with other documents. If both were compared with one hub and share no shingle
-    beside it, they share at most what each has in common with that hub; pairs that do share one are found separately.
-    """
-    both = F.least("c", "c_b")
-    if by_hub:
-        both = F.when(F.col("hub") == F.col("hub_b"), F.least("h", "h_b")).otherwise(both)
-    return _sizes_allow("n", "n_b", percent) & (100 * both >= percent * (F.col("n") + F.col("n_b") - both))
-
-
-def _relabelled(held: DataFrame, state: DataFrame) -> DataFrame:
-    return held.drop("component").join(state, "id", "left").withColumn("component", F.coalesce("component", "id"))
-
-
-def _still_apart(held: DataFrame) -> DataFrame:
-    """The rows of keys that have members in more than one component."""
-    apart = held.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 <> c1").select("key")
-    return held.join(apart, "key", "left_semi")
-
-
-def _joined(state: DataFrame | None, links: DataFrame) -> DataFrame:
-    """The components after more links: those links, and one edge from each member to its component so far."""
-    if state is None:
-        return components(links)
-    return components(links.unionByName(state.select(F.col("id").alias("a"), F.col("component").alias("b")).filter("a <> b")))
+def _class_links(classes: DataFrame, docs: DataFrame, shingle: int, percent: int, most: int) -> DataFrame:
+    """a and b of enough links between representatives to connect all that any pair under one key connects."""
+    keyed = classes.select("id", F.explode(keys()).alias("key"))
+    # staged, so that the next join has a plain shuffle on either side and Spark can split a hot key
+    shared = stage(keyed.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1").select("key"), "shared")
+    members = stage(keyed.join(shared, "key").select("key", "id"), "members")
+    nodes = stage(members.select("id").distinct(), "nodes")
+    sets = stage(set_table(docs.join(_bounded(nodes, most), "id", "left_semi"), shingle=shingle), "sets")
+    if sets.count() > nodes.count():  # repeated rows
+        sets = stage(sets.dropDuplicates(["id"]), "sets")
+    # a link needs percent of a document's shingles in other documents
+    live = stage(shared_sizes(sets).filter(100 * F.col("c") >= percent * F.col("n")), "live")
+    members = stage(members.join(_bounded(live, most), "id"), "members")
+    sets = sets.join(_bounded(live.select("id"), most), "id", "left_semi")
+    # the pivot of a key is the member with the smallest share of shingles of its own: what it was copied from, or near it
+    pivots = members.groupBy("key").agg(F.min(F.struct((1 - F.col("c") / F.col("n")).alias("own"), "id")).alias("x"), F.count("*").alias("m")).filter("m > 1")
+    pivots = stage(pivots.select("key", F.col("x.id").alias("pivot")), "pivots")
+    star = stage(members.join(pivots, "key").filter("id <> pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct(), "star")
+    star = stage(verify(star, sets, percent=percent), "compared")
+    links = star.filter("linked").select("a", "b")
+    # a label is a document's smallest pivot, or that one's: equal labels are connected, so such pairs need no comparison
+    first = stage(links.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("label")), "labels")
+    first = _bounded(first, most)
+    up = first.select(F.col("id").alias("label"), F.col("label").alias("up"))
+    met = star.join(first.withColumnRenamed("id", "a"), "a", "left").withColumn("label", F.coalesce("label", "a"))
+    met = met.join(up, "label", "left").join(_bounded(live.select(F.col("id").alias("a"), "c"), most), "a")
+    # o: shingles that the pivot doesn't have and someone else has
+    met = met.select("a", "b", F.col("n_a").alias("n"), F.col("both").alias("h"), (F.col("c") - F.col("both")).alias("o"), "linked", F.col("beside").alias("x"), F.coalesce("up", "label").alias("label"))
+    # pivots with someone left who isn't linked, and someone to link with
+    open_pivots = met.groupBy("b").agg(F.count("*").alias("m"), F.count_if(~F.col("linked")).alias("out"), F.min("n").alias("least")).filter("m > 1 AND out > 0")
+    open_pivots = stage(open_pivots.select("b", "least"), "open")
+    if not open_pivots.head(1):
+        return links
+    met = stage(met.join(_bounded(open_pivots, most), "b"), "met")
+    theirs = met.select("b", *(F.col(c).alias(d) for c, d in _OTHER.items()))
+    # two that share only what the pivot has share at most the smaller of what each has in common with it
+    limit = F.floor(100 * F.col("h") / percent) + F.col("h") - F.col("n")
+    risky = met.filter(~F.col("linked") & (limit >= F.col("least")))
+    pairs = risky.join(theirs, "b").filter(_apart(F.least("h", "h2"), percent)).select("a", "a2")
+    # those that share something beside it meet there
+    extra = stage(exploded(met.drop("least"), "x"), "beside")
+    more = F.least("h", "h2") + F.least("o", "o2")
+    other = extra.select("b", "x", *(F.col(c).alias(d) for c, d in _OTHER.items()))
+    pairs = pairs.union(extra.join(other, ["b", "x"]).filter((F.col("a") < F.col("a2")) & _apart(more, percent)).select("a", "a2"))
+    pairs = stage(pairs.select(F.least("a", "a2").alias("a"), F.greatest("a", "a2").alias("b")).distinct(), "pairs")
+    return links.union(stage(verify(pairs, sets, percent=percent).filter("linked").select("a", "b"), "links"))
+
+
+_OTHER = {"a": "a2", "n": "n2", "h": "h2", "o": "o2", "linked": "linked2", "label": "label2"}
+
+
+def _apart(shared: Column, percent: int) -> Column:
+    """Two that met the same pivot, aren't known to be connected, and can be a link if they share at most ``shared``."""
+    return (F.col("label") != F.col("label2")) & ~(F.col("linked") & F.col("linked2")) & (100 * shared >= percent * (F.col("n") + F.col("n2") - shared))
 
 
 def drop_near_duplicates(documents: DataFrame, *, id_col: str = "doc_id", max_broadcast_ids: int = 1_000_000, **how) -> DataFrame:

@@ -188,7 +188,7 @@ def test_near_duplicates_large_group_of_chained_copies(spark):
         rows.append((k, " ".join(w)))
         w[(7 * k) % 120] = words_text(rng, 1) + str(k)
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = sorted(tuple(r) for r in near_dedup.near_duplicates(df, shingle=3, percent=85, pairs_per_key=0).collect())
+    got = sorted(tuple(r) for r in near_dedup.near_duplicates(df, shingle=3, percent=85).collect())
     assert got == sorted(near_dedup.brute_force(rows, 3, 85))
 
 
