@@ -55,7 +55,10 @@ class _Words(dict):
 
 def _ranks(path: str) -> dict[bytes, int] | None:
     """Bytes of each token of a byte-level BPE file whose ids are the ranks of its merges; None for other files."""
-    model = json.loads(Path(path).read_text())["model"]
+    whole = json.loads(Path(path).read_text())
+    model, cut = whole["model"], whole.get("pre_tokenizer") or {}
+    if whole.get("normalizer") or whole.get("post_processor") or cut.get("type") != "ByteLevel" or cut.get("add_prefix_space") or not cut.get("use_regex", True):
+        return None  # not the cutting that _PIECES does
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     other = [b for b in range(256) if b not in plain]
     byte = {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(other)}
@@ -67,29 +70,31 @@ def _ranks(path: str) -> dict[bytes, int] | None:
 
 
 class Tokens:
-    """Whole texts to little-endian unsigned 32-bit ids, exactly those that ``tokenizers`` gives for the same file.
+    """Whole texts to little-endian unsigned 32-bit ids, exactly those of ``encode(text, add_special_tokens=False)``.
 
     A word that isn't in the table goes through ``tiktoken`` with the file's own vocabulary where the file is
-    byte-level BPE (several times faster, the same ids; tests compare both), else through ``tokenizers``.
+    byte-level BPE (several times faster, the same ids; tests compare both), else through ``tokenizers``. Texts that
+    hold the string of an added token, which ``tokenizers`` gives that token's id, always go through ``tokenizers``.
     """
 
-    def __init__(self, path: str, most: int = 600_000):
+    def __init__(self, path: str, most: int = 150_000):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        own = Tokenizer.from_file(path)
+        self.ids = self.plain = lambda text: own.encode(text, add_special_tokens=False).ids
         ranks = _ranks(path)
         if ranks:
             import tiktoken
 
             self.ids = tiktoken.Encoding("from_file", pat_str=_PIECES, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        else:
-            os.environ["TOKENIZERS_PARALLELISM"] = "false"
-            from tokenizers import Tokenizer
-
-            own = Tokenizer.from_file(path)
-            own.encode_special_tokens = True  # the strings of special tokens are ordinary text
-            self.ids = lambda text: own.encode(text, add_special_tokens=False).ids
+        self.added = [t.content for t in own.get_added_tokens_decoder().values()]
         self.by_word = ranks is not None
         self.words = _Words(self.ids, most)
 
     def encode(self, text: str) -> bytes:
+        if any(t in text for t in self.added):
+            return np.array(self.plain(text), "<u4").tobytes()
         if not self.by_word or _IRREGULAR.search(text):
             return np.array(self.ids(text), "<u4").tobytes()
         head, *rest = text.split(" ")

@@ -292,7 +292,6 @@ def test_packing_round_trip(docs, edge, empty):
 
     path = queries.tokenizer_path()
     own = Tokenizer.from_file(path)
-    own.encode_special_tokens = True
     for df in (docs, edge.filter("doc_id is not null and doc_id <> 11")):
         pieces = packing.pack(df, tokenizer_path=path).collect()
         by = {}
@@ -316,7 +315,6 @@ def test_tokens_equal_the_tokenizer_on_odd_space():
 
     path = queries.tokenizer_path()
     own, fast = Tokenizer.from_file(path), packing.Tokens(path, most=50)
-    own.encode_special_tokens = True
     rng = random.Random(2)
     for _ in range(600):
         text = "".join(rng.choice([" ", "  ", "\n", "\t", "a", "Bé", "12", "'s", ".", ",", "漢", "\u00a0", "\u3000", "<|endoftext|>", "x"]) for _ in range(rng.randrange(0, 14)))
