@@ -7,7 +7,8 @@ ascent on the conditional likelihood of label sequences spliced from monolingual
 seen switches. Forward-backward gives each word its posterior; a text's language is the one with the largest mean
 posterior, and that mean is its score.
 
-The training sample is bounded: ``sample`` distinct texts a language at most, ``max_chars`` characters of each. Prediction reads whole texts and only the texts.
+The training sample is bounded: ``sample`` distinct texts a language at most, and ``span`` words of each from a place
+in the whole text that a hash chooses. Prediction reads whole texts and only the texts.
 
 Defined results: ``und`` and score 0 for null texts, texts without letters, and when nothing was learned; repeated
 rows give repeated results; empty tables give no rows; other columns are never read.
@@ -88,7 +89,8 @@ class Features:
 def forward_backward(scores: np.ndarray, offsets: np.ndarray, transitions: np.ndarray, pairs: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
     """Posterior of each word's label, texts being chains from offsets[k] to offsets[k + 1].
 
-    Chains are cut into segments of equal length; each segment's product of transition matrices links its ends, so the
+    Chains are cut into segments of equal length (8 to 64 words, about the mean length of a chain, so that short chains
+    don't fill memory with blanks); each segment's product of transition matrices links its ends, so the
     Python loops run over a segment's length and a chain's segments while numpy runs over all segments at once.
     ``pairs``: also the expected number of each transition.
     """
@@ -96,20 +98,21 @@ def forward_backward(scores: np.ndarray, offsets: np.ndarray, transitions: np.nd
     move = np.exp(transitions - transitions.max())
     emit = np.exp((scores - scores.max(1, keepdims=True)).astype(np.float64)) + 1e-30
     lengths = np.diff(offsets)
-    per = -(-lengths // SEGMENT)
+    width = int(np.clip(1 << int(np.ceil(np.log2(max(1, n) / max(1, len(lengths)) + 1))), 8, SEGMENT))
+    per = -(-lengths // width)
     first_segment = np.concatenate([[0], np.cumsum(per)])
     total = int(first_segment[-1])
     chain = np.repeat(np.arange(len(lengths)), per)
     rank = np.arange(total) - first_segment[chain]
     place = np.arange(n) - np.repeat(offsets[:-1], lengths)
-    row = np.repeat(first_segment[:-1], lengths) + place // SEGMENT
-    col = place % SEGMENT
-    e = np.ones((SEGMENT, total, k))
+    row = np.repeat(first_segment[:-1], lengths) + place // width
+    col = place % width
+    e = np.ones((width, total, k))
     e[col, row] = emit
-    size = np.minimum(SEGMENT, lengths[chain] - rank * SEGMENT)
+    size = np.minimum(width, lengths[chain] - rank * width)
     m = np.broadcast_to(np.eye(k), (total, k, k)).copy()
     lead = (rank == 0)[:, None, None]
-    for t in range(SEGMENT):
+    for t in range(width):
         live = size > t
         if not live.any():
             break
@@ -130,15 +133,15 @@ def forward_backward(scores: np.ndarray, offsets: np.ndarray, transitions: np.nd
         seg = first_segment[on] + r
         v = np.einsum("sij,sj->si", m[seg + 1], after[seg + 1])
         after[seg] = v / v.sum(1, keepdims=True)
-    alpha = np.empty((SEGMENT, total, k))
+    alpha = np.empty((width, total, k))
     a = into
-    for t in range(SEGMENT):
+    for t in range(width):
         a = np.where((rank == 0)[:, None], a, a @ move) * e[t] if t == 0 else (a @ move) * e[t]
         a /= a.sum(1, keepdims=True)
         alpha[t] = a
-    beta = np.empty((SEGMENT, total, k))
+    beta = np.empty((width, total, k))
     b = after
-    for t in range(SEGMENT - 1, -1, -1):
+    for t in range(width - 1, -1, -1):
         b = np.where((size == t + 1)[:, None], after, b)
         beta[t] = b
         b = (b * e[t]) @ move.T
@@ -262,12 +265,15 @@ def fit(texts: dict[str, list[str]], *, words: int = 80, rounds: int = 60, rate:
     return Model(labels, w[:TABLE].astype(np.float32), lexicon, w[TABLE:].astype(np.float32), t)
 
 
-def train(labelled: DataFrame, *, text_col: str = "text", label_col: str = "lang", sample: int = 250, max_chars: int = 4000, **how) -> Model:
-    """Fit on at most ``sample`` texts of each label (chosen by a hash of the text), ``max_chars`` of each."""
+def train(labelled: DataFrame, *, text_col: str = "text", label_col: str = "lang", sample: int = 250, span: int = 320, **how) -> Model:
+    """Fit on at most ``sample`` distinct texts of each label and ``span`` words of each, both chosen by a hash of the text."""
     rows = labelled.filter(F.col(text_col).isNotNull() & F.col(label_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(label_col).cast("string").alias("label"))
+    words = F.split("text", r"\s+")
+    at = F.pmod(F.xxhash64("text", F.lit("span")), F.greatest(F.lit(1), F.size(words) - span + 1)).cast("int") + 1
+    rows = rows.filter(F.col("text").rlike(r"\p{L}")).select(F.xxhash64("text").alias("h"), F.array_join(F.slice(words, at, F.lit(span)), " ").alias("span"), "label")
     texts: dict[str, list[str]] = {}
-    for r in bounded_sample(rows.filter(F.col("text").rlike(r"\p{L}")).select(F.left("text", F.lit(max_chars)).alias("text"), "label"), F.col("text"), sample, "label"):
-        texts.setdefault(r["label"], []).append(r["text"])
+    for r in bounded_sample(rows, F.col("h"), sample, "label"):
+        texts.setdefault(r["label"], []).append(r["span"])
     return fit(texts, **how)
 
 

@@ -1,6 +1,6 @@
 """Vectorised word spans and 64-bit span hashes over Arrow text columns.
 
-A text column is processed in chunks of a few MB: all texts of a chunk lie in one byte buffer, each followed by a
+A text column is processed in chunks of half a MB: all texts of a chunk lie in one byte buffer, each followed by a
 newline, and every step is one numpy pass over that buffer. A single text longer than a chunk is a chunk of its own,
 so texts are always whole.
 """
@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 19
 _P = np.uint64(0x9E3779B97F4A7C15 | 5)
 _INV = np.uint64(pow(int(_P), -1, 1 << 64))
 _BYTE = np.random.default_rng(20240601).integers(0, 1 << 63, 256, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
