@@ -1,12 +1,16 @@
 """Toxic passages as maximum-scoring segments of token log-odds, calibrated by extreme-value statistics.
 
-Token scores are log-odds of the toxic class under hierarchical Dirichlet priors: a word's counts are shrunk to those
-of its stem (first four bytes), a stem's to the class shares; a constant margin makes the expected score of harmless
+Token scores are log-odds of the toxic class under Dirichlet priors in two levels: counts of a word and of its stem (first
+four bytes) are both shrunk to the class shares, a stem's more strongly, and a word in fewer than three labelled texts is
+scored by its stem; a constant margin makes the expected score of harmless
 text negative. A linear-time scan finds every maximal-scoring segment of a whole text. Scores of chance segments
 follow an extreme-value law: lambda comes from the background distribution of token scores, K from the best segments
 of clean texts. A segment counts if its E-value is small; a text's score is a logistic function of the best segment's
 surprise, the surprise of all significant ones and their number.
 
+lambda, K and the logistic function are fitted to texts scored by counts of the other folds (``FOLDS``), so that no text
+is judged by words it taught.
+
 Words and stems are hashed into tables of fixed size, so what is sent to tasks doesn't grow with the corpus. Labels
 come from a bounded sample (``sample`` rows of each label). Scores use the text alone.
 
@@ -30,6 +34,7 @@ from .common import fold, labelled_sample
 WORD_BITS, STEM_BITS, STEM_BYTES = 19, 15, 4
 _WORDS, _STEMS = 1 << WORD_BITS, 1 << STEM_BITS
 MARGIN = 1.8
+FOLDS = 4
 #: Segments with a smaller expected number of chance occurrences in their text are significant.
 E_VALUE = 0.05
 
@@ -104,35 +109,41 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(x @ self.weights[1:] + self.weights[0], -30, 30)))
 
 
+def _fold() -> Column:
+    return F.pmod(F.xxhash64("text", F.lit("fold")), F.lit(FOLDS)).cast("int")
+
+
 def class_counts(sample: DataFrame) -> DataFrame:
-    """slot, clean, toxic: texts of each class that have the word slot (from 0) or stem slot (from 2**WORD_BITS), summed over partitions.
+    """fold, slot, clean, toxic: texts of each class that have the word slot (from 0) or stem slot (from 2**WORD_BITS), summed over partitions.
 
     Texts and not occurrences are counted, so that one text that repeats a word a hundred times doesn't mark it.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((2, _WORDS + _STEMS), np.int64)
+        size = _WORDS + _STEMS
+        total = np.zeros((2, FOLDS * size), np.int32)
         for batch in batches:
-            labels = np.array(batch.column(1).to_pylist(), int)
+            labels, fold = (np.array(batch.column(k).to_pylist(), int) for k in (1, 2))
             for c in spans.chunks(batch.column(0)):
                 word, stem, _, _, at = slots(c)
                 doc = np.repeat(np.arange(c.n), np.diff(at))
-                size = total.shape[1]
                 held = np.unique(np.concatenate([doc * size + word, doc * size + _WORDS + stem]))
-                y = labels[c.lo + held // size] == 1
-                for k, of in ((0, ~y), (1, y)):
-                    total[k] += np.bincount(held[of] % size, minlength=size)
-        slot = np.flatnonzero(total.any(0))
-        yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(total[0, slot]), pa.array(total[1, slot])], ["slot", "clean", "toxic"])
+                row = c.lo + held // size
+                for k in (0, 1):
+                    of = labels[row] == k
+                    place, times = np.unique(fold[row[of]] * size + held[of] % size, return_counts=True)
+                    total[k, place] += times
+        place = np.flatnonzero(total.any(0))
+        yield pa.RecordBatch.from_arrays([pa.array((place // size).astype(np.int32)), pa.array(place % size), pa.array(total[0, place].astype(np.int64)), pa.array(total[1, place].astype(np.int64))], ["fold", "slot", "clean", "toxic"])
 
-    part = sample.select("text", "label").mapInArrow(count, "slot long, clean long, toxic long")
-    return part.groupBy("slot").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    part = sample.select("text", "label", _fold()).mapInArrow(count, "fold int, slot long, clean long, toxic long")
+    return part.groupBy("fold", "slot").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
 
 
 def log_odds(clean: np.ndarray, toxic: np.ndarray, stem_weight: float = 50.0, word_weight: float = 2.0) -> tuple[np.ndarray, np.ndarray]:
     """Scores by word slot (NaN where the sample has no such word) and by stem slot, margin taken off.
 
-    Words don't know their stem here: a word's prior is the class share, unless it is rare; then its stem decides.
+    A word's prior is the class share; a rare word has no score of its own, and its stem's holds.
     """
     share = (toxic[:_WORDS].sum() + 1) / (toxic[:_WORDS].sum() + clean[:_WORDS].sum() + 2)
     base = np.log(share / (1 - share))
@@ -171,38 +182,49 @@ def train(documents: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", te
     """Counts over the labelled sample in Spark; then lambda, K and the logistic from ``calibration`` texts of each label at most."""
     rows = labelled_sample(documents, labels, label, n=sample, id_col=id_col, text_col=text_col)
     counts = class_counts(rows).toArrow()
-    clean, toxic = np.zeros(_WORDS + _STEMS), np.zeros(_WORDS + _STEMS)
-    slot = counts["slot"].to_numpy()
-    clean[slot], toxic[slot] = counts["clean"].to_numpy(), counts["toxic"].to_numpy()
+    each = np.zeros((2, FOLDS, _WORDS + _STEMS), np.float32)
+    for k, name in enumerate(("clean", "toxic")):
+        each[k, counts["fold"].to_numpy(), counts["slot"].to_numpy()] = counts[name].to_numpy()
     sizes = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
     share = sizes.get(1, 0) / max(1, sum(sizes.values()))
-    table, stems = log_odds(clean, toxic)
+
+    def model_of(clean: np.ndarray, toxic: np.ndarray) -> Model:
+        table, stems = log_odds(clean, toxic)
+        known = ~np.isnan(table)
+        rate = extreme_rate(table[known], clean[:_WORDS][known] + 1e-9) if len(sizes) == 2 and known.any() else 1.0
+        return Model(table, stems, rate, 1.0, np.empty(0), share)
+
+    clean, toxic = each.sum(1).astype(float)
+    model = model_of(clean, toxic)
     if len(sizes) < 2:
-        return Model(table, stems, 1.0, 1.0, np.empty(0), share)
-    known = ~np.isnan(table)
-    rate = extreme_rate(table[known], clean[:_WORDS][known] + 1e-9)
-    model = Model(table, stems, rate, 1.0, np.empty(0), share)
+        return model
+    others = [model_of(clean - each[0, f], toxic - each[1, f]) for f in range(FOLDS)]
     keep = F.lit(False)
     for y, c in sizes.items():
         keep = keep | ((F.col("label") == y) & (F.xxhash64("text", F.lit("fit")).cast("double") / F.lit(2.0**64) + F.lit(0.5) <= min(1.0, calibration / c)))
 
-    def features(m: Model) -> tuple[np.ndarray, np.ndarray]:
-        sent = rows.sparkSession.sparkContext.broadcast(m)
+    def features(models: list[Model]) -> tuple[np.ndarray, np.ndarray]:
+        sent = rows.sparkSession.sparkContext.broadcast(models)
 
-        def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                x = sent.value.features(batch.column(0))
-                yield pa.RecordBatch.from_arrays([pa.array(x[:, k]) for k in range(4)] + [batch.column(1)], ["a", "b", "c", "d", "label"])
+                fold = np.array(batch.column(2).to_pylist(), int)
+                for f, m in enumerate(sent.value):
+                    part = batch.filter(pa.array(fold == f))
+                    x = m.features(part.column(0))
+                    yield pa.RecordBatch.from_arrays([pa.array(x[:, k]) for k in range(4)] + [part.column(1)], ["a", "b", "c", "d", "label"])
 
-        out = rows.filter(keep).mapInArrow(each, "a double, b double, c double, d double, label int").toArrow()
+        out = rows.filter(keep).select("text", "label", _fold()).mapInArrow(scored, "a double, b double, c double, d double, label int").toArrow()
         return np.stack([out[k].to_numpy() for k in "abcd"], 1), out["label"].to_numpy()
 
-    x, y = features(model)
+    x, y = features(others)
     # Under K = 1 the best surprise of a clean text is lambda * score - ln(n), of mean ln(K) + Euler's constant.
     harmless = x[y == 0, 0]
     if len(harmless):
-        model.k = float(np.exp(np.clip(np.median(harmless) + np.log(np.log(2)), -12, 12)))
-    x, y = features(model)
+        k = float(np.exp(np.clip(np.median(harmless) + np.log(np.log(2)), -12, 12)))
+        for m in (model, *others):
+            m.k = k
+    x, y = features(others)
     model.weights = logistic(x, y) if len(set(y.tolist())) == 2 else np.empty(0)
     return model
 
