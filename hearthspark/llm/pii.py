@@ -2,8 +2,10 @@
 
 Everything on the executors is DataFrame expressions. One pass finds candidate spans: the matches of the four base
 patterns, and shapes beyond them (long secrets and keys with known prefixes, local phone numbers, grouped identity numbers). Six labelers (strict
-form, gazetteer, words before, digit variety, marks around, length) vote -1, 0 or 1 on each. Votes are discrete, so
+form, gazetteer, words before, digit variety, marks around, length) vote -1, 0 or 1 on on each. Votes are discrete, so
 the corpus is summed up in at most 3**6 rows a kind; expectation-maximisation over those rows estimates how reliable
+each labeler is. A logistic span classifier is then fitted to those probabilities on the votes and on features of its own (``FEATURES``: variety, digits, capitals and
+changes of character class of the value, and what stands before it, each in a few steps), and it decides. is summed up in at most 3**6 rows a kind; expectation-maximisation over those rows estimates how reliable
 each labeler is, and a logistic span classifier is fitted to the resulting probabilities. Base spans always stay;
 candidates of other kinds are added where the classifier says so.
 
@@ -27,6 +29,11 @@ BASE = ("email", "ip", "card", "phone")
 EXTRA = ("secret", "national_id", "local_phone")
 LABELERS = ("strict", "gazetteer", "context", "variety", "marks", "length")
 
+#: What the classifier sees of a span, each as a step from 0 to 3: distinct characters, share of digits, share of
+#: capitals, changes between letters and digits, letters beyond hexadecimal in a row, and marks or words just before.
+FEATURES = ("distinct", "digits", "capitals", "changes", "wordy", "before")
+STEPS = 4
+
 #: How keys of known services begin.
 _PREFIX = r"(?:gh[pousr]_|AKIA|sk-|xox[abp]-|eyJ)"
 #: Same matches as the published base patterns, written so that Java's matcher neither recurses nor rescans a run.
@@ -100,8 +107,8 @@ def _votes(kind: str, v: Column, before: Column, after: Column) -> list[Column]:
     variety = F.size(F.array_distinct(F.split(_digits(v), ""))) if kind != "email" else F.length(F.regexp_replace(v, r"@.*", ""))
     longest = {"email": 80, "ip": 15, "card": 23, "phone": 22, "secret": 128, "national_id": 11, "local_phone": 14}[kind]
     strict, length = vote(_valid(kind, v)), F.length(v) <= longest
-    if kind == "secret":  # letters beyond hexadecimal in a row look like words; this is one vote, and not against known prefixes
-        wordy = v.rlike(r"(?i)[g-z]{5}") & ~v.rlike(f"^{_PREFIX}")
+    if kind == "secret":  # letters of one case beyond hexadecimal in a row look like words; this is one vote, and not against known prefixes
+        wordy = v.rlike(r"[g-z]{5}|[G-Z]{5}") & ~v.rlike(f"^{_PREFIX}")
         strict, length = vote(_valid(kind, v) & ~wordy), F.length(v).between(16, longest)
     return [
         strict,
@@ -113,8 +120,27 @@ def _votes(kind: str, v: Column, before: Column, after: Column) -> list[Column]:
     ]
 
 
+def _features(v: Column, before: Column) -> Column:
+    n = F.greatest(F.char_length(v), F.lit(1))
+
+    def step(x: Column, a: float, b: float, c: float) -> Column:
+        return F.when(x < a, 0).when(x < b, 1).when(x < c, 2).otherwise(3)
+
+    changes = F.char_length(F.regexp_replace(F.regexp_replace(F.regexp_replace(v, "[A-Za-z]+", "a"), "[0-9]+", "0"), "[^a0]", ""))
+    wordy = F.char_length(F.regexp_extract(v, "[g-z]{3,}|[G-Z]{3,}", 0))
+    near = F.when(before.rlike(r"[=:\x22'(<]\x20?$"), 3).when(before.rlike(r"(?i)[a-z]\x20$"), 2).when(before.rlike(r"\s$"), 1).otherwise(0)
+    return F.array(
+        step(F.size(F.array_distinct(F.split(F.lower(v), ""))), 5, 9, 14),
+        step(F.char_length(F.regexp_replace(v, "[^0-9]", "")) / n, 0.05, 0.3, 0.7),
+        step(F.char_length(F.regexp_replace(v, "[^A-Z]", "")) / n, 0.01, 0.2, 0.6),
+        step(changes, 2, 5, 10),
+        step(wordy, 1, 5, 8),
+        near,
+    )
+
+
 def candidates(text: Column, kind: str) -> Column:
-    """array<struct<kind, start, stop, valid, votes>> of one kind's pattern in a non-null text."""
+    """array<struct<kind, start, stop, valid, votes, features>> of one kind's pattern in a non-null text."""
     pattern = PATTERNS[kind]
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     between = F.split(text, pattern, -1)
@@ -124,10 +150,10 @@ def candidates(text: Column, kind: str) -> Column:
         start = state.getField("at") + F.char_length(before)
         stop = start + F.char_length(value)
         near = F.right(before, F.lit(40))
-        one = F.struct(F.lit(kind).alias("kind"), start.cast("long").alias("start"), stop.cast("long").alias("stop"), _valid(kind, value).alias("valid"), F.array(*_votes(kind, value, near, F.left(after, F.lit(2)))).alias("votes"))
+        one = F.struct(F.lit(kind).alias("kind"), start.cast("long").alias("start"), stop.cast("long").alias("stop"), _valid(kind, value).alias("valid"), F.array(*_votes(kind, value, near, F.left(after, F.lit(2)))).alias("votes"), _features(value, near).alias("features"))
         return F.struct(stop.alias("at"), state.getField("between").alias("between"), state.getField("found").alias("found"), F.concat(state.getField("out"), F.array(one)).alias("out"))
 
-    empty = F.array().cast("array<struct<kind:string,start:bigint,stop:bigint,valid:boolean,votes:array<int>>>")
+    empty = F.array().cast("array<struct<kind:string,start:bigint,stop:bigint,valid:boolean,votes:array<int>,features:array<int>>>")
     start = F.struct(F.lit(0).alias("at"), between.alias("between"), found.alias("found"), empty.alias("out"))
     many = F.aggregate(F.sequence(F.lit(0), F.size(found) - 1), start, step, lambda s: s.getField("out"))
     return F.when(_NEEDS[kind](text) & text.rlike(pattern), many).otherwise(empty)
@@ -164,36 +190,58 @@ def reliabilities(patterns: list[tuple[str, tuple[int, ...], int]], rounds: int
     return q, p_vote
 
 
-def fit_classifier(patterns: list[tuple[str, tuple[int, ...], int]], rounds: int = 300) -> dict[tuple, float]:
-    """Logistic weights of ("kind", kind) and (labeler, vote), fitted to EM's probabilities by damped Newton steps."""
-    names = [("kind", k) for k in BASE + EXTRA] + list(itertools.product(LABELERS, (-1, 0, 1)))
+def fit_classifier(patterns: list[tuple[str, tuple[int, ...], tuple[int, ...], int]]) -> dict[tuple, float]:
+    """Logistic weights of ("kind", kind), (labeler, vote) and (feature, kind, step), fitted to EM's probabilities by damped Newton steps.
+
+    ``patterns``: kind, votes, features and how often they come together.
+    """
+    names = [("kind", k) for k in BASE + EXTRA] + list(itertools.product(LABELERS, (-1, 0, 1))) + [(f, k, u) for f in FEATURES for k in BASE + EXTRA for u in range(STEPS)]
     if not patterns:
         return dict.fromkeys(names, 0.0)
-    q, _ = reliabilities(patterns)
-    n = np.log1p(np.array([x[2] for x in patterns], float))
-    x = np.array([[float(k == a) for _, k in names[: len(BASE + EXTRA)]] + [float(v[LABELERS.index(f)] == u) for f, u in names[len(BASE + EXTRA) :]] for a, v, _ in patterns])
+    votes: dict[tuple, int] = {}
+    for kind, vote, _, count in patterns:
+        votes[kind, vote] = votes.get((kind, vote), 0) + count
+    q = dict(zip(votes, reliabilities([(*k, c) for k, c in votes.items()])[0]))
+    truth = np.array([q[kind, vote] for kind, vote, _, _ in patterns])
+    n = np.log1p(np.array([c for *_, c in patterns], float))
+    place = {name: i for i, name in enumerate(names)}
+    x = np.zeros((len(patterns), len(names)))
+    for row, (kind, vote, features, _) in enumerate(patterns):
+        x[row, place["kind", kind]] = 1
+        x[row, [place[labeler, u] for labeler, u in zip(LABELERS, vote)]] = 1
+        x[row, [place[f, kind, u] for f, u in zip(FEATURES, features)]] = 1
     w = np.zeros(len(names))
     for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        gradient = x.T @ (n * (p - q)) + 0.1 * w
+        gradient = x.T @ (n * (p - truth)) + 0.1 * w
         curve = (x.T * (n * p * (1 - p))) @ x + 0.1 * np.eye(len(w))
         w -= np.linalg.solve(curve, gradient)
     return dict(zip(names, w.tolist()))
 
 
+def _patterns(found: DataFrame) -> list[tuple[str, tuple[int, ...], tuple[int, ...], int]]:
+    """How often each kind, votes and features come together, summed in Spark: at most 3**6 times 4**6 rows a kind, whatever the corpus."""
+    spans = found.select(F.explode("found").alias("x")).groupBy("x.kind", "x.votes", "x.features").count()
+    return sorted((r[0], tuple(r[1]), tuple(r[2]), r[3]) for r in spans.collect())
+
+
 def _accepts(weights: dict[tuple, float], span: Column) -> Column:
-    score = F.lit(0.0)
-    for (name, value), w in weights.items():
-        held = span.getField("kind") == value if name == "kind" else F.get(span.getField("votes"), F.lit(LABELERS.index(name))) == value
-        score = score + F.when(held, w).otherwise(0.0)
-    return score > 0
+    """The classifier's decision: one lookup by kind, and one for each vote and feature."""
+    kinds = BASE + EXTRA
+    at = F.array_position(F.array(*map(F.lit, kinds)), span.getField("kind")).cast("int") - 1
+    score = F.get(F.array(*(F.lit(weights["kind", k]) for k in kinds)), at)
+    for i, labeler in enumerate(LABELERS):
+        score = score + F.get(F.array(*(F.lit(weights[labeler, u]) for u in (-1, 0, 1))), F.get(span.getField("votes"), F.lit(i)) + 1)
+    for i, f in enumerate(FEATURES):
+        table = F.array(*(F.lit(weights[f, k, u]) for k in kinds for u in range(STEPS)))
+        score = score + F.get(table, at * STEPS + F.get(span.getField("features"), F.lit(i)))
+    return F.coalesce(score > 0, F.lit(False))
 
 
 def find(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and spans (array of kind, start, stop, base), kinds in order, then by start. Texts are read once."""
     found = stage(all_candidates(documents, id_col=id_col, text_col=text_col), "pii")
-    rows = found.select(F.explode("found").alias("x")).groupBy("x.kind", "x.votes").count().collect()  # at most 7 * 3**6 rows
-    weights = fit_classifier(sorted((r[0], tuple(r[1]), r[2]) for r in rows))
+    weights = fit_classifier(_patterns(found))
     base = F.filter("found", lambda s: s.getField("kind").isin(*BASE) & s.getField("valid"))
     more = F.filter("found", lambda s: s.getField("kind").isin(*EXTRA) & s.getField("valid") & _accepts(weights, s) & ~F.exists(F.col("base"), lambda b: (b.getField("start") < s.getField("stop")) & (s.getField("start") < b.getField("stop"))))
 
@@ -208,11 +256,12 @@ def _named(spans: Column) -> Column:
 
 
 def digest(found: DataFrame) -> DataFrame:
+    """The contract's columns, and after them the number of spans of each further kind."""
+
     def count(kind: str) -> Column:
-        return F.size(F.filter("spans", lambda s: s.getField("base") & (s.getField("kind") == kind))).cast("long")
+        return F.size(F.filter("spans", lambda s: (s.getField("base") == F.lit(kind in BASE)) & (s.getField("kind") == kind))).cast("long").alias(f"n_{kind}")
 
-    counts = [count(k).alias(f"n_{k}") for k in BASE]
-    return found.select("doc_id", *counts, F.sha2(_named(F.filter("spans", lambda s: s.getField("base"))).cast("binary"), 256).alias("base_sha256"), _named(F.col("spans")).alias("spans"))
+    return found.select("doc_id", *map(count, BASE), F.sha2(_named(F.filter("spans", lambda s: s.getField("base"))).cast("binary"), 256).alias("base_sha256"), _named(F.col("spans")).alias("spans"), *map(count, EXTRA))
 
 
 def mask(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -220,11 +269,11 @@ def mask(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
 
     The classifier is fitted in a first pass; the second finds the spans of each text where it lies, without a join.
     """
-    rows = all_candidates(documents, id_col=id_col, text_col=text_col).select(F.explode("found").alias("x")).groupBy("x.kind", "x.votes").count().collect()
-    weights = fit_classifier(sorted((r[0], tuple(r[1]), r[2]) for r in rows))
+    weights = fit_classifier(_patterns(all_candidates(documents, id_col=id_col, text_col=text_col)))
     text = F.col(text_col)
     found = F.concat(*(candidates(F.coalesce(text, F.lit("")), k) for k in BASE + EXTRA))
-    kept = F.filter(F.col("__spans"), lambda s: s.getField("valid") & (s.getField("kind").isin(*BASE) | _accepts(weights, s)))
+    held = max(documents.columns, key=len) + "_spans"  # a name that no column has
+    kept = F.filter(F.col(held), lambda s: s.getField("valid") & (s.getField("kind").isin(*BASE) | _accepts(weights, s)))
     ordered = F.array_sort(F.transform(kept, lambda s: F.struct(s.getField("start").alias("start"), s.getField("stop").alias("stop"), s.getField("kind").alias("kind"))))
 
     def cut(state: Column, s: Column) -> Column:
@@ -235,8 +284,8 @@ def mask(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
 
     start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
     masked = F.aggregate(ordered, start, cut, lambda s: F.concat(s.getField("out"), F.substring(text, s.getField("at").cast("int") + 1, F.char_length(text))))
-    out = documents.withColumn("__spans", found)
-    return out.withColumn(text_col, F.when(F.size("__spans") > 0, masked).otherwise(text)).drop("__spans")
+    out = documents.withColumn(held, found)
+    return out.withColumn(text_col, F.when(F.size(held) > 0, masked).otherwise(text)).drop(held)
 
 
 def brute_force(text: str | None) -> list[tuple[str, int, int]]:
