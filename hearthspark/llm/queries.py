@@ -139,7 +139,7 @@ t{k} AS (SELECT a.host, a.typed, a.parts, a.n, a.labels, a.blocked, CASE WHEN a.
         for k in range(1, depth + 1)
     )
     return rf"""
-WITH u AS (SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+WITH RECURSIVE u AS (SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
 r AS (SELECT *, CASE {cases["name"]} END AS rule, CASE {cases["verdict"]} END AS label,
   array_to_string(list_transform(string_split(lower(path), '/'), lambda s: CASE WHEN regexp_matches(s, '^[0-9a-f]{{8,}}$') AND regexp_matches(s, '[0-9]') AND NOT regexp_matches(s, '^[0-9]+$') THEN '<hex>' WHEN length(s) > 40 THEN '<long>' ELSE regexp_replace(s, '[0-9]+', '<n>', 'g') END), '/') AS typed FROM u),
 t0 AS (SELECT host, typed, string_split(typed, '/') AS parts, count(*) AS n, count(label) AS labels, count(*) FILTER (WHERE label = 'block') AS blocked, '' AS prefix FROM r GROUP BY host, typed),{levels}
@@ -147,10 +147,12 @@ f AS (SELECT *, CASE WHEN len(parts) > {depth + 1} THEN prefix || '/' || array_t
 g AS (SELECT host, typed, template, n, labels, blocked, coalesce(string_split(template, '/')[2], '') AS branch, coalesce(array_to_string(string_split(template, '/')[3:], '/'), '') AS below FROM f),
 b AS (SELECT host, branch, sum(n) AS n, CASE WHEN sum(labels) > 0 THEN sum(blocked) / sum(labels) END AS rate FROM g GROUP BY host, branch),
 s AS (SELECT g.host, g.branch, below, sum(g.n) / any_value(b.n) AS share FROM g JOIN b ON g.host = b.host AND g.branch = b.branch GROUP BY g.host, g.branch, below),
-c AS (SELECT x.host, x.branch, y.branch AS other FROM s x JOIN s y ON x.host = y.host AND x.below = y.below AND x.branch > y.branch GROUP BY x.host, x.branch, y.branch HAVING sum(least(x.share, y.share)) >= 0.8),
-m AS (SELECT c.host, c.branch, min(c.other) AS into_branch FROM c JOIN b p ON c.host = p.host AND c.branch = p.branch JOIN b q ON c.host = q.host AND c.other = q.branch
-  WHERE (p.rate IS NULL AND q.rate IS NULL) OR abs(p.rate - q.rate) <= 0.2 GROUP BY c.host, c.branch),
-h AS (SELECT g.host, typed, labels, blocked, coalesce(into_branch, g.branch) AS branch, CASE WHEN into_branch IS NULL THEN template ELSE concat_ws('/', '', into_branch, nullif(below, '')) END AS template FROM g LEFT JOIN m ON g.host = m.host AND g.branch = m.branch),
+c AS (SELECT x.host, x.branch, y.branch AS other FROM s x JOIN s y ON x.host = y.host AND x.below = y.below AND x.branch <> y.branch GROUP BY x.host, x.branch, y.branch HAVING sum(least(x.share, y.share)) >= 0.8),
+m AS (SELECT c.host, c.branch, coalesce(min(c.other) FILTER (WHERE q.rate IS NOT NULL), min(c.other)) AS next FROM c JOIN b p ON c.host = p.host AND c.branch = p.branch JOIN b q ON c.host = q.host AND c.other = q.branch
+  WHERE CASE WHEN p.rate IS NULL THEN q.rate IS NOT NULL OR c.other < c.branch ELSE c.other < c.branch AND q.rate IS NOT NULL AND abs(p.rate - q.rate) <= 0.2 END GROUP BY c.host, c.branch),
+y AS (SELECT b.host, b.branch, b.branch AS into_branch FROM b LEFT JOIN m ON b.host = m.host AND b.branch = m.branch WHERE m.next IS NULL
+  UNION ALL SELECT m.host, m.branch, y.into_branch FROM m JOIN y ON m.host = y.host AND m.next = y.branch),
+h AS (SELECT g.host, typed, labels, blocked, into_branch AS branch, CASE WHEN into_branch = g.branch THEN template ELSE concat_ws('/', '', into_branch, nullif(below, '')) END AS template FROM g JOIN y ON g.host = y.host AND g.branch = y.branch),
 z AS (SELECT CASE WHEN sum(labels) > 0 THEN (sum(blocked) + 0.5) / (sum(labels) + 1.0) ELSE 0 END AS base FROM h),
 k AS (SELECT host, branch, (sum(blocked) + 5.0 * any_value(base)) / (sum(labels) + 5.0) AS branch_share FROM h, z GROUP BY host, branch),
 l AS (SELECT h.host, h.branch, h.template FROM h JOIN k ON h.host = k.host AND h.branch = k.branch GROUP BY h.host, h.branch, h.template HAVING (sum(blocked) + 5.0 * any_value(branch_share)) / (sum(labels) + 5.0) >= 0.9),

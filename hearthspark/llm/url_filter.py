@@ -3,7 +3,8 @@
 Paths become templates: digits, hexadecimal strings and long segments are typed, and all urls are summed up by host and
 typed path with the counts of rule labels, so everything after works on templates. Level by level, a segment that holds
 too small a share of a node with too many branches becomes a wildcard. Sibling branches are merged if the templates
-below them are distributed alike and their labels agree. A template's share of blocked labels is smoothed towards its
+below them are distributed alike and their labels agree; a branch without labels agrees with any, and goes to one that
+has labels if it can. So a template's labelled urls speak for its unlabelled ones too. A template's share of blocked labels is smoothed towards its
 branch's share, and that towards the share of all labels; a template is rejected if the smoothed share is high.
 
 Only DataFrame expressions run on the executors. Hot hosts are summed in each partition before any shuffle; urls meet
@@ -94,14 +95,18 @@ def templates(labelled: DataFrame, *, depth: int = 4, max_branches: int = 30, mi
     branches = tree.groupBy("host", "branch").agg(F.sum("n").alias("n"), F.sum("labels").alias("labels"), F.sum("blocked").alias("blocked"))
     shares = tree.groupBy("host", "branch", "below").agg(F.sum("n").alias("k")).join(branches, ["host", "branch"]).select("host", "branch", "below", (F.col("k") / F.col("n")).alias("share"))
     # branches of one host are few: at most max_branches and those of a large enough share, by the wildcards above
-    pairs = shares.join(shares.select("host", "below", F.col("branch").alias("other"), F.col("share").alias("other_share")), ["host", "below"]).filter("branch > other")
+    pairs = shares.join(shares.select("host", "below", F.col("branch").alias("other"), F.col("share").alias("other_share")), ["host", "below"]).filter("branch <> other")
     alike = pairs.groupBy("host", "branch", "other").agg(F.sum(F.least("share", "other_share")).alias("common")).filter(F.col("common") >= overlap)
-    rate = F.col("blocked") / F.col("labels")
-    rates = branches.select("host", "branch", F.when(F.col("labels") > 0, rate).alias("rate"))
+    rates = branches.select("host", "branch", F.when(F.col("labels") > 0, F.col("blocked") / F.col("labels")).alias("rate"))
     alike = alike.join(rates, ["host", "branch"]).join(rates.select("host", F.col("branch").alias("other"), F.col("rate").alias("other_rate")), ["host", "other"])
-    agree = (F.col("rate").isNull() & F.col("other_rate").isNull()) | (F.abs(F.col("rate") - F.col("other_rate")) <= max_gap)
-    merged = alike.filter(agree).groupBy("host", "branch").agg(F.min("other").alias("into"))
-    tree = tree.join(merged, ["host", "branch"], "left").withColumn("branch", F.coalesce("into", "branch"))
+    agree = F.when(F.col("rate").isNull(), F.col("other_rate").isNotNull() | (F.col("other") < F.col("branch"))).otherwise((F.col("other") < F.col("branch")) & (F.abs(F.col("rate") - F.col("other_rate")) <= max_gap))
+    into = F.coalesce(F.min(F.when(F.col("other_rate").isNotNull(), F.col("other"))), F.min("other"))
+    merged = alike.filter(F.coalesce(agree, F.lit(False))).groupBy("host", "branch").agg(into.alias("into"))
+    # labelled branches first, then by name, so that what a branch is merged into has its root before it
+    each = F.array_sort(F.collect_list(F.struct(F.col("rate").isNull().alias("bare"), "branch", "into")))
+    known = F.aggregate(each, F.create_map().cast("map<string,string>"), lambda m, x: F.map_concat(m, F.create_map(x.getField("branch"), F.coalesce(F.try_element_at(m, x.getField("into")), x.getField("branch")))))
+    roots = rates.join(merged, ["host", "branch"], "left").groupBy("host").agg(known.alias("known")).select("host", F.explode("known").alias("branch", "into")).filter("branch <> into")
+    tree = tree.join(roots, ["host", "branch"], "left").withColumn("branch", F.coalesce("into", "branch"))
     template = F.when(F.col("into").isNull(), F.col("template")).otherwise(F.concat_ws("/", F.lit(""), "into", F.when(F.length("below") > 0, F.col("below"))))
     return tree.select("host", "typed", template.alias("template"), "branch", "n", "labels", "blocked")
 
