@@ -9,14 +9,14 @@ items all count, each under its own id; repeated documents give repeated rows; e
 results. Other columns of the documents are never read, whatever their names.
 
 The broadcast set is bounded: ``max_broadcast_windows`` windows at most are sent at once. A larger benchmark is split
-by items into as many blocks as it takes. Every block scans the texts as they came, and each row carries what earlier
+by items into as many blocks as it takes, two of which are on the driver at a time. Every block scans the texts as they came, and each row carries what earlier
 blocks found in it, so results don't depend on the number of blocks.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -134,11 +134,15 @@ def _count_words(text: str, cut: list[tuple[int, int]]) -> int:
     return sum(len(data[a:b].split()) for a, b in cut)
 
 
-def _scanned(docs: DataFrame, benchmark: DataFrame, *, text_col: str, item_col: str, item_text_col: str, n: int, limit: int) -> DataFrame:
-    """The documents, all columns as they are, with n_words, n_hit, items and spans as the struct ``__found``.
+Found = tuple[list[int], list[int], list[list[str]], list[list[tuple[int, int]]]]
+
+
+def _scanned(docs: DataFrame, benchmark: DataFrame, finish: Callable[[list[pa.Array], Found], pa.RecordBatch], schema: StructType, *, text_col: str, item_col: str, item_text_col: str, n: int, limit: int) -> DataFrame:
+    """What ``finish`` makes of some documents' columns and of their n_words, n_hit, items and spans.
 
     Every block scans the whole texts; what a row has from earlier blocks goes along with it and is united with the
-    new block's, so neither ids nor the order of blocks matter. Tables between two blocks are staged.
+    new block's, so neither ids nor the order of blocks matter. Tables between two blocks are staged. The last block's
+    pass also does the finishing, so a task has one Python worker.
     """
     spark = docs.sparkSession
     names, at = docs.columns, docs.columns.index(text_col)
@@ -147,9 +151,11 @@ def _scanned(docs: DataFrame, benchmark: DataFrame, *, text_col: str, item_col:
     block = next(blocks)
     first = True
     while block is not None:
+        following = next(blocks, None)
+        last = following is None
         known = spark.sparkContext.broadcast(WindowSet(block, n))
 
-        def scan(batches: Iterator[pa.RecordBatch], known=known, first=first) -> Iterator[pa.RecordBatch]:
+        def scan(batches: Iterator[pa.RecordBatch], known=known, first=first, last=last) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for lo in range(0, batch.num_rows, 2048):
                     part = batch.slice(lo, 2048)
@@ -172,14 +178,17 @@ def _scanned(docs: DataFrame, benchmark: DataFrame, *, text_col: str, item_col:
                             text = column[r].as_py()
                             cuts[r] = _union(text, before, cuts[r])
                             hits[r] = _count_words(text, cuts[r])
+                    if last:
+                        yield finish(part.columns[: len(names)], (total, hits, found, cuts))
+                        continue
                     cut = pa.array([[{"start": a, "end": b} for a, b in x] for x in cuts], _SPANS)
                     both = pa.StructArray.from_arrays([pa.array(total, pa.int64()), pa.array(hits, pa.int64()), pa.array(found, pa.list_(pa.string())), cut], ["n_words", "n_hit", "items", "spans"])
                     yield pa.RecordBatch.from_arrays([*part.columns[: len(names)], both], [*names, "__found"])
 
-        out = out.mapInArrow(scan, wide)
-        block = next(blocks, None)
-        if block is not None:
+        out = out.mapInArrow(scan, schema if last else wide)
+        if not last:
             out, first = stage(out, "decontaminated"), False
+        block = following
     return out
 
 
@@ -190,8 +199,14 @@ def occurrences(documents: DataFrame, benchmark: DataFrame, *, id_col: str = "do
     time. With more than one block, the documents are scanned once for each block.
     """
     docs = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    found = _scanned(docs, benchmark, text_col="text", item_col=item_col, item_text_col=item_text_col, n=n, limit=max_broadcast_windows)
-    return found.select("id", "__found.*")
+
+    def finish(columns: list[pa.Array], found: Found) -> pa.RecordBatch:
+        total, hits, items, cuts = found
+        cut = pa.array([[{"start": a, "end": b} for a, b in x] for x in cuts], _SPANS)
+        return pa.RecordBatch.from_arrays([columns[0], pa.array(total, pa.int64()), pa.array(hits, pa.int64()), pa.array(items, pa.list_(pa.string())), cut], ["id", "n_words", "n_hit", "items", "spans"])
+
+    schema = StructType([docs.schema["id"], *StructType.fromDDL(_FOUND).fields[0].dataType.fields])
+    return _scanned(docs, benchmark, finish, schema, text_col="text", item_col=item_col, item_text_col=item_text_col, n=n, limit=max_broadcast_windows)
 
 
 def decontaminate(documents: DataFrame, benchmark: DataFrame, *, action: str = "spans", id_col: str = "doc_id", text_col: str = "text", max_hit_share: float = 0.5, n: int = 10, max_broadcast_windows: int = 2_000_000) -> DataFrame:
@@ -201,29 +216,24 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, *, action: str = "
     and drops a document only if more than ``max_hit_share`` of its words are hit, or nothing is left. Both judge a
     document once, by the hits of the whole benchmark in the text as it came.
     """
-    found = _scanned(documents, benchmark, text_col=text_col, item_col="item_id", item_text_col="text", n=n, limit=max_broadcast_windows)
     names, at = documents.columns, documents.columns.index(text_col)
 
-    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep, texts = [], []
-            for text, x in zip(batch.column(at), batch.column(len(names)).to_pylist()):
-                text = text.as_py()
-                if x["n_hit"]:
-                    data, left, last = text.encode(), [], 0
-                    for y in x["spans"]:
-                        left.append(data[last : y["start"]])
-                        last = y["end"]
-                    text = b"".join([*left, data[last:]]).decode()
-                    keep.append(action == "spans" and x["n_hit"] <= max_hit_share * x["n_words"] and bool(text.strip()))
-                else:
-                    keep.append(True)
-                texts.append(text)
-            columns = list(batch.columns[: len(names)])
-            columns[at] = pa.array(texts, columns[at].type)
-            yield pa.RecordBatch.from_arrays(columns, names).filter(pa.array(keep, pa.bool_()))
-
-    return found.mapInArrow(clean, documents.schema)
+    def clean(columns: list[pa.Array], found: Found) -> pa.RecordBatch:
+        keep, texts = [], []
+        for text, total, hits, _, cuts in zip(columns[at], *found):
+            text = text.as_py()
+            if hits:
+                data, left, last = text.encode(), [], 0
+                for a, b in cuts:
+                    left.append(data[last:a])
+                    last = b
+                text = b"".join([*left, data[last:]]).decode()
+            keep.append(not hits or (action == "spans" and hits <= max_hit_share * total and bool(text.strip())))
+            texts.append(text)
+        columns = [*columns[:at], pa.array(texts, columns[at].type), *columns[at + 1 :]]
+        return pa.RecordBatch.from_arrays(columns, names).filter(pa.array(keep, pa.bool_()))
+
+    return _scanned(documents, benchmark, clean, documents.schema, text_col=text_col, item_col="item_id", item_text_col="text", n=n, limit=max_broadcast_windows)
 
 
 def digest(found: DataFrame) -> DataFrame:
