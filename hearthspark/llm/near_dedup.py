@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from . import spans
-from .common import stage
+from .common import discard, stage
 
 SYMBOLS, SYMBOL_BYTES = 32, 2
 #: Symbols of each chunk; with MAX_DISTANCE differing symbols, one of the chunks has at most one of them.
@@ -187,15 +187,18 @@ def components(edges: DataFrame, *, max_rounds: int = 60, max_broadcast_ids: int
     Each round gives every node the smallest label around it, then the label of that label; rounds are staged.
     """
     near = stage(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    state = stage(near.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("component")), "components")
+    table = state = stage(near.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("component")), "components")
     for _ in range(max_rounds):
         known = _bounded(state, max_broadcast_ids)
         hooked = near.join(known.select(F.col("id").alias("b"), F.col("component").alias("c")), "b").groupBy(F.col("a").alias("id")).agg(F.min("c").alias("m"))
         hooked = hooked.join(known.withColumnRenamed("component", "was"), "id").withColumn("m", F.least("m", "was"))
         up = known.select(F.col("id").alias("m"), F.col("component").alias("up"))
         after = stage(hooked.join(up, "m").select("id", F.least("m", "up").alias("component"), "was"), "components")
-        state = after.select("id", "component")
-        if not after.filter("component < was").head(1):
+        settled = not after.filter("component < was").head(1)
+        discard(table)
+        table, state = after, after.select("id", "component")
+        if settled:
+            discard(near)
             return state
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
@@ -225,10 +228,12 @@ def _class_links(classes: DataFrame, docs: DataFrame, shingle: int, percent: int
     # staged, so that the next join has a plain shuffle on either side and Spark can split a hot key
     shared = stage(keyed.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1").select("key"), "shared")
     members = stage(keyed.join(shared, "key").select("key", "id"), "members")
+    discard(shared)
     nodes = stage(members.select("id").distinct(), "nodes")
     sets = stage(set_table(docs.join(_bounded(nodes, most), "id", "left_semi"), shingle=shingle), "sets")
     if sets.count() > nodes.count():  # repeated rows
         sets = stage(sets.dropDuplicates(["id"]), "sets")
+    discard(nodes)
     # a link needs percent of a document's shingles in other documents
     live = stage(shared_sizes(sets).filter(100 * F.col("c") >= percent * F.col("n")), "live")
     members = stage(members.join(_bounded(live, most), "id"), "members")
@@ -264,6 +269,7 @@ def _class_links(classes: DataFrame, docs: DataFrame, shingle: int, percent: int
     other = extra.select("b", "x", *(F.col(c).alias(d) for c, d in _OTHER.items()))
     pairs = pairs.union(extra.join(other, ["b", "x"]).filter((F.col("a") < F.col("a2")) & _apart(more, percent)).select("a", "a2"))
     pairs = stage(pairs.select(F.least("a", "a2").alias("a"), F.greatest("a", "a2").alias("b")).distinct(), "pairs")
+    discard(met, extra)
     return links.union(stage(verify(pairs, sets, percent=percent).filter("linked").select("a", "b"), "links"))
 
 
