@@ -13,7 +13,7 @@ _M_PER_DEGREE = EARTH_RADIUS_M * math.pi / 180
 
 def haversine_m(lat1: Column, lng1: Column, lat2: Column, lng2: Column) -> Column:
     a = F.pow(F.sin(F.radians(lat2 - lat1) / 2), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(F.radians(lng2 - lng1) / 2), 2)
-    return 2 * EARTH_RADIUS_M * F.asin(F.least(F.lit(1.0), F.sqrt(a)))
+    return 2 * EARTH_RADIUS_M * F.asin(F.when(a > 1, 1.0).otherwise(F.sqrt(a)))  # null where a coordinate is
 
 
 def bbox(lat: Column, lng: Column, radius_m: float) -> Column:
@@ -28,41 +28,71 @@ def in_box(lat: Column, lng: Column, lat0: float = 49.0, lng0: float = -8.8, lat
     return lat.between(lat0, lat1) & lng.between(lng0, lng1)
 
 
-def within_radius(points: DataFrame, others: DataFrame, radius_m: float, *, id_col: str = "point_id", max_lat: float = 75.0) -> DataFrame:
+def _columns_in_band(band: Column, high: float) -> Column:
+    """How many cells, each at least ``high`` degrees of latitude wide on the ground, go round a band of latitude."""
+    far = F.least(F.greatest(F.abs(band), F.abs(band + 1)) * high, F.lit(90.0))
+    return F.greatest(F.lit(1), F.floor(360 * F.cos(F.radians(far)) / high)).cast("long")
+
+
+def _cell(lat: Column, lng: Column, high: float) -> Column:
+    band = F.floor(lat / high).cast("long")
+    wide = _columns_in_band(band, high)
+    return F.struct(band.alias("y"), F.pmod(F.floor((lng + 180) / 360 * wide).cast("long"), wide).alias("x"))
+
+
+def _cells_around(lat: Column, lng: Column, high: float) -> Column:
+    """The cells that anything within ``high`` degrees of latitude of a point can lie in, across poles and the date line."""
+    band = F.floor(lat / high).cast("long")
+    cos = F.cos(F.radians(F.least(F.abs(lat) + high, F.lit(90.0))))
+    reach = F.when(cos * 180 > high, F.lit(high) / cos).otherwise(180.0)
+
+    def row(b: Column) -> Column:
+        wide = _columns_in_band(b, high)
+        x0, x1 = F.floor((lng - reach + 180) / 360 * wide).cast("long"), F.floor((lng + reach + 180) / 360 * wide).cast("long")
+        return F.transform(F.sequence(x0, F.least(x1, x0 + wide - 1)), lambda x: F.struct(b.alias("y"), F.pmod(x, wide).alias("x")))
+
+    return F.flatten(F.transform(F.array(band - 1, band, band + 1), row))
+
+
+def within_radius(points: DataFrame, others: DataFrame, radius_m: float, *, id_col: str = "point_id") -> DataFrame:
     """Every pair (point, other) up to ``radius_m`` apart, with distance_m. Both sides have lat and lng.
 
-    Cells are at least a radius wide at every latitude up to ``max_lat``, so partners lie in the point's cell or one of
-    the eight around it: an equality join on cells, whose large partitions Spark splits, and a filter.
+    Bands of latitude are a radius high, and each is cut into as many cells as are a radius wide there, so that partners
+    lie in a few cells of three bands at any latitude: an equality join on cells, whose large partitions Spark splits,
+    and a filter.
     """
     high = radius_m / _M_PER_DEGREE * 1.000001
-    wide = high / math.cos(math.radians(max_lat))
-    p = points.withColumn("__i", F.explode(F.array(*(F.struct((F.floor(F.col("lat") / high) + i).alias("y"), (F.floor(F.col("lng") / wide) + j).alias("x")) for i in (-1, 0, 1) for j in (-1, 0, 1)))))
-    o = others.select(*(F.col(c).alias(f"o_{c}" if c in points.columns else c) for c in others.columns), F.floor(F.col("lat") / high).alias("__y"), F.floor(F.col("lng") / wide).alias("__x"))
+    p = points.withColumn("__i", F.explode(_cells_around(F.col("lat"), F.col("lng"), high)))
+    o = others.select(*(F.col(c).alias(f"o_{c}" if c in points.columns else c) for c in others.columns), _cell(F.col("lat"), F.col("lng"), high).alias("__o"))
     olat, olng = ("o_lat", "o_lng") if "lat" in points.columns else ("lat", "lng")
-    joined = p.join(o, (F.col("__i.y") == F.col("__y")) & (F.col("__i.x") == F.col("__x")))
+    joined = p.join(o, (F.col("__i.y") == F.col("__o.y")) & (F.col("__i.x") == F.col("__o.x")))
     d = haversine_m(F.col("lat"), F.col("lng"), F.col(olat), F.col(olng))
-    return joined.withColumn("distance_m", d).filter(F.col("distance_m") <= radius_m).drop("__i", "__x", "__y")
+    return joined.withColumn("distance_m", d).filter(F.col("distance_m") <= radius_m).drop("__i", "__o")
 
 
-def nearest(points: DataFrame, others: DataFrame, k: int, *, other_id: str, start_m: float = 25_000.0, levels: int = 6, id_col: str = "point_id") -> DataFrame:
-    """The ``k`` nearest others of each point (ties by ``other_id``), with distance_m and rank.
+def nearest(points: DataFrame, others: DataFrame, k: int, *, other_id: str, id_col: str = "point_id") -> DataFrame:
+    """The ``k`` nearest others of each point (ties by ``other_id``), with distance_m and rank; fewer where there are fewer.
 
-    Radius joins of growing reach: a point that has ``k`` partners within a radius is done and leaves the next join.
-    Points with fewer than ``k`` others within the last radius (start * 4 ** (levels - 1)) get those there are.
+    Grids of cells that double in size are counted once. Each point takes the smallest cell around it that holds ``k``
+    others, so its partners lie within that cell's diagonal: dense places search short radii and sparse ones long radii.
     """
-    left, done = points, None
-    for level in range(levels):
-        near = within_radius(left, others, start_m * 4**level, id_col=id_col)
-        w = Window.partitionBy(id_col).orderBy("distance_m", other_id)
-        ranked = near.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-        full = ranked.withColumn("__n", F.count("*").over(Window.partitionBy(id_col)))
-        part = (full.filter(F.col("__n") >= k) if level + 1 < levels else full).drop("__n").checkpoint() if level + 1 < levels else full.drop("__n")
-        done = part if done is None else done.unionByName(part)
-        if level + 1 < levels:
-            left = left.join(part.select(id_col).distinct(), id_col, "left_anti")
-            if not left.head(1):
-                break
-    return done
+    extent = others.agg(F.count("*").alias("n"), (F.max("lat") - F.min("lat")).alias("h"), (F.max("lng") - F.min("lng")).alias("w")).first()
+    start = max(1e-4, math.sqrt(max(extent["h"] or 0.0, 1e-6) * max(extent["w"] or 0.0, 1e-6) * k / max(extent["n"], 1)) / 2)
+    sizes = [start]
+    while sizes[-1] < 360:
+        sizes.append(2 * sizes[-1])
+    cell = lambda i: F.struct(F.lit(i).alias("level"), F.floor((F.col("lat") + 90) / sizes[i]).alias("r"), F.floor((F.col("lng") + 180) / sizes[i]).alias("c"))
+    cells = F.explode(F.array(*map(cell, range(len(sizes)))))
+    full = others.select(cells.alias("cell")).groupBy("cell").agg(F.count("*").alias("n")).filter(F.col("n") >= k).select("cell")
+    level = points.select(id_col, cells.alias("cell")).join(full, "cell").groupBy(id_col).agg(F.min("cell.level").alias("__level"))
+    placed = points.join(level, id_col, "left").withColumn("__level", F.coalesce("__level", F.lit(len(sizes) - 1))).checkpoint()
+    near = None
+    for (i,) in sorted(placed.select("__level").distinct().collect()):  # one row a level
+        part = within_radius(placed.filter(F.col("__level") == i).drop("__level"), others, min(sizes[i] * math.sqrt(2), 180.0) * _M_PER_DEGREE, id_col=id_col)
+        near = part if near is None else near.unionByName(part)
+    if near is None:
+        near = within_radius(points, others, 1.0, id_col=id_col)
+    return near.withColumn("rank", F.row_number().over(Window.partitionBy(id_col).orderBy("distance_m", other_id))).filter(F.col("rank") <= k)
 
 
 def in_ring(x: Column, y: Column, ring: Column) -> Column:
@@ -78,14 +108,77 @@ def in_ring(x: Column, y: Column, ring: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(False), cross)
 
 
-def contains(points: DataFrame, polygons: DataFrame, *, cell: float = 0.5) -> DataFrame:
-    """Every pair of a point (lat, lng) and a polygon (ring) that holds it: join on the cells of each ring's box, then the exact test."""
-    xs, ys = F.transform("ring", lambda v: v.getField("x")), F.transform("ring", lambda v: v.getField("y"))
-    cells = F.flatten(F.transform(F.sequence(F.floor(F.array_min(ys) / cell), F.floor(F.array_max(ys) / cell)), lambda r: F.transform(F.sequence(F.floor(F.array_min(xs) / cell), F.floor(F.array_max(xs) / cell)), lambda c: F.struct(r.alias("r"), c.alias("c")))))
-    layer = polygons.withColumn("__cell", F.explode(cells))
+def ring_box(ring: Column) -> Column:
+    """struct<lat0, lng0, lat1, lng1> around a ring."""
+    xs, ys = F.transform(ring, lambda v: v.getField("x")), F.transform(ring, lambda v: v.getField("y"))
+    return F.struct(F.array_min(ys).alias("lat0"), F.array_min(xs).alias("lng0"), F.array_max(ys).alias("lat1"), F.array_max(xs).alias("lng1"))
+
+
+def _grid(box: Column, cell: float) -> Column:
+    rows = F.sequence(F.floor(box.getField("lat0") / cell), F.floor(box.getField("lat1") / cell))
+    columns = F.sequence(F.floor(box.getField("lng0") / cell), F.floor(box.getField("lng1") / cell))
+    return F.flatten(F.transform(rows, lambda r: F.transform(columns, lambda c: F.struct(r.alias("r"), c.alias("c")))))
+
+
+def boxes_meet(left: DataFrame, right: DataFrame, *, cell: float = 0.1) -> DataFrame:
+    """Every pair of rows whose boxes (struct columns ``box`` and ``area``) share a point: an equality join on grid cells.
+
+    A pair that shares several cells is taken in the one with the lower corner of what the boxes share.
+    """
+    a, b = left.withColumn("__a", F.explode(_grid(F.col("box"), cell))), right.withColumn("__b", F.explode(_grid(F.col("area"), cell)))
+    box, area = F.col("box"), F.col("area")
+    meet = (box.getField("lat0") <= area.getField("lat1")) & (area.getField("lat0") <= box.getField("lat1")) & (box.getField("lng0") <= area.getField("lng1")) & (area.getField("lng0") <= box.getField("lng1"))
+    low = [F.floor(F.greatest(box.getField(k), area.getField(k)) / cell) for k in ("lat0", "lng0")]
+    first = (F.col("__a.r") == low[0]) & (F.col("__a.c") == low[1])
+    return a.join(b, (F.col("__a.r") == F.col("__b.r")) & (F.col("__a.c") == F.col("__b.c"))).filter(meet & first).drop("__a", "__b")
+
+
+def inside(x: Column, y: Column, polygons: DataFrame) -> Column:
+    """Whether a point lies in the ring of a row of ``polygons`` and in none of its ``holes``, where it has that column."""
+    held = in_ring(x, y, F.col("ring"))
+    return held & ~F.coalesce(F.exists("holes", lambda h: in_ring(x, y, h)), F.lit(False)) if "holes" in polygons.columns else held
+
+
+def contains(points: DataFrame, polygons: DataFrame, *, cell: float = 0.1) -> DataFrame:
+    """Every pair of a point (lat, lng) and a polygon (ring, and holes if there are any) that holds it: join on the cells of each ring's box, the box test, then the exact test."""
+    layer = polygons.withColumn("area", ring_box(F.col("ring"))).withColumn("__cell", F.explode(_grid(F.col("area"), cell)))
     p = points.withColumn("__r", F.floor(F.col("lat") / cell)).withColumn("__c", F.floor(F.col("lng") / cell))
-    joined = p.join(layer, (F.col("__r") == F.col("__cell.r")) & (F.col("__c") == F.col("__cell.c")))
-    return joined.filter(in_ring(F.col("lng"), F.col("lat"), F.col("ring"))).drop("__cell", "__r", "__c")
+    boxed = F.col("lat").between(F.col("area.lat0"), F.col("area.lat1")) & F.col("lng").between(F.col("area.lng0"), F.col("area.lng1"))
+    joined = p.join(layer, (F.col("__r") == F.col("__cell.r")) & (F.col("__c") == F.col("__cell.c")) & boxed)
+    return joined.filter(inside(F.col("lng"), F.col("lat"), polygons)).drop("__cell", "__r", "__c", "area")
+
+
+def crosses_box(ring: Column, box: Column) -> Column:
+    """Whether an edge of a ring has a point in a box: each edge is clipped to the box's two ranges."""
+    n = F.size(ring)
+
+    def clipped(a: Column, b: Column, lo: Column, hi: Column) -> tuple[Column, Column]:
+        """The part of an edge (0 to 1) whose coordinate is in [lo, hi]; an empty one where none is."""
+        step = b - a
+        t0, t1 = (lo - a) / F.nullif(step, F.lit(0.0)), (hi - a) / F.nullif(step, F.lit(0.0))
+        flat = F.when(a.between(lo, hi), 0.0).otherwise(2.0)
+        return F.when(step == 0, flat).otherwise(F.least(t0, t1)), F.when(step == 0, 1.0).otherwise(F.greatest(t0, t1))
+
+    def edge(i: Column) -> Column:
+        a, b = F.get(ring, i), F.get(ring, F.pmod(i + 1, n))
+        x0, x1 = clipped(a.getField("x"), b.getField("x"), box.getField("lng0"), box.getField("lng1"))
+        y0, y1 = clipped(a.getField("y"), b.getField("y"), box.getField("lat0"), box.getField("lat1"))
+        return F.greatest(x0, y0, F.lit(0.0)) <= F.least(x1, y1, F.lit(1.0))
+
+    return F.exists(F.sequence(F.lit(0), n - 1), edge)
+
+
+def square(lat: Column, lng: Column, half: Column | float) -> Column:
+    """A box of ``half`` degrees on each side of a point, the same for both axes."""
+    return F.struct((lat - half).alias("lat0"), (lng - half).alias("lng0"), (lat + half).alias("lat1"), (lng + half).alias("lng1"))
+
+
+def meets(points: DataFrame, polygons: DataFrame, half: Column | float, *, cell: float = 0.1) -> DataFrame:
+    """Every pair of a point and a polygon (ring) that shares a point with the square of ``half`` degrees around it."""
+    boxed = points.withColumn("box", square(F.col("lat"), F.col("lng"), half))
+    pairs = boxes_meet(boxed, polygons.withColumn("area", ring_box(F.col("ring"))), cell=cell)
+    corner = in_ring(F.col("box.lng0"), F.col("box.lat0"), F.col("ring"))
+    return pairs.filter(crosses_box(F.col("ring"), F.col("box")) | corner).drop("box", "area")
 
 
 def centroid(ring: Column) -> Column:
@@ -94,6 +187,19 @@ def centroid(ring: Column) -> Column:
     return F.struct((F.aggregate(ring, F.lit(0.0), lambda s, v: s + v.getField("y")) / n).alias("lat"), (F.aggregate(ring, F.lit(0.0), lambda s, v: s + v.getField("x")) / n).alias("lng"))
 
 
+def feature_centroid(kind: Column, coordinates: Column) -> Column:
+    """struct<lat, lng> of a GeoJSON geometry (type, coordinates as JSON text): the point, or the mean of the first line or outer ring; null for others."""
+    depth = {"Point": 0, "LineString": 1, "MultiLineString": 2, "Polygon": 2, "MultiPolygon": 3}
+    line = None
+    for name, n in depth.items():
+        parsed = F.from_json(coordinates, "array<" * (n + 1) + "double" + ">" * (n + 1))
+        own = F.array(parsed) if n == 0 else parsed
+        for _ in range(n - 1):
+            own = F.get(own, F.lit(0))
+        line = F.when(kind == name, own) if line is None else line.when(kind == name, own)
+    return F.when(F.size(line) > 0, centroid(F.transform(line, lambda v: F.struct(F.get(v, F.lit(0)).alias("x"), F.get(v, F.lit(1)).alias("y")))))
+
+
 def category_counts(points: DataFrame, amenities: DataFrame, radius_m: float, categories: list, *, id_col: str = "point_id", category: str = "stop_type") -> DataFrame:
     """One row a point, one column a category: others within the radius, zero where there are none."""
     if not categories:
@@ -110,6 +216,34 @@ def nearest_by_category(points: DataFrame, amenities: DataFrame, radius_m: float
     return near.groupBy(id_col, category).agg(F.count("*").alias("n"), best.alias("b")).select(id_col, category, "n", F.col("b.name").alias("nearest"), F.bround("b.distance_m", 1).alias("nearest_m"))
 
 
+def listed_by_distance(points: DataFrame, others: DataFrame, radius_m: float, limit: int, *, other_id: str, id_col: str = "point_id") -> DataFrame:
+    """Per point: how many others lie within the radius, the nearest ``limit`` (ties by ``other_id``), and whether that left some out."""
+    near = within_radius(points.select(id_col, "lat", "lng"), others, radius_m)
+    ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy(id_col).orderBy("distance_m", other_id)))
+    totals = near.groupBy(id_col).agg(F.count("*").alias("total"))
+    return ranked.filter(F.col("rank") <= limit).join(totals, id_col).withColumn("truncated", F.col("total") > limit)
+
+
+def nearest_station(points: DataFrame, stations: DataFrame, radius_m: float, *, id_col: str = "point_id") -> DataFrame:
+    """Every point with its nearest station's name and distance (km, three decimals) and how many lie within the radius.
+
+    The nearest may lie beyond the radius; without any station all three are null.
+    """
+    best = nearest(points.select(id_col, "lat", "lng"), stations, 1, other_id="stop_id", id_col=id_col).select(id_col, F.col("name").alias("station"), F.bround(F.col("distance_m") / 1000, 3).alias("station_km"))
+    within = within_radius(points.select(id_col, "lat", "lng"), stations, radius_m, id_col=id_col).groupBy(id_col).agg(F.count("*").alias("stations"))
+    out = points.select(id_col).join(best, id_col, "left").join(within, id_col, "left")
+    return out.withColumn("stations", F.when(F.col("station").isNotNull(), F.coalesce("stations", F.lit(0))))
+
+
+def travel_matrix(origins: DataFrame, destinations: DataFrame, travel: DataFrame) -> DataFrame:
+    """Long form of a travel-time matrix: every requested pair of a request's origins and destinations, with its duration and distance or nulls.
+
+    A request (``request``) has a list of origins and one of destinations, as a service takes them; pairs are made within a request.
+    """
+    pairs = origins.join(destinations, "request")
+    return pairs.join(travel, ["origin", "destination"], "left")
+
+
 def grid_cells(points: DataFrame, step: float) -> DataFrame:
     """Points a cell, with the cell's centre, area (km2) and density."""
     cells = points.groupBy(F.floor(F.col("lat") / step).alias("row"), F.floor(F.col("lng") / step).alias("col")).agg(F.count("*").alias("n"))
@@ -150,6 +284,22 @@ def latest_readings(stations: DataFrame, readings: DataFrame, start: Column, end
     return stations.join(last, "sensor")
 
 
+def stations_near(points: DataFrame, stations: DataFrame, radius_m: float, *, pollutants: tuple[str, ...] | None = None, most: int | None = None, id_col: str = "point_id") -> DataFrame:
+    """Stations (sensor, pollutant, lat, lng) within the radius, of the given pollutants, the nearest ``most`` a point."""
+    wanted = stations.filter(F.col("pollutant").isin(*pollutants)) if pollutants else stations
+    near = within_radius(points.select(id_col, "lat", "lng"), wanted, radius_m, id_col=id_col)
+    if most is None:
+        return near
+    return near.withColumn("rank", F.row_number().over(Window.partitionBy(id_col).orderBy("distance_m", "sensor"))).filter(F.col("rank") <= most)
+
+
+def elevations(points: DataFrame, grid: DataFrame, step: float) -> DataFrame:
+    """Every point with the elevation of the grid node (node_lat, node_lng, elevation) it snaps to; null off the grid. Rows keep their ``ordinal``."""
+    snap = lambda c: F.bround(F.col(c) / step, 0).cast("long")
+    nodes = grid.select(F.bround(F.col("node_lat") / step, 0).cast("long").alias("__y"), F.bround(F.col("node_lng") / step, 0).cast("long").alias("__x"), "elevation")
+    return points.withColumn("__y", snap("lat")).withColumn("__x", snap("lng")).join(nodes, ["__y", "__x"], "left").drop("__y", "__x")
+
+
 def flood_warnings(points: DataFrame, warnings: DataFrame, radius_m: float, *, id_col: str = "point_id") -> DataFrame:
     """Active warnings within the radius and the worst of them (the smallest severity level); zero and null without any."""
     near = within_radius(points.select(id_col, "lat", "lng"), warnings, radius_m).groupBy(id_col).agg(F.count("*").alias("warnings"), F.min(F.col("severity").try_cast("int")).alias("worst"))
