@@ -43,13 +43,26 @@ def nearest(sales: DataFrame, certificates: DataFrame, key: str, *, max_days: in
 
 
 def enrich(ppd: DataFrame, epc: DataFrame, *, max_days: int = 5 * 365, prefer_before_sale: bool = True, postcode_fallback: bool = False) -> DataFrame:
-    """Every sale with its certificate's fields and match_quality (exact_address, postcode_only or none)."""
+    """Every sale with its certificate's fields and match_quality (exact_address, postcode_only or none).
+
+    Both tiers are one join on tagged keys: an address match outranks any postcode match in the aggregate, so sales and
+    certificates are read once each, and a certificate meets only sales within ``max_days``. An ``ordinal`` column of the
+    sales passes through, by which a sink can restore their order.
+    """
     sales, certificates = prepare_sales(ppd), prepare_certificates(epc)
-    how = {"max_days": max_days, "prefer_before_sale": prefer_before_sale}
-    hits = nearest(sales, certificates, "address_key", **how).withColumn("match_quality", F.lit("exact_address"))
-    if postcode_fallback:
-        left = sales.join(hits.select("transaction_id"), "transaction_id", "left_anti")
-        hits = hits.unionByName(nearest(left, certificates, "postcode_norm", **how).withColumn("match_quality", F.lit("postcode_only")))
+    tiers = [(0, "address_key")] + ([(1, "postcode_norm")] if postcode_fallback else [])
+
+    def tagged(rows: DataFrame, columns: list) -> DataFrame:
+        keys = F.filter(F.array(*(F.struct(F.lit(k).alias("tier"), F.col(c).alias("key")) for k, c in tiers)), lambda x: x.getField("key").isNotNull())
+        return rows.withColumn("__k", F.explode(keys)).select(F.col("__k.tier").alias("tier"), F.col("__k.key").alias("key"), *columns)
+
+    left = tagged(sales.filter("sale_date is not null"), ["transaction_id", "sale_date"])
+    right = tagged(certificates, list(EPC_FIELDS))
+    days = F.datediff("inspection_date", "sale_date")
+    near = left.join(right, ["tier", "key"]).filter(F.abs(days) <= max_days)
+    after = F.when(days > 0, 1).otherwise(0) if prefer_before_sale else F.lit(0)
+    best = F.min(F.struct("tier", after.alias("after"), F.abs(days).alias("days"), "lmk_key", "inspection_date", "floor_area_sqm", "energy_rating", "energy_efficiency"))
+    hits = near.groupBy("transaction_id").agg(best.alias("x")).select("transaction_id", *(F.col(f"x.{c}").alias(c) for c in EPC_FIELDS), F.when(F.col("x.tier") == 0, "exact_address").otherwise("postcode_only").alias("match_quality"))
     return sales.join(hits, "transaction_id", "left").withColumn("match_quality", F.coalesce("match_quality", F.lit("none")))
 
 

@@ -10,9 +10,12 @@ import math
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import valuation
+
 CATEGORIES = ("property_type", "tenure", "area", "age_band")
 MIN_ROWS, MIN_QUANTILE_ROWS, MIN_TREE_ROWS = 20, 30, 50
 
@@ -53,15 +56,18 @@ class Linear:
         return out
 
 
-def fit_linear(frame: DataFrame, *, y: str = "log_price", numbers: tuple[str, ...] = ("log_floor", "eff"), categories: tuple[str, ...] = CATEGORIES, weight: Column | None = None, shift: Column | None = None, ridge: float = 0.0) -> Linear | None:
-    """Minimum-norm least squares (weighted), from one aggregation; ``shift`` is added to the weighted response."""
-    w = weight if weight is not None else F.lit(1.0)
-    target = F.col(y) * w + (shift if shift is not None else F.lit(0.0))
-    sums = [F.count("*").alias("rows"), F.sum(w).alias("w"), F.sum(target).alias("y")]
+def _sums(numbers: tuple[str, ...], y: str, weight: Column, shift: Column, tag: str = "") -> list[Column]:
+    """What one model needs of each group: weight, weighted response, and their products with the numbers."""
+    target = F.col(y) * weight + shift
+    out = [F.sum(weight).alias(f"{tag}w"), F.sum(target).alias(f"{tag}y")]
     for i, a in enumerate(numbers):
-        sums += [F.sum(F.col(a) * w).alias(f"s{i}"), F.sum(F.col(a) * target).alias(f"y{i}")]
-        sums += [F.sum(F.col(a) * F.col(numbers[j]) * w).alias(f"s{i}_{j}") for j in range(i, len(numbers))]
-    groups = frame.groupBy(*categories).agg(*sums).collect()  # one row a combination of category levels
+        out += [F.sum(F.col(a) * weight).alias(f"{tag}s{i}"), F.sum(F.col(a) * target).alias(f"{tag}y{i}")]
+        out += [F.sum(F.col(a) * F.col(numbers[j]) * weight).alias(f"{tag}s{i}_{j}") for j in range(i, len(numbers))]
+    return out
+
+
+def _solved(groups: list, numbers: tuple[str, ...], categories: tuple[str, ...], ridge: float = 0.0, tag: str = "") -> Linear | None:
+    """Minimum-norm least squares from the sums of each combination of category levels."""
     rows = sum(g["rows"] for g in groups)
     if not rows:
         return None
@@ -71,21 +77,60 @@ def fit_linear(frame: DataFrame, *, y: str = "log_price", numbers: tuple[str, ..
     gram, right = np.zeros((size, size)), np.zeros(size)
     for g in groups:
         ones = [0] + [at[c, g[c]] for c in categories if g[c] is not None]
-        gram[np.ix_(ones, ones)] += g["w"]
-        right[ones] += g["y"]
+        gram[np.ix_(ones, ones)] += g[f"{tag}w"]
+        right[ones] += g[f"{tag}y"]
         for i in range(len(numbers)):
-            gram[1 + i, ones] += g[f"s{i}"]
-            gram[ones, 1 + i] += g[f"s{i}"]
-            right[1 + i] += g[f"y{i}"]
+            gram[1 + i, ones] += g[f"{tag}s{i}"]
+            gram[ones, 1 + i] += g[f"{tag}s{i}"]
+            right[1 + i] += g[f"{tag}y{i}"]
             for j in range(i, len(numbers)):
-                gram[1 + i, 1 + j] += g[f"s{i}_{j}"]
+                gram[1 + i, 1 + j] += g[f"{tag}s{i}_{j}"]
                 if i != j:
-                    gram[1 + j, 1 + i] += g[f"s{i}_{j}"]
+                    gram[1 + j, 1 + i] += g[f"{tag}s{i}_{j}"]
     if ridge:
         gram[1:, 1:] += ridge * rows * np.eye(size - 1)
     b = np.linalg.lstsq(gram, right, rcond=1e-10)[0]
     effects = {c: {v: float(b[at[c, v]]) for cc, v in levels if cc == c} for c in categories}
-    return Linear(numbers, float(b[0]), {n: float(b[1 + i]) for i, n in enumerate(numbers)}, effects, rows)
+    return Linear(numbers, float(b[0]), {n: float(b[1 + i]) for i, n in enumerate(numbers)}, effects, int(rows))
+
+
+def fit_linear(frame: DataFrame, *, y: str = "log_price", numbers: tuple[str, ...] = ("log_floor", "eff"), categories: tuple[str, ...] = CATEGORIES) -> Linear | None:
+    """Minimum-norm least squares from one aggregation; one row a combination of category levels reaches the driver."""
+    groups = frame.groupBy(*categories).agg(F.count("*").alias("rows"), *_sums(numbers, y, F.lit(1.0), F.lit(0.0))).collect()
+    return _solved(groups, numbers, categories)
+
+
+def fit_by_segment(frame: DataFrame, segment: str = "area", *, numbers: tuple[str, ...] = ("log_floor", "eff"), categories: tuple[str, ...] = ("property_type", "tenure", "age_band"), min_rows: int = MIN_ROWS) -> DataFrame:
+    """One least-squares model a segment: segment, rows, intercept, slopes and effects (maps; effects by "category=level").
+
+    Spark sums rows by segment and category combination; each segment's few sums are solved in a task of their own.
+    Segments under ``min_rows`` have no model.
+    """
+    groups = frame.groupBy(segment, *categories).agg(F.count("*").alias("rows"), *_sums(numbers, "log_price", F.lit(1.0), F.lit(0.0)))
+
+    def solve(part: pd.DataFrame) -> pd.DataFrame:
+        rows = part.astype(object).where(part.notna(), None).to_dict("records")
+        model = _solved(rows, numbers, categories)
+        if model is None or model.rows < min_rows:
+            return pd.DataFrame({"segment": part[segment][:0], "rows": np.empty(0, np.int64), "intercept": np.empty(0), "slopes": [], "effects": []})
+        effects = {f"{c}={v}": b for c, levels in model.effects.items() for v, b in levels.items()}
+        return pd.DataFrame({"segment": [rows[0][segment]], "rows": [model.rows], "intercept": [model.intercept], "slopes": [model.slopes], "effects": [effects]})
+
+    kind = frame.schema[segment].dataType.simpleString()
+    solved = groups.filter(F.col(segment).isNotNull()).groupBy(segment).applyInPandas(solve, f"segment {kind}, rows long, intercept double, slopes map<string,double>, effects map<string,double>")
+    return solved.withColumnRenamed("segment", segment)
+
+
+def predict_by_segment(rows: DataFrame, models: DataFrame, segment: str = "area", *, numbers: tuple[str, ...] = ("log_floor", "eff"), categories: tuple[str, ...] = ("property_type", "tenure", "age_band")) -> DataFrame:
+    """Rows with log_estimate by their segment's model; null where the segment has none."""
+    m = models.select(segment, F.struct("intercept", "slopes", "effects").alias("__m"))
+    out = rows.join(m, segment, "left")
+    fit = F.col("__m.intercept")
+    for n in numbers:
+        fit = fit + F.col(n) * F.try_element_at("__m.slopes", F.lit(n))
+    for c in categories:
+        fit = fit + F.coalesce(F.try_element_at("__m.effects", F.concat(F.lit(f"{c}="), F.col(c))), F.lit(0.0))
+    return out.withColumn("log_estimate", fit).drop("__m")
 
 
 @dataclass
@@ -109,54 +154,155 @@ def fit_hedonic(sales: DataFrame, *, categories: tuple[str, ...] = CATEGORIES) -
     return Hedonic(model, q[0], q[1], means)
 
 
+def _features(rows: DataFrame, means: dict[str, float], *, compat: bool = False) -> DataFrame:
+    """log_floor and eff of rows to predict; missing numbers are the training medians and means."""
+    centre = 0.0 if compat else means["efficiency"]
+    eff = F.coalesce(F.col("energy_efficiency").cast("double"), F.lit(means["efficiency"])) - centre
+    return rows.withColumns({"log_floor": F.log(F.coalesce(F.when(F.col("floor_area_sqm") > 0, F.col("floor_area_sqm")), F.lit(means["floor"]))), "eff": eff})
+
+
+def _priced(rows: DataFrame, low: Column, mid: Column, high: Column, size: int, methodology: str) -> DataFrame:
+    pounds = lambda c: F.bround(c, 0).cast("long")
+    confidence = "high" if size >= 50 else "medium" if size >= 20 else "low"
+    basis = next((b for n, b in BASES if size >= n), "area_only")
+    return rows.withColumns({
+        "estimate_gbp": pounds(mid), "low_gbp": pounds(F.least(low, high)), "high_gbp": pounds(F.greatest(low, high)), "confidence": F.lit(confidence), "basis": F.lit(basis),
+        "comparables_used": F.lit(size).cast("long"), "methodology": F.lit(methodology),
+    }).drop("log_floor", "eff")
+
+
+# The basis that stands for a training pool's size.
+BASES = ((100, "postcode_type"), (50, "postcode_area"), (25, "area_type"))
+# Names of methods in the methodology column.
+MEAN, QUANTILE, TREES = "hedonic-log-price", "quantile-hedonic-log-price", "gbm-hedonic-log-price"
+
+
 def predict_hedonic(rows: DataFrame, model: Hedonic, *, compat: bool = False) -> DataFrame:
-    """estimate_gbp, low_gbp, high_gbp, confidence and basis; missing numbers are the training medians and means.
+    """estimate_gbp, low_gbp, high_gbp, confidence, basis, comparables_used and methodology; missing numbers are the training medians and means.
 
     ``compat`` leaves efficiencies uncentred, as historic predictions did.
     """
-    centre = 0.0 if compat else model.means["efficiency"]
-    eff = F.coalesce(F.col("energy_efficiency").cast("double"), F.lit(model.means["efficiency"])) - centre
-    z = rows.withColumns({"log_floor": F.log(F.coalesce(F.when(F.col("floor_area_sqm") > 0, F.col("floor_area_sqm")), F.lit(model.means["floor"]))), "eff": eff})
     fit = F.exp(model.linear.predict())
-    size = model.linear.rows
-    return z.withColumns({
-        "estimate_gbp": F.bround(fit, 0).cast("long"), "low_gbp": F.bround(fit * math.exp(model.low), 0).cast("long"), "high_gbp": F.bround(fit * math.exp(model.high), 0).cast("long"),
-        "confidence": F.lit("high" if size >= 200 else "medium" if size >= 50 else "low"), "basis": F.lit("hedonic"),
-    }).drop("log_floor", "eff")
+    return _priced(_features(rows, model.means, compat=compat), fit * math.exp(model.low), fit, fit * math.exp(model.high), model.linear.rows, f"{MEAN} (PPD+EPC)")
 
 
-def fit_quantiles(frame: DataFrame, quantiles: tuple[float, ...] = (0.1, 0.5, 0.9), *, categories: tuple[str, ...] = CATEGORIES, rounds: int = 12, ridge: float = 1e-6) -> dict[float, Linear] | None:
-    """Linear quantile models by majorise-minimise: each round is one weighted least-squares aggregation; None under 30 rows."""
+@dataclass
+class Quantiles:
+    models: dict[float, Linear]
+    means: dict[str, float]
+
+
+def fit_quantiles(sales: DataFrame, quantiles: tuple[float, ...] = (0.1, 0.5, 0.9), *, categories: tuple[str, ...] = CATEGORIES, rounds: int = 12, ridge: float = 1e-6) -> Quantiles | None:
+    """Linear quantile models by majorise-minimise; None under 30 rows or without floor areas.
+
+    Each round is one aggregation that has the weighted sums of all quantiles.
+    """
+    made = training_frame(sales)
+    if made is None:
+        return None
+    frame, means = made
+    numbers = ("log_floor", "eff")
     start = fit_linear(frame, categories=categories)
     if start is None or start.rows < MIN_QUANTILE_ROWS:
         return None
-    out = {}
-    for q in quantiles:
-        model = start
-        for _ in range(rounds):
-            w = 1.0 / (F.abs(F.col("log_price") - model.predict()) + 1e-3)
-            model = fit_linear(frame, categories=categories, weight=w, shift=F.lit(2 * q - 1), ridge=ridge)
-        out[q] = model
-    return out
+    found = dict.fromkeys(quantiles, start)
+    for _ in range(rounds):
+        sums = [F.count("*").alias("rows")]
+        for k, q in enumerate(quantiles):
+            sums += _sums(numbers, "log_price", 1.0 / (F.abs(F.col("log_price") - found[q].predict()) + 1e-3), F.lit(2 * q - 1), f"q{k}_")
+        groups = frame.groupBy(*categories).agg(*sums).collect()  # one row a combination of category levels
+        found = {q: _solved(groups, numbers, categories, ridge, f"q{k}_") for k, q in enumerate(quantiles)}
+    return Quantiles(found, means)
+
 
+def predict_quantiles(rows: DataFrame, model: Quantiles) -> DataFrame:
+    """The columns of ``predict_hedonic``, low, mid and high sorted so that they never cross."""
+    p = F.array_sort(F.array(*(F.exp(m.predict()) for m in model.models.values())))
+    low, mid, high = (F.get(p, F.lit(k)) for k in range(3))
+    named = "/".join(f"{q:.2f}" for q in model.models)
+    return _priced(_features(rows, model.means), low, mid, high, next(iter(model.models.values())).rows, f"{QUANTILE} (PPD+EPC, q={named})")
 
-def predict_quantiles(rows: DataFrame, models: dict[float, Linear]) -> DataFrame:
-    """low, mid and high in pounds, sorted so that they never cross; rows need log_floor and eff."""
-    p = F.array_sort(F.array(*(F.exp(m.predict()) for m in models.values())))
-    return rows.withColumns({a: F.bround(F.get(p, F.lit(k)), 0).cast("long") for k, a in enumerate(("low_gbp", "estimate_gbp", "high_gbp"))})
 
+@dataclass
+class Trees:
+    model: object
+    low: float
+    high: float
+    rows: int
+    means: dict[str, float]
+    quantiles: tuple[float, float, float]
 
-def fit_trees(frame: DataFrame, *, categories: tuple[str, ...] = CATEGORIES, iterations: int = 20, depth: int = 4, seed: int = 7):
-    """Boosted trees for the median by Spark ML's absolute loss. Spark has neither a quantile loss nor monotone constraints."""
+
+def fit_trees(sales: DataFrame, quantiles: tuple[float, float, float] = (0.1, 0.5, 0.9), *, categories: tuple[str, ...] = CATEGORIES, iterations: int = 20, depth: int = 4, seed: int = 7) -> Trees | None:
+    """Boosted trees for the median by Spark ML's absolute loss, with a band from the residuals of a held-out fifth; None under 50 rows.
+
+    Spark has neither a quantile loss nor monotone constraints, so the band is the same share of every estimate, and rising
+    floor area is checked (``rises``) and not imposed.
+    """
     from pyspark.ml import Pipeline
     from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
     from pyspark.ml.regression import GBTRegressor
 
+    made = training_frame(sales)
+    if made is None:
+        return None
+    frame, means = made
+    frame = frame.withColumn("__held", F.pmod(F.xxhash64(F.col("transaction_id").cast("string")), F.lit(5)) == 0)
+    rows = frame.count()
+    if rows < MIN_TREE_ROWS:
+        return None
     names = [f"__i_{c}" for c in categories]
     index = StringIndexer(inputCols=list(categories), outputCols=names, handleInvalid="keep")
     hot = OneHotEncoder(inputCols=names, outputCols=[f"__h_{c}" for c in categories], dropLast=False)
     join = VectorAssembler(inputCols=["log_floor", "eff", *(f"__h_{c}" for c in categories)], outputCol="features")
-    return Pipeline(stages=[index, hot, join, GBTRegressor(labelCol="log_price", lossType="absolute", maxIter=iterations, maxDepth=depth, seed=seed)]).fit(frame)
+    pipe = Pipeline(stages=[index, hot, join, GBTRegressor(labelCol="log_price", lossType="absolute", maxIter=iterations, maxDepth=depth, seed=seed)])
+    model = pipe.fit(frame.filter("not __held"))
+    left = model.transform(frame.filter("__held")).select(F.percentile(F.col("log_price") - F.col("prediction"), F.array(F.lit(quantiles[0]), F.lit(quantiles[2]))).alias("q")).first()["q"]
+    low, high = left if left else (0.0, 0.0)
+    return Trees(model, low, high, rows, means, quantiles)
+
+
+def predict_trees(rows: DataFrame, trees: Trees) -> DataFrame:
+    """The columns of ``predict_hedonic``."""
+    fitted = trees.model.transform(_features(rows, trees.means))
+    fit = F.exp("prediction")
+    named = "/".join(f"{q:.2f}" for q in trees.quantiles)
+    out = _priced(fitted, fit * math.exp(trees.low), fit, fit * math.exp(trees.high), trees.rows, f"{TREES} (PPD+EPC, q={named})")
+    return out.select(*rows.columns, *ESTIMATE)
+
+
+ESTIMATE = ("estimate_gbp", "low_gbp", "high_gbp", "confidence", "basis", "comparables_used", "methodology")
+
+
+def rises(rows: DataFrame, trees: Trees, *, factor: float = 1.1) -> DataFrame:
+    """How many rows' estimates fall if their floor area grows by ``factor``: the check in place of a monotone constraint."""
+    base = predict_trees(rows, trees).select("transaction_id", F.col("estimate_gbp").alias("now"))
+    more = predict_trees(rows.withColumn("floor_area_sqm", F.col("floor_area_sqm") * factor), trees).select("transaction_id", F.col("estimate_gbp").alias("then"))
+    return base.join(more, "transaction_id").agg(F.count("*").alias("rows"), F.count_if(F.col("then") < F.col("now")).alias("falls"))
+
+
+def value(rows: DataFrame, sales: DataFrame, method: str = "mean", **how) -> DataFrame:
+    """Fit on ``sales`` and value ``rows`` (postcode, property_type and the model's columns) in one go.
+
+    ``method``: mean, quantile or trees. A model that has too few rows falls back to the mean model, and that to tiers of
+    comparables; so does a row that the model can't value. The methodology column says what was used.
+    """
+    name = {"mean": MEAN, "quantile": QUANTILE, "trees": TREES}[method]
+    made = None
+    if method == "quantile" and (q := fit_quantiles(sales, **how)) is not None:
+        made = predict_quantiles(rows, q)
+    elif method == "trees" and (t := fit_trees(sales, **how)) is not None:
+        made = predict_trees(rows, t)
+    elif (m := fit_hedonic(sales)) is not None:
+        made = predict_hedonic(rows, m)
+        if method != "mean":
+            made = made.withColumn("methodology", F.lit(f"{name} (PPD+EPC, degraded to mean hedonic)"))
+    pool = valuation.comparables(sales)
+    degraded = F.lit(f"{name} (PPD+EPC, degraded to median baseline)")
+    if made is None:
+        return valuation.estimate(rows, pool).withColumn("methodology", degraded).select(*rows.columns, *ESTIMATE)
+    left = valuation.estimate(made.filter("estimate_gbp is null").select(*rows.columns), pool).withColumn("methodology", degraded)
+    return made.filter("estimate_gbp is not null").select(*rows.columns, *ESTIMATE).unionByName(left.select(*rows.columns, *ESTIMATE))
 
 
 def temporal_split(sales: DataFrame, months: int, *, date: str = "transfer_date") -> tuple[DataFrame, DataFrame]:
@@ -179,3 +325,12 @@ def report(scored: DataFrame) -> DataFrame:
     """Headline (area and property_type null, level 3) and a row for each area and type (level 0)."""
     g = scored.groupingSets([["area", "property_type"], []], "area", "property_type")
     return g.agg(F.grouping_id().cast("int").alias("level"), F.count("*").alias("n"), F.median("ape").alias("median_ape"), F.avg("ape").alias("mean_ape"), F.bround(F.median("abs_error"), 0).cast("long").alias("median_abs_error"), F.avg(F.col("inside").cast("double")).alias("coverage"))
+
+
+def compare(predictions: dict[str, DataFrame]) -> DataFrame:
+    """The headline of ``report`` for each named table of predictions on the same rows: model, n, errors and coverage."""
+    both = None
+    for name, rows in predictions.items():
+        one = score(rows).select(F.lit(name).alias("model"), "ape", "abs_error", "inside")
+        both = one if both is None else both.unionByName(one)
+    return both.groupBy("model").agg(F.count("*").alias("n"), F.median("ape").alias("median_ape"), F.avg("ape").alias("mean_ape"), F.bround(F.median("abs_error"), 0).cast("long").alias("median_abs_error"), F.avg(F.col("inside").cast("double")).alias("coverage"))

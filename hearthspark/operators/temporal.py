@@ -21,14 +21,24 @@ def ranges(index: DataFrame) -> DataFrame:
     return index.withColumn("next_month", F.lead("month").over(Window.partitionBy("region").orderBy("month")))
 
 
+def by_month(index: DataFrame, last: str | None = None) -> DataFrame:
+    """region, month and the index value that holds in it: a row for every month from a region's first on, up to ``last`` or its own last month."""
+    to_day = lambda c: F.to_date(F.concat(c, F.lit("-01")))
+    r = ranges(index)
+    end = F.coalesce(F.add_months(to_day(F.col("next_month")), -1), F.greatest(to_day(F.col("month")), to_day(F.lit(last))) if last else to_day(F.col("month")))
+    months = F.explode(F.sequence(to_day(F.col("month")), end, F.expr("interval 1 month")))
+    return r.select("region", months.alias("day"), "value").select("region", F.date_format("day", "yyyy-MM").alias("month"), "value")
+
+
 def as_of(rows: DataFrame, index: DataFrame, month: str, *, out: str = "index_value") -> DataFrame:
     """``rows`` with the value of the latest index month on or before ``month``, in the same region; null before the first.
 
-    An equality join on the region with a range condition: an index has a few hundred months a region.
+    The index is filled in month by month up to the latest month of the rows, so the join is an equality on region and
+    month: a few hundred rows a region, which Spark broadcasts.
     """
-    r = ranges(index).select(F.col("region").alias("__r"), F.col("month").alias("__from"), F.col("next_month").alias("__to"), F.col("value").alias(out))
-    held = (F.col("region") == F.col("__r")) & (F.col(month) >= F.col("__from")) & (F.col("__to").isNull() | (F.col(month) < F.col("__to")))
-    return rows.join(r, held, "left").drop("__r", "__from", "__to")
+    last = rows.agg(F.max(month)).first()[0]
+    r = by_month(index, last).select("region", F.col("month").alias(month), F.col("value").alias(out))
+    return rows.join(r, ["region", month], "left")
 
 
 def support(index: DataFrame) -> DataFrame:
@@ -36,14 +46,19 @@ def support(index: DataFrame) -> DataFrame:
     return index.groupBy("region").agg(F.min("month").alias("first_month"), F.max("month").alias("last_month"), F.count("*").alias("months"))
 
 
-def adjust(rows: DataFrame, index: DataFrame, *, price: str = "price", date: str = "transfer_date") -> DataFrame:
-    """adjusted_price: the price times the index of the latest month over that of its own month, half-even.
+def adjust(rows: DataFrame, index: DataFrame, *, price: str = "price", date: str = "transfer_date", to: str | None = None) -> DataFrame:
+    """adjusted_price: the price times the index of month ``to`` (by default the latest) over that of its own month, half-even.
 
-    Dates that are blank, unparseable or outside the index's months leave the price as it is.
+    Dates that are blank, unparseable or outside the index's months leave the price as it is, and so does a ``to`` before
+    the region's first month; negative prices raise.
     """
-    last = index.groupBy("region").agg(F.max_by("value", "month").alias("__last"), F.max("month").alias("__last_month"))
+    extent = index.groupBy("region").agg(F.max_by("value", "month").alias("__to"), F.max("month").alias("__last_month"))
+    if to is not None:
+        target = by_month(index, to).filter(F.col("month") == to).select("region", F.col("value").alias("__to"))
+        extent = extent.drop("__to").join(target, "region", "left")
     dated = rows.withColumn("__month", t.month_key(F.col(date).cast("string")))
-    at = as_of(dated, index, "__month", out="__index").join(last, "region", "left")
-    moved = F.bround(F.col(price) * F.col("__last") / F.col("__index"), 0).cast("long")
+    at = as_of(dated, index, "__month", out="__index").join(F.broadcast(extent), "region", "left")  # one row a region
+    own = F.when(F.col(price) < 0, F.raise_error(F.lit("negative price"))).otherwise(F.col(price))
+    moved = F.bround(own * F.col("__to") / F.col("__index"), 0).cast("long")
     inside = F.col("__month") <= F.col("__last_month")
-    return at.withColumn("adjusted_price", F.when(inside & F.col("__index").isNotNull(), moved).otherwise(F.col(price).cast("long"))).drop("__month", "__index", "__last", "__last_month")
+    return at.withColumn("adjusted_price", F.coalesce(F.when(inside, moved), own.cast("long"))).select(*rows.columns, "adjusted_price")

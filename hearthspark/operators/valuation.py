@@ -35,7 +35,7 @@ def estimate(targets: DataFrame, pool: DataFrame) -> DataFrame:
     Adds estimate_gbp, low_gbp, high_gbp (half-even), comparables_used, basis and confidence; zeros and
     ``insufficient_data`` without a tier, or if the postcode isn't one.
     """
-    stats = pool_statistics(pool)
+    stats = pool_statistics(pool).filter(F.col("n") >= MIN_ROWS).checkpoint()  # read once a tier
     out = targets.withColumn("__pc", F.regexp_replace(t.normalise_postcode(F.col("postcode")), " ", "")).withColumn("__area", t.postcode_area(F.col("__pc"))).withColumn("__type", F.upper("property_type"))
     # grouping_id has a bit for each of (pc, area, type) that a row is summed over
     keys = {"postcode_type": (2, ["pc", "type"]), "postcode_area": (3, ["pc"]), "area_type": (4, ["area", "type"]), "area_only": (5, ["area"])}
@@ -61,17 +61,31 @@ RENT_SOURCES = {"listing": "scraped listing", "voa_prms": "VOA PRMS median", "on
 
 
 def rental_yield(valued: DataFrame) -> DataFrame:
-    """Yields of rows with estimate_gbp, monthly_rent_gbp, costs_pct (0 to 1 or null) and rent_source; rows without a valuation go."""
+    """Yields of rows with estimate_gbp, monthly_rent_gbp, costs_pct (0 to 1 or null) and rent_source; nulls where there is no valuation."""
     annual = F.col("monthly_rent_gbp") * 12
     gross = annual / F.col("estimate_gbp") * 100
     label = F.coalesce(*(F.when(F.col("rent_source") == k, v) for k, v in RENT_SOURCES.items()))
     kind = F.when(F.col("costs_pct").isNotNull(), "gross+net (cost-adjusted) from ").otherwise("gross only from ")
-    return valued.filter(F.col("estimate_gbp") > 0).withColumns({
-        "annual_rent_gbp": annual, "gross_yield_pct": F.bround(gross, 3), "net_yield_pct": F.bround(gross * (1 - F.col("costs_pct")), 3),
-        "payback_years": F.when(annual > 0, F.bround(F.col("estimate_gbp") / annual, 2)), "methodology": F.concat(kind, label),
+    held = lambda c: F.when(F.col("estimate_gbp") > 0, c)
+    return valued.withColumns({
+        "annual_rent_gbp": held(annual), "gross_yield_pct": held(F.bround(gross, 3)), "net_yield_pct": held(F.bround(gross * (1 - F.col("costs_pct")), 3)),
+        "payback_years": held(F.when(annual > 0, F.bround(F.col("estimate_gbp") / annual, 2))), "methodology": held(F.concat(kind, label)),
     })
 
 
+def published_stock(branches: DataFrame) -> DataFrame:
+    """Stock by the branch's own totals, or the number of its listings where a total is null or zero; commercial ones count too.
+
+    Columns: sale_total, rent_total, sale_listings, rent_listings, commercial_sale, commercial_rent (numbers of listings),
+    sale_average, rent_average (pounds). Branches without any stock go.
+    """
+    n = F.col
+    sale, rent = (F.coalesce(F.nullif(F.col(f"{k}_total"), F.lit(0)), n(f"{k}_listings")) for k in ("sale", "rent"))
+    total = F.coalesce(sale, F.lit(0)) + F.coalesce(rent, F.lit(0)) + F.coalesce(n("commercial_sale"), F.lit(0)) + F.coalesce(n("commercial_rent"), F.lit(0))
+    pence = lambda c: F.when(F.col(c) != 0, F.col(c) * 100)
+    return branches.withColumns({"total_live": total, "for_sale": sale, "to_rent": rent, "median_price_pence": pence("sale_average"), "median_rent_pence": pence("rent_average")}).filter("total_live > 0").select("branch", "total_live", "for_sale", "to_rent", "median_price_pence", "median_rent_pence")
+
+
 def price_block(ppd: DataFrame, key: str) -> DataFrame:
     """Count, upper median, floored mean, min and max of positive prices, by ``key``."""
     w = Window.partitionBy(key).orderBy("price")
