@@ -6,29 +6,60 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def changes(snapshots: DataFrame) -> DataFrame:
-    """Each snapshot (source_id, captured_at, event_id, price_pence, features, status) against the one before it.
+#: Fields whose change a snapshot diff reports, apart from price, features, images and status.
+DIFFED = ("description", "agent")
 
-    Adds previous_price, price_delta, price_delta_pct (two decimals), features_added, features_removed, status_changed
-    and kind (new, removed, under_offer, back_on_market, price_reduced, price_increased, features_changed, unchanged).
+
+def changes(snapshots: DataFrame, *, deleted_before: Column | None = None) -> DataFrame:
+    """Each snapshot (source_id, captured_at, event_id, price_pence, features, status, and any of images, description and
+    agent) against the one before it.
+
+    Adds previous_price, price_delta, price_delta_pct (two decimals), features_added, features_removed, image_delta,
+    status_changed, description_changed, agent_changed, field_changes (map of field to before and after) and kind, one of
+    fourteen. With ``deleted_before``, a listing last seen earlier than that gets one more row of kind ``deleted``.
     """
+    there = [c for c in DIFFED if c in snapshots.columns]
+    own = snapshots if "images" in snapshots.columns else snapshots.withColumn("images", F.lit(None).cast("int"))
     w = Window.partitionBy("source_id").orderBy("captured_at", "event_id")
-    before = snapshots.withColumns({"previous_price": F.lag("price_pence").over(w), "__f": F.lag("features").over(w), "previous_status": F.lag("status").over(w), "__n": F.row_number().over(w)})
-    delta = F.col("price_pence") - F.col("previous_price")
-    added, removed = F.array_except("features", F.coalesce("__f", F.col("features"))), F.array_except(F.coalesce("__f", F.col("features")), "features")
-    out = before.withColumns({"price_delta": delta, "price_delta_pct": F.when(F.col("previous_price") != 0, F.bround(100.0 * delta / F.col("previous_price"), 2)), "features_added": added, "features_removed": removed, "status_changed": F.coalesce(F.col("status") != F.col("previous_status"), F.lit(False))})
-    return out.withColumn("kind", _kind()).drop("__f", "__n")
+    seen = ["price_pence", "features", "status", "images", *there]
+    before = own.withColumns({f"__{c}": F.lag(c).over(w) for c in seen} | {"__n": F.row_number().over(w), "__last": F.lead("event_id").over(w).isNull()})
+    delta = F.col("price_pence") - F.col("__price_pence")
+    old = F.coalesce("__features", F.col("features"))
+    changed = lambda c: (F.col("__n") > 1) & ~F.col(c).eqNullSafe(F.col(f"__{c}"))
+    pair = lambda c: F.when(changed(c), F.struct(F.lit(c).alias("key"), F.struct(F.col(f"__{c}").cast("string").alias("before"), F.col(c).cast("string").alias("after")).alias("value")))
+    out = before.withColumns({
+        "previous_price": F.col("__price_pence"), "price_delta": delta, "price_delta_pct": F.when(F.col("__price_pence") != 0, F.bround(100.0 * delta / F.col("__price_pence"), 2)),
+        "features_added": F.array_except("features", old), "features_removed": F.array_except(old, "features"), "image_delta": F.col("images") - F.col("__images"),
+        "status_changed": F.coalesce(F.col("status") != F.col("__status"), F.lit(False)), "previous_status": F.col("__status"),
+        **{f"{c}_changed": changed(c) if c in there else F.lit(False) for c in DIFFED},
+        "field_changes": F.map_from_entries(F.filter(F.array(*(pair(c) for c in ["price_pence", "status", "images", *there])), lambda x: x.isNotNull())),
+    })
+    out = out.withColumn("kind", _kind())
+    if deleted_before is not None:
+        gone = out.filter(F.col("__last") & (F.col("captured_at") < deleted_before)).withColumn("kind", F.lit("deleted"))
+        out = out.unionByName(gone)
+    return out.drop("__n", "__last", *(f"__{c}" for c in seen), *([] if "images" in snapshots.columns else ["images"]))
 
 
 def _kind() -> Column:
-    first, moved = F.col("__n") == 1, F.col("status_changed")
+    """The first of the kinds that fits; a status outweighs a price, and that the fields of the page."""
+    first, moved, status = F.col("__n") == 1, F.col("status_changed"), F.col("status")
     return (
-        F.when(first, "new").when(moved & (F.col("status") == "removed"), "removed").when(moved & (F.col("status") == "under_offer"), "under_offer")
-        .when(moved & (F.col("status") == "active"), "back_on_market").when(F.col("price_delta") < 0, "price_reduced").when(F.col("price_delta") > 0, "price_increased")
-        .when((F.size("features_added") > 0) | (F.size("features_removed") > 0), "features_changed").otherwise("unchanged")
+        F.when(first, "new").when(moved & (status == "removed") & (F.col("previous_status") == "sold_stc"), "removed_sold_stc").when(moved & (status == "removed"), "deleted")
+        .when(moved & (status == "sold_stc"), "sold_stc").when(moved & (status == "under_offer"), "under_offer").when(moved & (status == "active"), "back_on_market")
+        .when(F.col("price_delta") < 0, "price_reduced").when(F.col("price_delta") > 0, "price_increased").when((F.size("features_added") > 0) | (F.size("features_removed") > 0), "feature_changed")
+        .when(F.col("image_delta") > 0, "photos_added").when(F.col("image_delta") < 0, "photos_removed").when(F.col("description_changed"), "description_changed").when(F.col("agent_changed"), "agent_changed")
+        .otherwise("unchanged")
     )
 
 
+def with_listed_event(events: DataFrame, added: DataFrame) -> DataFrame:
+    """Events (source_id, kind, occurred_on, price_pence) and a "listed" one, on the day a listing was added, for each listing that has none."""
+    have = events.filter(F.col("kind") == "listed").select("source_id").distinct()
+    more = added.filter(F.col("added_on").isNotNull()).join(have, "source_id", "left_anti")
+    return events.unionByName(more.select("source_id", F.lit("listed").alias("kind"), F.col("added_on").alias("occurred_on"), F.lit(None).cast("long").alias("price_pence")))
+
+
 def timeline(events: DataFrame) -> DataFrame:
     """Dated events with the change from the latest earlier event that has a price (stated changes stay)."""
     w = Window.partitionBy("source_id").orderBy("captured_at", "event_id").rowsBetween(Window.unboundedPreceding, -1)

@@ -15,6 +15,18 @@ def crime_counts(crime: DataFrame, period: Column) -> DataFrame:
     return p.groupingSets([["category"], ["period", "category"]], "period", "category").agg(F.count("*").alias("n")).select("period", "category", "n")
 
 
+def available_months(crime: DataFrame, period: Column) -> DataFrame:
+    """The months that have crimes, latest first in ``rank``."""
+    months = crime.select(period.alias("period")).filter("period is not null").distinct()
+    return months.withColumn("rank", F.row_number().over(Window.orderBy(F.col("period").desc())))  # a few hundred rows
+
+
+def trailing_crime(crime: DataFrame, period: Column, months: int) -> DataFrame:
+    """``crime_counts`` of the latest ``months`` months that have crimes."""
+    kept = available_months(crime, period).filter(F.col("rank") <= months).select("period")
+    return crime_counts(crime.withColumn("__p", period).join(kept, F.col("__p") == F.col("period"), "left_semi"), F.col("__p"))
+
+
 def crime_totals(crime: DataFrame, key: str) -> DataFrame:
     """All, violent, and burglaries (null, not zero, where there are none), by place."""
     n = F.count_if(F.col("category") == "burglary")

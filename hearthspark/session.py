@@ -33,8 +33,11 @@ def ship(spark: SparkSession) -> SparkSession:
 
 
 def shared_checkpoints(spark: SparkSession) -> str:
-    """The folder of ``checkpoint()``: the one the cluster names, or a new local one where none is named."""
+    """The folder of ``checkpoint()``: the one the cluster names in ``spark.checkpoint.dir``; on one machine a new local one will do."""
     context = spark.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-shared-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-shared-"))
     return context.getCheckpointDir()
