@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import records
 from ..functions import text as t
 from ..operators import temporal
 from ..operators.reference import split_valid, unpivot_categories, year_columns
@@ -99,6 +100,19 @@ def household_projections(spark: SparkSession, path: str, code: str) -> DataFram
     return year_columns(csv(spark, path), code)
 
 
+def housing_delivery(spark: SparkSession, path: str) -> DataFrame:
+    """Delivery-test results; whole numbers, null where they aren't."""
+    r = csv(spark, path)
+    return r.select("la_code", "la_name", *(t.parse_int(F.col(c)).alias(c) for c in ("year", "net_homes_required", "net_homes_delivered", "measurement")))
+
+
+def climate_projections(spark: SparkSession, path: str) -> DataFrame:
+    """Projections by region, scenario and epoch; the sea level may be blank."""
+    numbers = ("temp_change_c", "precip_change_pct", "summer_precip_change_pct", "winter_precip_change_pct", "sea_level_rise_cm")
+    r = csv(spark, path)
+    return r.select("region", "scenario", t.parse_int(F.col("epoch")).cast("int").alias("epoch"), *(t.coerce_float(F.col(c)).alias(c) if c in r.columns else F.lit(None).cast("double").alias(c) for c in numbers))
+
+
 def broadband(spark: SparkSession, path: str, numbers: dict[str, str], *, postcode: str = "postcode", area: str = "postcode area") -> DataFrame:
     """Many area files at once: ``numbers`` maps headers to columns; blanks and bad numbers are 0, repeated header rows go."""
     r = csv(spark, path)
@@ -122,13 +136,13 @@ def amenities(elements: DataFrame, categories: dict[str, tuple[str, str]], colum
 
 
 def polygons(features: DataFrame, column: str = "json") -> DataFrame:
-    """One row a ring of each feature (JSON text) with a polygon: name, properties and ring; features without geometry go."""
+    """One row a polygon of each feature (JSON text): name, properties, ring (the outer one) and holes; features without geometry go."""
     f = features.withColumn("f", F.from_json(column, "properties map<string,string>, geometry struct<type:string,coordinates:string>")).filter("f.geometry is not null")
     one = F.from_json("f.geometry.coordinates", "array<array<array<double>>>")
     many = F.from_json("f.geometry.coordinates", "array<array<array<array<double>>>>")
-    outer = F.when(F.col("f.geometry.type") == "Polygon", F.array(F.get(one, F.lit(0)))).when(F.col("f.geometry.type") == "MultiPolygon", F.transform(many, lambda p: F.get(p, F.lit(0))))
-    ring = F.explode(F.transform(outer, lambda r: F.transform(r, lambda v: F.struct(F.get(v, F.lit(0)).alias("x"), F.get(v, F.lit(1)).alias("y")))))
-    return f.select(F.coalesce(F.try_element_at("f.properties", F.lit("name")), F.try_element_at("f.properties", F.lit("NAME"))).alias("name"), F.col("f.properties").alias("properties"), ring.alias("ring"))
+    parts = F.when(F.col("f.geometry.type") == "Polygon", F.array(one)).when(F.col("f.geometry.type") == "MultiPolygon", many)
+    rings = F.transform(parts, lambda p: F.transform(p, lambda r: F.transform(r, lambda v: F.struct(F.get(v, F.lit(0)).alias("x"), F.get(v, F.lit(1)).alias("y")))))
+    return f.withColumn("rings", F.explode(rings)).select(F.coalesce(F.try_element_at("f.properties", F.lit("name")), F.try_element_at("f.properties", F.lit("NAME"))).alias("name"), F.col("f.properties").alias("properties"), F.get("rings", F.lit(0)).alias("ring"), F.slice("rings", F.lit(2), F.greatest(F.size("rings") - 1, F.lit(0))).alias("holes"))
 
 
 def planning_features(features: DataFrame, council: str, column: str = "json") -> DataFrame:
@@ -142,8 +156,8 @@ def planning_features(features: DataFrame, council: str, column: str = "json") -
 def air_stations(series: DataFrame, column: str = "json") -> DataFrame:
     """Stations of a time-series list (JSON text); the first coordinate is the latitude, as the service gives it."""
     s = series.withColumn("s", F.from_json(column, "id string, label string, station struct<geometry:struct<coordinates:array<double>>>"))
-    c = F.col("s.station.geometry.coordinates")
-    out = s.select(F.col("s.id").alias("id"), F.col("s.label").alias("label"), F.get(c, F.lit(0)).alias("lat"), F.get(c, F.lit(1)).alias("lng"), t.pollutant(F.col("s.label")).alias("pollutant"))
+    c, site = F.col("s.station.geometry.coordinates"), records.site_of_label(F.col("s.label"))
+    out = s.select(F.col("s.id").alias("id"), F.col("s.label").alias("label"), site.getField("site").alias("site"), F.get(c, F.lit(0)).alias("lat"), F.get(c, F.lit(1)).alias("lng"), t.pollutant(F.coalesce(site.getField("pollutant"), F.col("s.label"))).alias("pollutant"))
     return out.filter("id is not null and label is not null and lat is not null and lng is not null and not isnan(lat) and not isnan(lng)")
 
 

@@ -10,10 +10,13 @@ import uuid
 from collections.abc import Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import shared_checkpoints
+
 
 def since(stream: DataFrame, mark: Column, *, ts: str = "ts", key: str = "event_id", late: str = "1 hour") -> DataFrame:
     """Rows after the high-water mark, each key once within the watermark."""
@@ -41,46 +44,80 @@ def link(sales: DataFrame, certificates: DataFrame, *, days: int, late: str = "1
     return s.join(c, near).select("s.key", "s.transaction_id", "s.sale_ts", "c.lmk_key", "c.inspected_ts")
 
 
-def price_changes(stream: DataFrame) -> DataFrame:
-    """Changes of each source's price between its snapshots in time order within a batch; one row of state a source."""
+def price_changes(stream: DataFrame, *, expire_ms: int | None = None) -> DataFrame:
+    """Changes of each source's price between its snapshots in time order within a batch; one row of state a source.
+
+    Snapshots without a price or source don't count. A source's rows of a batch are sorted and shifted as a frame; with
+    ``expire_ms``, a source that has been silent for so long of processing time is forgotten and starts anew.
+    """
 
     def step(key: tuple[Any, ...], batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         rows = pd.concat(list(batches)).sort_values(["captured_at", "event_id"])
-        before = state.get[0] if state.exists else None
-        out = []
-        for e, p in zip(rows["event_id"], rows["price_pence"]):
-            out.append((int(key[0]), int(e), before, int(p), "new" if before is None else "price_reduced" if p < before else "price_increased" if p > before else "unchanged"))
-            before = int(p)
-        state.update((before,))
-        frame = pd.DataFrame(out, columns=["source_id", "event_id", "previous_price", "price_pence", "kind"])
-        frame["previous_price"] = frame["previous_price"].astype("Int64")
-        yield frame
+        price = rows["price_pence"].astype("Int64")
+        before = price.shift(1)
+        if state.exists:
+            before.iloc[0] = state.get[0]
+        kind = np.select([before.isna(), (price < before).fillna(False), (price > before).fillna(False)], ["new", "price_reduced", "price_increased"], "unchanged")
+        state.update((int(price.iloc[-1]),))
+        if expire_ms:
+            state.setTimeoutDuration(expire_ms)
+        yield pd.DataFrame({"source_id": key[0], "event_id": rows["event_id"].to_numpy(), "previous_price": before.to_numpy(), "price_pence": price.to_numpy(), "kind": kind}).astype({"previous_price": "Int64", "price_pence": "Int64"})
 
-    return stream.groupBy("source_id").applyInPandasWithState(step, "source_id long, event_id long, previous_price long, price_pence long, kind string", "price long", "append", "NoTimeout")
+    known = stream.filter("price_pence is not null and source_id is not null").groupBy("source_id")
+    return known.applyInPandasWithState(step, "source_id long, event_id long, previous_price long, price_pence long, kind string", "price long", "append", "ProcessingTimeTimeout" if expire_ms else "NoTimeout")
 
 
-def upsert(stream: DataFrame, path: str, checkpoint: str, *, mode: str = "update"):
-    """Write each batch under its number, once: a batch that is run again replaces its own rows."""
+def upsert(stream: DataFrame, path: str, checkpoint: str, *, keys: list[str] | None = None, mode: str = "update"):
+    """Start writing each batch into a table, once: a batch that is run again writes the same version again.
+
+    With ``keys`` a version is the table after the batch: the batch's last row of each key and the rows of all other keys
+    of the version before. Without, versions are the batches alone. Readers take ``current`` or all versions.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        rows = batch
+        if keys:
+            rows = batch.dropDuplicates(keys)
+            before = _versions(batch.sparkSession, path, below=number)
+            if before:
+                old = batch.sparkSession.read.parquet(f"{path}/batch={before[-1]}")
+                rows = rows.unionByName(old.join(rows.select(keys), keys, "left_anti"), allowMissingColumns=True)
+        rows.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start()
 
 
-def latest(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
-    """The newest batch's row of each key."""
-    rows = spark.read.option("basePath", path).parquet(f"{path}/batch=*")
-    w = Window.partitionBy(*keys).orderBy(F.col("batch").desc())
-    return rows.withColumn("__rn", F.row_number().over(w)).filter("__rn = 1").drop("__rn", "batch")
+def _versions(spark: SparkSession, path: str, below: int | None = None) -> list[int]:
+    """The numbers of the versions that were written as a whole, in order."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(root):
+        return []
+    names = [s.getPath() for s in files.listStatus(root)]
+    done = [int(p.getName().split("=")[1]) for p in names if p.getName().startswith("batch=") and files.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+    return sorted(n for n in done if below is None or n < below)
+
+
+def current(spark: SparkSession, path: str) -> DataFrame:
+    """The newest version of a table written with keys; only that version is read."""
+    return spark.read.parquet(f"{path}/batch={_versions(spark, path)[-1]}")
+
+
+def closest(linked: DataFrame) -> DataFrame:
+    """Of ``link``'s pairs, as a table: one certificate a sale, the nearest in time, then the smallest key."""
+    gap = F.abs(F.unix_micros(F.col("inspected_ts").cast("timestamp")) - F.unix_micros(F.col("sale_ts").cast("timestamp")))
+    return linked.groupBy("transaction_id").agg(F.min(F.struct(gap.alias("gap"), "lmk_key")).alias("x")).select("transaction_id", F.col("x.lmk_key").alias("lmk_key"))
 
 
 def run_once(stream: DataFrame, keys: list[str] | None, *, mode: str = "update") -> DataFrame:
     """Drain a stream's present input into the shared folder and read what it gave."""
     spark = stream.sparkSession
-    root = f"{spark.sparkContext.getCheckpointDir()}/stream-{uuid.uuid4().hex}"
-    query = upsert(stream, f"{root}/out", f"{root}/state", mode=mode)
+    root = f"{shared_checkpoints(spark)}/stream-{uuid.uuid4().hex}"
+    query = upsert(stream, f"{root}/out", f"{root}/state", keys=keys, mode=mode)
     query.awaitTermination()
     if keys:
-        return latest(spark, f"{root}/out", keys)
+        return current(spark, f"{root}/out")
     return spark.read.option("basePath", f"{root}/out").parquet(f"{root}/out/batch=*").drop("batch")
