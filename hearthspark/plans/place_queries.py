@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as t
-from ..operators import geo, linkage, listings, models, ownership, profile, reference, registers
+from ..operators import geo, linkage, listings, models, ownership, profile, reference, registers, valuation
 from ..session import shared_checkpoints
 from ..streaming import feeds
 from .lens import view, with_sql
@@ -44,7 +44,7 @@ def amenity_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 , x AS (SELECT point_id, stop_type, name, {_HAV} AS d FROM points p, stops s WHERE {_HAV} <= 80000)
 SELECT point_id, stop_type, count(*) AS n, arg_min(name, d) AS nearest, round_even(min(d), 1) AS nearest_m FROM x GROUP BY point_id, stop_type""")
 def nearest_by_category(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """G6, G7."""
+    """G7."""
     return geo.nearest_by_category(view(spark, sf_dir, "points"), view(spark, sf_dir, "stops"), 80_000)
 
 
@@ -95,7 +95,7 @@ def radial_grids(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH t AS (SELECT o_custkey AS point_id, CASE WHEN o_orderkey % 9 <> 0 THEN o_orderkey % 5400 END AS duration_s, floor(o_totalprice) AS distance_m FROM orders)
 SELECT point_id, c AS cutoff_min, count(*) AS reachable, max(distance_m) AS max_m FROM t, (SELECT unnest([15, 30, 60]) AS c) WHERE duration_s <= c * 60 GROUP BY ALL""")
 def reachability(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """G13, G14."""
+    """G13."""
     o = spark.read.parquet(f"{sf_dir}/orders.parquet")
     return geo.reachable(o.select(F.col("o_custkey").alias("point_id"), F.when(F.col("o_orderkey") % 9 != 0, F.col("o_orderkey") % 5400).alias("duration_s"), F.floor("o_totalprice").cast("double").alias("distance_m")), [15, 30, 60])
 
@@ -144,26 +144,31 @@ def hedonic_least_squares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def hedonic_valuation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fitted prices with bands for every linked sale."""
+    """Fitted prices with bands for every linked sale."""
     rows = _modelled(spark, sf_dir)
-    m = models.fit_hedonic(rows)
-    return models.predict_hedonic(rows, m).select("transaction_id", "price", "estimate_gbp", "low_gbp", "high_gbp", "confidence", "basis")
+    return models.value(rows, rows, "mean").select("transaction_id", "price", *models.ESTIMATE)
 
 
 @query()
 def quantile_valuation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """M7: 10, 50 and 90 per cent quantiles, never crossing."""
-    frame, _ = models.training_frame(_modelled(spark, sf_dir))
-    frame = frame.select("transaction_id", "price", "log_price", "log_floor", "eff", *models.CATEGORIES)
-    return models.predict_quantiles(frame, models.fit_quantiles(frame)).select("transaction_id", "price", "low_gbp", "estimate_gbp", "high_gbp")
+    """10, 50 and 90 per cent quantiles, never crossing."""
+    rows = _modelled(spark, sf_dir)
+    return models.value(rows, rows, "quantile").select("transaction_id", "price", *models.ESTIMATE)
+
+
+@query()
+def tree_valuation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boosted trees for the median, bands from held-out residuals."""
+    rows = _modelled(spark, sf_dir)
+    return models.value(rows, rows, "trees").select("transaction_id", "price", *models.ESTIMATE)
 
 
 @query()
 def hedonic_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Trained on earlier sales, scored on the last 24 blocks of 30 days."""
+    """Trained on earlier sales, scored on the last 24 blocks of 30 days, against comparables alone."""
     train, test = models.temporal_split(_modelled(spark, sf_dir), 24)
-    m = models.fit_hedonic(train)
-    return models.report(models.score(models.predict_hedonic(test, m)))
+    by_tier = valuation.estimate(test, valuation.comparables(train))
+    return models.compare({"mean": models.value(test, train, "mean"), "comparables": by_tier})
 
 
 # reference data
@@ -199,7 +204,7 @@ def population_by_age(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""WITH x AS (SELECT c_nationkey, c_custkey, c_acctbal, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey DESC) AS rn FROM customer) SELECT s_suppkey, x.c_custkey, x.c_acctbal FROM supplier LEFT JOIN x ON s_nationkey = c_nationkey AND rn = 1""")
 def last_wins_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """J6, D3-D5."""
+    """J6."""
     c = linkage.last_wins(spark.read.parquet(f"{sf_dir}/customer.parquet"), ["c_nationkey"], F.col("c_custkey"))
     s = spark.read.parquet(f"{sf_dir}/supplier.parquet").withColumnRenamed("s_nationkey", "c_nationkey")
     return linkage.lookup(s, c, ["c_nationkey"]).select("s_suppkey", "c_custkey", "c_acctbal")
@@ -224,25 +229,25 @@ def _releases(spark: SparkSession, sf_dir: str) -> DataFrame:
     release = F.struct(
         F.concat(F.lit("ocds-"), F.col("o_orderkey").cast("string")).alias("ocid"), F.col("o_orderkey").cast("string").alias("id"), F.concat(F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit("T00:00:00Z")).alias("date"),
         F.array(F.struct(buyer.alias("id"), F.concat(F.lit("Council "), buyer).alias("name"), F.struct(F.concat(F.lit("UK"), (F.col("o_custkey") % 5).cast("string")).alias("region"), F.lit(None).cast("string").alias("postalCode")).alias("address"))).alias("parties"), F.struct(buyer.alias("id"), F.lit("x").alias("name")).alias("buyer"),
-        F.struct(F.concat(F.lit("Works "), F.col("o_orderpriority")).alias("title"), F.lit("Road repairs").alias("description"), F.col("o_orderstatus").alias("status"), F.struct(F.col("o_totalprice").alias("amount"), F.lit("GBP").alias("currency")).alias("value"), F.struct(F.lit("cpv").alias("scheme"), F.concat(F.lit("45"), (F.col("o_orderkey") % 3).cast("string"), F.lit("00000")).alias("id")).alias("classification")).alias("tender"), award.alias("awards"),
+        F.struct(F.concat(F.lit("Works "), F.col("o_orderpriority")).alias("title"), F.lit("Road repairs").alias("description"), F.when(F.col("o_orderstatus") == "F", "complete").when(F.col("o_orderstatus") == "O", "active").otherwise("planning").alias("status"), F.struct(F.col("o_totalprice").alias("amount"), F.lit("GBP").alias("currency")).alias("value"), F.struct(F.lit("cpv").alias("scheme"), F.concat(F.lit("45"), (F.col("o_orderkey") % 3).cast("string"), F.lit("00000")).alias("id")).alias("classification")).alias("tender"), award.alias("awards"),
     )
     return o.join(awards, o["o_orderkey"] == awards["l_orderkey"], "left").select(F.to_json(release).alias("json"))
 
 
 @query("""WITH a AS (SELECT l_orderkey, count(DISTINCT l_suppkey) AS suppliers, min(l_linenumber) FILTER (WHERE l_linenumber > 1) AS first_line FROM lineitem GROUP BY l_orderkey),
 m AS (SELECT l.l_orderkey, min((l_partkey, l_suppkey, l_extendedprice)) AS x FROM lineitem l JOIN a ON a.l_orderkey = l.l_orderkey AND l_linenumber = first_line GROUP BY l.l_orderkey)
-SELECT 'ocds-' || CAST(o_orderkey AS VARCHAR) AS ocid, 'Council ' || CAST(o_custkey AS VARCHAR) AS buyer, lower(o_orderstatus) AS status, CAST(o_orderdate AS DATE) AS published, coalesce(m.x[3], o_totalprice) AS amount, CAST(a.suppliers AS INT) AS suppliers, 'https://example.org/ocds-' || CAST(o_orderkey AS VARCHAR) AS url
+SELECT 'ocds-' || CAST(o_orderkey AS VARCHAR) AS ocid, 'Council ' || CAST(o_custkey AS VARCHAR) AS buyer, CASE o_orderstatus WHEN 'F' THEN 'complete' WHEN 'O' THEN 'open' ELSE 'planned' END AS status, CAST(o_orderdate AS DATE) AS published, coalesce(m.x[3], o_totalprice) AS amount, CAST(a.suppliers AS INT) AS suppliers, 'https://example.org/ocds-' || CAST(o_orderkey AS VARCHAR) AS url
 FROM orders LEFT JOIN a ON a.l_orderkey = o_orderkey LEFT JOIN m ON m.l_orderkey = o_orderkey WHERE o_orderkey % 3 = 1 AND o_custkey % 5 = 2 AND coalesce(m.x[3], o_totalprice) >= 20000""")
 def search_tenders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """W15, T2-T8, J14."""
     rows = registers.tenders(_releases(spark, sf_dir), base_url="https://example.org/")
-    found = registers.search_tenders(rows, keyword="repairs", codes=("45100000",), region="UK2", low=20_000)
+    found = registers.search_tenders(rows, keyword="repairs", codes=("45100000",), regions=("UK2",), low=20_000)
     return found.select("ocid", "buyer", "status", "published", "amount", F.when(F.col("suppliers").isNotNull(), F.size("suppliers")).alias("suppliers"), "url")
 
 
 @query("""SELECT CAST(o_orderkey AS VARCHAR) AS reference, o_orderpriority AS address, CAST(o_orderdate AS DATE) AS modified FROM orders WHERE o_orderstatus <> 'P' AND o_orderdate > TIMESTAMP '1998-01-01' AND o_orderpriority LIKE '%HIGH%' ORDER BY o_orderdate DESC, reference LIMIT 200""")
 def planning_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """P1-P6."""
+    """P1-P3."""
     o = spark.read.parquet(f"{sf_dir}/orders.parquet")
     rows = o.select(F.col("o_orderkey").cast("string").alias("reference"), F.col("o_orderpriority").alias("address"), F.lit("").alias("description"), F.col("o_orderdate").alias("last_modified"), (F.col("o_orderstatus") != "P").alias("visible"))
     return registers.applications(rows, since=F.lit("1998-01-01").cast("timestamp_ntz"), text="HIGH", limit=200).select("reference", "address", F.col("last_modified").cast("date").alias("modified"))
@@ -274,7 +279,7 @@ def ownership_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def ownership_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """At most 20 companies and 10 officers a seed, nearest first."""
+    """At most 20 companies and 10 officers a seed, nearest first."""
     return ownership.cap(ownership_search(spark, sf_dir), {"company": 20, "officer": 10})
 
 
@@ -285,8 +290,8 @@ _SNAP = """, s AS (SELECT *, [feature] AS f FROM snapshots), b AS (SELECT *, lag
 
 @query(with_sql("snapshots") + _SNAP + """
 SELECT source_id, event_id, pp AS previous_price, price_pence - pp AS price_delta, CASE WHEN pp <> 0 THEN round_even(100.0::DOUBLE * (price_pence - pp) / pp, 2) END AS price_delta_pct,
-  CASE WHEN n = 1 THEN 'new' WHEN status <> ps AND status = 'removed' THEN 'removed' WHEN status <> ps AND status = 'under_offer' THEN 'under_offer' WHEN status <> ps AND status = 'active' THEN 'back_on_market'
-    WHEN price_pence < pp THEN 'price_reduced' WHEN price_pence > pp THEN 'price_increased' WHEN feature <> pf THEN 'features_changed' ELSE 'unchanged' END AS kind FROM b""")
+  CASE WHEN n = 1 THEN 'new' WHEN status <> ps AND status = 'removed' THEN 'deleted' WHEN status <> ps AND status = 'under_offer' THEN 'under_offer' WHEN status <> ps AND status = 'active' THEN 'back_on_market'
+    WHEN price_pence < pp THEN 'price_reduced' WHEN price_pence > pp THEN 'price_increased' WHEN feature <> pf THEN 'feature_changed' ELSE 'unchanged' END AS kind FROM b""")
 def listing_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """L11, L12."""
     s = view(spark, sf_dir, "snapshots").withColumn("features", F.array("feature"))
@@ -297,7 +302,7 @@ def listing_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 , p AS (SELECT *, CASE WHEN event_id % 4 <> 0 THEN price_pence END AS p FROM snapshots), q AS (SELECT *, last_value(p IGNORE NULLS) OVER (PARTITION BY source_id ORDER BY captured_at, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS l FROM p)
 SELECT event_id, p - l AS delta, CASE WHEN l <> 0 THEN round_even(100.0::DOUBLE * (p - l) / l, 2) END AS delta_pct FROM q""")
 def listing_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """L6, L8."""
+    """L6."""
     s = view(spark, sf_dir, "snapshots").withColumn("price_pence", F.when(F.col("event_id") % 4 != 0, F.col("price_pence"))).withColumn("stated_delta", F.lit(None).cast("long"))
     return listings.timeline(s).select("event_id", "delta", "delta_pct")
 
@@ -361,7 +366,7 @@ def top_crime_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT t.property_id, v.sales, r.ratings, c.crimes, concat_ws(',', CASE WHEN v.sales IS NULL THEN 'ppd' END, CASE WHEN r.ratings IS NULL THEN 'epc' END, CASE WHEN c.crimes IS NULL THEN 'crime' END) AS missing
 FROM targets t LEFT JOIN v USING (postcode) LEFT JOIN r USING (postcode) LEFT JOIN c ON c.place = t.property_id""")
 def property_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Independent blocks of each property, null where a source has nothing."""
+    """Independent blocks of each property, null where a source has nothing."""
     targets = view(spark, sf_dir, "targets").select("property_id", "postcode")
     sales = view(spark, sf_dir, "ppd").filter("price > 0").groupBy("postcode").agg(F.count("*").alias("sales"))
     ratings = profile.rating_histogram(view(spark, sf_dir, "epc"), "postcode", "current_energy_rating")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as t
 from ..operators import linkage, temporal, valuation
+from ..session import shared_checkpoints
 from .lens import view, with_sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -96,7 +97,7 @@ def hpi_adjust(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(with_sql("hpi") + " SELECT region, min(month) AS first_month, max(month) AS last_month, count(*) AS months FROM hpi WHERE value > 0 GROUP BY region")
 def hpi_support(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """W3-W5, H1, H2."""
+    """H1, H2."""
     return temporal.support(temporal.validate_index(view(spark, sf_dir, "hpi"))[0])
 
 
@@ -119,14 +120,15 @@ SELECT property_id, CAST(round_even(m, 0) AS BIGINT) AS estimate_gbp, CAST(round
   CASE WHEN basis IN ('insufficient_data', 'national', 'area_only') THEN 'low' WHEN n >= 10 AND basis = 'postcode_type' THEN 'high' WHEN n >= 5 THEN 'medium' ELSE 'low' END AS confidence FROM u""")
 def value_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V1-V6: every target's value from its closest tier of comparables."""
+    shared_checkpoints(spark)
     pool = valuation.comparables(view(spark, sf_dir, "ppd"), "1995-01-01")
     return valuation.estimate(view(spark, sf_dir, "targets"), pool).select("property_id", "estimate_gbp", "low_gbp", "high_gbp", "comparables_used", "basis", "confidence")
 
 
 @query(with_sql("ppd", "targets") + _VALUE + """
-, v AS (SELECT property_id, round_even(m, 0) AS e, 500.0 + property_id % 1000 AS rent, CASE WHEN property_id % 2 = 0 THEN 0.25 END AS costs FROM u WHERE m > 0)
+, v AS (SELECT property_id, CASE WHEN m > 0 THEN round_even(m, 0) END AS e, 500.0 + property_id % 1000 AS rent, CASE WHEN property_id % 2 = 0 THEN 0.25 END AS costs FROM u)
 SELECT property_id, round(rent * 12 / e * 100, 3) AS gross_yield_pct, round(rent * 12 / e * 100 * (1 - costs), 3) AS net_yield_pct, round(e / (rent * 12), 2) AS payback_years,
-  CASE WHEN costs IS NULL THEN 'gross only from ' ELSE 'gross+net (cost-adjusted) from ' END || 'ONS benchmark' AS methodology FROM v""")
+  CASE WHEN e IS NULL THEN NULL WHEN costs IS NULL THEN 'gross only from ' ELSE 'gross+net (cost-adjusted) from ' END || 'ONS benchmark' AS methodology FROM v""")
 def rental_yields(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V7."""
     valued = value_properties(spark, sf_dir).withColumns({"monthly_rent_gbp": F.lit(500.0) + F.col("property_id") % 1000, "costs_pct": F.when(F.col("property_id") % 2 == 0, F.lit(0.25)), "rent_source": F.lit("ons_benchmark")})
