@@ -154,7 +154,7 @@ y AS (SELECT b.host, b.branch, b.branch AS into_branch FROM b LEFT JOIN m ON b.h
   UNION ALL SELECT m.host, m.branch, y.into_branch FROM m JOIN y ON m.host = y.host AND m.next = y.branch),
 h AS (SELECT g.host, typed, labels, blocked, into_branch AS branch, CASE WHEN into_branch = g.branch THEN template ELSE concat_ws('/', '', into_branch, nullif(below, '')) END AS template FROM g JOIN y ON g.host = y.host AND g.branch = y.branch),
 z AS (SELECT CASE WHEN sum(labels) > 0 THEN (sum(blocked) + 0.5) / (sum(labels) + 1.0) ELSE 0 END AS base FROM h),
-k AS (SELECT host, branch, (sum(blocked) + 5.0 * any_value(base)) / (sum(labels) + 5.0) AS branch_share FROM h, z GROUP BY host, branch),
+k AS (SELECT host, branch, (sum(blocked) + 5.0 * any_value(base)) / (sum(labels) + 5.0) AS branch_share FROM h, z GROUP BY host, branch HAVING sum(labels) > 0),
 l AS (SELECT h.host, h.branch, h.template FROM h JOIN k ON h.host = k.host AND h.branch = k.branch GROUP BY h.host, h.branch, h.template HAVING (sum(blocked) + 5.0 * any_value(branch_share)) / (sum(labels) + 5.0) >= 0.9),
 o AS (SELECT DISTINCT h.host, h.typed FROM h JOIN l ON h.host = l.host AND h.branch = l.branch AND h.template = l.template)
 SELECT page_id, r.host, path, rule, coalesce(label, CASE WHEN o.typed IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict FROM r LEFT JOIN o ON r.host = o.host AND r.typed = o.typed"""

@@ -10,8 +10,7 @@ branch's share, and that towards the share of all labels; a template is rejected
 Only DataFrame expressions run on the executors. Hot hosts are summed in each partition before any shuffle; urls meet
 rejected templates alone, in a join on host and typed path whose large partitions Spark splits.
 
-Defined results: a null url or one without ``://`` has an empty host and path and no rule; without labels the smoothed
-share is one half or less and nothing is rejected; repeated rows each count; empty tables give no rows; other columns
+Defined results: a null url or one without ``://`` has an empty host and path and no rule; a branch without labels, merged ones included, rejects nothing; repeated rows each count; empty tables give no rows; other columns
 are never read.
 """
 
@@ -116,9 +115,10 @@ def rejected_templates(tree: DataFrame, *, weight: float = 5.0, purity: float =
     tree = stage(tree, "tree")
     total = tree.agg(F.coalesce(F.sum("labels"), F.lit(0)), F.coalesce(F.sum("blocked"), F.lit(0))).first()
     base = (total[1] + 0.5) / (total[0] + 1.0) if total[0] else 0.0
-    branch = tree.groupBy("host", "branch").agg(F.sum("labels").alias("l"), F.sum("blocked").alias("b")).select("host", "branch", ((F.col("b") + weight * base) / (F.col("l") + weight)).alias("branch_share"))
+    branch = tree.groupBy("host", "branch").agg(F.sum("labels").alias("l"), F.sum("blocked").alias("b")).select("host", "branch", F.col("l").alias("n_labels"), ((F.col("b") + weight * base) / (F.col("l") + weight)).alias("branch_share"))
     leaf = tree.groupBy("host", "branch", "template").agg(F.sum("labels").alias("l"), F.sum("blocked").alias("b"))
-    leaf = leaf.join(branch, ["host", "branch"]).withColumn("share", (F.col("b") + weight * F.col("branch_share")) / (F.col("l") + weight)).filter(F.col("share") >= purity)
+    # a branch without any label says nothing about its templates
+    leaf = leaf.join(branch.filter("n_labels > 0"), ["host", "branch"]).withColumn("share", (F.col("b") + weight * F.col("branch_share")) / (F.col("l") + weight)).filter(F.col("share") >= purity)
     return tree.join(leaf.select("host", "branch", "template", "share"), ["host", "branch", "template"]).select("host", "typed", "template", "share")
 
 
