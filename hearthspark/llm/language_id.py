@@ -75,8 +75,8 @@ class Features:
         known = lexicon[at] == self.word if len(lexicon) else np.zeros(len(at), bool)
         for y in range(k):
             w = weights[:, y]
-            grams = np.concatenate([[0.0], np.cumsum(w[self.two] + w[self.three], dtype=np.float64)])
-            total = grams[np.minimum(self.e + 1, len(grams) - 1)] - grams[self.s]
+            two, three = (np.concatenate([[0.0], np.cumsum(w[grams], dtype=np.float64)]) for grams in (self.two, self.three))
+            total = two[self.e + 1] - two[self.s] + three[self.e] - three[self.s]  # up to the blank after the word, and not beyond
             total /= np.sqrt(self.e - self.s + 1)
             for a in self.affix:
                 total += w[a]
@@ -229,14 +229,12 @@ def fit(texts: dict[str, list[str]], *, words: int = 80, rounds: int = 60, rate:
     rows, slots, values, base = [], [], [], 0
     for f in fs:
         m = len(f.s)
-        span = f.e - f.s + 1
-        w = np.repeat(np.arange(m), span)
-        at = np.arange(len(w)) - np.repeat(np.cumsum(span) - span, span) + np.repeat(f.s, span)
-        scale = np.repeat(1 / np.sqrt(span), span)
-        for grams in (f.two, f.three):
+        for grams, span in ((f.two, f.e - f.s + 1), (f.three, f.e - f.s)):
+            w = np.repeat(np.arange(m), span)
+            at = np.arange(len(w)) - np.repeat(np.cumsum(span) - span, span) + np.repeat(f.s, span)
             rows.append(base + w)
-            slots.append(grams[np.minimum(at, len(grams) - 1)])
-            values.append(scale)
+            slots.append(grams[at])
+            values.append(np.repeat(1 / np.sqrt(f.e - f.s + 1), span))
         for a in f.affix:
             rows.append(base + np.arange(m))
             slots.append(a)
