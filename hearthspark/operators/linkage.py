@@ -30,39 +30,50 @@ def prepare_certificates(epc: DataFrame) -> DataFrame:
 def nearest(sales: DataFrame, certificates: DataFrame, key: str, *, max_days: int = 5 * 365, prefer_before_sale: bool = True) -> DataFrame:
     """One certificate for each transaction_id at most: same ``key``, inspected within ``max_days`` of the sale.
 
-    Certificates before the sale rank before any after it (if preferred), then the nearest day, then the key. The best
-    is an aggregate, so each task keeps one candidate a sale and only those are shuffled again.
+    Certificates before the sale rank before any after it (if preferred), then the nearest day, then the key.
+
+    No pairs are made: certificates of one day are one row, and sales and certificates of a key lie in one sorted sequence
+    in which each sale sees the last certificate before it and the first after it. Sequences are cut into stretches of
+    ``max_days``, with the certificates of the stretches beside them, so that a frequent key is split by time.
     """
-    left = sales.filter(F.col(key).isNotNull() & F.col("sale_date").isNotNull()).select("transaction_id", key, "sale_date")
-    right = certificates.filter(F.col(key).isNotNull()).select(key, *EPC_FIELDS)
-    days = F.datediff("inspection_date", "sale_date")
-    near = left.join(right, key).filter(F.abs(days) <= max_days)
-    after = F.when(days > 0, 1).otherwise(0) if prefer_before_sale else F.lit(0)
-    best = F.min(F.struct(after.alias("after"), F.abs(days).alias("days"), "lmk_key", "inspection_date", "floor_area_sqm", "energy_rating", "energy_efficiency"))
-    return near.groupBy("transaction_id").agg(best.alias("x")).select("transaction_id", *(F.col(f"x.{c}").alias(c) for c in EPC_FIELDS))
+    width = max_days + 1
+    stretch = lambda day: F.floor(F.datediff(day, F.lit("1970-01-01")) / width)
+    fields = [c for c in EPC_FIELDS if c != "inspection_date"]
+    daily = certificates.filter(F.col(key).isNotNull()).groupBy(key, "inspection_date").agg(F.min(F.struct(*fields)).alias("c"))
+    b = stretch(F.col("inspection_date"))
+    right = daily.select(key, F.explode(F.array(b - 1, b, b + 1)).alias("b"), F.col("inspection_date").alias("day"), F.lit(0).alias("sale"), F.lit(None).cast(sales.schema["transaction_id"].dataType).alias("transaction_id"), F.struct("inspection_date", "c").alias("x"))
+    left = sales.filter(F.col(key).isNotNull() & F.col("sale_date").isNotNull())
+    left = left.select(key, stretch(F.col("sale_date")).alias("b"), F.col("sale_date").alias("day"), F.lit(1).alias("sale"), "transaction_id", F.lit(None).cast(right.schema["x"].dataType).alias("x"))
+    w = Window.partitionBy(key, "b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    both = left.unionByName(right)
+    # on the day of the sale itself a certificate is before the sale
+    both = both.withColumn("before", F.last("x", ignorenulls=True).over(w.orderBy("day", "sale")))
+    both = both.withColumn("after", F.last("x", ignorenulls=True).over(w.orderBy(F.col("day").desc(), F.col("sale").desc()))).filter("sale = 1")
+
+    def candidate(x: str, rank: int) -> Column:
+        days = F.abs(F.datediff(F.col(f"{x}.inspection_date"), "day"))
+        return F.when(days <= max_days, F.struct(F.lit(rank).alias("rank"), days.alias("days"), F.col(f"{x}.c").alias("c"), F.col(f"{x}.inspection_date").alias("inspection_date")))
+
+    best = F.least(candidate("before", 0), candidate("after", 1 if prefer_before_sale else 0))
+    out = both.select("transaction_id", best.alias("x")).filter("x is not null").groupBy("transaction_id").agg(F.min("x").alias("x"))
+    return out.select("transaction_id", *((F.col("x.inspection_date") if c == "inspection_date" else F.col(f"x.c.{c}")).alias(c) for c in EPC_FIELDS))
 
 
 def enrich(ppd: DataFrame, epc: DataFrame, *, max_days: int = 5 * 365, prefer_before_sale: bool = True, postcode_fallback: bool = False) -> DataFrame:
     """Every sale with its certificate's fields and match_quality (exact_address, postcode_only or none).
 
-    Both tiers are one join on tagged keys: an address match outranks any postcode match in the aggregate, so sales and
-    certificates are read once each, and a certificate meets only sales within ``max_days``. An ``ordinal`` column of the
-    sales passes through, by which a sink can restore their order.
+    An ``ordinal`` column of the sales passes through, by which a sink can restore their order. With the fallback, both
+    prepared tables and the address matches are checkpointed, since both tiers read them.
     """
     sales, certificates = prepare_sales(ppd), prepare_certificates(epc)
-    tiers = [(0, "address_key")] + ([(1, "postcode_norm")] if postcode_fallback else [])
-
-    def tagged(rows: DataFrame, columns: list) -> DataFrame:
-        keys = F.filter(F.array(*(F.struct(F.lit(k).alias("tier"), F.col(c).alias("key")) for k, c in tiers)), lambda x: x.getField("key").isNotNull())
-        return rows.withColumn("__k", F.explode(keys)).select(F.col("__k.tier").alias("tier"), F.col("__k.key").alias("key"), *columns)
-
-    left = tagged(sales.filter("sale_date is not null"), ["transaction_id", "sale_date"])
-    right = tagged(certificates, list(EPC_FIELDS))
-    days = F.datediff("inspection_date", "sale_date")
-    near = left.join(right, ["tier", "key"]).filter(F.abs(days) <= max_days)
-    after = F.when(days > 0, 1).otherwise(0) if prefer_before_sale else F.lit(0)
-    best = F.min(F.struct("tier", after.alias("after"), F.abs(days).alias("days"), "lmk_key", "inspection_date", "floor_area_sqm", "energy_rating", "energy_efficiency"))
-    hits = near.groupBy("transaction_id").agg(best.alias("x")).select("transaction_id", *(F.col(f"x.{c}").alias(c) for c in EPC_FIELDS), F.when(F.col("x.tier") == 0, "exact_address").otherwise("postcode_only").alias("match_quality"))
+    how = {"max_days": max_days, "prefer_before_sale": prefer_before_sale}
+    if not postcode_fallback:
+        hits = nearest(sales, certificates, "address_key", **how).withColumn("match_quality", F.lit("exact_address"))
+    else:
+        sales, certificates = sales.checkpoint(), certificates.checkpoint()
+        exact = nearest(sales, certificates, "address_key", **how).withColumn("match_quality", F.lit("exact_address")).checkpoint()
+        left = sales.join(exact.select("transaction_id"), "transaction_id", "left_anti")
+        hits = exact.unionByName(nearest(left, certificates, "postcode_norm", **how).withColumn("match_quality", F.lit("postcode_only")))
     return sales.join(hits, "transaction_id", "left").withColumn("match_quality", F.coalesce("match_quality", F.lit("none")))
 
 

@@ -18,7 +18,8 @@ RELEASE = (
 
 def tenders(releases: DataFrame, *, column: str = "json", base_url: str = "") -> DataFrame:
     """One row a release (JSON text): value, buyer, suppliers, classifications, region and url resolved."""
-    r = releases.withColumn("r", F.from_json(column, RELEASE))
+    # exploding one element keeps filters above the parse, which would else be repeated in each of them
+    r = releases.select("*", F.explode(F.array(F.from_json(column, RELEASE))).alias("r"))
     party = lambda i: F.get(F.filter("r.parties", lambda p: p.getField("id") == i), F.lit(0))
     awarded = F.get(F.filter("r.awards", lambda a: a.getField("value").getField("amount").isNotNull()), F.lit(0))
     flat = F.flatten(F.filter(F.transform("r.awards", lambda a: a.getField("suppliers")), lambda x: x.isNotNull()))
