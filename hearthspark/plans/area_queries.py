@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as t
-from ..operators import geo, hazards, linkage, listings, models, ownership, places, profile, registers, valuation
+from ..operators import geo, hazards, linkage, listings, models, ownership, places, profile, reference, registers, valuation
 from ..session import shared_checkpoints
 from .lens import LENSES, view, with_sql
 from .place_queries import _HAV, _releases
@@ -478,3 +478,17 @@ def crime_months(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The trailing months there are, by month and in all."""
     c = view(spark, sf_dir, "crime")
     return profile.trailing_crime(c, F.left("day", F.lit(7)), 2).select(F.col("period").alias("month"), "category", "n")
+
+
+@query(with_sql("targets") + " SELECT property_id, postcode, 'postcode' AS reasons FROM targets WHERE postcode = 'N/A'")
+def rejected_postcodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A2: the strict gate in front of valuations, which reports what it rejects."""
+    bad = reference.split_valid(view(spark, sf_dir, "targets"), {"postcode": t.normalise_postcode(F.col("postcode")).isNotNull()})[1]
+    return bad.select("property_id", "postcode", F.array_join("reasons", ",").alias("reasons"))
+
+
+@query("SELECT lower(regexp_replace(trim(url), '[?#].*$', '')) AS url_key, min(page_id) AS page_id FROM pages WHERE url IS NOT NULL GROUP BY 1")
+def pages_first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One page an address, without query, fragment or case."""
+    p = spark.read.parquet(f"{sf_dir}/pages.parquet").filter("url is not null").select(t.url_key(F.col("url")).alias("url_key"), "page_id")
+    return linkage.first_seen(p, ["url_key"], "page_id")

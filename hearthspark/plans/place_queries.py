@@ -239,7 +239,7 @@ m AS (SELECT l.l_orderkey, min((l_partkey, l_suppkey, l_extendedprice)) AS x FRO
 SELECT 'ocds-' || CAST(o_orderkey AS VARCHAR) AS ocid, 'Council ' || CAST(o_custkey AS VARCHAR) AS buyer, CASE o_orderstatus WHEN 'F' THEN 'complete' WHEN 'O' THEN 'open' ELSE 'planned' END AS status, CAST(o_orderdate AS DATE) AS published, coalesce(m.x[3], o_totalprice) AS amount, CAST(a.suppliers AS INT) AS suppliers, 'https://example.org/ocds-' || CAST(o_orderkey AS VARCHAR) AS url
 FROM orders LEFT JOIN a ON a.l_orderkey = o_orderkey LEFT JOIN m ON m.l_orderkey = o_orderkey WHERE o_orderkey % 3 = 1 AND o_custkey % 5 = 2 AND coalesce(m.x[3], o_totalprice) >= 20000""")
 def search_tenders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """W15, T2-T8, J14."""
+    """A21, W15, T2-T8, J14."""
     rows = registers.tenders(_releases(spark, sf_dir), base_url="https://example.org/")
     found = registers.search_tenders(rows, keyword="repairs", codes=("45100000",), regions=("UK2",), low=20_000)
     return found.select("ocid", "buyer", "status", "published", "amount", F.when(F.col("suppliers").isNotNull(), F.size("suppliers")).alias("suppliers"), "url")

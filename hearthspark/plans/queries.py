@@ -92,13 +92,13 @@ def link_sales_to_epc(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT p.transaction_id, p.price, CASE WHEN r.value IS NOT NULL AND substr(p.transfer_date, 1, 7) <= l.last_month THEN CAST(round_even(p.price * l.last_value / r.value, 0) AS BIGINT) ELSE p.price END AS adjusted_price
 FROM ppd p LEFT JOIN r ON r.region = p.region AND substr(p.transfer_date, 1, 7) >= r.month AND (r.nxt IS NULL OR substr(p.transfer_date, 1, 7) < r.nxt) LEFT JOIN l ON l.region = p.region""")
 def hpi_adjust(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """J5, H3-H6."""
+    """A25, J5, H3-H6."""
     return temporal.adjust(view(spark, sf_dir, "ppd"), view(spark, sf_dir, "hpi")).select("transaction_id", "price", "adjusted_price")
 
 
 @query(with_sql("hpi") + " SELECT region, min(month) AS first_month, max(month) AS last_month, count(*) AS months FROM hpi WHERE value > 0 GROUP BY region")
 def hpi_support(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """H1, H2."""
+    """A26, H1, H2."""
     return temporal.support(temporal.validate_index(view(spark, sf_dir, "hpi"))[0])
 
 

@@ -10,6 +10,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import geo, reference
 from ..session import shared_checkpoints
 from ..sources import features, readers
 from .lens import LENSES, view, with_sql
@@ -131,3 +132,101 @@ def read_projections(spark: SparkSession, sf_dir: str) -> DataFrame:
     tests = n.select(F.col("n_name").alias("la_code"), F.col("n_name").alias("la_name"), (2000 + k).cast("string").alias("year"), *(F.lit("5").alias(c) for c in ("net_homes_required", "net_homes_delivered", "measurement")))
     delivered = readers.housing_delivery(spark, _written(tests, "delivery", header="true")).select(F.col("la_code").alias("region"), "year")
     return readers.climate_projections(spark, _written(climate, "climate", header="true")).join(delivered, "region").select("region", "scenario", "epoch", "temp_change_c", "sea_level_rise_cm", "year")
+
+
+LENSES |= {
+    "more_json": """SELECT s_suppkey AS k, '{"transactionId":"t' || CAST(s_suppkey AS STRING) || '","pricePaid":' || CAST(1000 + s_suppkey AS STRING) || ',"transactionDate":"Wed, 14 Jan 2026","propertyType":' || CASE s_suppkey % 3 WHEN 0 THEN '{"prefLabel":[{"_value":"Detached"}]}' WHEN 1 THEN '{"label":["Flat"]}' ELSE '"Terraced"' END || ',"propertyAddress":{"paon":"1","postcode":"LS1 4AB"}}' AS sale,
+  '{"lmk-key":"c' || CAST(s_suppkey AS STRING) || '","postcode":"LS1 4AB","total-floor-area":"' || CAST(s_suppkey AS STRING) || '"}' AS certificate, '{"rows":[{"lmk-key":"r' || CAST(s_suppkey AS STRING) || '","postcode":"M1 1AE","total-floor-area":"7"},{"lmk-key":"q' || CAST(s_suppkey AS STRING) || '","postcode":"M1 1AE","total-floor-area":"8"}]}' AS envelope,
+  '{"id":' || CAST(s_suppkey AS STRING) || ',"type":"node",' || CASE WHEN s_suppkey % 5 = 0 THEN '"center":{"lat":51.5,"lon":-0.5}' WHEN s_suppkey % 5 = 1 THEN '"x":1' ELSE '"lat":52.5,"lon":-1.5' END || ',"tags":{"name":"N","' || CASE s_suppkey % 3 WHEN 0 THEN 'amenity":"school' WHEN 1 THEN 'leisure":"park","amenity":"school' ELSE 'shop":"x' END || '"}}' AS element,
+  CASE WHEN s_suppkey % 3 = 0 THEN '{"properties":{"NAME":"B' || CAST(s_suppkey AS STRING) || '"},"geometry":{"type":"MultiPolygon","coordinates":[[[[0,0],[4,0],[4,4]]],[[[5,5],[6,5],[6,6]],[[5.2,5.1],[5.8,5.1],[5.8,5.7]]]]}}' WHEN s_suppkey % 3 = 1 THEN '{"properties":{"name":"A' || CAST(s_suppkey AS STRING) || '"},"geometry":{"type":"Polygon","coordinates":[[[0,0],[1,0],[1,1]]]}}' ELSE '{"properties":{"name":"C"},"geometry":null}' END AS polygon,
+  '{"attributes":{"REFVAL":' || CASE WHEN s_suppkey % 4 = 0 THEN 'null' ELSE '"r' || CAST(s_suppkey AS STRING) || '"' END || ',"KEYVAL":"k","ADDRESS":"A","DATEMODIFIED":"1777503600000","STATUS":"Unknown","ISPAVISIBLE":"' || CAST(s_suppkey % 2 AS STRING) || '"},"geometry":{"x":-1.5,"y":53.5}}' AS application,
+  '{"id":"' || CAST(s_suppkey AS STRING) || '","label":"Leeds Centre-Ozone (air)","station":{"geometry":{"coordinates":[' || CASE WHEN s_suppkey % 4 = 0 THEN '' ELSE '53.5,-1.5' END || ']}}}' AS series FROM supplier""",
+}
+
+
+@query(with_sql("more_json") + """
+SELECT 't' || CAST(k AS VARCHAR) AS transaction_id, CAST(1000 + k AS BIGINT) AS price, '2026-01-14' AS transfer_date, CASE k % 3 WHEN 0 THEN 'Detached' WHEN 1 THEN 'Flat' ELSE 'Terraced' END AS property_type, 'LS1 4AB' AS postcode FROM more_json""")
+def read_sale_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels as a text, an object or a list of either."""
+    return readers.price_paid_items(view(spark, sf_dir, "more_json").select(F.col("sale").alias("json"))).select("transaction_id", "price", "transfer_date", "property_type", "postcode")
+
+
+@query(with_sql("more_json") + """
+SELECT 'c' || CAST(k AS VARCHAR) AS lmk_key, 'LS1 4AB' AS postcode, CAST(k AS VARCHAR) AS total_floor_area FROM more_json UNION ALL SELECT 'r' || CAST(k AS VARCHAR), 'M1 1AE', '7' FROM more_json UNION ALL SELECT 'q' || CAST(k AS VARCHAR), 'M1 1AE', '8' FROM more_json""")
+def read_certificates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JSON lines, flat and in envelopes."""
+    j = view(spark, sf_dir, "more_json")
+    path = f"{shared_checkpoints(spark).rstrip('/')}/certificates-{uuid.uuid4().hex}"
+    j.select("certificate").union(j.select("envelope")).toDF("value").write.text(path)
+    return readers.certificates(spark, path).select("lmk_key", "postcode", "total_floor_area")
+
+
+@query(with_sql("hpi") + " SELECT month, max(value) AS value FROM hpi GROUP BY month")
+def read_two_column_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """W5."""
+    shown = view(spark, sf_dir, "hpi").groupBy("month").agg(F.max("value").cast("string").alias("index"))
+    return readers.two_column_index(spark, _written(shown, "index", header="true"))[0].select("month", "value")
+
+
+@query("""SELECT 'E' || CAST(c_custkey AS VARCHAR) AS lsoa_code, CAST(c_custkey AS BIGINT) AS imd_rank, CAST(c_custkey % 10 + 1 AS BIGINT) AS imd_decile FROM customer""")
+def read_deprivation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Headers with or without a suffix in brackets."""
+    c, k = spark.read.parquet(f"{sf_dir}/customer.parquet"), F.col("c_custkey")
+    cells = {"lsoa_code": F.concat(F.lit("E"), k.cast("string")), "imd_rank": k.cast("string"), "imd_decile": (k % 10 + 1).cast("string")}
+    shown = c.select(*(cells.get(v, F.lit("1")).alias(f"{h} (where 1 is most deprived)" if v.endswith(("rank", "decile")) else h) for h, v in readers.IMD_COLUMNS.items()))
+    return readers.deprivation(spark, _written(shown, "imd", header="true")).select("lsoa_code", "imd_rank", "imd_decile")
+
+
+@query(with_sql("more_json") + """
+SELECT k AS id, CASE WHEN k % 3 = 1 THEN 'park' ELSE 'school' END AS category, CASE WHEN k % 5 = 0 THEN 51.5 ELSE 52.5 END::DOUBLE AS lat FROM more_json WHERE k % 3 <> 2 AND k % 5 <> 1""")
+def read_amenities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first category that fits wins; elements without a place or a category go."""
+    e = view(spark, sf_dir, "more_json").select(F.col("element").alias("json"))
+    return readers.amenities(e, {"park": ("leisure", "park"), "school": ("amenity", "school")}).select("id", "category", "lat")
+
+
+@query(with_sql("more_json") + """
+SELECT 'B' || CAST(k AS VARCHAR) AS name, CAST(3 AS INT) AS corners, CAST(0 AS INT) AS holes FROM more_json WHERE k % 3 = 0 UNION ALL SELECT 'B' || CAST(k AS VARCHAR), 3, 1 FROM more_json WHERE k % 3 = 0 UNION ALL SELECT 'A' || CAST(k AS VARCHAR), 3, 0 FROM more_json WHERE k % 3 = 1""")
+def read_polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row a polygon, with its holes."""
+    return readers.polygons(view(spark, sf_dir, "more_json").select(F.col("polygon").alias("json"))).select("name", F.size("ring").alias("corners"), F.size("holes").alias("holes"))
+
+
+@query(with_sql("more_json") + """
+SELECT 'r' || CAST(k AS VARCHAR) AS reference, 'leeds' AS council, CAST(NULL AS VARCHAR) AS status, k % 2 = 1 AS visible, CAST(53.5 AS DOUBLE) AS lat FROM more_json WHERE k % 4 <> 0""")
+def read_planning_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """W16."""
+    return readers.planning_features(view(spark, sf_dir, "more_json").select(F.col("application").alias("json")), "leeds").select("reference", "council", "status", "visible", "lat")
+
+
+@query(with_sql("more_json") + """
+SELECT CAST(k AS VARCHAR) AS id, 'Leeds Centre' AS site, 'o3' AS pollutant, CAST(53.5 AS DOUBLE) AS lat FROM more_json WHERE k % 4 <> 0""")
+def read_air_stations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The site split off the label."""
+    return readers.air_stations(view(spark, sf_dir, "more_json").select(F.col("series").alias("json"))).select("id", "site", "pollutant", "lat")
+
+
+@query("""WITH t AS (SELECT n_name AS id, 'TS001' AS topic, n_nationkey AS k FROM nation WHERE n_nationkey % 2 = 0) SELECT id, area, sex, CAST(100 * k + v AS INT) AS value FROM t, (VALUES ('x', 'a', 0), ('x', 'b', 1), ('x', 'c', 2), ('y', 'a', 3), ('y', 'b', 4), ('y', 'c', 5)) d(area, sex, v)""")
+def decoded_census(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cubes of one topic, decoded cell by cell."""
+    n, k = spark.read.parquet(f"{sf_dir}/nation.parquet"), F.col("n_nationkey")
+    cubes = n.select(F.col("n_name").alias("id"), F.when(k % 2 == 0, "TS001").otherwise("TS021").alias("topic"), F.array(*((100 * k + v).cast("int") for v in range(6))).alias("observations"))
+    return reference.decode_cube(cubes.filter("topic = 'TS001'"), {"area": ["x", "y"], "sex": ["a", "b", "c"]}).select("id", "area", "sex", F.col("value").cast("int").alias("value"))
+
+
+@query("SELECT n_nationkey, n_name FROM nation")
+def written_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A report as JSON lines, read back."""
+    path = f"{shared_checkpoints(spark).rstrip('/')}/report-{uuid.uuid4().hex}"
+    n = spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_nationkey", "n_name")
+    readers.report(n, path)
+    return spark.read.schema(n.schema).json(path)
+
+
+@query(with_sql("points") + """
+SELECT point_id, round(lat - degrees(5000 / 6371008.8), 9) AS lat0, round(lng + degrees(5000 / 6371008.8) / cos(radians(lat)), 9) AS lng1, lat BETWEEN 49.0 AND 61.0 AND lng BETWEEN -8.8 AND 2.1 AS inside FROM points""")
+def boxes_of_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """G2, G15."""
+    p = view(spark, sf_dir, "points")
+    b = geo.bbox(F.col("lat"), F.col("lng"), 5000.0)
+    return p.select("point_id", F.round(b.getField("lat0"), 9).alias("lat0"), F.round(b.getField("lng1"), 9).alias("lng1"), geo.in_box(F.col("lat"), F.col("lng")).alias("inside"))
