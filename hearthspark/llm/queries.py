@@ -62,7 +62,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality_rules.apply_rules(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "host_rejected")
 
 
 QUERIES = {"op1_pii": op1_pii, "op2_language_id": op2_language_id, "op3_toxicity": op3_toxicity, "op4_near_dedup": op4_near_dedup, "op5_url_filter": op5_url_filter, "op6_license_scan": op6_license_scan, "op9_quality": op9_quality, "op10_quality_rules": op10_quality_rules, "op7_decontamination": op7_decontamination, "op8_packing": op8_packing}
@@ -119,7 +119,7 @@ v AS (SELECT *, CASE WHEN n - nn / n > 0 THEN (ff - n * m * m - (k - 1) * m * (1
 z AS (SELECT m, CASE WHEN v > 0 THEN least(1e6, greatest(1.0, m * (1 - m) / v - 1)) ELSE 1e6 END AS strength FROM v),
 b AS (SELECT h.source, (h.failed + z.m * z.strength) / (h.docs + z.strength) > 0.5 AS rejected FROM h, z)
 SELECT f.doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines,
-       CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed, NOT base_failed AND NOT b.rejected AS kept
+       CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed, NOT base_failed AND NOT b.rejected AS kept, b.rejected AS host_rejected
 FROM f JOIN b ON f.source IS NOT DISTINCT FROM b.source""",
 }
 
