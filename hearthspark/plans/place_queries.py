@@ -277,10 +277,16 @@ def ownership_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ownership.search(e, e.select(F.col("source").alias("seed")).distinct(), 2)
 
 
-@query()
+@query(with_sql("appointments") + """
+, e AS (SELECT DISTINCT 'officer:' || CAST(officer AS VARCHAR) AS s, 'company:' || CAST(company AS VARCHAR) AS t FROM appointments), seeds AS (SELECT DISTINCT s AS seed FROM e),
+a AS (SELECT s AS seed, t AS node, row_number() OVER (PARTITION BY s ORDER BY t) AS rank FROM e), f AS (SELECT DISTINCT a.seed, e.s AS node FROM a JOIN e ON a.node = e.t WHERE a.rank <= 20 AND e.s <> a.seed), b AS (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY node) AS rank FROM f),
+r AS (SELECT seed, seed AS node, 0 AS depth FROM seeds UNION ALL SELECT seed, node, 1 FROM a WHERE rank <= 20 UNION ALL SELECT seed, node, 2 FROM b WHERE rank <= 9), l AS (SELECT seed FROM a WHERE rank > 20 UNION SELECT seed FROM b WHERE rank > 9)
+SELECT seed, node, CAST(depth AS INT) AS depth, split_part(node, ':', 1) AS kind, seed IN (SELECT seed FROM l) AS truncated FROM r""")
 def ownership_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """At most 20 companies and 10 officers a seed, nearest first."""
-    return ownership.cap(ownership_search(spark, sf_dir), {"company": 20, "officer": 10})
+    """At most 20 companies and 10 officers a seed, nearest first, while the search goes on."""
+    shared_checkpoints(spark)
+    e = ownership.edges(view(spark, sf_dir, "appointments"))
+    return ownership.search_capped(e, e.select(F.col("source").alias("seed")).distinct(), 2, {"company": 20, "officer": 10}).select("seed", "node", "depth", "kind", "truncated")
 
 
 # listings

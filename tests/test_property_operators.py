@@ -150,7 +150,7 @@ def test_ownership_caps(spark):
     e = ownership.edges(spark.createDataFrame([(1, c, 1) for c in range(5)] + [(2, 0, 0)], "officer int, company int, active int"))
     found = ownership.search(e, spark.createDataFrame([("officer:1",)], "seed string"), 2)
     assert {r["node"]: r["depth"] for r in found.collect()} == {"officer:1": 0, "officer:2": 2, **{f"company:{c}": 1 for c in range(5)}}
-    kept = ownership.cap(found, {"company": 2}).collect()
+    kept = ownership.search_capped(e, spark.createDataFrame([("officer:1",)], "seed string"), 2, {"company": 2}).collect()
     assert sum(r["kind"] == "company" for r in kept) == 2 and all(r["truncated"] for r in kept)
     assert ownership.retained_edges(e, found).count() == 6
 
