@@ -291,10 +291,10 @@ def applications_by_council(spark: SparkSession, sf_dir: str) -> DataFrame:
     return registers.applications_by_council(rows, F.lit("1997-01-01").cast("timestamp_ntz")).withColumn("latest", F.col("latest").cast("date"))
 
 
-@query("""SELECT CAST(o_orderkey AS VARCHAR) AS reference FROM orders WHERE o_orderstatus <> 'P' AND 50 + CAST(o_orderkey % 8000 AS DOUBLE) / 1000 BETWEEN 52 AND 54 AND -6 + CAST(o_custkey % 7500 AS DOUBLE) / 1000 BETWEEN -5.9 AND -5""")
+@query("""SELECT CAST(o_orderkey AS VARCHAR) AS reference FROM orders WHERE o_orderstatus <> 'P' AND 50 + CAST(o_orderkey % 8000 AS DOUBLE) / 1000 BETWEEN 50.2 AND 51.2 AND -6 + CAST(o_custkey % 7500 AS DOUBLE) / 1000 BETWEEN -5.99 AND -5.9""")
 def applications_in_box(spark: SparkSession, sf_dir: str) -> DataFrame:
     """P4."""
-    return registers.applications(_applications(spark, sf_dir), box=(52.0, -5.9, 54.0, -5.0)).select("reference")
+    return registers.applications(_applications(spark, sf_dir), box=(50.2, -5.99, 51.2, -5.9)).select("reference")
 
 
 @query("""SELECT CAST(o_orderkey AS VARCHAR) AS reference, CAST(o_custkey AS VARCHAR) AS key_val, o_orderstatus <> 'P' AS visible FROM orders WHERE o_custkey IN (SELECT s_suppkey FROM supplier)""")
@@ -398,12 +398,12 @@ def listed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return listings.with_listed_event(e, added).groupBy("source_id", "kind", "occurred_on").agg(F.count("*").alias("n"))
 
 
-@query("""SELECT p_partkey FROM part WHERE lower(p_type) LIKE '%brass%' AND p_partkey % 2 = 0 AND floor(p_retailprice * 100) BETWEEN 95000 AND 150000 AND p_size >= 10""")
+@query("""SELECT p_partkey FROM part WHERE lower(p_type) LIKE '%s%' AND p_partkey % 2 = 0 AND floor(p_retailprice * 100) BETWEEN 90000 AND 250000 AND p_size >= 5""")
 def listing_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """L9."""
     p = spark.read.parquet(f"{sf_dir}/part.parquet")
     rows = p.select("p_partkey", F.col("p_type").alias("address"), F.when(F.col("p_partkey") % 2 == 0, "sale").otherwise("rent").alias("transaction"), F.floor(F.col("p_retailprice") * 100).alias("price_pence"), F.col("p_size").alias("bedrooms"))
-    return listings.search(rows, location="Brass", transaction="sale", price=(95_000, 150_000), beds=(10, None)).select("p_partkey")
+    return listings.search(rows, location="S", transaction="sale", price=(90_000, 250_000), beds=(5, None)).select("p_partkey")
 
 
 @query("""WITH b AS (SELECT l_suppkey AS branch, count(*) FILTER (WHERE l_linenumber <= 2) AS sales, count(*) FILTER (WHERE l_linenumber = 3) AS rents, count(*) FILTER (WHERE l_linenumber = 4) AS shops FROM lineitem GROUP BY l_suppkey),
@@ -452,7 +452,7 @@ def evaluation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(_SCORED + """
-, z AS (SELECT 'as is' AS model, ape, err FROM s UNION ALL SELECT 'one tenth more', abs(floor(e * 1.1) - price) / price::DOUBLE, abs(floor(e * 1.1) - price) FROM s)
+, z AS (SELECT 'as is' AS model, ape, err FROM s UNION ALL SELECT 'one tenth more', abs(floor(e * CAST(1.1 AS DOUBLE)) - price) / price::DOUBLE, abs(floor(e * CAST(1.1 AS DOUBLE)) - price) FROM s)
 SELECT model, count(*) AS n, round(median(ape), 9) AS median_ape, CAST(round_even(median(err), 0) AS BIGINT) AS median_abs_error FROM z GROUP BY model""")
 def model_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Any tables of predictions on the same rows."""

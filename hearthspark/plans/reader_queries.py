@@ -94,14 +94,15 @@ def read_price_paid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(with_sql("hpi") + """
-SELECT region, month, value, '' AS reason FROM hpi WHERE substr(month, 7, 1) <> '5' UNION ALL SELECT region, month, -1.0, 'value' FROM hpi WHERE substr(month, 7, 1) = '5'""")
+SELECT region, month, round(value, 1) AS value, '' AS reason FROM hpi WHERE substr(month, 7, 1) <> '5' UNION ALL SELECT region, month, CAST(-1 AS DOUBLE), 'value' FROM hpi WHERE substr(month, 7, 1) = '5'""")
 def read_house_price_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A long file with bad values, split into valid and rejected rows."""
     h = view(spark, sf_dir, "hpi")
     bad = F.substring("month", 7, 1) == "5"
     shown = h.select(F.concat(F.lit("01/"), F.substring("month", 6, 2), F.lit("/"), F.left("month", F.lit(4))).alias("Date"), F.col("region").alias("RegionName"), F.when(bad, "-1").otherwise(F.col("value").cast("string")).alias("Index"))
     valid, rejected = readers.house_price_index(spark, _written(shown, "hpi", header="true"))
-    return valid.select("region", "month", "value", F.lit("").alias("reason")).unionByName(rejected.select("region", "month", "value", "reason"))
+    both = valid.select("region", "month", "value", F.lit("").alias("reason")).unionByName(rejected.select("region", "month", "value", "reason"))
+    return both.withColumn("value", F.round("value", 1))
 
 
 def _text(c: str) -> Column:
@@ -116,7 +117,7 @@ def read_broadband(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.broadband(spark, _written(c.unionByName(again), "broadband", header="true"), {"Average speed": "speed"})
 
 
-@query("""SELECT CAST(s_suppkey AS VARCHAR) AS atco_code, 50 + s_suppkey % 9 + 0.5 AS lat, CASE s_suppkey % 3 WHEN 0 THEN 'rail_station' WHEN 1 THEN 'tram_stop' ELSE 'bus_stop' END AS stop_type FROM supplier""")
+@query("""SELECT CAST(s_suppkey AS VARCHAR) AS atco_code, CAST(50 + s_suppkey % 9 + 0.5 AS DOUBLE) AS lat, CASE s_suppkey % 3 WHEN 0 THEN 'rail_station' WHEN 1 THEN 'tram_stop' ELSE 'bus_stop' END AS stop_type FROM supplier""")
 def read_stops(spark: SparkSession, sf_dir: str) -> DataFrame:
     """W11, A49."""
     s, k = spark.read.parquet(f"{sf_dir}/supplier.parquet"), F.col("s_suppkey")
@@ -124,7 +125,7 @@ def read_stops(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.stops(spark, _written(shown, "stops", header="true")).select("atco_code", "lat", "stop_type")
 
 
-@query("""SELECT n_name AS region, 'rcp85' AS scenario, CAST(2050 AS INT) AS epoch, n_nationkey + 0.5 AS temp_change_c, CASE WHEN n_nationkey % 2 = 0 THEN CAST(n_nationkey AS DOUBLE) END AS sea_level_rise_cm, CAST(2000 + n_nationkey AS BIGINT) AS year FROM nation""")
+@query("""SELECT n_name AS region, 'rcp85' AS scenario, CAST(2050 AS INT) AS epoch, CAST(n_nationkey + 0.5 AS DOUBLE) AS temp_change_c, CASE WHEN n_nationkey % 2 = 0 THEN CAST(n_nationkey AS DOUBLE) END AS sea_level_rise_cm, CAST(2000 + n_nationkey AS BIGINT) AS year FROM nation""")
 def read_projections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Climate projections with a blank sea level, and delivery-test rows."""
     n, k = spark.read.parquet(f"{sf_dir}/nation.parquet"), F.col("n_nationkey")
