@@ -35,6 +35,17 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new folder under the shared one for files that aren't tables; ``release`` deletes it, or the end of the program."""
+    path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    _staged[path] = spark
+    return path
+
+
+def release(path: str) -> None:
+    _delete(_staged.pop(path), path)
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete staged tables that nothing reads any more; others are deleted when the program ends."""
     for table in tables:

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language_id, license_scan, near_dedup, packing, pii, quality, quality_rules, toxicity, url_filter
-from .common import table
+from . import decontaminate, language_id, license_scan, near_dedup, oracles, packing, phrases, pii, quality, quality_rules, spelling, toxicity, url_filter, warc_zip
+from .common import release, scratch, stage, table
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -65,9 +65,31 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "host_rejected")
 
 
-QUERIES = {"op1_pii": op1_pii, "op2_language_id": op2_language_id, "op3_toxicity": op3_toxicity, "op4_near_dedup": op4_near_dedup, "op5_url_filter": op5_url_filter, "op6_license_scan": op6_license_scan, "op9_quality": op9_quality, "op10_quality_rules": op10_quality_rules, "op7_decontamination": op7_decontamination, "op8_packing": op8_packing}
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+def op13_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    folder = scratch(spark, "warc")
+    manifest = warc_zip.write_packages(pages, folder)
+    records = stage(warc_zip.read_records(manifest, with_payload=False), "warc-records")
+    release(folder)
+    return warc_zip.digest(warc_zip.resolve(records), pages.schema["page_id"].dataType.simpleString())
+
+
+QUERIES = {"op1_pii": op1_pii, "op2_language_id": op2_language_id, "op3_toxicity": op3_toxicity, "op4_near_dedup": op4_near_dedup, "op5_url_filter": op5_url_filter, "op6_license_scan": op6_license_scan, "op9_quality": op9_quality, "op10_quality_rules": op10_quality_rules, "op7_decontamination": op7_decontamination, "op8_packing": op8_packing, "op11_phrases": op11_phrases, "op12_spelling_variants": op12_spelling_variants, "op13_warc_zip": op13_warc_zip}
 
 SQL: dict[str, str] = {
+    "op13_warc_zip": r"""
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS b, sha256(coalesce(html, '')) AS d FROM pages),
+f AS (SELECT d, min(page_id) AS first FROM p WHERE b >= 100 GROUP BY d)
+SELECT page_id, CAST(b AS BIGINT) AS payload_bytes, p.d AS payload_digest, CASE WHEN first <> page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN first <> page_id THEN first END AS refers_to
+FROM p LEFT JOIN f ON p.d = f.d""",
     "op7_decontamination": r"""
 WITH d AS (
   SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
@@ -161,3 +183,5 @@ SELECT page_id, r.host, path, rule, coalesce(label, CASE WHEN o.typed IS NOT NUL
 
 
 SQL["op5_url_filter"] = _url_sql()
+SQL["op11_phrases"] = oracles.phrase_sql()
+SQL["op12_spelling_variants"] = oracles.spelling_sql()
