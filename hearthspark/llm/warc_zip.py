@@ -92,20 +92,18 @@ def _end_of_directory(f, size: int) -> tuple[int, int, int, int]:
         raise Unreadable("no end record of a ZIP directory")
     entries, length, start = struct.unpack_from("<HII", tail, at + 10)
     end = size - n + at
-    if 0xFFFF == entries or 0xFFFFFFFF in (length, start):
-        where = end - 20
-        locator = read_range(f, where, 20) if where >= 0 else b""
-        if locator[:4] == _LOCATOR64:
-            end64 = struct.unpack_from("<Q", locator, 8)[0]
-            record = read_range(f, end64, 56)
-            if record[:4] != _END64:
-                # something precedes the package: the record lies just before its locator
-                end64 = where - 56
-                record = read_range(f, end64, 56)
-            if record[:4] != _END64:
-                raise Unreadable("no ZIP64 end record where its locator points")
-            entries, length, start = struct.unpack_from("<QQQ", record, 32)
-            end = end64
+    wide = 0xFFFF == entries or 0xFFFFFFFF in (length, start)
+    where = end - 20
+    locator = read_range(f, where, 20) if where >= 0 else b""
+    if locator[:4] == _LOCATOR64:  # some writers add the ZIP64 records to packages whose sizes would fit
+        for end64 in (struct.unpack_from("<Q", locator, 8)[0], where - 56):  # the second where something precedes the package
+            record = read_range(f, end64, 56) if 0 <= end64 <= where - 56 else b""
+            if record[:4] == _END64:
+                entries, length, start = struct.unpack_from("<QQQ", record, 32)
+                end, wide = end64, False
+                break
+    if wide:
+        raise Unreadable("no ZIP64 end record of a large package")
     if end - length < start:
         raise Unreadable("the central directory starts before the file")
     return entries, end - length, end, end - length - start
