@@ -1,4 +1,4 @@
-"""Hedonic price models: least squares and quantile regression from aggregated sums, trees by Spark ML, and evaluation.
+"""Hedonic price models: least squares and quantile regression from aggregated sums, boosted quantile trees (``trees``), and evaluation.
 
 Rows never reach the driver. The design is categories and two numbers, so Spark sums rows by category combination
 (a bounded number of groups) and the normal equations are put together from those sums.
@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import valuation
+from . import trees, valuation
 
 CATEGORIES = ("property_type", "tenure", "area", "age_band")
 MIN_ROWS, MIN_QUANTILE_ROWS, MIN_TREE_ROWS = 20, 30, 50
@@ -225,59 +225,37 @@ def predict_quantiles(rows: DataFrame, model: Quantiles) -> DataFrame:
 
 @dataclass
 class Trees:
-    model: object
-    low: float
-    high: float
-    rows: int
+    model: trees.Forest
     means: dict[str, float]
-    quantiles: tuple[float, float, float]
-
-
-def fit_trees(sales: DataFrame, quantiles: tuple[float, float, float] = (0.1, 0.5, 0.9), *, categories: tuple[str, ...] = CATEGORIES, iterations: int = 20, depth: int = 4, seed: int = 7) -> Trees | None:
-    """Boosted trees for the median by Spark ML's absolute loss, with a band from the residuals of a held-out fifth; None under 50 rows.
 
-    Spark has neither a quantile loss nor monotone constraints, so the band is the same share of every estimate, and rising
-    floor area is checked (``rises``) and not imposed.
-    """
-    from pyspark.ml import Pipeline
-    from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
-    from pyspark.ml.regression import GBTRegressor
 
+def fit_trees(sales: DataFrame, quantiles: tuple[float, float, float] = (0.1, 0.5, 0.9), *, categories: tuple[str, ...] = CATEGORIES, iterations: int = trees.ROUNDS, rate: float = trees.RATE, depth: int = trees.DEPTH) -> Trees | None:
+    """Boosted trees for each quantile that never fall when floor area or efficiency grows; None under 50 rows."""
     made = training_frame(sales)
     if made is None:
         return None
     frame, means = made
-    frame = frame.withColumn("__held", F.pmod(F.xxhash64(F.col("transaction_id").cast("string")), F.lit(5)) == 0)
-    rows = frame.count()
-    if rows < MIN_TREE_ROWS:
+    if frame.count() < MIN_TREE_ROWS:
         return None
-    names = [f"__i_{c}" for c in categories]
-    index = StringIndexer(inputCols=list(categories), outputCols=names, handleInvalid="keep")
-    hot = OneHotEncoder(inputCols=names, outputCols=[f"__h_{c}" for c in categories], dropLast=False)
-    join = VectorAssembler(inputCols=["log_floor", "eff", *(f"__h_{c}" for c in categories)], outputCol="features")
-    pipe = Pipeline(stages=[index, hot, join, GBTRegressor(labelCol="log_price", lossType="absolute", maxIter=iterations, maxDepth=depth, seed=seed)])
-    model = pipe.fit(frame.filter("not __held"))
-    left = model.transform(frame.filter("__held")).select(F.percentile(F.col("log_price") - F.col("prediction"), F.array(F.lit(quantiles[0]), F.lit(quantiles[2]))).alias("q")).first()["q"]
-    low, high = left if left else (0.0, 0.0)
-    return Trees(model, low, high, rows, means, quantiles)
-
-
-def predict_trees(rows: DataFrame, trees: Trees) -> DataFrame:
-    """The columns of ``predict_hedonic``."""
-    fitted = trees.model.transform(_features(rows, trees.means))
-    fit = F.exp("prediction")
-    named = "/".join(f"{q:.2f}" for q in trees.quantiles)
-    out = _priced(fitted, fit * math.exp(trees.low), fit, fit * math.exp(trees.high), trees.rows, f"{TREES} (PPD+EPC, q={named})")
-    return out.select(*rows.columns, *ESTIMATE)
+    return Trees(trees.fit(frame, categories=categories, quantiles=quantiles, rounds=iterations, rate=rate, depth=depth), means)
+
+
+def predict_trees(rows: DataFrame, fitted: Trees) -> DataFrame:
+    """The columns of ``predict_hedonic``; low, mid and high are sorted, which keeps them from falling."""
+    p = F.array_sort(F.transform("__p", F.exp))
+    low, mid, high = (F.get(p, F.lit(k)) for k in range(3))
+    named = "/".join(f"{q:.2f}" for q in fitted.model.quantiles)
+    out = _features(rows, fitted.means).withColumn("__p", fitted.model.predict())
+    return _priced(out, low, mid, high, fitted.model.rows, f"{TREES} (PPD+EPC, q={named})").select(*rows.columns, *ESTIMATE)
 
 
 ESTIMATE = ("estimate_gbp", "low_gbp", "high_gbp", "confidence", "basis", "comparables_used", "methodology")
 
 
-def rises(rows: DataFrame, trees: Trees, *, factor: float = 1.1) -> DataFrame:
-    """How many rows' estimates fall if their floor area grows by ``factor``: the check in place of a monotone constraint."""
-    base = predict_trees(rows, trees).select("transaction_id", F.col("estimate_gbp").alias("now"))
-    more = predict_trees(rows.withColumn("floor_area_sqm", F.col("floor_area_sqm") * factor), trees).select("transaction_id", F.col("estimate_gbp").alias("then"))
+def rises(rows: DataFrame, fitted: Trees, *, factor: float = 1.1) -> DataFrame:
+    """How many rows' estimates fall if their floor area grows by ``factor`` (none, if the trees are right)."""
+    base = predict_trees(rows, fitted).select("transaction_id", F.col("estimate_gbp").alias("now"))
+    more = predict_trees(rows.withColumn("floor_area_sqm", F.col("floor_area_sqm") * factor), fitted).select("transaction_id", F.col("estimate_gbp").alias("then"))
     return base.join(more, "transaction_id").agg(F.count("*").alias("rows"), F.count_if(F.col("then") < F.col("now")).alias("falls"))
 
 
