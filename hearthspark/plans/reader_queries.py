@@ -109,12 +109,17 @@ def _text(c: str) -> Column:
     return F.col(c).cast("string")
 
 
-@query("""SELECT replace('LS' || CAST(c_custkey AS VARCHAR) || '1AA', ' ', '') AS postcode, 'LS' AS postcode_area, CASE WHEN c_custkey % 4 = 0 THEN 0.0 ELSE CAST(c_custkey AS DOUBLE) END AS speed FROM customer""")
+@query("""SELECT replace('LS' || CAST(c_custkey AS VARCHAR) || '1AA', ' ', '') AS postcode, 'LS' AS postcode_area, CASE WHEN c_custkey % 4 = 0 OR c_custkey % 3 = 2 THEN 0.0 ELSE CAST(c_custkey AS DOUBLE) END AS speed, CASE WHEN c_custkey % 3 = 1 THEN CAST(c_custkey % 100 AS DOUBLE) ELSE 0.0 END AS full_fibre FROM customer""")
 def read_broadband(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Blanks and bad numbers are zero, repeated header rows go."""
-    c = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.concat(F.lit("ls"), _text("c_custkey"), F.lit(" 1aa")).alias("postcode"), F.lit("LS").alias("postcode area"), F.when(F.col("c_custkey") % 4 == 0, F.lit("n/a")).otherwise(_text("c_custkey")).alias("Average speed"))
-    again = c.limit(1).select(F.lit("postcode").alias("postcode"), F.lit("postcode area").alias("postcode area"), F.lit("Average speed").alias("Average speed"))
-    return readers.broadband(spark, _written(c.unionByName(again), "broadband", header="true"), {"Average speed": "speed"})
+    """Files of one folder with other column orders and columns that some lack; blanks and bad numbers are zero, repeated header rows go."""
+    k = F.col("c_custkey")
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet").select(k, F.concat(F.lit("ls"), _text("c_custkey"), F.lit(" 1aa")).alias("postcode"), F.lit("LS").alias("postcode area"), F.when(k % 4 == 0, F.lit("n/a")).otherwise(_text("c_custkey")).alias("Average speed"), (k % 100).cast("string").alias("FTTP"))
+    orders = (["postcode", "postcode area", "Average speed"], ["FTTP", "postcode area", "Average speed", "postcode"], ["postcode area", "postcode"])
+    path = f"{shared_checkpoints(spark).rstrip('/')}/broadband-{uuid.uuid4().hex}"
+    for n, columns in enumerate(orders):
+        rows = c.filter(k % 3 == n).select(columns)
+        rows.unionByName(rows.limit(1).select(*(F.lit(x).alias(x) for x in columns))).write.mode("append").option("header", True).csv(path)
+    return readers.broadband(spark, path, {"Average speed": "speed", "FTTP": "full_fibre"})
 
 
 @query("""SELECT CAST(s_suppkey AS VARCHAR) AS atco_code, CAST(50 + s_suppkey % 9 + 0.5 AS DOUBLE) AS lat, CASE s_suppkey % 3 WHEN 0 THEN 'rail_station' WHEN 1 THEN 'tram_stop' ELSE 'bus_stop' END AS stop_type FROM supplier""")
@@ -127,7 +132,7 @@ def read_stops(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT n_name AS region, 'rcp85' AS scenario, CAST(2050 AS INT) AS epoch, CAST(n_nationkey + 0.5 AS DOUBLE) AS temp_change_c, CASE WHEN n_nationkey % 2 = 0 THEN CAST(n_nationkey AS DOUBLE) END AS sea_level_rise_cm, CAST(2000 + n_nationkey AS BIGINT) AS year FROM nation""")
 def read_projections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Climate projections with a blank sea level, and delivery-test rows."""
+    """Climate projections with a blank sea level, and delivery-test rows."""
     n, k = spark.read.parquet(f"{sf_dir}/nation.parquet"), F.col("n_nationkey")
     climate = n.select(F.col("n_name").alias("region"), F.lit("rcp85").alias("scenario"), F.lit("2050").alias("epoch"), (k + F.lit(0.5)).cast("string").alias("temp_change_c"), *(F.lit("1").alias(c) for c in ("precip_change_pct", "summer_precip_change_pct", "winter_precip_change_pct")), F.when(k % 2 == 0, k.cast("string")).alias("sea_level_rise_cm"))
     tests = n.select(F.col("n_name").alias("la_code"), F.col("n_name").alias("la_name"), (2000 + k).cast("string").alias("year"), *(F.lit("5").alias(c) for c in ("net_homes_required", "net_homes_delivered", "measurement")))
@@ -135,6 +140,24 @@ def read_projections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.climate_projections(spark, _written(climate, "climate", header="true")).join(delivered, "region").select("region", "scenario", "epoch", "temp_change_c", "sea_level_rise_cm", "year")
 
 
+@query("""WITH c AS (SELECT c_custkey AS k FROM customer) SELECT 'E' || CAST(k AS VARCHAR) AS la_code, CAST(2020 AS INT) AS year, CAST(k AS BIGINT) AS households FROM c UNION ALL SELECT 'E' || CAST(k AS VARCHAR), 2021, CAST(k + 7 AS BIGINT) FROM c WHERE k % 5 <> 0 UNION ALL SELECT 'E' || CAST(k AS VARCHAR), 2030, CAST(2 * k AS BIGINT) FROM c WHERE k % 2 = 0""")
+def read_household_projections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Year columns of files that have other years; blanks and words are no value."""
+    k = F.col("c_custkey")
+    wide = spark.read.parquet(f"{sf_dir}/customer.parquet").select(k, F.concat(F.lit("E"), _text("c_custkey")).alias("la_code"), F.col("c_name").alias("la_name"), _text("c_custkey").alias("2020"), F.when(k % 10 == 0, F.lit("x")).when(k % 5 == 0, F.lit("")).otherwise((k + 7).cast("string")).alias("2021"), (2 * k).cast("string").alias("2030"))
+    path = f"{shared_checkpoints(spark).rstrip('/')}/homes-{uuid.uuid4().hex}"
+    wide.filter(k % 2 == 1).select("la_code", "la_name", "2020", "2021").write.option("header", True).csv(path)
+    wide.filter(k % 2 == 0).select("2030", "la_code", "2021", "la_name", "2020").write.mode("append").option("header", True).csv(path)
+    return readers.household_projections(spark, path, "la_code")
+
+
+@query(with_sql("hpi") + " SELECT DISTINCT region FROM hpi")
+def read_index_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The regions that a long index file has valid months of."""
+    shown = view(spark, sf_dir, "hpi").select(F.concat("month", F.lit("-01")).alias("Date"), F.col("region").alias("RegionName"), _text("value").alias("Index"))
+    return readers.index_regions(readers.house_price_index(spark, _written(shown, "regions", header="true"))[0])
+
+
 LENSES |= {
     "more_json": """SELECT s_suppkey AS k, '{"transactionId":"t' || CAST(s_suppkey AS STRING) || '","pricePaid":' || CAST(1000 + s_suppkey AS STRING) || ',"transactionDate":"Wed, 14 Jan 2026","propertyType":' || CASE s_suppkey % 3 WHEN 0 THEN '{"prefLabel":[{"_value":"Detached"}]}' WHEN 1 THEN '{"label":["Flat"]}' ELSE '"Terraced"' END || ',"propertyAddress":{"paon":"1","postcode":"LS1 4AB"}}' AS sale,
   '{"lmk-key":"c' || CAST(s_suppkey AS STRING) || '","postcode":"LS1 4AB","total-floor-area":"' || CAST(s_suppkey AS STRING) || '"}' AS certificate, '{"rows":[{"lmk-key":"r' || CAST(s_suppkey AS STRING) || '","postcode":"M1 1AE","total-floor-area":"7"},{"lmk-key":"q' || CAST(s_suppkey AS STRING) || '","postcode":"M1 1AE","total-floor-area":"8"}]}' AS envelope,
@@ -164,7 +187,7 @@ def read_certificates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(with_sql("hpi") + " SELECT month, max(value) AS value FROM hpi GROUP BY month")
 def read_two_column_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """W5."""
+    """A file with one series."""
     shown = view(spark, sf_dir, "hpi").groupBy("month").agg(F.max("value").cast("string").alias("index"))
     return readers.two_column_index(spark, _written(shown, "index", header="true"))[0].select("month", "value")
 

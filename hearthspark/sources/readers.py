@@ -5,6 +5,10 @@ Everything is read as text and cast without raising; readers that must refuse ba
 
 from __future__ import annotations
 
+import re
+from csv import reader as csv_lines
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,11 +34,39 @@ STOP_TYPES = {"RSE": "rail_station", "RLY": "rail_station", "RPL": "rail_station
 
 
 def csv(spark: SparkSession, path: str, columns: tuple[str, ...] | None = None) -> DataFrame:
-    """All columns as text; headers from the file (byte-order mark removed), or ``columns`` for files without."""
+    """All columns as text; headers from each file (byte-order mark removed), or ``columns`` for files without.
+
+    Files of one folder may have their columns in other orders or lack some: each is read by its own header, and a column
+    that a file doesn't have is null there. The columns come in the order of the commonest header, others follow by name.
+    A name that a header repeats counts where it comes first; files without a line give no rows.
+    """
     if columns:
         return spark.read.schema(", ".join(f"`{c}` string" for c in columns)).csv(path)
-    out = spark.read.option("header", True).option("inferSchema", False).csv(path)
-    return out.toDF(*(c.lstrip("﻿").strip() for c in out.columns))
+    by_header = files_by_header(spark, path)
+    if not by_header:
+        return spark.read.option("header", True).option("inferSchema", False).csv(path)
+    names = list(dict.fromkeys(by_header[0][0] + tuple(sorted(c for h, _ in by_header[1:] for c in h))))
+    out = None
+    for header, files in by_header:
+        places = [f"__{k}" for k in range(len(header))]
+        raw = spark.read.option("header", True).schema(", ".join(f"`{c}` string" for c in places)).csv(files)
+        own = raw.select(*((F.col(places[header.index(c)]) if c in header else F.lit(None).cast("string")).alias(c) for c in names))
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+def files_by_header(spark: SparkSession, path: str) -> list[tuple[tuple[str, ...], list[str]]]:
+    """The different headers of a folder's files and the files of each, the commonest first.
+
+    One job finds each file's first line; what reaches the driver is a list of files, which it needs to read them.
+    """
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), "value", F.monotonically_increasing_id().alias("line"))
+    first = lines.filter((F.col("start") == 0) & (F.trim("value") != "")).groupBy("file").agg(F.min_by("value", "line").alias("header"))
+    found: dict[tuple[str, ...], list[str]] = {}
+    for row in first.groupBy("header").agg(F.array_sort(F.collect_list("file")).alias("files")).collect():
+        header = tuple(c.strip() for c in next(csv_lines([row["header"].lstrip("\ufeff")])))
+        found.setdefault(header, []).extend(re.sub(r"([\[\]{}*?\\])", r"\\\1", unquote(f)) for f in row["files"])
+    return sorted(found.items(), key=lambda x: (-len(x[1]), x[0]))
 
 
 def price_paid(spark: SparkSession, path: str) -> DataFrame:
@@ -114,10 +146,14 @@ def climate_projections(spark: SparkSession, path: str) -> DataFrame:
 
 
 def broadband(spark: SparkSession, path: str, numbers: dict[str, str], *, postcode: str = "postcode", area: str = "postcode area") -> DataFrame:
-    """Many area files at once: ``numbers`` maps headers to columns; blanks and bad numbers are 0, repeated header rows go."""
+    """Many area files at once: ``numbers`` maps headers to columns; blanks, bad numbers and columns that a file lacks are 0, repeated header rows go."""
     r = csv(spark, path)
+    missing = {postcode, area} - set(r.columns)
+    if missing:
+        raise ValueError(f"columns missing: {sorted(missing)}")
     ok = t.null_if_blank(F.col(f"`{postcode}`")).isNotNull() & t.null_if_blank(F.col(f"`{area}`")).isNotNull() & (F.lower(F.col(f"`{postcode}`")) != postcode.lower())
-    return r.filter(ok).select(t.compact_postcode(F.col(f"`{postcode}`")).alias("postcode"), F.col(f"`{area}`").alias("postcode_area"), *(F.coalesce(t.coerce_float(F.col(f"`{c}`")), F.lit(0.0)).alias(v) for c, v in numbers.items()))
+    number = lambda c: F.coalesce(t.coerce_float(F.col(f"`{c}`")), F.lit(0.0)) if c in r.columns else F.lit(0.0)
+    return r.filter(ok).select(t.compact_postcode(F.col(f"`{postcode}`")).alias("postcode"), F.col(f"`{area}`").alias("postcode_area"), *(number(c).alias(v) for c, v in numbers.items()))
 
 
 def stops(spark: SparkSession, path: str) -> DataFrame:

@@ -53,3 +53,34 @@ def test_json_readers(spark, tmp_path):
     good, bad = readers.checked(spark.createDataFrame([(1.0,), (99.0,), (None,)], "lat double"), lat=(-90, 90))
     assert good.count() == 1 and bad.count() == 2
     assert bad.filter(F.array_contains("reasons", "lat")).count() == 2
+
+
+def test_files_of_a_folder_have_headers_of_their_own(spark, tmp_path):
+    folder = tmp_path / "areas [1] a%20b"
+    folder.mkdir()
+    (folder / "m1.csv").write_text("postcode,postcode area,speed\nm1 1aa,M,9\n")
+    (folder / "m2.csv").write_text('﻿speed,"postcode area",postcode,extra\n8,M,m2 2bb,"a,b"\nspeed,postcode area,postcode,extra\n')
+    (folder / "m3{x}.csv").write_text("\npostcode area,postcode\nM,m3 3cc\n")
+    (folder / "m4.csv").write_text("postcode,postcode area,speed\nm4 4dd,M,bad\n,M,1\n")
+    (folder / "empty.csv").write_text("")
+    (folder / "header.csv").write_text("postcode area,speed,speed,postcode\n")
+    (folder / "twice.csv").write_text("postcode area,speed,speed,postcode\nM,1,2,m5 5ee\n")
+    path = str(folder).replace("[", "\\[").replace("]", "\\]")
+    got = readers.broadband(spark, path, {"speed": "speed", "none": "none"}).collect()
+    want = {("M11AA", 9.0), ("M22BB", 8.0), ("M33CC", 0.0), ("M44DD", 0.0), ("M55EE", 1.0)}
+    assert {(r["postcode"], r["speed"]) for r in got} == want and len(got) == 6 - 1 and {r["none"] for r in got} == {0.0}
+    table = readers.csv(spark, path)
+    assert table.columns == ["postcode", "postcode area", "speed", "extra"]
+    assert [r["extra"] for r in table.filter("extra is not null").orderBy("extra").collect()] == ["a,b", "extra"]
+    assert len(readers.files_by_header(spark, path)) == 4
+    with pytest.raises(ValueError):
+        readers.broadband(spark, path, {}, postcode="code")
+
+
+def test_regions_and_years_of_wide_files(spark, tmp_path):
+    homes = tmp_path / "homes"
+    homes.mkdir()
+    (homes / "a.csv").write_text("la_code,la_name,2020,2021\nE1,A,100,\nE2,B,5,x\n")
+    (homes / "b.csv").write_text("2022,la_code,la_name,2020\n7,E3,C,6\n")
+    got = readers.household_projections(spark, str(homes), "la_code")
+    assert sorted((r["la_code"], r["year"], r["households"]) for r in got.collect()) == [("E1", 2020, 100), ("E2", 2020, 5), ("E3", 2020, 6), ("E3", 2022, 7)]
