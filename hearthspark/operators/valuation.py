@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as t
+from . import ranks
 
 MIN_ROWS, HIGH_ROWS, MEDIUM_ROWS = 3, 10, 5
 #: Tiers from the closest to the widest. The second is the full postcode with any type, by its historic name.
@@ -19,10 +20,14 @@ def comparables(ppd: DataFrame, cutoff: str | None = None) -> DataFrame:
 
 
 def pool_statistics(pool: DataFrame) -> DataFrame:
-    """Count, median and quartiles of the pool for each tier's groups, in one pass of grouping sets."""
-    p = pool.select(F.upper(F.regexp_replace("postcode", " ", "")).alias("pc"), t.postcode_area(F.col("postcode")).alias("area"), F.upper("property_type").alias("type"), F.col("price").cast("double").alias("price"))
-    sets = p.groupingSets([["pc", "type"], ["pc"], ["area", "type"], ["area"], []], "pc", "area", "type")
-    return sets.agg(F.count("*").alias("n"), F.percentile("price", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"), F.grouping_id().alias("g"))
+    """Count and quartiles of the pool for each tier's groups (g tells the tier: a bit for each of pc, area and type that is left out).
+
+    Sales are counted by postcode, type and price once; all tiers come from those counts.
+    """
+    p = pool.select(F.upper(F.regexp_replace("postcode", " ", "")).alias("pc"), t.postcode_area(F.col("postcode")).alias("area"), F.upper("property_type").alias("type"), F.col("price").cast("double").alias("value"))
+    counted = p.groupBy("pc", "area", "type", "value").agg(F.count("*").alias("count"))
+    sets = counted.groupingSets([["pc", "type", "value"], ["pc", "value"], ["area", "type", "value"], ["area", "value"], ["value"]], "pc", "area", "type", "value").agg(F.sum("count").alias("count"), F.shiftright(F.grouping_id(), 1).alias("g"))
+    return ranks.quantiles(sets, ["pc", "area", "type", "g"], [0.25, 0.5, 0.75])
 
 
 def _confidence(n: Column, basis: Column) -> Column:
@@ -88,9 +93,10 @@ def published_stock(branches: DataFrame) -> DataFrame:
 
 def price_block(ppd: DataFrame, key: str) -> DataFrame:
     """Count, upper median, floored mean, min and max of positive prices, by ``key``."""
-    w = Window.partitionBy(key).orderBy("price")
-    ranked = ppd.filter("price > 0").withColumn("rn", F.row_number().over(w)).withColumn("n", F.count("*").over(Window.partitionBy(key)))
-    return ranked.groupBy(key).agg(F.count("*").alias("sales"), F.max(F.when(F.col("rn") == F.floor(F.col("n") / 2) + 1, F.col("price"))).alias("median_price"), F.floor(F.sum("price") / F.count("*")).cast("long").alias("mean_price"), F.min("price").alias("min_price"), F.max("price").alias("max_price"))
+    counted = ppd.filter("price > 0").groupBy(key, "price").agg(F.count("*").alias("count"))
+    middle = ranks.values_at(counted, [key], {"median_price": lambda n: F.floor(n / 2)}, value="price").select(F.col(key).alias("__key"), "median_price")
+    rest = counted.groupBy(key).agg(F.sum("count").alias("sales"), F.floor(F.sum(F.col("price") * F.col("count")) / F.sum("count")).cast("long").alias("mean_price"), F.min("price").alias("min_price"), F.max("price").alias("max_price"))
+    return rest.join(middle, F.col(key).eqNullSafe(F.col("__key"))).select(key, "sales", "median_price", "mean_price", "min_price", "max_price")
 
 
 def recent_sales(ppd: DataFrame, key: str, *, limit: int = 5) -> DataFrame:

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as t
 from ..operators import geo, linkage, listings, models, ownership, profile, reference, registers, valuation
 from ..session import shared_checkpoints
-from ..streaming import feeds
+from ..streaming import feeds, listing_feed
 from .lens import view, with_sql
 from .queries import query
 
@@ -422,6 +424,40 @@ def stream_price_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feeds.run_once(feeds.price_changes(s), None, mode="append")
 
 
+_DELAY, _GONE = "50 hours", 5 * 24 * 3_600_000
+
+
+def _snapshot_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Snapshots as a stream of files written one after the other, each of which has some of up to two days before."""
+    s = view(spark, sf_dir, "snapshots")
+    k = F.col("event_id")
+    s = s.select(F.col("source_id").alias("source_id"), k, F.col("captured_at").cast("timestamp").alias("captured_at"), F.floor(F.col("price_pence") / 1_000_000).cast("long").alias("price_pence"), F.when(k % 13 == 0, "sold_stc").otherwise(F.col("status")).alias("status"), (k % 3).cast("int").alias("images"), F.concat(F.lit("text "), (k % 2).cast("string")).alias("description"), F.when(k % 4 == 0, F.array(F.lit("garden"))).otherwise(F.array().cast("array<string>")).alias("features"))
+    path = f"{shared_checkpoints(spark)}/snapshots-{uuid.uuid4().hex}"
+    start = s.agg(F.min("captured_at")).first()[0]
+    part = F.floor((F.unix_seconds("captured_at") + (k % 48) * 3600 - F.unix_seconds(F.lit(start))) / (10 * 86_400))
+    s = s.withColumn("part", part)
+    for (n,) in s.select("part").distinct().orderBy("part").collect():  # a handful of files
+        s.filter(F.col("part") == n).drop("part").coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(s.drop("part").schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+@query(with_sql("snapshots") + """
+, s AS (SELECT source_id, event_id, captured_at, CAST(floor(price_pence / 1000000) AS BIGINT) AS price, CASE WHEN event_id % 13 = 0 THEN 'sold_stc' ELSE status END AS st, CAST(event_id % 3 AS INT) AS images, event_id % 2 AS d, event_id % 4 = 0 AS f FROM snapshots),
+m AS (SELECT max(captured_at) - INTERVAL 50 HOUR AS mark FROM s),
+b AS (SELECT s.*, mark, lag(captured_at) OVER w AS pt, lag(price) OVER w AS lp, lag(st) OVER w AS ls, lag(images) OVER w AS li, lag(d) OVER w AS ld, lag(f) OVER w AS lf, lead(captured_at) OVER w AS nt FROM s, m WHERE captured_at <= mark WINDOW w AS (PARTITION BY source_id ORDER BY captured_at, event_id)),
+c AS (SELECT *, pt IS NULL OR captured_at - pt > INTERVAL 120 HOUR AS first FROM b),
+k AS (SELECT *, CASE WHEN first THEN 'new' WHEN st <> ls AND st = 'removed' AND ls = 'sold_stc' THEN 'removed_sold_stc' WHEN st <> ls AND st = 'removed' THEN 'deleted' WHEN st <> ls AND st = 'sold_stc' THEN 'sold_stc' WHEN st <> ls AND st = 'under_offer' THEN 'under_offer' WHEN st <> ls AND st = 'active' THEN 'back_on_market'
+  WHEN price < lp THEN 'price_reduced' WHEN price > lp THEN 'price_increased' WHEN f <> lf THEN 'feature_changed' WHEN images > li THEN 'photos_added' WHEN images < li THEN 'photos_removed' WHEN d <> ld THEN 'description_changed' ELSE 'unchanged' END AS kind, CASE WHEN NOT first THEN price - lp END AS delta,
+  CASE WHEN first THEN 0 ELSE (price <> lp)::INT + (st <> ls)::INT + (images <> li)::INT + (d <> ld)::INT END AS n FROM c)
+SELECT CAST(source_id AS VARCHAR) AS source_id, event_id, kind, delta AS price_delta, CAST(n AS INT) AS fields FROM k
+UNION ALL SELECT CAST(source_id AS VARCHAR), event_id, 'deleted', delta, CAST(n AS INT) FROM k WHERE coalesce(nt - captured_at > INTERVAL 120 HOUR, captured_at + INTERVAL 120 HOUR <= mark)""")
+def stream_listing_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every kind of change out of several micro-batches with snapshots that come late; listings unseen for five days are deleted."""
+    with listing_feed.rocks_state(spark):
+        out = feeds.run_once(listing_feed.changes(_snapshot_files(spark, sf_dir), late=_DELAY, gone_after_ms=_GONE), None, mode="append")
+    return out.select("source_id", "event_id", "kind", "price_delta", F.size("changed").alias("fields"))
+
+
 @query("""SELECT s.user_id AS key, s.event_id AS transaction_id, c.event_id AS lmk_key FROM events s JOIN events c ON s.user_id = c.user_id AND c.ts BETWEEN s.ts - INTERVAL 1 DAY AND s.ts + INTERVAL 1 DAY WHERE s.event_type = 'purchase' AND c.event_type = 'error'""")
 def stream_linkage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """S6."""
