@@ -43,7 +43,7 @@ _BITS_EACH, _LEAST_BITS, _MOST_BITS = 16, 1 << 20, 1 << 28
 _BUCKET_BITS = 32_768
 #: Languages whose totals are broadcast.
 _FEW_LANGUAGES = 100_000
-_CHUNK = 4 << 20
+_CHUNK = 1 << 20
 _KINDS = np.zeros(256, np.uint8)  # 0: in a word, 1: between words, 2: ends a piece
 _KINDS[list(b" \t")] = 1
 _KINDS[list(b".,;:!?\n\x0b\x0c\r")] = 2
