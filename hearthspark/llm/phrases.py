@@ -6,9 +6,12 @@ consecutive words of a piece; everything is counted by language. Steps:
 1. One pass counts all words exactly: words with ``least`` occurrences, and each language's total.
 2. A pass over a share of all pieces (chosen by a hash of document and place, so every document takes part) counts
    phrases of frequent words; those with ``sample_least`` occurrences in the sample are proposed.
-3. The full pass counts every occurrence of a phrase whose first and last words (all but the last, all but the first)
+3. A pass adds up pairs of frequent words by hash buckets; a pair whose bucket holds fewer than ``least`` can't be
+   frequent, and neither can what has it inside: the border's bulk is ruled out without being named. (Beyond some
+   10^10 words the buckets, whose number has a bound, rule out less and less, and the next pass shuffles more.)
+4. The full pass counts every occurrence of a phrase whose first and last words (all but the last, all but the first)
    are both proposed: the proposals and their whole negative border. Counts are exact.
-4. Frequent phrases of the border weren't proposed: the sample failed there. They are added, and a further pass counts
+5. Frequent phrases of the border weren't proposed: the sample failed there. They are added, and a further pass counts
    what the border gains, until no new frequent phrase turns up; then no frequent phrase is missing.
 
 Proposals go to the tasks as one bitmap of phrase hashes whose size has a bound. Hashes that clash propose too much,
@@ -29,6 +32,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,6 +45,8 @@ SAMPLE_PART, SAMPLE_LEAST = 8, 4
 #: Bits of the bitmap for each proposed phrase, and at most.
 _BITS_EACH, _LEAST_BITS, _MOST_BITS = 16, 1 << 20, 1 << 28
 _BUCKET_BITS = 32_768
+#: Buckets in which pairs of words are counted, at most (one for each word of the corpus below that), and how many a task holds at once.
+_MOST_BUCKETS, _PENDING = 1 << 28, 4_000_000
 #: Languages whose totals are broadcast.
 _FEW_LANGUAGES = 100_000
 _CHUNK = 1 << 20
@@ -57,11 +63,13 @@ class Bitmap(NamedTuple):
     bits: int
 
     def has(self, h: np.ndarray) -> np.ndarray:
-        found = np.ones(len(h), bool)
-        for shift in (0, 32):
-            at = (h >> np.uint64(shift)) & np.uint64(self.bits - 1)
-            found &= (self.words[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
-        return found
+        """Whether both bits of each hash are set."""
+        return self.first(h) & self.first(h >> np.uint64(32))
+
+    def first(self, h: np.ndarray) -> np.ndarray:
+        """Whether the bit of each hash's low part is set."""
+        at = h & np.uint64(self.bits - 1)
+        return (self.words[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
 class Words(NamedTuple):
@@ -113,35 +121,36 @@ def _phrases(w: Words, first: np.ndarray, k: int) -> pa.Array:
     return pa.LargeStringArray.from_buffers(len(first), pa.py_buffer(at.astype(np.int64).tobytes()), pa.py_buffer(data.tobytes()))
 
 
-_COUNTED = "lang string, phrase string, k int, h long, proposed boolean, n long"
-
+class Part(NamedTuple):
+    """A chunk's words; each word's number, its language's number, all languages' names, and its text's seed."""
 
-def _counts(documents: DataFrame, per_chunk) -> DataFrame:
-    """Sums of what ``per_chunk(chunk, words, word numbers by language, languages' codes, ids' seeds)`` yields for every chunk.
+    words: Words
+    word: np.ndarray
+    code: np.ndarray
+    names: pa.Array
+    seeds: np.ndarray
 
-    It yields (first word of each phrase, k, hashes, whether proposed, counts).
-    """
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lang = batch.column(1).dictionary_encode()
-            codes, names = lang.indices.to_numpy().astype(np.int64), lang.dictionary
-            salt = spans.mix(np.array([hash_of(x) for x in names.to_pylist()], np.uint64))
-            seeds = batch.column(0).to_numpy().view(np.uint64)
-            for c in spans.chunks(batch.column(2), _CHUNK):
-                w = words_of(c)
-                if not len(w.text):
-                    continue
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[Part]:
+    """The chunks of a table of seed, lang and text; hashes of words differ by language."""
+    for batch in batches:
+        lang = batch.column(1).dictionary_encode()
+        codes, names = lang.indices.to_numpy().astype(np.int64), lang.dictionary
+        salt = spans.mix(np.array([hash_of(x) for x in names.to_pylist()], np.uint64))
+        seeds = batch.column(0).to_numpy().view(np.uint64)
+        for c in spans.chunks(batch.column(2), _CHUNK):
+            w = words_of(c)
+            if len(w.text):
                 raw = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(w.text), [None, pa.py_buffer(w.at.astype(np.int64).tobytes()), pa.py_buffer(w.data.tobytes())])
-                word = raw.dictionary_encode().indices.to_numpy().astype(np.int64)
                 code = codes[c.lo : c.lo + c.n][w.text]
-                w = w._replace(hashes=w.hashes ^ salt[code])
-                for first, k, h, proposed, n in per_chunk(w, word, code, len(names), seeds[c.lo : c.lo + c.n]):
-                    if len(first):
-                        yield pa.RecordBatch.from_arrays([names.take(pa.array(code[first])), _phrases(w, first, k).cast(pa.string()), pa.array(np.full(len(first), k, np.int32)), pa.array(h.view(np.int64)), pa.array(proposed), pa.array(n, pa.int64())], ["lang", "phrase", "k", "h", "proposed", "n"])
+                yield Part(w._replace(hashes=w.hashes ^ salt[code]), raw.dictionary_encode().indices.to_numpy().astype(np.int64), code, names, seeds[c.lo : c.lo + c.n])
+
+
+_COUNTED = "lang string, phrase string, n long"
+
 
-    docs = documents.mapInArrow(scan, _COUNTED)
-    return docs.groupBy("lang", "phrase").agg(F.first("k").alias("k"), F.first("h").alias("h"), F.first("proposed").alias("proposed"), F.sum("n").alias("n"))
+def _counted(p: Part, first: np.ndarray, k: int, n: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([p.names.take(pa.array(p.code[first])), _phrases(p.words, first, k).cast(pa.string()), pa.array(n, pa.int64())], ["lang", "phrase", "n"])
 
 
 def hash_of(name: str) -> int:
@@ -160,62 +169,175 @@ def _longer(h: np.ndarray, i: np.ndarray, words: np.ndarray, k: int) -> np.ndarr
 def count_words(docs: DataFrame) -> DataFrame:
     """Every word's occurrences by language."""
 
-    def one(w: Words, word, code, languages, seeds):
-        _, first, n = _numbers(word * languages + code)
-        yield first, 1, w.hashes[first], np.ones(len(first), bool), n
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for p in _parts(batches):
+            _, first, n = _numbers(p.word * len(p.names) + p.code)
+            yield _counted(p, first, 1, n)
 
-    return _counts(docs, one)
+    return docs.mapInArrow(scan, _COUNTED).groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
 
 
 def count_sample(docs: DataFrame, frequent, *, part: int, longest: int) -> DataFrame:
-    """Phrases of frequent words in a share of all pieces."""
-
-    def one(w: Words, word, code, languages, seeds):
-        number, first, _ = _numbers(word * languages + code)
-        ok = frequent.value.has(w.hashes[first])[number]
-        chosen = spans.mix(seeds[w.text] + w.start.astype(np.uint64)) % np.uint64(part) == 0
-        ok &= chosen
-        i, h, wide = np.flatnonzero(ok), w.hashes[ok], int(word.max()) + 1
-        for k in range(2, longest + 1):
-            stay = (i + k - 1 < len(word)) & ok[np.minimum(i + k - 1, len(word) - 1)]
-            stay &= w.piece[np.minimum(i + k - 1, len(word) - 1)] == w.piece[i]
-            i, number = i[stay], number[i[stay]] if k == 2 else number[stay]
-            h = _longer(h[stay], i, w.hashes, k)
-            number, first, n = _numbers(number * wide + word[i + k - 1])
-            yield i[first], k, h[first], np.ones(len(first), bool), n
-
-    return _counts(docs, one)
-
-
-def count_border(docs: DataFrame, proposed, before=None, *, longest: int) -> DataFrame:
-    """Phrases whose two parts are proposed, and weren't both ``before``: proposals and negative border with exact counts."""
-
-    def one(w: Words, word, code, languages, seeds):
-        number, first, _ = _numbers(word * languages + code)
-        wide = int(word.max()) + 1
-        h = w.hashes
-        of = np.zeros((2, len(word)), bool)  # which phrases of k - 1 words are proposed, and were before
-        of[0] = proposed.value.has(h[first])[number]
-        if before is not None:
-            of[1] = before.value.has(h[first])[number]
-        i = np.arange(len(word))
-        for k in range(2, longest + 1):
-            last = np.minimum(i + 1, len(word) - 1)
-            near = (i + k - 1 < len(word)) & (w.piece[np.minimum(i + k - 1, len(word) - 1)] == w.piece[i])
-            counted = near & of[0][i] & of[0][last]
-            known = of[1][i] & of[1][last] & counted
-            i, h, number = i[counted], h[counted], number[counted]
-            h = _longer(h, i, w.hashes, k)
-            number, first, n = _numbers(number * wide + word[i + k - 1])
-            is_in = proposed.value.has(h[first])
-            new = ~known[counted][first]
-            yield i[first][new], k, h[first][new], is_in[new], n[new]
-            of = np.zeros((2, len(word)), bool)
-            of[0][i] = is_in[number]
+    """Hashes (h) and sample counts of phrases of frequent words in a share of all pieces."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for p in _parts(batches):
+            w = p.words
+            number, first, _ = _numbers(p.word * len(p.names) + p.code)
+            ok = frequent.value.has(w.hashes[first])[number]
+            ok &= spans.mix(p.seeds[w.text] + w.start.astype(np.uint64)) % np.uint64(part) == 0
+            i = np.flatnonzero(ok)
+            h = w.hashes[i]
+            for k in range(2, longest + 1):
+                last = np.minimum(i + k - 1, len(ok) - 1)
+                stay = (i + k - 1 < len(ok)) & ok[last] & (w.piece[last] == w.piece[i])
+                i = i[stay]
+                h = _longer(h[stay], i, w.hashes, k)
+                told, n = np.unique(h, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(told.view(np.int64)), pa.array(n, pa.int64())], ["h", "n"])
+
+    return docs.mapInArrow(scan, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+
+
+def _sparse(at: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of counts by place, in order of place."""
+    order = np.argsort(at, kind="stable")
+    at, n = at[order], n[order]
+    lead = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]])) if len(at) else np.empty(0, np.int64)
+    return at[lead], np.add.reduceat(n, lead) if len(lead) else n
+
+
+_ENTRY = np.dtype([("place", "<u2"), ("n", "<u2")])
+
+
+def _packed(at: np.ndarray, n: np.ndarray, part: int) -> pa.RecordBatch:
+    """Counts by place as one row for each block of 65,536 places."""
+    block = at >> 16
+    cuts = np.append(np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]])), len(at)) if len(at) else np.zeros(1, np.int64)
+    rows = np.empty(len(at), _ENTRY)
+    rows["place"], rows["n"] = at & 0xFFFF, np.minimum(n, 0xFFFF)
+    data = [rows[lo:hi].tobytes() for lo, hi in zip(cuts[:-1], cuts[1:], strict=True)]
+    return pa.RecordBatch.from_arrays([pa.array(block[cuts[:-1]], pa.int32()), pa.array(np.full(len(data), part, np.int32)), pa.array(data, pa.binary())], ["block", "part", "data"])
+
+
+_BLOCKS = "block int, part int, data binary"
+
+
+def hot_pairs(docs: DataFrame, frequent, *, buckets: int, least: int) -> Bitmap | None:
+    """Buckets that pairs of frequent words fill ``least`` times in all texts: a pair in another bucket can't be frequent.
+
+    Tasks add up their buckets and send them packed, one row a block of buckets; blocks are added up 64 tasks at a time.
+    None where counts of two bytes can't tell.
+    """
+    if least > 0xFFFF:
+        return None
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, task = [], 0, TaskContext.get().partitionId()
+        for p in _parts(batches):
+            w = p.words
+            number, first, _ = _numbers(p.word * len(p.names) + p.code)
+            ok = frequent.value.has(w.hashes[first])[number]
+            i = np.flatnonzero(ok[:-1] & ok[1:] & (w.piece[:-1] == w.piece[1:]))
+            at = (_longer(w.hashes[i], i, w.hashes, 2) & np.uint64(buckets - 1)).astype(np.int64)
+            held.append(np.unique(at, return_counts=True))
+            size += len(held[-1][0])
+            if size > _PENDING:
+                held = [_sparse(*map(np.concatenate, zip(*held, strict=True)))]
+                size = len(held[0][0])
+                if size > _PENDING // 2:
+                    yield _packed(*held[0], task)
+                    held, size = [], 0
+        if held:
+            yield _packed(*_sparse(*map(np.concatenate, zip(*held, strict=True))), task)
+
+    def added(t: pa.Table) -> np.ndarray:
+        sums = np.zeros(1 << 16, np.int64)
+        for data in t["data"].to_pylist():
+            rows = np.frombuffer(data, _ENTRY)
+            sums[rows["place"]] += rows["n"]  # places of one row are distinct
+        return sums
+
+    def add(key: tuple, t: pa.Table) -> pa.Table:
+        sums = added(t)
+        at = np.flatnonzero(sums)
+        out = _packed(at + (key[0].as_py() << 16), sums[at], key[1].as_py())
+        return pa.Table.from_batches([out])
+
+    def judge(key: tuple, t: pa.Table) -> pa.Table:
+        bits = np.packbits(added(t) >= least, bitorder="little").tobytes()
+        return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "data": pa.array([bits], pa.binary())})
+
+    sums = docs.mapInArrow(scan, _BLOCKS)
+    tasks = docs.rdd.getNumPartitions()
+    while tasks > 64:
+        sums = sums.groupBy("block", F.floor(F.col("part") / 64).cast("int").alias("part")).applyInArrow(add, _BLOCKS)
+        tasks = -(-tasks // 64)
+    words = np.zeros(max(buckets, 1 << 16) // 8, np.uint8)
+    for r in sums.groupBy("block").applyInArrow(judge, "block int, data binary").collect():
+        words[r["block"] << 13 : (r["block"] + 1) << 13] = np.frombuffer(r["data"], np.uint8)
+    return Bitmap(words, buckets)
+
+
+def count_border(docs: DataFrame, proposed, hot=None, before=None, *, longest: int) -> DataFrame:
+    """Phrases whose two parts are proposed, and weren't both ``before``: proposals and negative border with exact counts.
+
+    Pairs of words outside ``hot`` are known not to be frequent: they and what has them inside aren't counted.
+    """
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for p in _parts(batches):
+            w, word = p.words, p.word
+            number, first, _ = _numbers(word * len(p.names) + p.code)
+            wide = int(word.max()) + 1
+            h = w.hashes
+            of = np.zeros((2, len(word)), bool)  # which phrases of k - 1 words are proposed, and were before
+            of[0] = proposed.value.has(h[first])[number]
             if before is not None:
-                of[1][i] = before.value.has(h[first])[number] & known[counted]
+                of[1] = before.value.has(h[first])[number]
+            i = np.arange(len(word))
+            for k in range(2, longest + 1):
+                next_one, last = np.minimum(i + 1, len(word) - 1), np.minimum(i + k - 1, len(word) - 1)
+                counted = (i + k - 1 < len(word)) & (w.piece[last] == w.piece[i]) & of[0][i] & of[0][next_one]
+                known = (of[1][i] & of[1][next_one])[counted]
+                i, h, number = i[counted], h[counted], number[counted]
+                h = _longer(h, i, w.hashes, k)
+                if k == 2 and hot is not None:
+                    fits = hot.value.first(h)
+                    i, h, number, known = i[fits], h[fits], number[fits], known[fits]
+                number, first, n = _numbers(number * wide + word[i + k - 1])
+                new = ~known[first]
+                if new.any():
+                    yield _counted(p, i[first][new], k, n[new])
+                of = np.zeros((2, len(word)), bool)
+                of[0][i] = proposed.value.has(h[first])[number]
+                if before is not None:
+                    of[1][i] = before.value.has(h[first])[number] & known
+
+    return docs.mapInArrow(scan, _COUNTED).groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
+
+
+def marked(found: DataFrame, proposed=None) -> DataFrame:
+    """Phrases with their words (k), hash (h) and whether that is proposed."""
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lang = batch.column(0).dictionary_encode()
+            salt = spans.mix(np.array([hash_of(x) for x in lang.dictionary.to_pylist()], np.uint64))[lang.indices.to_numpy()]
+            for c in spans.chunks(batch.column(1), _CHUNK):
+                w = words_of(c)
+                k = np.bincount(w.text, minlength=c.n)
+                at = np.cumsum(k) - k
+                own = w.hashes ^ salt[c.lo : c.lo + c.n][w.text]
+                h = own[at]
+                for n in range(2, int(k.max()) + 1):
+                    more = k >= n
+                    h[more] = _longer(h[more], at[more], own, n)
+                part = batch.slice(c.lo, c.n)
+                known = np.ones(c.n, bool) if proposed is None else proposed.value.has(h)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(k, pa.int32()), pa.array(h.view(np.int64)), pa.array(known)], ["lang", "phrase", "n", "k", "h", "proposed"])
 
-    return _counts(docs, one)
+    return found.select("lang", "phrase", "n").mapInArrow(mark, _COUNTED + ", k int, h long, proposed boolean")
 
 
 def bitmap_of(hashes: DataFrame, bits: int, start: Bitmap | None = None) -> Bitmap:
@@ -237,16 +359,20 @@ def frequent_phrases(documents: DataFrame, *, id_col: str = "doc_id", text_col:
     docs = documents.select(F.xxhash64(id_col).alias("seed"), F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.col(text_col).alias("text"))
     words = stage(count_words(docs), "words")
     totals = stage(words.groupBy("lang").agg(F.sum("n").alias("total")), "totals")
-    frequent = stage(words.filter(F.col("n") >= least), "frequent-words")
+    frequent = stage(marked(words.filter(F.col("n") >= least)), "frequent-words")
     discard(words)
-    bits = lambda n: min(_MOST_BITS, max(_LEAST_BITS, 1 << max(1, n * _BITS_EACH - 1).bit_length()))
-    only_words = spark.sparkContext.broadcast(bitmap_of(frequent, bits(frequent.count())))
+    send = spark.sparkContext.broadcast
+    bits = lambda n, each, most: min(most, max(_LEAST_BITS, 1 << max(1, n * each - 1).bit_length()))
+    only_words = send(bitmap_of(frequent, bits(frequent.count(), _BITS_EACH, _MOST_BITS)))
+    pairs = hot_pairs(docs, only_words, buckets=bits(totals.agg(F.sum("total")).first()[0] or 0, 1, _MOST_BUCKETS), least=least)
+    hot = None if pairs is None else send(pairs)
     proposals = stage(count_sample(docs, only_words, part=sample_part, longest=longest).filter(F.col("n") >= sample_least).select("h"), "proposals")
     both = frequent.select("h").unionByName(proposals)
-    proposed = spark.sparkContext.broadcast(bitmap_of(both, bits(both.count())))
+    proposed = send(bitmap_of(both, bits(both.count(), _BITS_EACH, _MOST_BITS)))
     only_words.destroy()
     discard(proposals)
-    found, passes, before = [stage(count_border(docs, proposed, longest=longest).filter(F.col("n") >= least), "phrases")], 0, None
+    counted = lambda now, old=None: stage(marked(count_border(docs, now, hot, old, longest=longest).filter(F.col("n") >= least), now), "phrases")
+    found, passes, before = [counted(proposed)], 0, None
     while True:
         failed = found[-1].filter((~F.col("proposed")) & (F.col("k") < longest))
         if failed.isEmpty():
@@ -254,8 +380,8 @@ def frequent_phrases(documents: DataFrame, *, id_col: str = "doc_id", text_col:
         passes += 1
         if before is not None:
             before.destroy()
-        before, proposed = proposed, spark.sparkContext.broadcast(bitmap_of(failed, proposed.value.bits, proposed.value))
-        found.append(stage(count_border(docs, proposed, before, longest=longest).filter(F.col("n") >= least), "phrases"))
+        before, proposed = proposed, send(bitmap_of(failed, proposed.value.bits, proposed.value))
+        found.append(counted(proposed, before))
     out = frequent.select("lang", "phrase", "k", "n")
     for x in found:
         out = out.unionByName(x.select("lang", "phrase", "k", "n"))

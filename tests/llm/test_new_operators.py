@@ -81,6 +81,7 @@ def test_clashing_hashes_change_no_count(spark, phrase_rows, monkeypatch):
     df = spark.createDataFrame(phrase_rows, "doc_id long, lang string, text string")
     monkeypatch.setattr(phrases, "_LEAST_BITS", 1 << 15)
     monkeypatch.setattr(phrases, "_MOST_BITS", 1 << 15)
+    monkeypatch.setattr(phrases, "hot_pairs", lambda *a, **k: phrases.Bitmap(np.full((1 << 16) // 8, 255, np.uint8), 1 << 16))
     monkeypatch.setattr(phrases, "bitmap_of", lambda *a, real=phrases.bitmap_of, **k: real(*a, **k)._replace(words=np.full((1 << 15) // 8, 255, np.uint8)))
     assert got_collocations(df, least=5, top=10**6) == brute_collocations([r[1:] for r in phrase_rows], 5, 10**6)
 
