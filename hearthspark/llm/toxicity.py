@@ -52,21 +52,37 @@ def segments(scores: np.ndarray, lo: int, hi: int, cum: np.ndarray, positive: np
     """All maximal-scoring segments (start, stop, score) of words lo to hi, in one scan over the positive scores.
 
     A stack holds disjoint candidates with the cumulative scores at their left and right ends; a new candidate joins
-    everything back to the nearest one that starts lower, as long as that one also ends lower.
+    everything back to the nearest one that starts lower, as long as that one also ends lower. Each candidate keeps a
+    link to the nearest one before it that starts lower, so that what was passed over once isn't looked at again, and
+    where none starts lower all before are final. Time grows with the number of words, whatever their scores.
     """
-    stack: list[tuple[float, float, int, int]] = []
+    done: list[tuple[int, int, float]] = []
+    stack: list[tuple[float, float, int, int, int]] = []  # left, right, start, stop, link
     for i in positive.tolist():
-        left, right, start, stop = cum[i], cum[i + 1], i, i + 1
+        left, right, start = cum[i], cum[i + 1], i
+        j = len(stack) - 1
         while True:
-            j = len(stack) - 1
             while j >= 0 and stack[j][0] >= left:
-                j -= 1
-            if j < 0 or stack[j][1] >= right:
-                stack.append((left, right, start, stop))
+                j = stack[j][4]
+            if j < 0:
+                done += [(a, b, r - l) for l, r, a, b, _ in stack[: _first_from(stack, start)]]
+                stack = []
+                break
+            if stack[j][1] >= right:
+                del stack[_first_from(stack, start) :]
                 break
             left, start = stack[j][0], stack[j][2]
-            del stack[j:]
-    return [(a, b, r - l) for l, r, a, b in stack]
+            j = stack[j][4]
+        stack.append((left, right, start, i + 1, j))
+    return done + [(a, b, r - l) for l, r, a, b, _ in stack]
+
+
+def _first_from(stack: list[tuple[float, float, int, int, int]], start: int) -> int:
+    """The place of the first candidate that starts at ``start`` or later: from there on, all are part of the new one."""
+    k = len(stack)
+    while k and stack[k - 1][2] >= start:
+        k -= 1
+    return k
 
 
 class Model:
