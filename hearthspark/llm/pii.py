@@ -2,12 +2,11 @@
 
 Everything on the executors is DataFrame expressions. One pass finds candidate spans: the matches of the four base
 patterns, and shapes beyond them (long secrets and keys with known prefixes, local phone numbers, grouped identity numbers). Six labelers (strict
-form, gazetteer, words before, digit variety, marks around, length) vote -1, 0 or 1 on on each. Votes are discrete, so
+form, gazetteer, words before, digit variety, marks around, length) vote -1, 0 or 1 on each. Votes are discrete, so
 the corpus is summed up in at most 3**6 rows a kind; expectation-maximisation over those rows estimates how reliable
 each labeler is. A logistic span classifier is then fitted to those probabilities on the votes and on features of its own (``FEATURES``: variety, digits, capitals and
-changes of character class of the value, and what stands before it, each in a few steps), and it decides. is summed up in at most 3**6 rows a kind; expectation-maximisation over those rows estimates how reliable
-each labeler is, and a logistic span classifier is fitted to the resulting probabilities. Base spans always stay;
-candidates of other kinds are added where the classifier says so.
+changes of character class of the value, and what stands before it, each in a few steps), and it decides. Base spans
+always stay; candidates of other kinds are added where the classifier says so and no base span meets them.
 
 Defined results: null and empty texts have no spans; positions are code points, ends exclusive; repeated rows give
 repeated results; empty tables give no rows; other columns are never read.
@@ -238,17 +237,28 @@ def _accepts(weights: dict[tuple, float], span: Column) -> Column:
     return F.coalesce(score > 0, F.lit(False))
 
 
+def _base(found: Column) -> Column:
+    """Matches of the base patterns, which always stay."""
+    return F.filter(found, lambda s: s.getField("kind").isin(*BASE) & s.getField("valid"))
+
+
+def _more(found: Column, base: Column, weights: dict[tuple, float]) -> Column:
+    """Spans of further kinds that the classifier accepts and that no base span meets."""
+    meets = lambda s: F.exists(base, lambda b: (b.getField("start") < s.getField("stop")) & (s.getField("start") < b.getField("stop")))
+    return F.filter(found, lambda s: s.getField("kind").isin(*EXTRA) & s.getField("valid") & _accepts(weights, s) & ~meets(s))
+
+
 def find(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and spans (array of kind, start, stop, base), kinds in order, then by start. Texts are read once."""
     found = stage(all_candidates(documents, id_col=id_col, text_col=text_col), "pii")
     weights = fit_classifier(_patterns(found))
-    base = F.filter("found", lambda s: s.getField("kind").isin(*BASE) & s.getField("valid"))
-    more = F.filter("found", lambda s: s.getField("kind").isin(*EXTRA) & s.getField("valid") & _accepts(weights, s) & ~F.exists(F.col("base"), lambda b: (b.getField("start") < s.getField("stop")) & (s.getField("start") < b.getField("stop"))))
+    found = found.withColumn("base", _base(F.col("found")))
+    more = _more(F.col("found"), F.col("base"), weights)
 
     def plain(x: Column, is_base: bool) -> Column:
         return F.transform(x, lambda s: F.struct(s.getField("kind").alias("kind"), s.getField("start").alias("start"), s.getField("stop").alias("stop"), F.lit(is_base).alias("base")))
 
-    return found.withColumn("base", base).withColumn("more", more).select("doc_id", F.concat(plain(F.col("base"), True), plain(F.col("more"), False)).alias("spans"))
+    return found.withColumn("more", more).select("doc_id", F.concat(plain(F.col("base"), True), plain(F.col("more"), False)).alias("spans"))
 
 
 def _named(spans: Column) -> Column:
@@ -265,7 +275,9 @@ def digest(found: DataFrame) -> DataFrame:
 
 
 def mask(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents with every span replaced by its kind in angle brackets; all columns and rows are kept.
+    """The documents with every span that ``find`` gives replaced by its kind in angle brackets; all columns and rows are kept.
+
+    Where base spans of two kinds overlap, the earlier one's kind stands for both.
 
     The classifier is fitted in a first pass; the second finds the spans of each text where it lies, without a join.
     """
@@ -273,7 +285,8 @@ def mask(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     text = F.col(text_col)
     found = F.concat(*(candidates(F.coalesce(text, F.lit("")), k) for k in BASE + EXTRA))
     held = max(documents.columns, key=len) + "_spans"  # a name that no column has
-    kept = F.filter(F.col(held), lambda s: s.getField("valid") & (s.getField("kind").isin(*BASE) | _accepts(weights, s)))
+    base = f"{held}_base"
+    kept = F.concat(F.col(base), _more(F.col(held), F.col(base), weights))
     ordered = F.array_sort(F.transform(kept, lambda s: F.struct(s.getField("start").alias("start"), s.getField("stop").alias("stop"), s.getField("kind").alias("kind"))))
 
     def cut(state: Column, s: Column) -> Column:
@@ -284,8 +297,8 @@ def mask(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
 
     start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
     masked = F.aggregate(ordered, start, cut, lambda s: F.concat(s.getField("out"), F.substring(text, s.getField("at").cast("int") + 1, F.char_length(text))))
-    out = documents.withColumn(held, found)
-    return out.withColumn(text_col, F.when(F.size(held) > 0, masked).otherwise(text)).drop(held)
+    out = documents.withColumn(held, found).withColumn(base, _base(F.col(held)))
+    return out.withColumn(text_col, F.when(F.size(held) > 0, masked).otherwise(text)).drop(held, base)
 
 
 def brute_force(text: str | None) -> list[tuple[str, int, int]]:
