@@ -181,14 +181,14 @@ def _bounded(df: DataFrame, most: int) -> DataFrame:
     return F.broadcast(df) if df.count() <= most else df
 
 
-def components(edges: DataFrame, *, max_rounds: int = 60, max_broadcast_ids: int = 1_000_000) -> DataFrame:
+def components(edges: DataFrame, *, max_broadcast_ids: int = 1_000_000) -> DataFrame:
     """id and component (the smallest id reachable) of every end of an edge.
 
-    Each round gives every node the smallest label around it, then the label of that label; rounds are staged.
+    Each round gives every node the smallest label around it, then the label of that label, until nothing changes; rounds are staged.
     """
     near = stage(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     table = state = stage(near.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("component")), "components")
-    for _ in range(max_rounds):
+    while True:
         known = _bounded(state, max_broadcast_ids)
         hooked = near.join(known.select(F.col("id").alias("b"), F.col("component").alias("c")), "b").groupBy(F.col("a").alias("id")).agg(F.min("c").alias("m"))
         hooked = hooked.join(known.withColumnRenamed("component", "was"), "id").withColumn("m", F.least("m", "was"))
@@ -200,7 +200,6 @@ def components(edges: DataFrame, *, max_rounds: int = 60, max_broadcast_ids: int
         if settled:
             discard(near)
             return state
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 
 def near_duplicates(documents: DataFrame, *, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", max_broadcast_ids: int = 1_000_000) -> DataFrame:
