@@ -87,10 +87,10 @@ def templates(labelled: DataFrame, *, depth: int = 4, max_branches: int = 30, mi
         token = F.when(F.col("rare"), F.lit("*")).otherwise(F.col("segment"))
         tree = tree.withColumn("prefix", F.when(F.col("segment").isNull(), F.col("prefix")).otherwise(F.concat("prefix", F.lit("/"), token))).drop("segment", "rare")
         tree = stage(tree, "level")  # each level reads the one before twice, so an unstaged plan would grow as a power of the depth
-    rest = F.array_join(F.slice("parts", depth + 2, 1_000_000), "/")
+    rest = F.array_join(F.slice("parts", F.lit(depth + 2), F.greatest(F.size("parts"), F.lit(1))), "/")
     tree = tree.withColumn("template", F.when(F.size("parts") > depth + 1, F.concat("prefix", F.lit("/"), rest)).otherwise(F.col("prefix")))
     tree = tree.withColumn("branch", F.coalesce(F.get(F.split("template", "/", -1), F.lit(1)), F.lit("")))
-    tree = stage(tree.withColumn("below", F.array_join(F.slice(F.split("template", "/", -1), 3, 1_000_000), "/")).select("host", "typed", "template", "branch", "below", "n", "labels", "blocked"), "templates")
+    tree = stage(tree.withColumn("below", F.array_join(F.slice(F.split("template", "/", -1), F.lit(3), F.size(F.split("template", "/", -1))), "/")).select("host", "typed", "template", "branch", "below", "n", "labels", "blocked"), "templates")
     branches = tree.groupBy("host", "branch").agg(F.sum("n").alias("n"), F.sum("labels").alias("labels"), F.sum("blocked").alias("blocked"))
     shares = tree.groupBy("host", "branch", "below").agg(F.sum("n").alias("k")).join(branches, ["host", "branch"]).select("host", "branch", "below", (F.col("k") / F.col("n")).alias("share"))
     # branches of one host are few: at most max_branches and those of a large enough share, by the wildcards above
