@@ -133,10 +133,10 @@ def fit(background: list[str], *, rounds: int = 400, rate: float = 0.3, l2: floa
     return Model({g: np.round(w[i], 6).tolist() for g, i in index.items()}, np.round(w[-1], 6).tolist(), temperature)
 
 
-def train(documents: DataFrame, *, text_col: str = "text", sample: int = 200, lines_each: int = 10, max_chars: int = 1000) -> Model:
-    """``sample`` documents at most give background lines: ``lines_each`` of each whole text, chosen by a hash, ``max_chars`` of each."""
+def train(documents: DataFrame, *, text_col: str = "text", sample: int = 200, lines_each: int = 10) -> Model:
+    """``sample`` documents at most give background lines: ``lines_each`` of each whole text, whole and chosen by a hash."""
     lines = F.array_distinct(F.filter(F.transform(F.split(F.col(text_col), "\n", -1), lambda x: F.trim(x)), lambda x: x != ""))
-    some = F.slice(F.array_sort(F.transform(lines, lambda x: F.struct(F.xxhash64(x).alias("h"), F.left(x, F.lit(max_chars)).alias("line")))), 1, lines_each)
+    some = F.slice(F.array_sort(F.transform(lines, lambda x: F.struct(F.xxhash64(x).alias("h"), x.alias("line")))), 1, lines_each)
     rows = bounded_sample(documents.filter(F.col(text_col).isNotNull()).select(F.xxhash64(text_col).alias("key"), some.getField("line").alias("lines")), F.col("key"), sample)
     return fit(sorted({x.strip() for r in rows for x in r["lines"] if x.strip()}))
 
