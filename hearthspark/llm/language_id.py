@@ -169,31 +169,29 @@ class Model:
 
 
 def spliced(texts: dict[str, list[str]], words: int, seed: int) -> tuple[list[str], list[list[int]]]:
-    """Training chains: runs of whole words from texts of changing languages, and the label of each word."""
+    """Training chains and the label of each word: all words of all texts, ``words`` of a text a chain, with runs of other languages' words between them."""
     rng = np.random.default_rng(seed)
     labels = sorted(texts)
     cut = {y: [w for w in (t.split() for t in texts[y]) if w] for y in labels}
     chains, truth = [], []
-    for y, own in enumerate(labels):
-        for w in cut[own]:
-            left, out, given = words, [], []
-            at = int(rng.integers(0, max(1, len(w) - words)))
-            label, source = y, w[at:]
-            while left > 0:
-                run = source[: max(1, int(rng.geometric(1 / 25)))] if len(labels) > 1 else source[:left]
-                run = run[:left]
-                out += run
-                given += [label] * len(run)
-                left -= max(1, len(run))
-                if len(labels) > 1 and rng.random() < 0.5:
-                    label = int(rng.integers(0, len(labels)))
-                    if cut[labels[label]]:
-                        source = cut[labels[label]][int(rng.integers(0, len(cut[labels[label]])))]
-                        source = source[int(rng.integers(0, max(1, len(source) - 30))) :]
-                else:
-                    source = source[len(run) :] or w
-            chains.append(" ".join(out))
-            truth.append(given)
+    for own, y in enumerate(labels):
+        for w in cut[y]:
+            for at in range(0, len(w), words):
+                block, out, given = w[at : at + words], [], []
+                while block:
+                    n = int(rng.geometric(1 / 25)) if len(labels) > 1 else len(block)
+                    out += block[:n]
+                    given += [own] * len(block[:n])
+                    block = block[n:]
+                    other = int(rng.integers(0, len(labels)))
+                    if other != own and cut[labels[other]] and rng.random() < 0.5:
+                        source = cut[labels[other]][int(rng.integers(0, len(cut[labels[other]])))]
+                        start = int(rng.integers(0, max(1, len(source) - 25)))
+                        run = source[start : start + int(rng.geometric(1 / 25))]
+                        out += run
+                        given += [other] * len(run)
+                chains.append(" ".join(out))
+                truth.append(given)
     return chains, truth
 
 
@@ -263,15 +261,13 @@ def fit(texts: dict[str, list[str]], *, words: int = 80, rounds: int = 60, rate:
     return Model(labels, w[:TABLE].astype(np.float32), lexicon, w[TABLE:].astype(np.float32), t)
 
 
-def train(labelled: DataFrame, *, text_col: str = "text", label_col: str = "lang", sample: int = 250, span: int = 320, **how) -> Model:
-    """Fit on at most ``sample`` distinct texts of each label and ``span`` words of each, both chosen by a hash of the text."""
+def train(labelled: DataFrame, *, text_col: str = "text", label_col: str = "lang", sample: int = 60, **how) -> Model:
+    """Fit on at most ``sample`` distinct texts of each label, chosen by a hash of the text; they are read whole."""
     rows = labelled.filter(F.col(text_col).isNotNull() & F.col(label_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(label_col).cast("string").alias("label"))
-    words = F.split("text", r"\s+")
-    at = F.pmod(F.xxhash64("text", F.lit("span")), F.greatest(F.lit(1), F.size(words) - span + 1)).cast("int") + 1
-    rows = rows.filter(F.col("text").rlike(r"\p{L}")).select(F.xxhash64("text").alias("h"), F.array_join(F.slice(words, at, F.lit(span)), " ").alias("span"), "label")
+    rows = rows.filter(F.col("text").rlike(r"\p{L}")).select(F.xxhash64("text").alias("h"), "text", "label")
     texts: dict[str, list[str]] = {}
     for r in bounded_sample(rows, F.col("h"), sample, "label"):
-        texts.setdefault(r["label"], []).append(r["span"])
+        texts.setdefault(r["label"], []).append(r["text"])
     return fit(texts, **how)
 
 
