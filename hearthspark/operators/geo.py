@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import cover
+
 EARTH_RADIUS_M = 6_371_008.8
 _M_PER_DEGREE = EARTH_RADIUS_M * math.pi / 180
 
@@ -139,13 +141,9 @@ def inside(x: Column, y: Column, polygons: DataFrame) -> Column:
     return held & ~F.coalesce(F.exists("holes", lambda h: in_ring(x, y, h)), F.lit(False)) if "holes" in polygons.columns else held
 
 
-def contains(points: DataFrame, polygons: DataFrame, *, cell: float = 0.1) -> DataFrame:
-    """Every pair of a point (lat, lng) and a polygon (ring, and holes if there are any) that holds it: join on the cells of each ring's box, the box test, then the exact test."""
-    layer = polygons.withColumn("area", ring_box(F.col("ring"))).withColumn("__cell", F.explode(_grid(F.col("area"), cell)))
-    p = points.withColumn("__r", F.floor(F.col("lat") / cell)).withColumn("__c", F.floor(F.col("lng") / cell))
-    boxed = F.col("lat").between(F.col("area.lat0"), F.col("area.lat1")) & F.col("lng").between(F.col("area.lng0"), F.col("area.lng1"))
-    joined = p.join(layer, (F.col("__r") == F.col("__cell.r")) & (F.col("__c") == F.col("__cell.c")) & boxed)
-    return joined.filter(inside(F.col("lng"), F.col("lat"), polygons)).drop("__cell", "__r", "__c", "area")
+def contains(points: DataFrame, polygons: DataFrame) -> DataFrame:
+    """Every pair of a point (lat, lng) and a polygon (ring, and holes if there are any) that holds it: join on the cells of a cover (``cover``)."""
+    return cover.points_in(points, polygons)
 
 
 def crosses_box(ring: Column, box: Column) -> Column:
