@@ -12,7 +12,7 @@ from ..operators import geo, linkage, listings, models, ownership, profile, refe
 from ..session import shared_checkpoints
 from ..streaming import feeds, listing_feed
 from .lens import view, with_sql
-from .queries import query
+from .queries import SQL, query
 
 _HAV = "2 * 6371008.8 * asin(least(1.0, sqrt(pow(sin(radians(s.lat - p.lat) / 2), 2) + cos(radians(p.lat)) * cos(radians(s.lat)) * pow(sin(radians(s.lng - p.lng) / 2), 2))))"
 
@@ -398,11 +398,29 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT time_bucket(INTERVAL 1 DAY, ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2""")
 def stream_daily_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """S3, S4, S7."""
+    """S4, S7."""
     out = feeds.run_once(feeds.window_counts(_events(spark, sf_dir), by="event_type", size="1 day"), ["start", "event_type"])
     return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n")
 
 
+@query("""WITH w AS (SELECT event_type, event_id, ts, value, unnest([time_bucket(INTERVAL 1 DAY, ts) - INTERVAL 1 DAY, time_bucket(INTERVAL 1 DAY, ts)]) AS start FROM events),
+r AS (SELECT *, row_number() OVER (PARTITION BY start, event_type ORDER BY ts DESC, value DESC) AS k, count(*) OVER (PARTITION BY start, event_type) AS n FROM w)
+SELECT start, event_type, n, value AS latest FROM r WHERE k = 1""")
+def stream_latest_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S3: the latest reading of each kind in windows of two days, a new one every day."""
+    out = feeds.run_once(feeds.window_counts(_events(spark, sf_dir), by="event_type", size="2 days", slide="1 day"), ["start", "event_type"])
+    return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", "latest")
+
+
+@query(SQL["hpi_adjust"])
+def stream_index_adjustment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index month on or before each sale of a stream, and the price moved to the latest month."""
+    path = f"{shared_checkpoints(spark)}/sales-{uuid.uuid4().hex}"
+    view(spark, sf_dir, "ppd").write.parquet(path)
+    sales = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+    return feeds.run_once(feeds.adjusted(sales, view(spark, sf_dir, "hpi")), None, mode="append").select("transaction_id", "price", "adjusted_price")
+
+
 @query("SELECT event_id, user_id, value FROM events WHERE ts > TIMESTAMP '2024-01-15'")
 def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """S1."""

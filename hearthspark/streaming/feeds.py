@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import text as t
+from ..operators import temporal
 from ..session import shared_checkpoints
 
 
@@ -36,6 +38,23 @@ def enrich(stream: DataFrame, static: DataFrame, keys: list[str]) -> DataFrame:
     return stream.join(static, keys, "left")
 
 
+def adjusted(sales: DataFrame, index: DataFrame, *, price: str = "price", date: str = "transfer_date") -> DataFrame:
+    """Streaming sales with adjusted_price, as ``temporal.adjust`` gives it: a range join with a table of index months.
+
+    Each month of the index holds until the next one begins, so a sale meets one row of its region at most. The index is
+    a table; a query that starts anew reads it anew. Negative prices raise.
+    """
+    month = t.month_key(F.col(date).cast("string"))
+    spans = temporal.ranges(index).select(F.col("region").alias("__region"), F.col("month").alias("__from"), F.col("next_month").alias("__until"), F.col("value").alias("__index"))
+    latest = index.groupBy(F.col("region").alias("__of")).agg(F.max_by("value", "month").alias("__to"), F.max("month").alias("__last"))
+    dated = sales.withColumn("__month", month)
+    holds = (F.col("region") == F.col("__region")) & (F.col("__month") >= F.col("__from")) & (F.col("__until").isNull() | (F.col("__month") < F.col("__until")))
+    out = dated.join(spans, holds, "left").join(latest, F.col("region") == F.col("__of"), "left")
+    own = F.when(F.col(price) < 0, F.raise_error(F.lit("negative price"))).otherwise(F.col(price))
+    moved = F.bround(own * F.col("__to") / F.col("__index"), 0).cast("long")
+    return out.withColumn("adjusted_price", F.coalesce(F.when(F.col("__month") <= F.col("__last"), moved), own.cast("long"))).select(*sales.columns, "adjusted_price")
+
+
 def link(sales: DataFrame, certificates: DataFrame, *, days: int, late: str = "1 day") -> DataFrame:
     """Stream-stream interval join on ``key``: certificates within ``days`` of a sale; rank the pairs downstream."""
     s = sales.withWatermark("sale_ts", late).alias("s")
