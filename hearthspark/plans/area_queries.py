@@ -47,7 +47,7 @@ _AREAS = ", sh AS (SELECT feature_id, name, dataset, horizon, class, uplift, CAS
 , x AS (SELECT point_id, horizon, uplift, feature_id, {_CENTRE} AS d FROM points p, sh s WHERE {_CENTRE} <= 50000)
 SELECT point_id, horizon, uplift, count(*) AS features, arg_min(feature_id, (d, feature_id)) AS feature_id, round(min(d), 3) AS distance_m FROM x GROUP BY point_id, horizon, uplift""")
 def shoreline_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The nearest prediction by horizon and uplift."""
+    """The nearest prediction by horizon and uplift."""
     features = _rings(spark, sf_dir).select("feature_id", "ring", "horizon", "uplift").withColumn("scenario", F.lit("shoreline-plan"))
     return hazards.shoreline_near(_points(spark, sf_dir), features, 50_000).select("point_id", "horizon", "uplift", "features", "feature_id", F.round("distance_m", 3).alias("distance_m"))
 
@@ -492,3 +492,53 @@ def pages_first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One page an address, without query, fragment or case."""
     p = spark.read.parquet(f"{sf_dir}/pages.parquet").filter("url is not null").select(t.url_key(F.col("url")).alias("url_key"), "page_id")
     return linkage.first_seen(p, ["url_key"], "page_id")
+
+
+# functions that other queries don't run
+
+
+@query(with_sql("points", "areas") + _AREAS + f"""
+, h AS (SELECT point_id, horizon, min(class) AS class FROM points p JOIN sh s ON {_IN_AREA} GROUP BY point_id, horizon)
+SELECT p.point_id, '2030:' || coalesce(a.class, 'None') || ',2070:' || coalesce(b.class, 'None') AS trajectory FROM points p LEFT JOIN h a ON a.point_id = p.point_id AND a.horizon = 2030 LEFT JOIN h b ON b.point_id = p.point_id AND b.horizon = 2070""")
+def shrink_swell_trajectories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each point's classes by horizon."""
+    classes = hazards.shrink_swell(_points(spark, sf_dir), _rings(spark, sf_dir).select("horizon", "class", "ring"), (2070, 2030))
+    steps = F.transform("trajectory", lambda x: F.concat(x.getField("horizon").cast("string"), F.lit(":"), x.getField("class")))
+    return hazards.trajectory(classes).select("point_id", F.array_join(steps, ",").alias("trajectory"))
+
+
+@query("""WITH s AS (SELECT s_suppkey AS k, CAST(s_suppkey % 40 AS DOUBLE) / 8 AS x, 50 + CAST(s_suppkey % 24 AS DOUBLE) / 8 AS y FROM supplier)
+SELECT k, CASE k % 6 WHEN 5 THEN NULL WHEN 0 THEN y WHEN 1 THEN y + 0.5 WHEN 2 THEN y + 1.0 ELSE y + 0.5 END AS lat, CASE k % 6 WHEN 5 THEN NULL WHEN 0 THEN x WHEN 1 THEN x + 1.0 WHEN 2 THEN x ELSE x + 0.25 END AS lng FROM s""")
+def centres_of_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A point, and the mean of the first line or outer ring, of each kind of geometry; none of others."""
+    s = spark.read.parquet(f"{sf_dir}/supplier.parquet")
+    k = F.col("s_suppkey")
+    x, y = (k % 40).cast("double") / 8, F.lit(50) + (k % 24).cast("double") / 8
+    at = lambda dx, dy: F.format_string("[%s,%s]", (x + dx).cast("string"), (y + dy).cast("string"))
+    listed = lambda *parts: F.concat(F.lit("["), F.concat_ws(",", *parts), F.lit("]"))
+    ring = listed(at(0.0, 0.0), at(0.5, 0.0), at(0.5, 1.0), at(0.0, 1.0))
+    shapes = [("Point", at(0.0, 0.0)), ("LineString", listed(at(0.0, 0.0), at(2.0, 1.0))), ("MultiLineString", listed(listed(at(-1.0, 0.0), at(1.0, 2.0)), listed(at(9.0, 9.0)))), ("Polygon", listed(ring)), ("MultiPolygon", listed(listed(ring), listed(listed(at(7.0, 7.0)))))]
+    kind, text = F.lit("GeometryCollection"), F.lit("[]")
+    for n, (name, shape) in enumerate(shapes):
+        kind, text = F.when(k % 6 == n, name).otherwise(kind), F.when(k % 6 == n, shape).otherwise(text)
+    centre = geo.feature_centroid(kind, text)
+    return s.select(k.alias("k"), centre.getField("lat").alias("lat"), centre.getField("lng").alias("lng"))
+
+
+@query("""SELECT p_partkey AS lot, p_name AS title, p_size AS guide, CAST(NULL AS VARCHAR) AS venue FROM part UNION ALL SELECT s_suppkey, s_name, NULL, 'room ' || CAST(s_nationkey AS VARCHAR) FROM supplier""")
+def lots_of_two_houses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Catalogues with other columns as one table."""
+    one = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("lot"), F.col("p_name").alias("title"), F.col("p_size").alias("guide"))
+    two = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").alias("lot"), F.col("s_name").alias("title"), F.concat(F.lit("room "), F.col("s_nationkey").cast("string")).alias("venue"))
+    return registers.union_schemas(one, two).select("lot", "title", "guide", "venue")
+
+
+@query(with_sql("stock") + """
+, p AS (SELECT branch, CASE WHEN branch % 5 = 0 THEN 'per_quarter' ELSE rent_period END AS period, CAST(price_pence AS DOUBLE) / 100 AS pounds FROM stock WHERE transaction = 'rent')
+SELECT branch, period, count(*) AS n, round(max(CASE period WHEN 'per_week' THEN pounds * 52 / 12 WHEN 'per_year' THEN pounds / 12 WHEN 'per_day' THEN pounds * 365 / 12 WHEN 'per_quarter' THEN pounds / 3 ELSE pounds END), 6) AS most_pcm FROM p GROUP BY branch, period""")
+def rents_in_pounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rents a calendar month in pounds, not rounded, of all periods."""
+    s = view(spark, sf_dir, "stock").filter("transaction = 'rent'")
+    period = F.when(F.col("branch") % 5 == 0, "per_quarter").otherwise(F.col("rent_period"))
+    s = s.select("branch", period.alias("period"), t.rent_pcm_pounds(F.col("price_pence").cast("double") / 100, period).alias("pcm"))
+    return s.groupBy("branch", "period").agg(F.count("*").alias("n"), F.round(F.max("pcm"), 6).alias("most_pcm"))
