@@ -229,15 +229,18 @@ class Trees:
     means: dict[str, float]
 
 
-def fit_trees(sales: DataFrame, quantiles: tuple[float, float, float] = (0.1, 0.5, 0.9), *, categories: tuple[str, ...] = CATEGORIES, iterations: int = trees.ROUNDS, rate: float = trees.RATE, depth: int = trees.DEPTH) -> Trees | None:
-    """Boosted trees for each quantile that never fall when floor area or efficiency grows; None under 50 rows."""
+def fit_trees(sales: DataFrame, quantiles: tuple[float, float, float] = (0.1, 0.5, 0.9), *, categories: tuple[str, ...] = CATEGORIES, iterations: int = trees.ROUNDS, rate: float | None = None, depth: int = trees.DEPTH) -> Trees | None:
+    """Boosted trees for each quantile that never fall when floor area or efficiency grows; None under 50 rows.
+
+    Without a ``rate``, fewer rounds take longer steps: the published rate times the published rounds over ``iterations``, a half at most.
+    """
     made = training_frame(sales)
     if made is None:
         return None
     frame, means = made
     if frame.count() < MIN_TREE_ROWS:
         return None
-    return Trees(trees.fit(frame, categories=categories, quantiles=quantiles, rounds=iterations, rate=rate, depth=depth), means)
+    return Trees(trees.fit(frame, categories=categories, quantiles=quantiles, rounds=iterations, rate=rate or min(0.5, trees.RATE * trees.ROUNDS / max(1, iterations)), depth=depth), means)
 
 
 def predict_trees(rows: DataFrame, fitted: Trees) -> DataFrame:
