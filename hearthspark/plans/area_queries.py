@@ -317,7 +317,7 @@ def application_details(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT lower('R' || CASE WHEN o_orderkey % 3 = 0 THEN '260430' ELSE '26' END || '-' || CAST(o_orderkey AS VARCHAR)) AS slug, CASE WHEN o_orderkey % 3 = 0 THEN DATE '2026-04-30' END AS auction_on, CASE o_orderstatus WHEN 'F' THEN 'sold' WHEN 'O' THEN 'available' ELSE 'unknown' END AS status,
   CASE WHEN o_orderstatus = 'F' THEN nullif(CAST(CASE WHEN o_orderkey % 2 = 0 THEN o_custkey ELSE o_orderkey END * 100 AS BIGINT), 0) END AS sold_pence, CAST(o_custkey AS VARCHAR) || ' High St, York, YO1 7HH' AS address, 'YO1 7HH' AS postcode FROM orders""")
 def auction_lots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """W17, U1, U3, A42, A44, A62."""
+    """W17, U1, A42, A44, A62."""
     lots = registers.lots(view(spark, sf_dir, "auction_records"))
     return lots.select("slug", "auction_on", "status", "sold_pence", F.col("address.raw").alias("address"), F.col("address.postcode").alias("postcode"))
 

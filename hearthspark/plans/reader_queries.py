@@ -132,7 +132,7 @@ def read_stops(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT n_name AS region, 'rcp85' AS scenario, CAST(2050 AS INT) AS epoch, CAST(n_nationkey + 0.5 AS DOUBLE) AS temp_change_c, CASE WHEN n_nationkey % 2 = 0 THEN CAST(n_nationkey AS DOUBLE) END AS sea_level_rise_cm, CAST(2000 + n_nationkey AS BIGINT) AS year FROM nation""")
 def read_projections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Climate projections with a blank sea level, and delivery-test rows."""
+    """Climate projections with a blank sea level, and the list of delivery-test results."""
     n, k = spark.read.parquet(f"{sf_dir}/nation.parquet"), F.col("n_nationkey")
     climate = n.select(F.col("n_name").alias("region"), F.lit("rcp85").alias("scenario"), F.lit("2050").alias("epoch"), (k + F.lit(0.5)).cast("string").alias("temp_change_c"), *(F.lit("1").alias(c) for c in ("precip_change_pct", "summer_precip_change_pct", "winter_precip_change_pct")), F.when(k % 2 == 0, k.cast("string")).alias("sea_level_rise_cm"))
     tests = n.select(F.col("n_name").alias("la_code"), F.col("n_name").alias("la_name"), (2000 + k).cast("string").alias("year"), *(F.lit("5").alias(c) for c in ("net_homes_required", "net_homes_delivered", "measurement")))
@@ -142,7 +142,7 @@ def read_projections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""WITH c AS (SELECT c_custkey AS k FROM customer) SELECT 'E' || CAST(k AS VARCHAR) AS la_code, CAST(2020 AS INT) AS year, CAST(k AS BIGINT) AS households FROM c UNION ALL SELECT 'E' || CAST(k AS VARCHAR), 2021, CAST(k + 7 AS BIGINT) FROM c WHERE k % 5 <> 0 UNION ALL SELECT 'E' || CAST(k AS VARCHAR), 2030, CAST(2 * k AS BIGINT) FROM c WHERE k % 2 = 0""")
 def read_household_projections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Year columns of files that have other years; blanks and words are no value."""
+    """Year columns of files that have other years; blanks and words are no value."""
     k = F.col("c_custkey")
     wide = spark.read.parquet(f"{sf_dir}/customer.parquet").select(k, F.concat(F.lit("E"), _text("c_custkey")).alias("la_code"), F.col("c_name").alias("la_name"), _text("c_custkey").alias("2020"), F.when(k % 10 == 0, F.lit("x")).when(k % 5 == 0, F.lit("")).otherwise((k + 7).cast("string")).alias("2021"), (2 * k).cast("string").alias("2030"))
     path = f"{shared_checkpoints(spark).rstrip('/')}/homes-{uuid.uuid4().hex}"
