@@ -348,5 +348,6 @@ def keep_identified(documents: DataFrame, model: Model, *, text_col: str = "text
                 lang, score = verdicts(part.column(at), sent.value)
                 keep = [y != "und" and s >= least for y, s in zip(lang, score)]
                 yield pa.RecordBatch.from_arrays(part.columns, names).filter(pa.array(keep, pa.bool_()))
+            spans.give_back()
 
     return documents.mapInArrow(scan, documents.schema)

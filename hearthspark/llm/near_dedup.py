@@ -91,6 +91,7 @@ def signatures(documents: DataFrame, *, shingle: int = 5, id_col: str = "doc_id"
         for batch in batches:
             for c in spans.chunks(batch.column(1)):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(c.lo, c.n), *_signatures(c, shingle)], ["id", "n_shingles", "set_a", "set_b", "signature"])
+            spans.give_back()
 
     return docs.mapInArrow(scan, f"id {docs.schema['id'].dataType.simpleString()}, n_shingles long, set_a long, set_b long, signature binary")
 
@@ -124,6 +125,7 @@ def set_table(documents: DataFrame, *, shingle: int) -> DataFrame:
                 at = np.searchsorted(doc, np.arange(c.n + 1))
                 found = [np.unique(h[at[i] : at[i + 1]]) for i in range(c.n)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(c.lo, c.n), pa.array([len(x) for x in found], pa.int64()), pa.array([x.tobytes() for x in found], pa.binary())], ["id", "n", "hashes"])
+            spans.give_back()
 
     return documents.select("id", "text").mapInArrow(scan, f"id {kind}, n long, hashes binary")
 
@@ -147,6 +149,7 @@ def verify(pairs: DataFrame, sets: DataFrame, *, percent: int) -> DataFrame:
             both = n_a - rest
             linked = (both > 0) & (100 * both >= percent * (n_a + n_b - both))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *map(pa.array, (n_a, n_b, both, linked)), pa.array(left, pa.binary())], ["a", "b", "n_a", "n_b", "both", "linked", "beside"])
+            spans.give_back()
 
     kind = pairs.schema["a"].dataType.simpleString()
     a, b = (sets.select(F.col("id").alias(x), F.col("hashes").alias(f"set_{x}")) for x in ("a", "b"))
@@ -164,6 +167,7 @@ def exploded(rows: DataFrame, column: str) -> DataFrame:
                 found = [_set(x) for x in part.column(len(names))]
                 row = pa.array(np.repeat(np.arange(len(found)), [len(x) for x in found]), pa.int64())
                 yield pa.RecordBatch.from_arrays([*(c.take(row) for c in part.columns[:-1]), pa.array(np.concatenate(found).view(np.int64) if found else np.empty(0, np.int64))], [*names, column])
+            spans.give_back()
 
     ordered = rows.select(*names, column)
     return ordered.mapInArrow(explode, StructType([*ordered.schema.fields[:-1], StructField(column, LongType())]))

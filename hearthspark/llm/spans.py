@@ -7,6 +7,7 @@ so texts are always whole.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -98,6 +99,14 @@ class Chunk:
         return Chunk(self.lo, LOWER[self.data], self.start, self.end)
 
 
+def give_back() -> None:
+    """Return freed memory to the system: workers live on between stages, and what they have freed would count until they end."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
+
+
 def chunks(column: pa.Array | pa.ChunkedArray, limit: int = CHUNK_BYTES) -> Iterator[Chunk]:
     """Null texts count as empty."""
     if isinstance(column, pa.ChunkedArray):
