@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import trees, valuation
+from . import pinball, trees, valuation
 
 CATEGORIES = ("property_type", "tenure", "area", "age_band")
 MIN_ROWS, MIN_QUANTILE_ROWS, MIN_TREE_ROWS = 20, 30, 50
@@ -190,12 +190,13 @@ def predict_hedonic(rows: DataFrame, model: Hedonic, *, compat: bool = False) ->
 class Quantiles:
     models: dict[float, Linear]
     means: dict[str, float]
+    gaps: dict[float, float] = field(default_factory=dict)
 
 
-def fit_quantiles(sales: DataFrame, quantiles: tuple[float, ...] = (0.1, 0.5, 0.9), *, categories: tuple[str, ...] = CATEGORIES, rounds: int = 12, ridge: float = 1e-6) -> Quantiles | None:
-    """Linear quantile models by majorise-minimise; None under 30 rows or without floor areas.
+def fit_quantiles(sales: DataFrame, quantiles: tuple[float, ...] = (0.1, 0.5, 0.9), *, categories: tuple[str, ...] = CATEGORIES, rounds: int = pinball.STEPS, penalty: float = 1e-3, tolerance: float = 1e-6) -> Quantiles | None:
+    """Linear quantile models with an L1 penalty (``pinball.fit``); None under 30 rows or without floor areas.
 
-    Each round is one aggregation that has the weighted sums of all quantiles.
+    ``gaps`` says how far each model's objective is from the optimum at most: ``tolerance``, unless ``rounds`` end it before.
     """
     made = training_frame(sales)
     if made is None:
@@ -205,14 +206,15 @@ def fit_quantiles(sales: DataFrame, quantiles: tuple[float, ...] = (0.1, 0.5, 0.
     start = fit_linear(frame, categories=categories)
     if start is None or start.rows < MIN_QUANTILE_ROWS:
         return None
-    found = dict.fromkeys(quantiles, start)
-    for _ in range(rounds):
-        sums = [F.count("*").alias("rows")]
-        for k, q in enumerate(quantiles):
-            sums += _sums(numbers, "log_price", 1.0 / (F.abs(F.col("log_price") - found[q].predict()) + 1e-3), F.lit(2 * q - 1), f"q{k}_")
-        groups = frame.groupBy(*categories).agg(*sums).collect()  # one row a combination of category levels
-        found = {q: _solved(groups, numbers, categories, ridge, f"q{k}_") for k, q in enumerate(quantiles)}
-    return Quantiles(found, means)
+    levels = {c: sorted(start.effects[c]) for c in categories}
+    at = np.array([start.intercept, *(start.slopes[n] for n in numbers), *(start.effects[c][v] for c in categories for v in levels[c])])
+    lines = pinball.fit(frame, quantiles, at, levels, y="log_price", numbers=numbers, penalty=penalty, tolerance=tolerance, steps=rounds)
+    found = {}
+    for q, line in lines.items():
+        b = [float(v) for v in line.coefficients]
+        effects = iter(b[1 + len(numbers) :])
+        found[q] = Linear(numbers, b[0], dict(zip(numbers, b[1:], strict=False)), {c: {v: next(effects) for v in levels[c]} for c in categories}, start.rows)
+    return Quantiles(found, means, {q: line.gap for q, line in lines.items()})
 
 
 def predict_quantiles(rows: DataFrame, model: Quantiles) -> DataFrame:
