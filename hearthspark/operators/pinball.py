@@ -19,7 +19,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import shared_checkpoints
@@ -139,39 +139,33 @@ def _coded(frame: DataFrame, y: str, numbers: tuple[str, ...], levels: dict[str,
     return frame.select(*out)
 
 
-def _along(b: np.ndarray, numbers: int, levels: dict[str, list[str]]) -> Column:
-    """Each row's product with coefficients."""
-    out = F.lit(float(b[0]))
-    for i in range(numbers):
-        out = out + F.col(f"x{i}") * float(b[1 + i])
+def _along(b: np.ndarray, numbers: int, levels: dict[str, list[str]]) -> str:
+    """Each row's product with coefficients. Expressions are text here: a step has hundreds of them."""
+    out = [_number(b[0]), *(f"x{i} * {_number(b[1 + i])}" for i in range(numbers))]
     k = 1 + numbers
     for i, known in enumerate(levels.values()):
-        effects = F.array(F.lit(0.0), *(F.lit(float(v)) for v in b[k : k + len(known)]))
-        out, k = out + F.get(effects, F.col(f"c{i}")), k + len(known)
-    return out
+        effects = ", ".join(["0D", *map(_number, b[k : k + len(known)])])
+        out.append(f"get(array({effects}), c{i})")
+        k += len(known)
+    return f"({' + '.join(out)})"
 
 
-def _state(k: int) -> tuple[Column, Column, Column, Column]:
-    return F.col(f"a{k}"), F.col(f"s{k}"), F.col(f"z{k}"), F.col(f"w{k}")
+def _number(v: float) -> str:
+    return f"({float(v)!r}D)"
 
 
 def _gathered(state: DataFrame, fits: dict[int, Fit], numbers: int, levels: dict[str, list[str]]) -> pd.DataFrame:
     """What ``Sums`` are put together from, by combination of levels."""
     keys = [f"c{i}" for i in range(len(levels))]
-    parts = []
-    for k in fits:
-        a, s, z, w = _state(k)
-        parts.append((1 / (z / s + w / a)).alias(f"q{k}"))
-    sums = [F.count("*").alias("rows")]
+    parts, sums = [], []
     for k, fit in fits.items():
-        a, s, z, w = _state(k)
-        q, r, d = F.col(f"q{k}"), z - w, a - (1 - fit.share)
-        sums += [F.sum(z * s + w * a).alias(f"slack{k}"), F.sum(F.greatest(r * fit.share, r * (fit.share - 1))).alias(f"loss{k}"), F.sum(d * F.col("y")).alias(f"bound{k}")]
+        parts += [f"1 / (z{k} / s{k} + w{k} / a{k}) AS q{k}", f"z{k} - w{k} AS r{k}", f"1 / s{k} - 1 / a{k} AS i{k}", f"a{k} - {_number(1 - fit.share)} AS d{k}"]
+        sums += [f"sum(z{k} * s{k} + w{k} * a{k}) AS slack{k}", f"sum(greatest(r{k} * {_number(fit.share)}, r{k} * {_number(fit.share - 1)})) AS loss{k}", f"sum(d{k} * y) AS bound{k}"]
         for i in range(-1, numbers):
-            x = F.lit(1.0) if i < 0 else F.col(f"x{i}")
-            sums += [F.sum(q * r * x).alias(f"pull{k}_{i}"), F.sum(q * (1 / s - 1 / a) * x).alias(f"inward{k}_{i}"), F.sum(d * x).alias(f"slope{k}_{i}")]
-            sums += [F.sum(q * x * (F.lit(1.0) if j < 0 else F.col(f"x{j}"))).alias(f"matrix{k}_{i}_{j}") for j in range(i, numbers)]
-    return state.select("*", *parts).groupBy(*keys).agg(*sums).toPandas()
+            x = "1D" if i < 0 else f"x{i}"
+            sums += [f"sum(q{k} * r{k} * {x}) AS pull{k}_{i + 1}", f"sum(q{k} * i{k} * {x}) AS inward{k}_{i + 1}", f"sum(d{k} * {x}) AS slope{k}_{i + 1}"]
+            sums += [f"sum(q{k} * {x} * {'1D' if j < 0 else f'x{j}'}) AS matrix{k}_{i + 1}_{j + 1}" for j in range(i, numbers)]
+    return state.selectExpr("*", *parts).groupBy(*keys).agg(*map(F.expr, sums)).toPandas()
 
 
 def _assembled(g: pd.DataFrame, k: int, numbers: int, levels: dict[str, list[str]]) -> Sums:
@@ -180,13 +174,13 @@ def _assembled(g: pd.DataFrame, k: int, numbers: int, levels: dict[str, list[str
     head = 1 + numbers
 
     def vector(name: str) -> np.ndarray:
-        first = g[f"{name}{k}_-1"].to_numpy(float)
-        return np.concatenate([[g[f"{name}{k}_{i}"].sum() for i in range(-1, numbers)], first @ marks])
+        first = g[f"{name}{k}_0"].to_numpy(float)
+        return np.concatenate([[g[f"{name}{k}_{i}"].sum() for i in range(1 + numbers)], first @ marks])
 
     matrix = np.zeros((head + marks.shape[1],) * 2)
     for i in range(-1, numbers):
         for j in range(i, numbers):
-            v = g[f"matrix{k}_{i}_{j}"].to_numpy(float)
+            v = g[f"matrix{k}_{i + 1}_{j + 1}"].to_numpy(float)
             matrix[1 + i, 1 + j] = matrix[1 + j, 1 + i] = v.sum()
             if i < 0:
                 matrix[1 + j, head:] = matrix[head:, 1 + j] = v @ marks
@@ -199,11 +193,10 @@ def _moves(state: DataFrame, fits: dict[int, Fit], numbers: int, levels: dict[st
     """The state with each row's changes of a (da), z (dz) and w (dw)."""
     first, then = [], []
     for k, fit in fits.items():
-        a, s, z, w = _state(k)
-        first.append(((z - w - (1 / s - 1 / a) * fit.target - _along(fit.move, numbers, levels)) / (z / s + w / a)).alias(f"da{k}"))
-        da = F.col(f"da{k}")
-        then += [(fit.target / s - z + z / s * da).alias(f"dz{k}"), (fit.target / a - w - w / a * da).alias(f"dw{k}")]
-    return state.select("*", *first).select("*", *then)
+        t = _number(fit.target)
+        first.append(f"(z{k} - w{k} - (1 / s{k} - 1 / a{k}) * {t} - {_along(fit.move, numbers, levels)}) / (z{k} / s{k} + w{k} / a{k}) AS da{k}")
+        then += [f"{t} / s{k} - z{k} + z{k} / s{k} * da{k} AS dz{k}", f"{t} / a{k} - w{k} - w{k} / a{k} * da{k} AS dw{k}"]
+    return state.selectExpr("*", *first).selectExpr("*", *then)
 
 
 def fit(frame: DataFrame, quantiles: tuple[float, ...], start: np.ndarray, levels: dict[str, list[str]], *, y: str, numbers: tuple[str, ...], penalty: float = 1e-3, tolerance: float = 1e-6, steps: int = STEPS) -> dict[float, Line]:
@@ -222,7 +215,7 @@ def fit(frame: DataFrame, quantiles: tuple[float, ...], start: np.ndarray, level
         return {}
     centre = np.eye(len(start))[0] * float(one["mean"])
     at = np.asarray(start, float) - centre
-    state = coded.withColumn("y", F.col("y") - float(one["mean"])).withColumn("r", F.col("y") - _along(at, many, levels))
+    state = coded.withColumn("y", F.col("y") - float(one["mean"])).withColumn("r", F.expr(f"y - {_along(at, many, levels)}"))
     size = state.agg(F.avg(F.abs("r")).alias("left"), F.max(F.abs("y")).alias("most")).first()
     begin = max(float(size["left"]), 1e-9)
     reach = max([1.0, *(float(one[f"m{i}"]) for i in range(many))])
@@ -241,18 +234,13 @@ def fit(frame: DataFrame, quantiles: tuple[float, ...], start: np.ndarray, level
         if not left:
             break
         moved = _moves(state, left, many, levels)
-        falls = []
-        for k in left:
-            a, s, z, w = _state(k)
-            falls += [F.max(F.greatest(-F.col(f"da{k}") / a, F.col(f"da{k}") / s)).alias(f"f{k}"), F.max(F.greatest(-F.col(f"dz{k}") / z, -F.col(f"dw{k}") / w)).alias(f"g{k}")]
-        far = moved.agg(*falls).first()
+        falls = [part for k in left for part in (f"max(greatest(-da{k} / a{k}, da{k} / s{k})) AS f{k}", f"max(greatest(-dz{k} / z{k}, -dw{k} / w{k})) AS g{k}")]
+        far = moved.agg(*map(F.expr, falls)).first()
         parts = []
         for k, f in left.items():
-            a, s, z, w = _state(k)
-            dual, primal = f.go(far[f"f{k}"], far[f"g{k}"])
-            da, dz, dw = (F.col(f"d{n}{k}") for n in "azw")
-            parts += [(a + da * dual).alias(f"a{k}"), (s - da * dual).alias(f"s{k}"), (z + dz * primal).alias(f"z{k}"), (w + dw * primal).alias(f"w{k}")]
-        before, state, step = state, moved.select(*held, *parts).persist(kept), step + 1
+            dual, primal = map(_number, f.go(far[f"f{k}"], far[f"g{k}"]))
+            parts += [f"a{k} + da{k} * {dual} AS a{k}", f"s{k} - da{k} * {dual} AS s{k}", f"z{k} + dz{k} * {primal} AS z{k}", f"w{k} + dw{k} * {primal} AS w{k}"]
+        before, state, step = state, moved.selectExpr(*held, *parts).persist(kept), step + 1
         if step % CUT_EVERY == 0:
             cached, state = state, state.checkpoint()
             cached.unpersist()
