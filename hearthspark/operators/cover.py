@@ -103,6 +103,10 @@ def covers(polygons: DataFrame, *, key: str, most_edges: int = MOST_EDGES, deepe
     return polygons.select(F.col(key), F.col("ring"), holes.alias("holes")).mapInArrow(run, f"key {kind}, level int, r long, c long, inner boolean, edges {_EDGE}, hole_edges array<{_EDGE}>")
 
 
+#: So many edges are tested in generated code; lambdas over longer lists are many times slower an edge.
+_UNROLLED = 8
+
+
 def _odd(edges: Column, x: Column, y: Column) -> Column:
     """The ray test of a point on a list of edges."""
 
@@ -110,22 +114,34 @@ def _odd(edges: Column, x: Column, y: Column) -> Column:
         spans = (e.getField("ay") > y) != (e.getField("by") > y)
         return spans & (x < (e.getField("bx") - e.getField("ax")) * (y - e.getField("ay")) / (e.getField("by") - e.getField("ay")) + e.getField("ax"))
 
-    return F.size(F.filter(edges, hit)) % 2 == 1
+    short = F.lit(False)
+    for k in range(_UNROLLED):
+        short = short != F.coalesce(hit(F.get(edges, F.lit(k))), F.lit(False))
+    return F.when(F.size(edges) <= _UNROLLED, short).otherwise(F.size(F.filter(edges, hit)) % 2 == 1)
 
 
 def points_in(points: DataFrame, polygons: DataFrame, *, most_edges: int = MOST_EDGES, deepest: int = DEEPEST) -> DataFrame:
     """Every pair of a point (lat, lng) and a polygon (ring, and holes if there are any) that holds it, with both rows' columns.
 
-    An equality join on cells: a point has one cell a level that any cover uses. Points in inner cells need no test.
+    An equality join on cells: a point has one cell a level that any cover uses. Points in inner cells need no test, and
+    those out of the ring's box (a little wider than it is) neither. Cells carry their polygon's row, so pairs aren't joined again.
     """
-    shared_checkpoints(points.sparkSession)
-    numbered = polygons.withColumn("__polygon", F.monotonically_increasing_id()).checkpoint()
+    spark = points.sparkSession
+    shared_checkpoints(spark)
+    # small files would put all covers into one task
+    dealt = polygons.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism))
+    numbered = dealt.withColumn("__polygon", F.monotonically_increasing_id()).checkpoint()
     cells = covers(numbered, key="__polygon", most_edges=most_edges, deepest=deepest).checkpoint()
     levels = [r[0] for r in cells.select("level").distinct().collect()]  # at most ``deepest`` + 1
+    xs, ys = F.transform("ring", lambda v: v.getField("x")), F.transform("ring", lambda v: v.getField("y"))
+    bounds = {"__x0": F.array_min(xs) - 1e-9, "__x1": F.array_max(xs) + 1e-9, "__y0": F.array_min(ys) - 1e-9, "__y1": F.array_max(ys) + 1e-9}
+    own = [c for c in polygons.columns if c not in points.columns]
+    rows = numbered.select(F.col("__polygon").alias("key"), *own, *(b.alias(n) for n, b in bounds.items()))
+    full = cells.select("key", F.col("level").alias("__l"), F.col("r").alias("__row"), F.col("c").alias("__column"), F.col("inner").alias("__inner"), F.col("edges").alias("__edges"), F.col("hole_edges").alias("__holes")).join(rows, "key")
     size = lambda k: F.lit(WORLD) / F.pow(F.lit(2.0), k)
     p = points.withColumn("__level", F.explode(F.array(*map(F.lit, sorted(levels))).cast("array<int>")))
     p = p.withColumn("__r", F.floor(F.col("lat") / size(F.col("__level")))).withColumn("__c", F.floor(F.col("lng") / size(F.col("__level"))))
-    met = p.join(cells, (F.col("__level") == F.col("level")) & (F.col("__r") == F.col("r")) & (F.col("__c") == F.col("c")))
-    held = F.col("inner") | (_odd(F.col("edges"), F.col("lng"), F.col("lat")) & ~F.exists("hole_edges", lambda h: _odd(h, F.col("lng"), F.col("lat"))))
-    found = met.filter(held).select(*points.columns, F.col("key").alias("__polygon"))
-    return found.join(numbered, "__polygon").drop("__polygon")
+    boxed = F.col("lng").between(F.col("__x0"), F.col("__x1")) & F.col("lat").between(F.col("__y0"), F.col("__y1"))
+    met = p.join(full.hint("merge"), (F.col("__level") == F.col("__l")) & (F.col("__r") == F.col("__row")) & (F.col("__c") == F.col("__column")) & boxed)
+    held = F.col("__inner") | (_odd(F.col("__edges"), F.col("lng"), F.col("lat")) & ((F.size("__holes") == 0) | ~F.exists("__holes", lambda h: _odd(h, F.col("lng"), F.col("lat")))))
+    return met.filter(held).select(*points.columns, *own)
