@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import records
 from ..functions import text as t
+from ..session import tasks
 
 #: Releases of the open contracting data standard, as far as the operators read them.
 RELEASE = (
@@ -186,8 +187,19 @@ def upcoming_auctions(residential: DataFrame, commercial: DataFrame, today: Colu
     return out.filter(F.col("lot_type") == lot_type) if lot_type else out
 
 
+#: In how many shares the targets of a postcode are dealt; each meets a copy of the postcode's bands.
+_SHARES = 16
+
+
 def council_tax(targets: DataFrame, bands: DataFrame) -> DataFrame:
-    """Bands of each target's postcode; Scottish postcodes have none here."""
-    left = targets.filter(~t.is_scottish(F.col("postcode"))).withColumn("__pc", t.normalise_postcode(F.col("postcode")))
-    right = bands.select(t.normalise_postcode(F.col("postcode")).alias("__pc"), F.upper("band").alias("band"), F.col("property_id").alias("band_property"))
-    return left.join(right, "__pc").drop("__pc")
+    """Bands of each target's postcode; Scottish postcodes have none here.
+
+    Every target meets every band of its postcode, so the work is in the pairs and not in the bytes: targets are dealt
+    over ``tasks`` by postcode and share, which splits a frequent postcode, and a small file isn't one long task.
+    """
+    own = F.when(~t.is_scottish(F.col("postcode")), t.normalise_postcode(F.col("postcode")))
+    # exploding one element keeps the filter, and with it the normalising, above the repartition
+    left = targets.repartition(tasks(targets)).withColumn("__pc", F.explode(F.array(own))).filter("__pc is not null")
+    left = left.withColumn("__share", F.pmod(F.xxhash64(*targets.columns), F.lit(_SHARES)).cast("int")).repartition(tasks(targets), "__pc", "__share")
+    right = bands.repartition(tasks(bands)).withColumn("__pc", F.explode(F.array(t.normalise_postcode(F.col("postcode"))))).select("__pc", F.upper("band").alias("band"), F.col("property_id").alias("band_property"), F.explode(F.array(*map(F.lit, range(_SHARES)))).alias("__share"))
+    return left.join(right, ["__pc", "__share"]).drop("__pc", "__share")

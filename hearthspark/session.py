@@ -7,7 +7,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
@@ -41,3 +41,12 @@ def shared_checkpoints(spark: SparkSession) -> str:
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-shared-"))
     return context.getCheckpointDir()
+
+
+def tasks(df: DataFrame) -> int:
+    """How many tasks share the work on small rows that meet many others, or cost much each: bytes alone would put them into a few.
+
+    Not the number of shuffle partitions itself: Spark takes out a repartition that its input seems to have already.
+    """
+    spark = df.sparkSession
+    return 2 * max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
