@@ -166,7 +166,10 @@ def sale_method(tags: Column) -> Column:
 
 def status_or_guide(c: Column) -> Column:
     """struct<status, low, high, qualifier> of a field that holds a status or a guide price; available without either."""
-    plain = t.squeeze(F.coalesce(c, F.lit("")))
+    return t.once(t.squeeze(F.coalesce(c, F.lit(""))), _status_or_guide)
+
+
+def _status_or_guide(plain: Column) -> Column:
     status = F.lit(None).cast("string")
     for start, value in reversed(STATUS_STARTS.items()):
         status = F.when(F.lower(plain).startswith(start), F.lit(value)).otherwise(status)

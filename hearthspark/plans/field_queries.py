@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import records
 from ..functions import text as t
+from ..session import tasks
 from .queries import query
 
 Field = tuple[Callable[[Column], Column], list[tuple[str | None, str | None]]]
@@ -20,7 +21,8 @@ Field = tuple[Callable[[Column], Column], list[tuple[str | None, str | None]]]
 
 def flat(c: Column, *fields: str) -> Column:
     """A struct as one text, its nulls as hyphens; null if the struct is."""
-    return F.when(c.isNotNull(), F.concat_ws("|", *(F.coalesce(c.getField(f).cast("string"), F.lit("-")) for f in fields)))
+    text = lambda x: F.when(x.isNotNull(), F.concat_ws("|", *(F.coalesce(x.getField(f).cast("string"), F.lit("-")) for f in fields)))
+    return t.once(c, text)
 
 
 def as_map(c: Column) -> Column:
@@ -37,7 +39,9 @@ def _dealt(fields: dict[str, Field], which: int) -> str:
 
 
 def _run(spark: SparkSession, sf_dir: str, fields: dict[str, Field]) -> DataFrame:
-    spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey").createOrReplaceTempView("part")
+    part = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey")
+    # the work is in the fields and not in the bytes, so a small file isn't one long task
+    part.repartition(tasks(part)).createOrReplaceTempView("part")
     texts = spark.sql(_dealt(fields, 0).replace("\\", "\\\\"))
     return texts.select("p_partkey", *(f(F.col(name)).cast("string").alias(name) for name, (f, _) in fields.items()))
 
@@ -83,7 +87,7 @@ def _tags(c: Column) -> Column:
 
 
 def _lease(c: Column) -> Column:
-    return flat(records.lease_terms(as_map(c)), "years_remaining", "length_years", "ground_rent_pence", "service_charge_pence", "review_years", "review_pct")
+    return flat(t.once(as_map(c), records.lease_terms), "years_remaining", "length_years", "ground_rent_pence", "service_charge_pence", "review_years", "review_pct")
 
 
 def _costs(c: Column) -> Column:
@@ -107,7 +111,7 @@ _RECORDS: dict[str, Field] = {
         ("lease_length=999 years;lease_review_percentage=2.5%", "-|999|-|-|-|2.5"), ("other=1", None), ("ground_rent=£250", "-|-|25000|-|-|-"),
     ]),
     "costs": (_costs, [("90,250,1200.5,10", "90|25000|120050|10"), ("0,0,0,5", None), ("99,,,", "99|-|-|-")]),
-    "rows": (lambda c: flat(records.lease_of_rows(as_map(c)), "tenure", "years_remaining", "ground_rent_pence", "service_charge_pence", "review_years"), [
+    "rows": (lambda c: flat(t.once(as_map(c), records.lease_of_rows), "tenure", "years_remaining", "ground_rent_pence", "service_charge_pence", "review_years"), [
         ("Tenure=Leasehold  |  115 yrs left;Ground rent=£100 per annum (review period: every 5 years)", "leasehold|115|10000|-|5"), ("Tenure=Freehold", None), ("Service charge=£1,200 per annum", "unknown|-|-|120000|-"),
     ]),
     "lot": (lambda c: flat(records.lot_status(c), "status", "sold_pence"), [("Sold for £250,000", "sold|25000000"), ("SOLD PRIOR £1.2m", "sold_prior|120000000"), ("Withdrawn", "withdrawn|-"), ("Guide £100,000", "available|-"), ("Postponed £5k", "postponed|-")]),
@@ -117,7 +121,7 @@ _RECORDS: dict[str, Field] = {
     "byline": (lambda c: flat(records.byline(c), "bedrooms", "property_type", "raw"), [("3 bedroom semi-detached house", "3|semi_detached|3 bedroom semi-detached house"), ("1 bed flat", "1|flat|1 bed flat"), ("Land at Leeds", "-|land|Land at Leeds"), ("", "-|unknown|-")]),
     "method": (lambda c: records.sale_method(_tags(c)), [("tag-modern:x;tenure:freehold", "modern"), ("a:Traditional auction", "traditional"), ("a:online only", "online_timed"), ("a:b", "unknown"), ("a:traditional;b:modern method", "modern")]),
     "sale_tenure": (t.sale_tenure_tag, [("Share of freehold", "freehold"), ("Leasehold", "leasehold"), ("x", "unknown")]),
-    "signal": (lambda c: F.array_join(F.transform(records.carrier_signals(as_map(c)), lambda x: F.concat_ws("|", x.getField("carrier"), x.getField("level"))), ","), [("ee=green;o2=Amber;three=odd;vodafone=no", "ee|likely,o2|limited,vodafone|none"), ("x=green", "")]),
+    "signal": (lambda c: F.array_join(F.transform(t.once(as_map(c), records.carrier_signals), lambda x: F.concat_ws("|", x.getField("carrier"), x.getField("level"))), ","), [("ee=green;o2=Amber;three=odd;vodafone=no", "ee|likely,o2|limited,vodafone|none"), ("x=green", "")]),
     "hybrid": (lambda c: flat(records.status_or_guide(c), "status", "low", "high", "qualifier"), [("Sold Prior", "sold_prior|-|-|-"), ("*Guide | £200,000+ (plus fees)", "available|20000000|-|offers_in_excess_of"), ("£150,000 - £175,000", "available|15000000|17500000|guide_price"), ("Offers over £1.5m", "available|150000000|-|offers_over"), ("For sale", "available|-|-|-")]),
     "address": (lambda c: flat(records.address_of(*(F.get(F.split(c, ";"), F.lit(i)) for i in range(3))), "raw", "postcode", "outcode"), [("1 High St; ;LS1 4AB", "1 High St, LS1 4AB|LS1 4AB|LS1"), (" ; ; ", None), ("{k} Low Rd;York;", "{k} Low Rd, York|-|-")]),
     "station": (lambda c: flat(records.site_of_label(c), "site", "pollutant"), [
