@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as t
 from ..operators import geo, hazards, linkage, listings, models, ownership, places, profile, reference, registers, valuation
 from ..session import shared_checkpoints
-from .lens import LENSES, view, with_sql
+from .lens import LENSES, repeated, view, with_sql
 from .place_queries import _HAV, _releases
 from .queries import query
 
@@ -339,7 +339,7 @@ def upcoming_auctions(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT source, target, relation, CAST(active AS INT) AS active, CASE WHEN relation = 'psc_of' AND active = 0 THEN '2020-01-01' END AS until FROM e""")
 def ownership_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Officers and controllers, active ones first."""
-    return ownership.edges(view(spark, sf_dir, "appointments"), view(spark, sf_dir, "controllers")).select("source", "target", "relation", "active", "until")
+    return ownership.edges(repeated(spark, sf_dir, "appointments"), repeated(spark, sf_dir, "controllers")).select("source", "target", "relation", "active", "until")
 
 
 @query(with_sql("controllers") + """
@@ -364,7 +364,7 @@ def ownership_of_controllers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """From every controller, through the companies that corporate controllers are, in order of depth, kind and identifier."""
     shared_checkpoints(spark)
     c = view(spark, sf_dir, "controllers")
-    e = ownership.edges(view(spark, sf_dir, "appointments").filter("false"), c)
+    e = ownership.edges(repeated(spark, sf_dir, "appointments").filter("false"), repeated(spark, sf_dir, "controllers"))
     known = ownership.nodes(psc=c.select(F.col("identity").alias("identifier"), F.col("identity").alias("label")).distinct(), company=c.select(F.col("company").alias("identifier"), F.col("company").alias("label")).union(c.filter("company_number is not null").select("company_number", "company_number")).distinct())
     reached = ownership.search(e, e.select(F.col("source").alias("seed")).distinct(), 2, same=ownership.corporate_links(c))
     return ownership.ordered(reached, known).select("seed", "node", "depth", "place")

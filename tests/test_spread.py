@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from hearthspark.operators import registers
+from hearthspark.operators import ownership, registers
 from hearthspark.plans import field_queries
 
 SMALL = "/root/testdata/sf0.001"
@@ -23,3 +23,18 @@ def test_bands_of_a_frequent_postcode_are_spread(spark):
 @pytest.mark.parametrize("query", [field_queries.fields_of_records, field_queries.fields_of_texts])
 def test_fields_of_a_small_file_are_spread(spark, query):
     assert _tasks_with_rows(query(spark, SMALL)) > 1
+
+
+def test_edges_are_dealt_by_edge_before_they_are_counted(spark):
+    rows = spark.createDataFrame([(k % 3, k % 5, k % 2) for k in range(60)], "officer long, company long, active int").coalesce(1)
+    out = ownership.edges(rows)
+    assert "REPARTITION_BY_NUM" in out._jdf.queryExecution().executedPlan().toString()
+    assert sorted(tuple(r) for r in out.select("source", "target", "active").collect()) == sorted((f"officer:{a}", f"company:{b}", 1) for a in range(3) for b in range(5))
+
+
+def test_a_hubs_neighbours_are_split_into_lists(spark, monkeypatch):
+    monkeypatch.setattr(ownership, "_LISTED", 7)
+    e = ownership.edges(spark.createDataFrame([(k, 0, 1) for k in range(50)], "officer long, company long, active int"))
+    found = ownership.search(e, e.select(F.col("source").alias("seed")), 2)
+    assert found.count() == 50 * 51 == found.distinct().count()
+    assert found.groupBy("depth").count().orderBy("depth").collect() == [(0, 50), (1, 50), (2, 50 * 49)]
