@@ -1,9 +1,12 @@
 """Work on small files is spread over tasks, and frequent keys are split."""
 
+import random
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
-from hearthspark.operators import ownership, registers
+from hearthspark.operators import geo, ownership, registers
 from hearthspark.plans import field_queries
 
 SMALL = "/root/testdata/sf0.001"
@@ -38,3 +41,18 @@ def test_a_hubs_neighbours_are_split_into_lists(spark, monkeypatch):
     found = ownership.search(e, e.select(F.col("source").alias("seed")), 2)
     assert found.count() == 50 * 51 == found.distinct().count()
     assert found.groupBy("depth").count().orderBy("depth").collect() == [(0, 50), (1, 50), (2, 50 * 49)]
+
+
+def test_counts_come_from_cells_and_not_from_pairs(spark, monkeypatch):
+    monkeypatch.setattr(geo, "within_radius", lambda *a, **k: pytest.fail("pairs are made"))
+    draw = random.Random(3)
+    spots = [(draw.uniform(50, 51), draw.uniform(-1, 1)) for _ in range(150)] + [(89.95, draw.uniform(-180, 180)) for _ in range(20)] + [(10 + draw.uniform(0, 0.3), draw.choice([-179.9, 179.9])) for _ in range(20)]
+    points = spark.createDataFrame([(k, *p) for k, p in enumerate(spots[::3])] + [(999, None, None)], "point_id int, lat double, lng double")
+    stops = spark.createDataFrame([(k, *p, k % 3) for k, p in enumerate(spots)] + [(999, None, 1.0, 0)], "stop_id int, lat double, lng double, stop_type int")
+    for radius in (300.0, 30_000.0):
+        d = geo.haversine_m(F.col("lat"), F.col("lng"), F.col("b"), F.col("l"))
+        pairs = [(r["point_id"], r["stop_type"]) for r in points.crossJoin(stops.withColumnsRenamed({"lat": "b", "lng": "l"})).filter(d <= radius).collect()]
+        found = {r["point_id"]: (r["n_0"], r["n_1"]) for r in geo.category_counts(points, stops, radius, [0, 1]).collect()}
+        assert found == {k: (pairs.count((k, 0)), pairs.count((k, 1))) for k in [*range(len(spots[::3])), 999]}
+        near = {r["point_id"]: r["n"] for r in geo.counts_within(points, stops, radius, "n").collect()}
+        assert near == dict(Counter(k for k, _ in pairs))
