@@ -16,9 +16,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import shared_checkpoints
+from ..session import shared_checkpoints, tasks
 
 WORLD, MOST_EDGES, DEEPEST = 360.0, 16, 22
+#: A cover begins with cells of about a fourth of its polygon's width, so that few points outside meet it and keys are many.
+_FINER = 2
 
 
 def _edges(ring: list[dict] | None) -> np.ndarray:
@@ -44,7 +46,7 @@ def cells_of(outer: list[dict], holes: list[list[dict]] | None, *, most_edges: i
         return
     x0, y0, x1, y1 = rings[0][:, 0].min(), rings[0][:, 1].min(), rings[0][:, 0].max(), rings[0][:, 1].max()
     wide = max(x1 - x0, y1 - y0, WORLD / 2**deepest)
-    level = min(deepest, max(0, int(np.floor(np.log2(WORLD / wide)))))
+    level = min(deepest, max(0, int(np.floor(np.log2(WORLD / wide))) + _FINER))
     size = WORLD / 2**level
     stack = [(level, r, c, rings) for r in range(int(np.floor(y0 / size)), int(np.floor(y1 / size)) + 1) for c in range(int(np.floor(x0 / size)), int(np.floor(x1 / size)) + 1)]
     while stack:
@@ -141,6 +143,7 @@ def points_in(points: DataFrame, polygons: DataFrame, *, most_edges: int = MOST_
     size = lambda k: F.lit(WORLD) / F.pow(F.lit(2.0), k)
     p = points.withColumn("__level", F.explode(F.array(*map(F.lit, sorted(levels))).cast("array<int>")))
     p = p.withColumn("__r", F.floor(F.col("lat") / size(F.col("__level")))).withColumn("__c", F.floor(F.col("lng") / size(F.col("__level"))))
+    p = p.repartition(tasks(points), "__level", "__r", "__c")
     boxed = F.col("lng").between(F.col("__x0"), F.col("__x1")) & F.col("lat").between(F.col("__y0"), F.col("__y1"))
     met = p.join(full.hint("merge"), (F.col("__level") == F.col("__l")) & (F.col("__r") == F.col("__row")) & (F.col("__c") == F.col("__column")) & boxed)
     held = F.col("__inner") | (_odd(F.col("__edges"), F.col("lng"), F.col("lat")) & ((F.size("__holes") == 0) | ~F.exists("__holes", lambda h: _odd(h, F.col("lng"), F.col("lat")))))

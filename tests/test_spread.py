@@ -6,7 +6,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from hearthspark.operators import geo, ownership, registers
+from hearthspark.operators import cover, geo, hazards, ownership, registers
 from hearthspark.plans import field_queries
 
 SMALL = "/root/testdata/sf0.001"
@@ -56,3 +56,15 @@ def test_counts_come_from_cells_and_not_from_pairs(spark, monkeypatch):
         assert found == {k: (pairs.count((k, 0)), pairs.count((k, 1))) for k in [*range(len(spots[::3])), 999]}
         near = {r["point_id"]: r["n"] for r in geo.counts_within(points, stops, radius, "n").collect()}
         assert near == dict(Counter(k for k, _ in pairs))
+
+
+def test_a_small_polygons_cover_is_fine_and_equal_rings_are_one(spark, monkeypatch):
+    square = [{"x": x, "y": y} for x, y in ((0.1, 50.1), (1.1, 50.1), (1.1, 51.1), (0.1, 51.1))]
+    cells = list(cover.cells_of(square, None))
+    assert len(cells) >= 9 and len({c[:3] for c in cells}) == len(cells) and any(c[3] is None for c in cells)
+    seen, plain = [], geo.contains
+    monkeypatch.setattr(geo, "contains", lambda p, r: seen.append(r.count()) or plain(p, r))
+    points = spark.createDataFrame([(k, 50.0 + k / 10, 0.5) for k in range(15)], "point_id int, lat double, lng double")
+    rows = spark.createDataFrame([("green-belt", square)] * 3 + [("flood-risk-zone", square)], "dataset string, ring array<struct<x:double,y:double>>")
+    found = {r["point_id"]: (r["green-belt"], r["flood-risk-zone"], r["conservation-area"]) for r in hazards.constraints(points, rows).collect()}
+    assert found == {k: (3, 1, 0) if 50.1 <= 50.0 + k / 10 < 51.1 else (0, 0, 0) for k in range(15)} and seen == [2]
