@@ -12,6 +12,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import tasks
+
 _PER_DOUBLING = 64
 
 
@@ -21,9 +23,11 @@ def values_at(counted: DataFrame, keys: list[str], ranks: dict[str, Callable[[Co
     ``counted`` has a row for some occurrences (``count``) of a positive ``value`` of a group; equal rows add up. Keys may
     be null. A rank that isn't in the group is null.
     """
-    by_value = counted.groupBy(*keys, value).agg(F.sum(count).alias("__c"))
     bucket = F.floor(F.log2(F.col(value).cast("double")) * _PER_DOUBLING)
-    cells = by_value.groupBy(*keys, bucket.alias("__b")).agg(F.sum("__c").alias("__m"), F.sort_array(F.collect_list(F.struct(F.col(value).alias("v"), F.col("__c").alias("c")))).alias("__v"))
+    # one deal by bucket serves both sums, and no task sums more than its share of the rows
+    dealt = counted.withColumn("__b", bucket).repartition(tasks(counted), *keys, "__b")
+    by_value = dealt.groupBy(*keys, "__b", value).agg(F.sum(count).alias("__c"))
+    cells = by_value.groupBy(*keys, "__b").agg(F.sum("__c").alias("__m"), F.sort_array(F.collect_list(F.struct(F.col(value).alias("v"), F.col("__c").alias("c")))).alias("__v"))
     group = Window.partitionBy(*keys)
     placed = cells.withColumn("__below", F.sum("__m").over(group.orderBy("__b")) - F.col("__m")).withColumn("__n", F.sum("__m").over(group))
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as t
+from ..session import tasks
 from . import ranks
 
 MIN_ROWS, HIGH_ROWS, MEDIUM_ROWS = 3, 10, 5
@@ -25,8 +26,11 @@ def pool_statistics(pool: DataFrame) -> DataFrame:
     Sales are counted by postcode, type and price once; all tiers come from those counts.
     """
     p = pool.select(F.upper(F.regexp_replace("postcode", " ", "")).alias("pc"), t.postcode_area(F.col("postcode")).alias("area"), F.upper("property_type").alias("type"), F.col("price").cast("double").alias("value"))
-    counted = p.groupBy("pc", "area", "type", "value").agg(F.count("*").alias("count"))
-    sets = counted.groupingSets([["pc", "type", "value"], ["pc", "value"], ["area", "type", "value"], ["area", "value"], ["value"]], "pc", "area", "type", "value").agg(F.sum("count").alias("count"), F.shiftright(F.grouping_id(), 1).alias("g"))
+    counted = p.repartition(tasks(p), "pc", "area", "type", "value").groupBy("pc", "area", "type", "value").agg(F.count("*").alias("count"))
+    tiers = {2: ("pc", "type"), 3: ("pc",), 4: ("area", "type"), 5: ("area",), 7: ()}
+    none = F.lit(None).cast("string")
+    rows = F.explode(F.array(*(F.struct(*((F.col(c) if c in kept else none).alias(c) for c in ("pc", "area", "type")), F.lit(g).alias("g")) for g, kept in tiers.items())))
+    sets = counted.select(rows.alias("x"), "value", "count").select("x.*", "value", "count")
     return ranks.quantiles(sets, ["pc", "area", "type", "g"], [0.25, 0.5, 0.75])
 
 

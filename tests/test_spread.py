@@ -1,12 +1,13 @@
 """Work on small files is spread over tasks, and frequent keys are split."""
 
 import random
+import statistics
 from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
-from hearthspark.operators import cover, geo, hazards, ownership, registers
+from hearthspark.operators import cover, geo, hazards, ownership, ranks, registers, valuation
 from hearthspark.plans import field_queries
 
 SMALL = "/root/testdata/sf0.001"
@@ -68,3 +69,21 @@ def test_a_small_polygons_cover_is_fine_and_equal_rings_are_one(spark, monkeypat
     rows = spark.createDataFrame([("green-belt", square)] * 3 + [("flood-risk-zone", square)], "dataset string, ring array<struct<x:double,y:double>>")
     found = {r["point_id"]: (r["green-belt"], r["flood-risk-zone"], r["conservation-area"]) for r in hazards.constraints(points, rows).collect()}
     assert found == {k: (3, 1, 0) if 50.1 <= 50.0 + k / 10 < 51.1 else (0, 0, 0) for k in range(15)} and seen == [2]
+
+
+def test_ranks_are_dealt_by_bucket_in_one_shuffle(spark):
+    rows = spark.createDataFrame([(k % 3, 100 + k % 50, 1) for k in range(600)], "key int, value long, count long").coalesce(1)
+    out = ranks.quantiles(rows, ["key"], [0.25, 0.5])
+    assert out._jdf.queryExecution().executedPlan().toString().count("REPARTITION_BY_NUM") == 1
+    want = {}
+    for key in range(3):
+        values = sorted(100 + k % 50 for k in range(600) if k % 3 == key)
+        want[key] = (200, [statistics.quantiles(values, n=4, method="inclusive")[0], statistics.median(values)])
+    assert {r["key"]: (r["n"], r["q"]) for r in out.collect()} == want
+
+
+def test_tiers_are_summed_once(spark):
+    sales = spark.createDataFrame([("AB1 2CD", "D", 100 + k % 7) for k in range(40)] + [("AB1 3CD", "S", 50)], "postcode string, property_type string, price long")
+    out = valuation.pool_statistics(sales)
+    assert "Expand" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r["g"], r["pc"] or "", r["type"] or "", r["n"]) for r in out.collect()) == sorted([(2, "AB12CD", "D", 40), (2, "AB13CD", "S", 1), (3, "AB12CD", "", 40), (3, "AB13CD", "", 1), (4, "", "D", 40), (4, "", "S", 1), (5, "", "", 41), (7, "", "", 41)])
