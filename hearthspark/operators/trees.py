@@ -1,9 +1,12 @@
 """Boosted quantile trees with monotone numbers, grown from histograms that Spark adds up.
 
-Numbers are cut into bins and categories into levels once; the coded rows are written out. A level of a tree is one
-Spark job: every task counts, for each quantile, node, feature and bin, its rows and those at or below their present
-estimate, in numpy over Arrow batches; Spark adds the counts, and the driver, which sees bounded tables of counts
-alone, chooses splits. Counts are whole numbers, so a tree doesn't depend on how rows are dealt to tasks.
+Numbers are cut into bins and categories into levels once. Rows with equal codes have equal estimates, so they are
+written as pieces: one row of codes with its responses in order and how often each occurs. Codes are bounded in number,
+so in large tables trees run on far fewer pieces than rows. Pieces are dealt by ranges of codes and responses, which
+splits frequent codes. A level of a tree is one Spark job: every task counts, for each quantile, node, feature and bin,
+its rows and those at or below their present estimate, in numpy over Arrow batches; Spark adds the counts, and the
+driver, which sees bounded tables of counts alone, chooses splits. Counts are whole numbers, so a tree doesn't depend on
+how rows are dealt to tasks.
 
 The loss is the pinball loss: a row's gradient is 1 - q if its response is at or below the estimate and -q if not. A
 split on a rising number must not put the higher step on the left. A leaf's step is the q-quantile of its rows' residuals
@@ -27,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import shared_checkpoints
+from ..session import shared_checkpoints, tasks
 
 BINS, CELLS = 64, 4096
 # Size of a leaf, regularisation, rounds, rate and depth of the published model.
@@ -50,12 +53,12 @@ class Tree:
     def nodes(self, codes: np.ndarray, numbers: int) -> np.ndarray:
         """The node in which each row of codes ends."""
         at = np.zeros(len(codes), np.int64)
-        rows = np.arange(len(codes))
-        while len(rows):
-            f = self.feature[at[rows]]
-            rows, f = rows[f >= 0], f[f >= 0]
-            code, cut = codes[rows, f], self.cut[at[rows]]
-            at[rows] = 2 * at[rows] + 1 + np.where(f < numbers, code > cut, code == cut)
+        start = np.arange(len(codes)) * codes.shape[1]
+        flat, inner = codes.ravel(), self.feature >= 0
+        while (going := inner[at]).any():
+            f = self.feature[at]
+            code, cut = flat[start + np.maximum(f, 0)], self.cut[at]
+            at = np.where(going, 2 * at + 1 + np.where(f < numbers, code > cut, code == cut), at)
         return at
 
 
@@ -124,31 +127,34 @@ def _splits(n: np.ndarray, below: np.ndarray, q: float, sizes: list[int], number
     return found
 
 
-def _quantile(cells: dict[int, int], q: float, width: float) -> float:
+Cells = tuple[np.ndarray, np.ndarray]  # cells of residuals and how many fell into each
+
+
+def _quantile(cells: Cells, q: float, width: float) -> float:
     """The middle of the cell that holds the q-quantile of counted residuals."""
-    need = max(1, int(np.ceil(q * sum(cells.values()))))
-    for c in sorted(cells):
-        need -= cells[c]
-        if need <= 0:
-            return (c + 0.5) * width
-    return 0.0
+    at, n = cells
+    if not len(at):
+        return 0.0
+    order = np.argsort(at, kind="stable")
+    seen = np.cumsum(n[order])
+    need = max(1, int(np.ceil(q * int(seen[-1]))))
+    return (int(at[order][np.searchsorted(seen, need)]) + 0.5) * width
 
 
-def _steps(tree: Tree, cells: dict[int, dict[int, int]], q: float, width: float, rate: float, numbers: int, rising: tuple[bool, ...]) -> None:
+def _steps(tree: Tree, cells: dict[int, Cells], q: float, width: float, rate: float, numbers: int, rising: tuple[bool, ...]) -> None:
     """Steps of all leaves from their residuals, within the bounds of the rising splits above them."""
+    none = (np.empty(0, np.int64), np.empty(0, np.int64))
 
-    def merged(k: int) -> dict[int, int]:
+    def merged(k: int) -> Cells:
         if tree.feature[k] < 0:
-            return cells.get(k, {})
-        out = dict(merged(2 * k + 1))
-        for c, n in merged(2 * k + 2).items():
-            out[c] = out.get(c, 0) + n
-        return out
+            return cells.get(k, none)
+        (a, n), (b, m) = merged(2 * k + 1), merged(2 * k + 2)
+        return np.concatenate([a, b]), np.concatenate([n, m])
 
     def settle(k: int, low: float, high: float) -> None:
         f = tree.feature[k]
         if f < 0:
-            tree.step[k] = rate * min(high, max(low, _quantile(cells.get(k, {}), q, width)))
+            tree.step[k] = rate * min(high, max(low, _quantile(cells.get(k, none), q, width)))
             return
         a, b = 2 * k + 1, 2 * k + 2
         if f < numbers and rising[f]:
@@ -162,10 +168,40 @@ def _steps(tree: Tree, cells: dict[int, dict[int, int]], q: float, width: float,
     settle(0, -np.inf, np.inf)
 
 
+def _pieces(batches: Iterator[pa.RecordBatch], start: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Runs of equal codes in sorted rows (code, y, n) as one row each: codes, ys, ns and the first estimate."""
+    for b in batches:
+        if not len(b):
+            continue
+        wide = b.column(0).cast(pa.binary(b.column(0)[0].as_buffer().size))
+        code = np.frombuffer(wide.buffers()[1], np.int32).reshape(-1, wide.type.byte_width // 4)[wide.offset : wide.offset + len(wide)]
+        first = np.flatnonzero(np.r_[True, (code[1:] != code[:-1]).any(axis=1)])
+        ends = pa.array(np.r_[first, len(b)], pa.int32())
+        yield pa.RecordBatch.from_arrays([_lists(code[first]), pa.ListArray.from_arrays(ends, b.column(1)), pa.ListArray.from_arrays(ends, b.column(2)), _lists(np.repeat(start[None, :], len(first), axis=0))], ["codes", "ys", "ns", "estimate"])
+
+
+def _added(at: tuple[np.ndarray, ...], n: tuple[np.ndarray, ...]) -> Cells:
+    """Counts by place, each place once."""
+    at, n = np.concatenate(at), np.concatenate(n)
+    order = np.argsort(at, kind="stable")
+    at, n = at[order], n[order]
+    first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+    return at[first], np.add.reduceat(n, first)
+
+
+def _lists(matrix: np.ndarray) -> pa.Array:
+    """A row of a matrix as a list."""
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(matrix) + 1) * matrix.shape[1], pa.int32()), pa.array(matrix.ravel()))
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
 def fit(frame: DataFrame, *, y: str = "log_price", numbers: tuple[str, ...] = ("log_floor", "eff"), rising: tuple[bool, ...] = (True, True), categories: tuple[str, ...] = (), quantiles: tuple[float, ...] = (0.1, 0.5, 0.9), rounds: int = ROUNDS, rate: float = RATE, depth: int = DEPTH, bins: int = BINS, min_leaf: int = MIN_LEAF, l2: float = L2, settle_every: int = 25) -> Forest | None:
     """Boosted trees for each quantile; None without rows.
 
-    The coded rows with their present estimates are written every ``settle_every`` rounds, so that a task recomputes at
+    The pieces with their present estimates are written every ``settle_every`` rounds, so that a task recomputes at
     most the trees since then and lost executors cost no more than that.
     """
     spark = frame.sparkSession
@@ -181,66 +217,74 @@ def fit(frame: DataFrame, *, y: str = "log_price", numbers: tuple[str, ...] = ("
     offset, total = np.cumsum([0, *sizes])[:-1], sum(sizes)
     width = max((facts["high"] - facts["low"]) / CELLS, 1e-12)
     folder = f"{shared_checkpoints(spark).rstrip('/')}/trees-{uuid.uuid4().hex}"
-    shape = "y double, codes array<int>, estimate array<double>"
-
-    def matrix(column: pa.Array) -> np.ndarray:
-        return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+    shape = "codes array<int>, ys array<double>, ns array<long>, estimate array<double>"
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            codes = model.codes([c.to_numpy(zero_copy_only=False) for c in b.columns[1:]])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(codes), pa.list_(pa.int32())), pa.array([model.start] * len(codes), pa.list_(pa.float64()))], ["y", "codes", "estimate"])
+            if len(b):
+                codes = np.ascontiguousarray(model.codes([c.to_numpy(zero_copy_only=False) for c in b.columns[1:]]))
+                whole = pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * codes.shape[1]), len(codes), [None, pa.py_buffer(codes)])
+                yield pa.RecordBatch.from_arrays([whole.cast(pa.binary()), b.column(0)], ["code", "y"])
 
     def written(df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(f"{folder}/{name}")
         return spark.read.schema(shape).parquet(f"{folder}/{name}")
 
-    rows, pending = written(pool.mapInArrow(code, shape), "0"), []
+    coded = pool.mapInArrow(code, "code binary, y double").groupBy("code", "y").agg(F.count("*").alias("n"))
+    dealt = coded.repartitionByRange(tasks(pool), "code", "y").sortWithinPartitions("code", "y")
+    first = model.start
+    rows, pending = written(dealt.mapInArrow(lambda batches: _pieces(batches, first), shape), "0"), []
     current: list[Tree] = []
 
-    def counted(level: int | None) -> list:
-        """Counts of a level's nodes by feature and bin (None: counts of leaves by cell of the residual)."""
+    def counted(level: int | None) -> list[np.ndarray]:
+        """Counts of a level's nodes by feature and bin (None: counts of leaves by cell of the residual): a, b, n, below."""
         ready, growing, first = list(pending), list(current), (1 << level) - 1 if level is not None else 0
 
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            held: dict[tuple[int, int], list[int]] = {}
+            held: dict[int, list[Cells]] = {}
             tables = np.zeros((len(quantiles), 2, (1 << level) * total), np.int64) if level is not None else None
             for b in batches:
                 if not len(b):
                     continue
-                have, codes = b.column(0).to_numpy(zero_copy_only=False), matrix(b.column(1))
-                estimate = model.add(matrix(b.column(2)).copy(), codes, ready)
+                codes, have, n = _matrix(b.column(0)), *(b.column(c).flatten().to_numpy(zero_copy_only=False) for c in (1, 2))
+                size = np.diff(b.column(1).offsets.to_numpy())
+                begin = np.cumsum(size) - size
+                rows_of = np.add.reduceat(n, begin)
+                estimate = model.add(_matrix(b.column(3)).copy(), codes, ready)
                 for k, tree in enumerate(growing):
-                    node = tree.nodes(codes, len(numbers))
+                    node, line = tree.nodes(codes, len(numbers)), np.repeat(estimate[:, k], size)
                     if level is None:
-                        cell = np.floor((have - estimate[:, k]) / width).astype(np.int64)
-                        pairs, n = np.unique(np.stack([node, cell], axis=1), axis=0, return_counts=True)
-                        for (x, c), m in zip(pairs.tolist(), n.tolist(), strict=True):
-                            held[k << 20 | x, c] = [held.get((k << 20 | x, c), [0])[0] + m]
+                        cell = np.floor((have - line) / width).astype(np.int64)
+                        held.setdefault(k, []).append(_added([(np.repeat(node, size) << 40) + (cell + (1 << 39))], [n]))
+                        if len(held[k]) == 64:
+                            held[k] = [_added(*zip(*held[k], strict=True))]
                         continue
-                    inside, low = node >= first, have <= estimate[:, k]
+                    inside, low = node >= first, np.add.reduceat(n * (have <= line), begin)
                     for f in range(len(sizes)):
                         ok = inside & (codes[:, f] >= 0)
                         at = (node[ok] - first) * total + offset[f] + codes[ok, f]
-                        tables[k, 0] += np.bincount(at, minlength=tables.shape[2])
-                        tables[k, 1] += np.bincount(at[low[ok]], minlength=tables.shape[2])
+                        for side, m in enumerate((rows_of, low)):
+                            # sums below 2**53 are exact
+                            tables[k, side] += np.bincount(at, weights=m[ok], minlength=tables.shape[2]).astype(np.int64)
             if level is None:
-                out = [(a, c, n[0], 0) for (a, c), n in held.items()]
+                parts = [(k, *_added(*zip(*cells, strict=True))) for k, cells in held.items()]
+                out = [np.concatenate(x) for x in zip(*(((k << 20) + (at >> 40), (at & (1 << 40) - 1) - (1 << 39), n, 0 * n) for k, at, n in parts), strict=True)]
             else:
                 k, at = np.nonzero(tables[:, 0])
-                out = list(zip(k.tolist(), at.tolist(), tables[k, 0, at].tolist(), tables[k, 1, at].tolist(), strict=True))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], ["a", "b", "n", "below"])
+                out = [k, at, tables[k, 0, at], tables[k, 1, at]]
+            if out and len(out[0]):
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["a", "b", "n", "below"])
 
-        return rows.mapInArrow(count, "a long, b long, n long, below long").groupBy("a", "b").agg(F.sum("n").alias("n"), F.sum("below").alias("below")).collect()
+        summed = rows.mapInArrow(count, "a long, b long, n long, below long").groupBy("a", "b").agg(F.sum("n").alias("n"), F.sum("below").alias("below")).toArrow()
+        return [summed.column(c).to_numpy() for c in range(4)]
 
     for r in range(rounds):
         current = [Tree.empty(depth) for _ in quantiles]
         for level in range(depth):
             tables = np.zeros((len(quantiles), 2, 1 << level, total), np.int64)
             flat = tables.reshape(len(quantiles), 2, -1)
-            for a, b, n, below in counted(level):
-                flat[a, 0, b], flat[a, 1, b] = n, below
+            a, b, n, below = counted(level)
+            flat[a, 0, b], flat[a, 1, b] = n, below
             grown = False
             for k, tree in enumerate(current):
                 for j in range(1 << level):
@@ -249,9 +293,10 @@ def fit(frame: DataFrame, *, y: str = "log_price", numbers: tuple[str, ...] = ("
                         grown = True
             if not grown:
                 break
-        cells: list[dict[int, dict[int, int]]] = [{} for _ in quantiles]
-        for a, b, n, _ in counted(None):
-            cells[a >> 20].setdefault(a & (1 << 20) - 1, {})[b] = n
+        a, b, n, _ = counted(None)
+        cells: list[dict[int, Cells]] = [{} for _ in quantiles]
+        for x in np.unique(a).tolist():
+            cells[x >> 20][x & (1 << 20) - 1] = (b[a == x], n[a == x])
         for k, tree in enumerate(current):
             _steps(tree, cells[k], quantiles[k], width, rate, len(numbers), rising)
         model.trees.append(current)
@@ -261,8 +306,8 @@ def fit(frame: DataFrame, *, y: str = "log_price", numbers: tuple[str, ...] = ("
 
             def settle(batches: Iterator[pa.RecordBatch], ready=ready) -> Iterator[pa.RecordBatch]:
                 for b in batches:
-                    estimate = model.add(matrix(b.column(2)).copy(), matrix(b.column(1)), ready) if len(b) else np.empty((0, 1))
-                    yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(list(estimate), pa.list_(pa.float64()))], ["y", "codes", "estimate"])
+                    if len(b):
+                        yield pa.RecordBatch.from_arrays([*b.columns[:3], _lists(model.add(_matrix(b.column(3)).copy(), _matrix(b.column(0)), ready))], b.schema.names)
 
             rows, pending = written(rows.mapInArrow(settle, shape), str(r + 1)), []
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
