@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as t
+from ..session import staged
 
 EPC_FIELDS = ("lmk_key", "floor_area_sqm", "energy_rating", "energy_efficiency", "inspection_date")
 
@@ -34,21 +35,21 @@ def nearest(sales: DataFrame, certificates: DataFrame, key: str, *, max_days: in
 
     No pairs are made: certificates of one day are one row, and sales and certificates of a key lie in one sorted sequence
     in which each sale sees the last certificate before it and the first after it. Sequences are cut into stretches of
-    ``max_days``, with the certificates of the stretches beside them, so that a frequent key is split by time.
+    ``max_days``, with the last certificate of the stretch before and the first of the one after, so that a frequent key is
+    split by time.
     """
     width = max_days + 1
     stretch = lambda day: F.floor(F.datediff(day, F.lit("1970-01-01")) / width)
-    fields = [c for c in EPC_FIELDS if c != "inspection_date"]
-    daily = certificates.filter(F.col(key).isNotNull()).groupBy(key, "inspection_date").agg(F.min(F.struct(*fields)).alias("c"))
-    b = stretch(F.col("inspection_date"))
-    right = daily.select(key, F.explode(F.array(b - 1, b, b + 1)).alias("b"), F.col("inspection_date").alias("day"), F.lit(0).alias("sale"), F.lit(None).cast(sales.schema["transaction_id"].dataType).alias("transaction_id"), F.struct("inspection_date", "c").alias("x"))
+    x = F.struct(F.col("inspection_date"), F.col("c")).alias("x")
+    right = _daily(certificates.filter(F.col(key).isNotNull()), key).select(key, stretch(F.col("inspection_date")).alias("b"), x)
+    ends = right.groupBy(key, "b").agg(F.min("x").alias("first"), F.max("x").alias("last"))
+    beside = ends.select(key, F.explode(F.array(F.struct((F.col("b") - 1).alias("b"), F.col("first").alias("x")), F.struct((F.col("b") + 1).alias("b"), F.col("last").alias("x")))).alias("e")).select(key, "e.b", "e.x")
+    right = right.unionByName(beside).select(key, "b", F.col("x.inspection_date").alias("day"), F.lit(0).alias("sale"), F.lit(None).cast(sales.schema["transaction_id"].dataType).alias("transaction_id"), "x")
     left = sales.filter(F.col(key).isNotNull() & F.col("sale_date").isNotNull())
     left = left.select(key, stretch(F.col("sale_date")).alias("b"), F.col("sale_date").alias("day"), F.lit(1).alias("sale"), "transaction_id", F.lit(None).cast(right.schema["x"].dataType).alias("x"))
-    w = Window.partitionBy(key, "b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    both = left.unionByName(right)
-    # on the day of the sale itself a certificate is before the sale
-    both = both.withColumn("before", F.last("x", ignorenulls=True).over(w.orderBy("day", "sale")))
-    both = both.withColumn("after", F.last("x", ignorenulls=True).over(w.orderBy(F.col("day").desc(), F.col("sale").desc()))).filter("sale = 1")
+    # one sort serves both directions; on the day of the sale itself a certificate is before the sale
+    order = f"partition by `{key}`, b order by day, sale"
+    both = left.unionByName(right).withColumns({"before": F.expr(f"lag(x) ignore nulls over ({order})"), "after": F.expr(f"lead(x) ignore nulls over ({order})")}).filter("sale = 1")
 
     def candidate(x: str, rank: int) -> Column:
         days = F.abs(F.datediff(F.col(f"{x}.inspection_date"), "day"))
@@ -59,19 +60,28 @@ def nearest(sales: DataFrame, certificates: DataFrame, key: str, *, max_days: in
     return out.select("transaction_id", *((F.col("x.inspection_date") if c == "inspection_date" else F.col(f"x.c.{c}")).alias(c) for c in EPC_FIELDS))
 
 
+def _daily(certificates: DataFrame, *keys: str) -> DataFrame:
+    """One row a day of ``keys``: c, the first of its certificates by their fields."""
+    fields = [c for c in EPC_FIELDS if c != "inspection_date"]
+    return certificates.groupBy(*keys, "inspection_date").agg(F.min(F.struct(*fields)).alias("c"))
+
+
 def enrich(ppd: DataFrame, epc: DataFrame, *, max_days: int = 5 * 365, prefer_before_sale: bool = True, postcode_fallback: bool = False) -> DataFrame:
     """Every sale with its certificate's fields and match_quality (exact_address, postcode_only or none).
 
-    An ``ordinal`` column of the sales passes through, by which a sink can restore their order. With the fallback, both
-    prepared tables and the address matches are checkpointed, since both tiers read them.
+    An ``ordinal`` column of the sales passes through, by which a sink can restore their order. With the fallback, the
+    prepared sales, the first certificate of each address and day (with or without a key) and the address matches are
+    staged, since both tiers read them.
     """
     sales, certificates = prepare_sales(ppd), prepare_certificates(epc)
     how = {"max_days": max_days, "prefer_before_sale": prefer_before_sale}
     if not postcode_fallback:
         hits = nearest(sales, certificates, "address_key", **how).withColumn("match_quality", F.lit("exact_address"))
     else:
-        sales, certificates = sales.checkpoint(), certificates.checkpoint()
-        exact = nearest(sales, certificates, "address_key", **how).withColumn("match_quality", F.lit("exact_address")).checkpoint()
+        # a day's first certificate of a postcode is first at its address too
+        daily = _daily(certificates.filter("postcode_norm is not null"), "postcode_norm", "address_key").select("postcode_norm", "address_key", "inspection_date", "c.*")
+        sales, certificates = staged(sales), staged(daily)
+        exact = staged(nearest(sales, certificates, "address_key", **how).withColumn("match_quality", F.lit("exact_address")))
         left = sales.join(exact.select("transaction_id"), "transaction_id", "left_anti")
         hits = exact.unionByName(nearest(left, certificates, "postcode_norm", **how).withColumn("match_quality", F.lit("postcode_only")))
     return sales.join(hits, "transaction_id", "left").withColumn("match_quality", F.coalesce("match_quality", F.lit("none")))
