@@ -14,7 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import pinball, trees, valuation
+from ..session import staged
+from . import pinball, ranks, trees, valuation
 
 CATEGORIES = ("property_type", "tenure", "area", "age_band")
 MIN_ROWS, MIN_QUANTILE_ROWS, MIN_TREE_ROWS = 20, 30, 50
@@ -150,7 +151,7 @@ def fit_hedonic(sales: DataFrame, *, categories: tuple[str, ...] = CATEGORIES) -
     model = fit_linear(frame, categories=categories)
     if model is None or model.rows < MIN_ROWS:
         return None
-    q = frame.select(F.percentile(F.col("log_price") - model.predict(), F.array(F.lit(0.25), F.lit(0.75))).alias("q")).first()["q"] if model.rows >= 4 else [0.0, 0.0]
+    q = ranks.quantiles_of_few(frame.select((F.col("log_price") - model.predict()).alias("value")), [], [0.25, 0.75]).first()["q"] if model.rows >= 4 else [0.0, 0.0]
     return Hedonic(model, q[0], q[1], means)
 
 
@@ -271,15 +272,17 @@ def value(rows: DataFrame, sales: DataFrame, method: str = "mean", **how) -> Dat
     comparables; so does a row that the model can't value. The methodology column says what was used.
     """
     name = {"mean": MEAN, "quantile": QUANTILE, "trees": TREES}[method]
-    made = None
-    if method == "quantile" and (q := fit_quantiles(sales, **how)) is not None:
-        made = predict_quantiles(rows, q)
-    elif method == "trees" and (t := fit_trees(sales, **how)) is not None:
-        made = predict_trees(rows, t)
-    elif (m := fit_hedonic(sales)) is not None:
-        made = predict_hedonic(rows, m)
+    made, model, middle = None, None, True
+    if method == "quantile" and (model := fit_quantiles(sales, **how)) is not None:
+        made, middle = predict_quantiles(rows, model), len(model.models) > 1
+    elif method == "trees" and (model := fit_trees(sales, **how)) is not None:
+        made, middle = predict_trees(rows, model), len(model.model.quantiles) > 1
+    elif (model := fit_hedonic(sales)) is not None:
+        made = predict_hedonic(rows, model)
         if method != "mean":
             made = made.withColumn("methodology", F.lit(f"{name} (PPD+EPC, degraded to mean hedonic)"))
+    if made is not None and model.means["floor"] > 0 and middle:
+        return made.select(*rows.columns, *ESTIMATE)  # a model with a middle values every row whose floor area is known or assumed
     pool = valuation.comparables(sales)
     degraded = F.lit(f"{name} (PPD+EPC, degraded to median baseline)")
     if made is None:
@@ -316,4 +319,9 @@ def compare(predictions: dict[str, DataFrame]) -> DataFrame:
     for name, rows in predictions.items():
         one = score(rows).select(F.lit(name).alias("model"), "ape", "abs_error", "inside")
         both = one if both is None else both.unionByName(one)
-    return both.groupBy("model").agg(F.count("*").alias("n"), F.median("ape").alias("median_ape"), F.avg("ape").alias("mean_ape"), F.bround(F.median("abs_error"), 0).cast("long").alias("median_abs_error"), F.avg(F.col("inside").cast("double")).alias("coverage"))
+    both = staged(both)
+    named = F.array(*(F.struct(F.lit(c).alias("measure"), F.col(c).cast("double").alias("value")) for c in ("ape", "abs_error")))
+    q = ranks.quantiles_of_few(both.select("model", F.explode(named).alias("x")).select("model", "x.*"), ["model", "measure"], [0.5])
+    medians = q.groupBy("model").agg(*(F.max(F.when(F.col("measure") == c, F.col("q")[0])).alias(c) for c in ("ape", "abs_error")))
+    sums = both.groupBy("model").agg(F.count("*").alias("n"), F.avg("ape").alias("mean_ape"), F.avg(F.col("inside").cast("double")).alias("coverage"))
+    return sums.join(medians, "model", "left").select("model", "n", F.col("ape").alias("median_ape"), "mean_ape", F.bround("abs_error", 0).cast("long").alias("median_abs_error"), "coverage")

@@ -55,3 +55,33 @@ def quantiles(counted: DataFrame, keys: list[str], shares: list[float], *, value
         return F.when(F.floor(at) == F.ceil(at), low).otherwise((F.ceil(at) - at) * low + (at - F.floor(at)) * high)
 
     return found.select(*keys, "n", F.array(*(between(k, q) for k, q in enumerate(shares))).alias("q"))
+
+
+def quantiles_of_few(rows: DataFrame, keys: list[str], shares: list[float], *, value: str = "value") -> DataFrame:
+    """``keys``, n and q: interpolated quantiles of few groups of any size, of numbers of either sign; nulls don't count.
+
+    Only sizes of buckets are added up in one task; then the buckets that hold a wanted rank are sorted. Rows are read twice.
+    """
+    v = F.col(value).cast("double")
+    placed = rows.select(*keys, v.alias("__v"), F.floor(F.signum(v) * F.log1p(F.abs(v) * 2**20) * 256).alias("__b")).filter("__v is not null")
+    group = Window.partitionBy(*keys)
+    sizes = placed.groupBy(*keys, "__b").agg(F.count("*").alias("__m"))
+    sizes = sizes.withColumns({"__below": F.sum("__m").over(group.orderBy("__b")) - F.col("__m"), "n": F.sum("__m").over(group)})
+    at = [(F.col("n") - 1) * F.lit(q) for q in shares]
+    ends = F.array(*(F.struct(F.lit(2 * k + up).alias("place"), (F.ceil(x) if up else F.floor(x)).alias("rank"), (x - F.floor(x)).alias("part")) for k, x in enumerate(at) for up in (0, 1)))
+    wanted = sizes.select(*keys, "n", "__b", "__below", "__m", F.explode(ends).alias("__e")).filter("__e.rank >= __below and __e.rank < __below + __m")
+    wanted = wanted.groupBy(*keys, "__b", "n").agg(F.collect_list(F.struct("__e.place", (F.col("__e.rank") - F.col("__below")).alias("inside"), "__e.part")).alias("__w"))  # two rows a share at most
+    same = F.lit(True)
+    for c in ("__b", *keys):
+        same = same & F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}"))
+    held = placed.alias("l").join(F.broadcast(wanted).alias("r"), same).select(*(f"l.{c}" for c in keys), "n", "l.__b", "__v", "__w")
+    sorted_ = held.withColumn("__rank", F.row_number().over(Window.partitionBy(*keys, "__b").orderBy("__v")) - 1)
+    hits = sorted_.select(*keys, "n", "__v", "__rank", F.explode("__w").alias("__e")).filter("__rank = __e.inside")
+    by_place = hits.groupBy(*keys, "n").agg(F.map_from_entries(F.collect_list(F.struct("__e.place", F.struct("__v", "__e.part")))).alias("__q"))
+
+    def between(k: int) -> Column:
+        low, high = (F.col("__q")[F.lit(2 * k + up)] for up in (0, 1))
+        part = low.getField("part")
+        return F.when(part == 0, low.getField("__v")).otherwise((1 - part) * low.getField("__v") + part * high.getField("__v"))
+
+    return by_place.select(*keys, "n", F.array(*(between(k) for k in range(len(shares)))).alias("q"))
