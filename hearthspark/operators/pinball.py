@@ -10,6 +10,13 @@ bound are less than ``tolerance`` apart.
 One step is an aggregation by category combination (sums of a bounded number of combinations reach the driver), a solve
 of as many unknowns as there are coefficients, and an aggregation without keys that says how far the step may go. All
 quantiles share these. The rows' state is persisted, and every ten steps checkpointed.
+
+Tables of more than ``WHOLE`` rows don't take all their rows through these steps. A round sums every row into cells: by
+category combination and side of each quantile's line, and near a line by bins of the numbers and of the residual, finest
+at the line. A sum's pinball loss is at most that of its rows, and equal if they lie on one side. So a line fitted to the
+cells, each taken as one row, bounds the optimum of all rows from below, and the next round's pass over all rows gives the
+line's own objective, while its cells are made around that line. Rounds end when objective and bound, both of all rows,
+are less than ``tolerance`` apart; lines that are left after ``ROUNDS`` go on with every row by itself.
 """
 
 from __future__ import annotations
@@ -22,9 +29,11 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import shared_checkpoints
+from ..session import shared_checkpoints, staged
 
 STEPS, CUT_EVERY, INSIDE = 200, 10, 0.9995
+WHOLE, CELLS, ROUNDS = 2**19, 2**17, 12
+_BINS, _RATIO = 8, 1.5  # of residuals, on each side of a line: how many, and each one's end to the end of the one before
 
 
 @dataclass
@@ -67,6 +76,7 @@ class Fit:
     reach: float
     start: float
     limit: int
+    pairs: int
     centring: float = 0.1
     steps: int = 0
     done: bool = False
@@ -99,7 +109,7 @@ class Fit:
             self.done = True
             return
         slack = m.slack + float(self.z @ self.s + self.w @ self.a)
-        self.target = self.centring * slack / (2 * (self.rows + len(self.z)))
+        self.target = self.centring * slack / (2 * (self.pairs + len(self.z)))
         weight = 1 / (self.z / self.s + self.w / self.a)
         inward = 1 / self.s - 1 / self.a
         matrix, right = m.matrix.copy(), m.pull - self.target * m.inward
@@ -139,13 +149,14 @@ def _coded(frame: DataFrame, y: str, numbers: tuple[str, ...], levels: dict[str,
     return frame.select(*out)
 
 
-def _along(b: np.ndarray, numbers: int, levels: dict[str, list[str]]) -> str:
-    """Each row's product with coefficients. Expressions are text here: a step has hundreds of them."""
-    out = [_number(b[0]), *(f"x{i} * {_number(b[1 + i])}" for i in range(numbers))]
+def _along(b: np.ndarray, numbers: int, levels: dict[str, list[str]], count: str) -> str:
+    """Each row's product with coefficients; ``count`` is how many rows it is the sum of. Expressions are text here: a step has hundreds of them."""
+    times = "" if count == "1D" else f"{count} * "
+    out = [times + _number(b[0]), *(f"x{i} * {_number(b[1 + i])}" for i in range(numbers))]
     k = 1 + numbers
     for i, known in enumerate(levels.values()):
         effects = ", ".join(["0D", *map(_number, b[k : k + len(known)])])
-        out.append(f"get(array({effects}), c{i})")
+        out.append(f"{times}get(array({effects}), c{i})")
         k += len(known)
     return f"({' + '.join(out)})"
 
@@ -154,7 +165,7 @@ def _number(v: float) -> str:
     return f"({float(v)!r}D)"
 
 
-def _gathered(state: DataFrame, fits: dict[int, Fit], numbers: int, levels: dict[str, list[str]]) -> pd.DataFrame:
+def _gathered(state: DataFrame, fits: dict[int, Fit], numbers: int, levels: dict[str, list[str]], count: str) -> pd.DataFrame:
     """What ``Sums`` are put together from, by combination of levels."""
     keys = [f"c{i}" for i in range(len(levels))]
     parts, sums = [], []
@@ -162,9 +173,9 @@ def _gathered(state: DataFrame, fits: dict[int, Fit], numbers: int, levels: dict
         parts += [f"1 / (z{k} / s{k} + w{k} / a{k}) AS q{k}", f"z{k} - w{k} AS r{k}", f"1 / s{k} - 1 / a{k} AS i{k}", f"a{k} - {_number(1 - fit.share)} AS d{k}"]
         sums += [f"sum(z{k} * s{k} + w{k} * a{k}) AS slack{k}", f"sum(greatest(r{k} * {_number(fit.share)}, r{k} * {_number(fit.share - 1)})) AS loss{k}", f"sum(d{k} * y) AS bound{k}"]
         for i in range(-1, numbers):
-            x = "1D" if i < 0 else f"x{i}"
+            x = count if i < 0 else f"x{i}"
             sums += [f"sum(q{k} * r{k} * {x}) AS pull{k}_{i + 1}", f"sum(q{k} * i{k} * {x}) AS inward{k}_{i + 1}", f"sum(d{k} * {x}) AS slope{k}_{i + 1}"]
-            sums += [f"sum(q{k} * {x} * {'1D' if j < 0 else f'x{j}'}) AS matrix{k}_{i + 1}_{j + 1}" for j in range(i, numbers)]
+            sums += [f"sum(q{k} * {x} * {count if j < 0 else f'x{j}'}) AS matrix{k}_{i + 1}_{j + 1}" for j in range(i, numbers)]
     return state.selectExpr("*", *parts).groupBy(*keys).agg(*map(F.expr, sums)).toPandas()
 
 
@@ -189,51 +200,34 @@ def _assembled(g: pd.DataFrame, k: int, numbers: int, levels: dict[str, list[str
     return Sums(matrix, vector("pull"), vector("inward"), vector("slope"), g[f"slack{k}"].sum(), g[f"loss{k}"].sum(), g[f"bound{k}"].sum())
 
 
-def _moves(state: DataFrame, fits: dict[int, Fit], numbers: int, levels: dict[str, list[str]]) -> DataFrame:
+def _moves(state: DataFrame, fits: dict[int, Fit], numbers: int, levels: dict[str, list[str]], count: str) -> DataFrame:
     """The state with each row's changes of a (da), z (dz) and w (dw)."""
     first, then = [], []
     for k, fit in fits.items():
         t = _number(fit.target)
-        first.append(f"(z{k} - w{k} - (1 / s{k} - 1 / a{k}) * {t} - {_along(fit.move, numbers, levels)}) / (z{k} / s{k} + w{k} / a{k}) AS da{k}")
+        first.append(f"(z{k} - w{k} - (1 / s{k} - 1 / a{k}) * {t} - {_along(fit.move, numbers, levels, count)}) / (z{k} / s{k} + w{k} / a{k}) AS da{k}")
         then += [f"{t} / s{k} - z{k} + z{k} / s{k} * da{k} AS dz{k}", f"{t} / a{k} - w{k} - w{k} / a{k} * da{k} AS dw{k}"]
     return state.selectExpr("*", *first).selectExpr("*", *then)
 
 
-def fit(frame: DataFrame, quantiles: tuple[float, ...], start: np.ndarray, levels: dict[str, list[str]], *, y: str, numbers: tuple[str, ...], penalty: float = 1e-3, tolerance: float = 1e-6, steps: int = STEPS) -> dict[float, Line]:
-    """Each quantile's coefficients from ``start`` (intercept, numbers, levels in order), with a gap of ``tolerance`` at most.
-
-    Rows without response or numbers don't count. Levels that ``levels`` doesn't name, null included, have no effect. No
-    rows: no lines. A fit that hasn't closed its gap after ``steps`` returns its best coefficients and the gap it has.
-    """
-    if penalty <= 0 or not all(0 < q < 1 for q in quantiles):
-        raise ValueError("the penalty must be positive and quantiles lie between 0 and 1")
-    shared_checkpoints(frame.sparkSession)
-    many, kept = len(numbers), StorageLevel.MEMORY_AND_DISK
-    coded = _coded(frame, y, numbers, levels).na.drop()
-    one = coded.agg(F.count("*").alias("rows"), F.avg("y").alias("mean"), *(F.max(F.abs(F.col(f"x{i}"))).alias(f"m{i}") for i in range(many))).first()
-    if not one["rows"]:
-        return {}
-    centre = np.eye(len(start))[0] * float(one["mean"])
-    at = np.asarray(start, float) - centre
-    state = coded.withColumn("y", F.col("y") - float(one["mean"])).withColumn("r", F.expr(f"y - {_along(at, many, levels)}"))
-    size = state.agg(F.avg(F.abs("r")).alias("left"), F.max(F.abs("y")).alias("most")).first()
-    begin = max(float(size["left"]), 1e-9)
-    reach = max([1.0, *(float(one[f"m{i}"]) for i in range(many))])
-    fits = {k: Fit(q, at, one["rows"], penalty, tolerance, float(size["most"]), reach, begin, steps) for k, q in enumerate(quantiles)}
-    parts = [c for k, q in enumerate(quantiles) for c in (F.lit(1 - q).alias(f"a{k}"), F.lit(q).alias(f"s{k}"), (F.greatest("r", F.lit(0.0)) + begin).alias(f"z{k}"), (F.greatest(-F.col("r"), F.lit(0.0)) + begin).alias(f"w{k}"))]
-    state = state.select(*coded.columns, *parts).persist(kept)
-    before, step, held = None, 0, coded.columns
+def _interior(rows: DataFrame, fits: dict[int, Fit], numbers: int, levels: dict[str, list[str]], count: str) -> None:
+    """Takes every fit from where it is to its tolerance or limit, over ``rows`` (y, numbers, categories)."""
+    kept, held = StorageLevel.MEMORY_AND_DISK, rows.columns
+    state = rows.selectExpr("*", *(f"y - {_along(f.at, numbers, levels, count)} AS r{k}" for k, f in fits.items()))
+    parts = [c for k, f in fits.items() for c in (f"{_number(1 - f.share)} AS a{k}", f"{_number(f.share)} AS s{k}", f"greatest(r{k}, 0D) + {_number(f.start)} AS z{k}", f"greatest(-r{k}, 0D) + {_number(f.start)} AS w{k}")]
+    state = state.selectExpr(*held, *parts).persist(kept)
+    before, step = None, 0
     while True:
         left = {k: f for k, f in fits.items() if not f.done}
-        groups = _gathered(state, left, many, levels)
+        groups = _gathered(state, left, numbers, levels, count)
         if before is not None:
             before.unpersist()
         for k, f in left.items():
-            f.aim(_assembled(groups, k, many, levels))
+            f.aim(_assembled(groups, k, numbers, levels))
         left = {k: f for k, f in left.items() if not f.done}
         if not left:
             break
-        moved = _moves(state, left, many, levels)
+        moved = _moves(state, left, numbers, levels, count)
         falls = [part for k in left for part in (f"max(greatest(-da{k} / a{k}, da{k} / s{k})) AS f{k}", f"max(greatest(-dz{k} / z{k}, -dw{k} / w{k})) AS g{k}")]
         far = moved.agg(*map(F.expr, falls)).first()
         parts = []
@@ -245,4 +239,91 @@ def fit(frame: DataFrame, quantiles: tuple[float, ...], start: np.ndarray, level
             cached, state = state, state.checkpoint()
             cached.unpersist()
     state.unpersist()
-    return {f.share: Line(f.best[1] + centre, f.best[0], f.gap, f.steps) for f in fits.values()}
+
+
+def _cells(coded: DataFrame, lines: dict[int, tuple[float, np.ndarray, float]], edges: list[list[float]], levels: dict[str, list[str]]) -> DataFrame:
+    """All rows' sums (n, y and the numbers) and losses by cell around ``lines`` (share, coefficients, how far from the line bins go)."""
+    many, keys = len(edges), [f"c{i}" for i in range(len(levels))]
+    first, bins, near = [], [], []
+    for k, (_, at, reach) in lines.items():
+        first.append(f"y - {_along(at, many, levels, '1D')} AS r{k}")
+        least = _number(max(reach / _RATIO ** (_BINS - 1), 1e-12))
+        place = f"least({_BINS}, cast(ceil(ln(greatest(abs(r{k}) / {least}, 1D)) / {_number(np.log(_RATIO))}) AS INT))"
+        bins.append(f"if(r{k} < 0, -1 - {place}, {place}) AS b{k}")  # the line itself is an edge
+        near.append(f"b{k} BETWEEN {-_BINS} AND {_BINS - 1}")
+    parts = [f"if({' OR '.join(near)}, {' + '.join(['0', *(f'int(x{i} > {_number(e)})' for e in cuts)])}, -1) AS p{i}" for i, cuts in enumerate(edges)]
+    placed = coded.selectExpr("*", *first).selectExpr("*", *bins).selectExpr("*", *parts)
+    sums = ["count(*) AS n", "sum(y) AS y", *(f"sum(x{i}) AS x{i}" for i in range(many)), *(f"sum(greatest(r{k} * {_number(q)}, r{k} * {_number(q - 1)})) AS loss{k}" for k, (q, _, _) in lines.items())]
+    cells = placed.groupBy(*keys, *(f"p{i}" for i in range(many)), *(f"b{k}" for k in lines)).agg(*map(F.expr, sums))
+    return cells.select(*keys, F.col("n").cast("double").alias("n"), "y", *(f"x{i}" for i in range(many)), *(f"loss{k}" for k in lines))
+
+
+def _by_cells(coded: DataFrame, quantiles: tuple[float, ...], start: np.ndarray, left: float, edges: list[list[float]], levels: dict[str, list[str]], made, *, rows: int, penalty: float, tolerance: float, steps: int) -> tuple[dict[int, Line], dict[int, Line]]:
+    """Lines whose gap over all rows is closed or whose steps are used up, and those that are left after all rounds."""
+    many, spark = len(edges), coded.sparkSession
+    at, reach = dict.fromkeys(range(len(quantiles)), start), dict.fromkeys(range(len(quantiles)), 4 * left)
+    best: dict[int, tuple[float, np.ndarray]] = {}
+    bound, taken, done = dict.fromkeys(at, 0.0), dict.fromkeys(at, 0), {}
+    for turn in range(ROUNDS + 1):
+        open_ = [k for k in at if k not in done]
+        cells = _cells(coded, {k: (quantiles[k], at[k], reach[k]) for k in open_}, edges, levels).repartition(spark.sparkContext.defaultParallelism).persist(StorageLevel.MEMORY_AND_DISK)
+        facts = cells.agg(F.count("*").alias("cells"), *(F.sum(f"loss{k}").alias(f"loss{k}") for k in open_)).first()
+        for k in open_:
+            objective = facts[f"loss{k}"] / rows + penalty * np.abs(at[k][1:]).sum()
+            if k not in best or objective < best[k][0]:
+                best[k] = (objective, at[k])
+            if best[k][0] - bound[k] <= tolerance or taken[k] >= steps:
+                done[k] = Line(best[k][1], best[k][0], best[k][0] - bound[k], taken[k])
+        open_ = [k for k in open_ if k not in done]
+        if not open_ or turn == ROUNDS:
+            cells.unpersist()
+            break
+        state = cells.drop(*(f"loss{k}" for k in at))
+        size = state.agg(*(F.avg(F.abs(F.expr(f"y - {_along(at[k], many, levels, 'n')}"))).alias(f"left{k}") for k in open_)).first()
+        # a round needn't be solved further than its cells are good for
+        fits = {k: made(k, at[k], max(size[f"left{k}"], 1e-9), max(tolerance / 4, (best[k][0] - bound[k]) / 30), steps - taken[k], facts["cells"]) for k in open_}
+        _interior(state, fits, many, levels, "n")
+        far = state.agg(*(F.max(F.abs(F.expr(f"{_along(f.best[1] - at[k], many, levels, 'n')} / n"))).alias(f"far{k}") for k, f in fits.items())).first()
+        for k, f in fits.items():
+            bound[k], taken[k], at[k], reach[k] = max(bound[k], f.proven), taken[k] + f.steps, f.best[1], max(far[f"far{k}"], 1e-9)
+        cells.unpersist()
+    return done, {k: Line(best[k][1], best[k][0], best[k][0] - bound[k], taken[k]) for k in at if k not in done}
+
+
+def fit(frame: DataFrame, quantiles: tuple[float, ...], start: np.ndarray, levels: dict[str, list[str]], *, y: str, numbers: tuple[str, ...], penalty: float = 1e-3, tolerance: float = 1e-6, steps: int = STEPS) -> dict[float, Line]:
+    """Each quantile's coefficients from ``start`` (intercept, numbers, levels in order), with a gap of ``tolerance`` at most.
+
+    Rows without response or numbers don't count. Levels that ``levels`` doesn't name, null included, have no effect. No
+    rows: no lines. A fit that hasn't closed its gap after ``steps`` returns its best coefficients and the gap it has.
+    """
+    if penalty <= 0 or not all(0 < q < 1 for q in quantiles):
+        raise ValueError("the penalty must be positive and quantiles lie between 0 and 1")
+    shared_checkpoints(frame.sparkSession)
+    many, codes = len(numbers), [f"c{i}" for i in range(len(levels))]
+    coded = _coded(frame, y, numbers, levels).na.drop()
+    one = coded.agg(F.count("*").alias("rows"), F.avg("y").alias("mean"), F.approx_count_distinct(F.struct(F.lit(0), *codes)).alias("combinations"), *(F.max(F.abs(F.col(f"x{i}"))).alias(f"m{i}") for i in range(many))).first()
+    rows = one["rows"]
+    if not rows:
+        return {}
+    centre = np.eye(len(start))[0] * float(one["mean"])
+    at = np.asarray(start, float) - centre
+    coded = coded.withColumn("y", F.col("y") - float(one["mean"]))
+    if rows > WHOLE:
+        coded = staged(coded)
+    parts = int(min(8, max(2, (CELLS / (2 * _BINS * len(quantiles) * one["combinations"])) ** (1 / max(1, many)))))
+    cuts = [F.percentile_approx(f"x{i}", [j / parts for j in range(1, parts)], 1000).alias(f"e{i}") for i in range(many)] if rows > WHOLE else []
+    size = coded.withColumn("r", F.expr(f"y - {_along(at, many, levels, '1D')}")).agg(F.avg(F.abs("r")).alias("left"), F.max(F.abs("y")).alias("most"), *cuts).first()
+    begin = max(float(size["left"]), 1e-9)
+    reach = max([1.0, *(float(one[f"m{i}"]) for i in range(many))])
+
+    def made(k: int, b: np.ndarray, first: float, near: float, limit: int, pairs: int) -> Fit:
+        return Fit(quantiles[k], b, rows, penalty, near, float(size["most"]), reach, first, limit, pairs)
+
+    lines, left = {}, dict.fromkeys(range(len(quantiles)))
+    if rows > WHOLE:
+        lines, left = _by_cells(coded, quantiles, at, begin, [list(size[f"e{i}"]) for i in range(many)], levels, made, rows=rows, penalty=penalty, tolerance=tolerance, steps=steps)
+    if left:
+        fits = {k: made(k, at if line is None else line.coefficients, begin, tolerance, steps if line is None else steps - line.steps, rows) for k, line in left.items()}
+        _interior(coded, fits, many, levels, "1D")
+        lines.update({k: Line(f.best[1], f.best[0], f.gap, f.steps + (left[k].steps if left[k] else 0)) for k, f in fits.items()})
+    return {q: Line(lines[k].coefficients + centre, lines[k].objective, lines[k].gap, lines[k].steps) for k, q in enumerate(quantiles)}

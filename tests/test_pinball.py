@@ -92,3 +92,33 @@ def test_models_tell_their_gaps(spark):
     m = models.fit_quantiles(sales)
     assert set(m.gaps) == {0.1, 0.5, 0.9} and all(0 <= g <= 1e-6 for g in m.gaps.values())
     assert models.fit_quantiles(sales.limit(29)) is None
+
+
+def test_large_tables_are_fitted_by_cells_and_proven_on_all_rows(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    n = 30_000
+    x, v, c = rng.normal(4, 0.4, n), rng.normal(0, 9, n), rng.integers(0, 4, n)
+    y = 12 + 0.7 * x + 0.01 * v + np.array([0.0, 0.4, -0.3, 0.1])[c] + rng.standard_t(3, n) * (0.1 + 0.05 * x)
+    rows = [(float(a), float(b), float(w), [None, "a", "b", "c"][k], "k") for a, b, w, k in zip(y, x, v, c, strict=True)]
+    df = spark.createDataFrame(rows, "y double, x double, v double, c string, d string").repartition(4).persist()
+    design_, start = design(rows), np.zeros(8)
+    taken, interior = [], pinball._interior
+    monkeypatch.setattr(pinball, "_interior", lambda *a: (taken.append(a[0].count()), interior(*a)))
+    monkeypatch.setattr(pinball, "WHOLE", 5_000)
+    monkeypatch.setattr(pinball, "CELLS", 2_000)
+    lines = pinball.fit(df, (0.1, 0.9), start, LEVELS, y="y", numbers=NUMBERS)
+    assert taken and max(taken) < n / 5  # no step ran over the rows themselves
+    for q, line in lines.items():
+        got = objective(line.coefficients, design_, y, q, 1e-3)
+        assert 0 <= line.gap <= 1e-6 and abs(got - line.objective) < 1e-9
+        r = y - design_ @ line.coefficients
+        assert abs((r < 0).mean() - q) < 0.01
+    # few steps: the gap that is left is told, and is one of all rows
+    short = pinball.fit(df, (0.9,), start, LEVELS, y="y", numbers=NUMBERS, steps=2)[0.9]
+    assert short.steps == 2 and short.gap > 1e-6 and abs(objective(short.coefficients, design_, y, 0.9, 1e-3) - short.objective) < 1e-9
+    assert short.objective - short.gap <= lines[0.9].objective
+    # no rounds: every row by itself gives the same optimum
+    monkeypatch.setattr(pinball, "ROUNDS", 0)
+    whole = pinball.fit(df, (0.9,), start, LEVELS, y="y", numbers=NUMBERS)[0.9]
+    assert taken[-1] == n and whole.gap <= 1e-6 and abs(whole.objective - lines[0.9].objective) < 1e-6
+    df.unpersist()
