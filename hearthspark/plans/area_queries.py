@@ -363,11 +363,11 @@ SELECT seed, node, CAST(depth AS INT) AS depth, CAST(row_number() OVER (PARTITIO
 def ownership_of_controllers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """From every controller, through the companies that corporate controllers are, in order of depth, kind and identifier."""
     shared_checkpoints(spark)
-    c = view(spark, sf_dir, "controllers")
-    e = ownership.edges(repeated(spark, sf_dir, "appointments").filter("false"), repeated(spark, sf_dir, "controllers"))
+    c = repeated(spark, sf_dir, "controllers")
+    e = ownership.edges(repeated(spark, sf_dir, "appointments").filter("false"), c)
     known = ownership.nodes(psc=c.select(F.col("identity").alias("identifier"), F.col("identity").alias("label")).distinct(), company=c.select(F.col("company").alias("identifier"), F.col("company").alias("label")).union(c.filter("company_number is not null").select("company_number", "company_number")).distinct())
-    reached = ownership.search(e, e.select(F.col("source").alias("seed")).distinct(), 2, same=ownership.corporate_links(c))
-    return ownership.ordered(reached, known).select("seed", "node", "depth", "place")
+    seeds = c.select(F.concat(F.lit("psc:"), "identity").alias("seed"))
+    return ownership.search_ordered(e, seeds, 2, known, same=ownership.corporate_links(c)).select("seed", "node", "depth", "place")
 
 
 # listings
